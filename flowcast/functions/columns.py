@@ -64,10 +64,13 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def scalars(one_row: DataFrame) -> dict[str, Column]:
-    """Columns of a one-row aggregate as scalar subqueries.
+def with_scalars(df: DataFrame, one_row: DataFrame, name: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Attach a one-row aggregate to every row of ``df`` as ONE struct column
+    ``name`` filled by a scalar subquery; return the frame and field references.
 
-    Catalyst evaluates them once (merging sibling subqueries into one job) and
-    inlines the values, so no join is needed to attach a threshold to every row.
+    The subquery runs once and its value is inlined (no join, no cross product),
+    and it appears once in the plan, so the upstream plan is planned once. Drop
+    ``name`` when done.
     """
-    return {c: one_row.select(F.col(f"`{c}`")).scalar() for c in one_row.columns}
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("s")).scalar()
+    return df.select("*", packed.alias(name)), {c: F.col(f"`{name}`.`{c}`") for c in one_row.columns}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowcast.functions.columns import clean_double, guarded_clip, scalars
+from flowcast.functions.columns import clean_double, guarded_clip, with_scalars
 from flowcast.operators import ordered
 
 
@@ -35,9 +35,10 @@ def complete_timestamps(long: DataFrame, n_sensors, ts: str = "ts", value: str =
     """B1 + B2 in long form: timestamps where all ``n_sensors`` have a value, with
     their row mean. ``n_sensors`` is an int or a one-row DataFrame column."""
     agg = long.groupBy(ts).agg(F.avg(F.col(value)).alias(name), F.count(F.col(value)).alias("_fc_k"))
-    if not isinstance(n_sensors, int):
-        n_sensors = n_sensors.select(F.col(n_sensors.columns[0])).scalar()
-    return agg.where(F.col("_fc_k") == n_sensors).drop("_fc_k")
+    if isinstance(n_sensors, int):
+        return agg.where(F.col("_fc_k") == n_sensors).drop("_fc_k")
+    j, s = with_scalars(agg, n_sensors.select(F.col(n_sensors.columns[0]).alias("ns")), "_fc_ns")
+    return j.where(F.col("_fc_k") == s["ns"]).drop("_fc_k", "_fc_ns")
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -69,15 +70,15 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
 
 def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Keep rows with Q1 - k IQR <= x <= Q3 + k IQR (inclusive)."""
-    b = scalars(iqr_bounds(df, [col], k))
-    return df.where((F.col(col) >= b[f"{col}_lo"]) & (F.col(col) <= b[f"{col}_hi"]))
+    j, b = with_scalars(df, iqr_bounds(df, [col], k), "_fc_iqr")
+    return j.where((F.col(col) >= b[f"{col}_lo"]) & (F.col(col) <= b[f"{col}_hi"])).drop("_fc_iqr")
 
 
 def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Winsorise each column to its IQR fences (NULLs stay NULL)."""
     cols = list(cols)
-    b = scalars(iqr_bounds(df, cols, k))
-    return df.select(*[
+    j, b = with_scalars(df, iqr_bounds(df, cols, k), "_fc_iqr")
+    return j.select(*[
         guarded_clip(c, b[f"{c}_lo"], b[f"{c}_hi"]).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns
     ])
 
@@ -90,9 +91,9 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                     *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols])
     long = counts.unpivot(["_fc_rows"], cols, "column", "n_null")
     total = sum((F.col(f"`{c}`") for c in cols), F.lit(0))
-    tot = counts.select(total.alias("total_null")).scalar()
-    return long.select("column", "n_null", tot.alias("total_null"),
-                       (F.col("_fc_rows") - F.col("n_null")).alias("n_remaining"))
+    j, s = with_scalars(long, counts.select(total.alias("total_null")), "_fc_tot")
+    return j.select("column", "n_null", s["total_null"].alias("total_null"),
+                    (F.col("_fc_rows") - F.col("n_null")).alias("n_remaining"))
 
 
 def inf_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

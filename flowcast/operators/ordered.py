@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowcast.functions.columns import scalars
+from flowcast.functions.columns import with_scalars
 
 # Defaults sized for cluster-scale inputs; tests pass small values to exercise
 # bucket and chunk borders.
@@ -96,7 +96,8 @@ def with_row_index(
         with_stats = base.join(stats, on=series, how="inner")
     else:
         # one-row statistics attached as scalar subqueries
-        with_stats = base.select("*", *[v.alias(k) for k, v in scalars(stats).items()])
+        with_stats, s = with_scalars(base, stats, "_fc_st")
+        with_stats = with_stats.select("*", *[v.alias(k) for k, v in s.items()]).drop("_fc_st")
     bucketed = with_stats.withColumn(_B, bucket).drop("_fc_pos", "_fc_min", "_fc_max")
     summary = bucketed.groupBy(*series, _B).agg(F.count(F.lit(1)).alias("_fc_cnt"))
     ws = Window.partitionBy(*series).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
