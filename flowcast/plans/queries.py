@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowcast.plans import sqlparts as S
 from flowcast.plans.catalog import register, wrap
-from flowcast.plans.prepare import LAGS, MOVING_AVERAGES, WEATHER_FEATURES, feature_table
+from flowcast.plans.prepare import LAGS, MOVING_AVERAGES, WEATHER_FEATURES, feature_table, scaled_features
 from flowcast.sources.fixtures import ORDER_SENSORS, readings_orders, weather_ship
 
 SENS = ORDER_SENSORS
@@ -36,37 +36,45 @@ def _pipeline_sql(width: str, weather: bool) -> str:
     else:
         ctes.append("mg AS (SELECT * FROM trf)")
     ctes += [S.holidays(lo, hi), S.features_block("mg")]
-    return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM ft"
+    cols = _feature_cols(weather) + ["target"]
+    ctes.append("fx AS (SELECT *, speed_ma30 AS target FROM ft)")
+    ctes.append(S.zscore_pop("fx", cols))
+    return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM zp"
+
+
+def _feature_cols(weather: bool) -> list[str]:
+    cols = [*SENS, "avg_speed"] + (list(WEATHER_FEATURES) if weather else [])
+    cols += ["hour", "day_of_week", "month", "is_holiday"]
+    cols += [f"speed_lag{k}" for k in LAGS] + [f"speed_ma{m}" for m in MOVING_AVERAGES]
+    return cols
 
 
 # --- H9/H10 feature table (flagship) ---------------------------------------
 
 @register("features_enhanced_daily",
-          wrap(_pipeline_sql("1 day", True), f"{SENS_COLS} {FEAT_DOUBLES} {' '.join(WEATHER_FEATURES)}",
-               CAL_INTS, "ts", digits=4),
-          digits=4, ids="A3 B1 B2 B3 C1 C3 C4 G1-G8 H2 H8 H9 E1 E2 B11")
+          wrap(_pipeline_sql("1 day", True), " ".join(_feature_cols(True) + ["target"]), "", "ts"),
+          ids="A3 B1 B2 B3 B11 B12 C1 C3 C4 G1-G8 H1 H2 H8 H9 H10(feature table) E1 E2")
 def features_enhanced_daily(spark, sf):
-    """Enhanced feature table: orders traffic + shipping weather, daily buckets."""
-    return feature_table(readings_orders(spark, sf, "1 day"), weather_ship(spark, sf, "1 day"),
-                         width="1 day", sensors=SENS, on_constant="zero")
+    """Scaled enhanced feature table: orders traffic + shipping weather, daily buckets."""
+    return scaled_features(feature_table(readings_orders(spark, sf, "1 day"), weather_ship(spark, sf, "1 day"),
+                                         width="1 day", sensors=SENS, on_constant="zero"))
 
 
 @register("features_baseline_daily",
-          wrap(_pipeline_sql("1 day", False), f"{SENS_COLS} {FEAT_DOUBLES}", CAL_INTS, "ts", digits=4),
-          digits=4, ids="A3 B1 B2 B3 C3 C4 G1 H9 E1 E2")
+          wrap(_pipeline_sql("1 day", False), " ".join(_feature_cols(False) + ["target"]), "", "ts"),
+          ids="A3 B1 B2 B3 B12 C3 C4 G1 H1 H9 E1 E2")
 def features_baseline_daily(spark, sf):
-    """Baseline feature table (traffic only), daily buckets."""
-    return feature_table(readings_orders(spark, sf, "1 day"), None, width="1 day", sensors=SENS)
+    """Scaled baseline feature table (traffic only), daily buckets."""
+    return scaled_features(feature_table(readings_orders(spark, sf, "1 day"), None, width="1 day", sensors=SENS))
 
 
 @register("features_enhanced_weekly",
-          wrap(_pipeline_sql("7 days", True), f"{SENS_COLS} {FEAT_DOUBLES} {' '.join(WEATHER_FEATURES)}",
-               CAL_INTS, "ts", digits=4),
-          digits=4, ids="H9 C1 (7-day buckets)")
+          wrap(_pipeline_sql("7 days", True), " ".join(_feature_cols(True) + ["target"]), "", "ts"),
+          ids="H9 H10 C1 (7-day buckets)")
 def features_enhanced_weekly(spark, sf):
-    """Enhanced feature table on 7-day buckets (the smoke-test query)."""
-    return feature_table(readings_orders(spark, sf, "7 days"), weather_ship(spark, sf, "7 days"),
-                         width="7 days", sensors=SENS, on_constant="zero")
+    """Scaled enhanced feature table on 7-day buckets (the smoke-test query)."""
+    return scaled_features(feature_table(readings_orders(spark, sf, "7 days"), weather_ship(spark, sf, "7 days"),
+                                         width="7 days", sensors=SENS, on_constant="zero"))
 
 
 _ = F

@@ -125,3 +125,11 @@ def features_block(source: str = "mg") -> str:
   {lags}, {mas}
   FROM {source}),
 ft AS (SELECT * FROM fa WHERE speed_lag{max(LAGS)} IS NOT NULL AND speed_ma{max(MOVING_AVERAGES)} IS NOT NULL)"""
+
+
+def zscore_pop(src: str, cols: list[str], name: str = "zp", keep: str = "ts") -> str:
+    """CTE ``name``: population z-scores of ``cols`` (tiny std divides by 1)."""
+    stats = ", ".join(f"avg(\"{c}\") AS \"m_{c}\", stddev_pop(\"{c}\") AS \"s_{c}\"" for c in cols)
+    z = ", ".join(f"(\"{c}\" - \"m_{c}\") / CASE WHEN \"s_{c}\" < 2.220446049250313e-15 THEN 1.0 "
+                  f"ELSE \"s_{c}\" END AS \"{c}\"" for c in cols)
+    return f"{name}_st AS (SELECT {stats} FROM {src}),\n{name} AS (SELECT {keep}, {z} FROM {src}, {name}_st)"
