@@ -56,7 +56,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append(F.round(c.cast("double"), digits).alias(f.name))
+            # (1 + 1e-12): see TIE_NUDGE in flowcast.plans.catalog
+            out.append(F.round(c.cast("double") * F.lit(1.0 + 1e-12), digits).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             out.append(c.cast("bigint").alias(f.name))
         else:

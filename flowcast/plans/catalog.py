@@ -42,9 +42,15 @@ def register(name: str, sql: str | None, digits: int = 6, ids: str = ""):
     return deco
 
 
+# Values built from 2-decimal prices often sit exactly on a rounding tie, where
+# engines that sum in different orders land one ulp apart on either side. Both
+# sides scale by (1 + TIE_NUDGE) before rounding so such ties round the same way.
+TIE_NUDGE = 1e-12
+
+
 def rnd(expr: str, digits: int = 6) -> str:
-    """Round like Spark's ``round`` on DOUBLE: half-up on the shortest decimal form."""
-    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+    """SQL twin of :func:`flowcast.functions.columns.round_doubles` for one column."""
+    return f"round(CAST({expr} AS DOUBLE) * (1 + {TIE_NUDGE}), {digits})"
 
 
 def wrap(inner: str, doubles: str = "", ints: str = "", keep: str = "", digits: int = 6) -> str:

@@ -78,3 +78,208 @@ def features_enhanced_weekly(spark, sf):
 
 
 _ = F
+
+
+# =============================================================================
+# Shared Spark inputs
+# =============================================================================
+
+from flowcast.functions import weather as WX  # noqa: E402
+from flowcast.operators import clean as CL  # noqa: E402
+from flowcast.operators import join as JN  # noqa: E402
+from flowcast.operators import ordered as OR  # noqa: E402
+from flowcast.operators import reshape as RS  # noqa: E402
+from flowcast.operators import stats as ST  # noqa: E402
+from flowcast.operators import timeseries as TS  # noqa: E402
+from flowcast.plans.catalog import rnd  # noqa: E402
+from flowcast.sources.fixtures import (EVENT_SENSORS, WEATHER_COLUMNS, predictions,  # noqa: E402
+                                       readings_events, readings_users)
+
+EV = EVENT_SENSORS
+WCOLS = " ".join(WEATHER_COLUMNS)
+
+
+def _orders_wide(spark, sf):
+    return RS.to_wide(readings_orders(spark, sf, "1 day"), SENS)
+
+
+def _events_wide(spark, sf, width="5 minutes"):
+    return RS.to_wide(readings_events(spark, sf, width), EV)
+
+
+def _weather(spark, sf):
+    return weather_ship(spark, sf, "1 day")
+
+
+SQL_RO = f"ro AS ({S.readings_orders('1 day')})"
+SQL_WS = f"ws AS ({S.weather_ship('1 day')})"
+
+
+def _wide_sql(src: str, sensors, name: str) -> str:
+    piv = ", ".join(f"max(CASE WHEN sensor_id = '{s}' THEN value END) AS \"{s}\"" for s in sensors)
+    return f"{name} AS (SELECT ts, {piv} FROM {src} GROUP BY ts)"
+
+
+SQL_OW = _wide_sql("ro", SENS, "ow")
+
+
+def _ev_sql(width: str) -> str:
+    return f"re AS ({S.readings_events(width)}), {_wide_sql('re', EV, 'ew')}"
+
+
+# =============================================================================
+# A: sources, reshaping, profiling
+# =============================================================================
+
+@register("to_wide_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow", SENS_COLS, "", "ts"), ids="A3")
+def to_wide_orders(spark, sf):
+    """Long readings -> wide (one column per sensor), missing cells NULL."""
+    return _orders_wide(spark, sf)
+
+
+@register("to_long_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM (UNPIVOT ow ON {', '.join(chr(34) + s + chr(34) for s in SENS)} "
+                                 f"INTO NAME sensor_id VALUE value) u", "value", "", "ts sensor_id"), ids="A3")
+def to_long_orders(spark, sf):
+    """Wide -> long round trip (NULL cells of the wide frame dropped, as the source had none)."""
+    return RS.to_long(_orders_wide(spark, sf), SENS).where(F.col("value").isNotNull())
+
+
+@register("profile_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT count(*) AS n_rows, 4 AS n_columns, "
+                                 f"min(ts) AS ts_min, max(ts) AS ts_max FROM ow", "", "n_rows n_columns", "ts_min ts_max"),
+          ids="A6")
+def profile_orders(spark, sf):
+    """Row count, column count and time range of the wide traffic frame."""
+    return RS.profile(_orders_wide(spark, sf))
+
+
+# =============================================================================
+# B: cleaning
+# =============================================================================
+
+@register("row_mean_events", wrap(f"WITH re AS ({S.readings_events('1 hour')}) "
+                                  f"SELECT ts, avg(value) AS avg_speed FROM re GROUP BY ts", "avg_speed", "", "ts"),
+          ids="B1")
+def row_mean_events(spark, sf):
+    """Mean over sensors per hourly bucket (NULLs skipped)."""
+    return CL.row_mean(readings_events(spark, sf, "1 hour"))
+
+
+@register("complete_rows_events", wrap(f"WITH {_ev_sql('1 hour')} SELECT * FROM ew WHERE "
+                                       + " AND ".join(f'"{s}" IS NOT NULL' for s in EV),
+                                       " ".join(EV), "", "ts"), ids="B2")
+def complete_rows_events(spark, sf):
+    """Hourly buckets where every event type has a value."""
+    return CL.drop_incomplete(_events_wide(spark, sf, "1 hour"))
+
+
+@register("iqr_filter_orders", wrap(f"WITH {SQL_RO}, {S.traffic_block(SENS)} SELECT * FROM trf",
+                                    SENS_COLS + " avg_speed", "", "ts", digits=2), digits=2, ids="B1 B2 B3")
+def iqr_filter_orders(spark, sf):
+    """Traffic cleaning: row mean, complete rows, inclusive 1.5 IQR filter."""
+    from flowcast.plans.prepare import traffic_block
+    return traffic_block(readings_orders(spark, sf, "1 day"), SENS)
+
+
+def _clip_sql(cols):
+    q = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in cols)
+    sel = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, q1_{c} - 1.5 * (q3_{c} - q1_{c})), "
+                    f"q3_{c} + 1.5 * (q3_{c} - q1_{c})) END AS {c}" for c in cols)
+    return f"WITH {SQL_WS}, b AS (SELECT {q} FROM ws) SELECT ts, {sel} FROM ws, b"
+
+
+@register("iqr_clip_weather", wrap(_clip_sql(WEATHER_COLUMNS), WCOLS, "", "ts"), ids="B4")
+def iqr_clip_weather(spark, sf):
+    """Winsorise every weather column to its 1.5 IQR fences."""
+    return CL.iqr_clip(_weather(spark, sf), WEATHER_COLUMNS)
+
+
+@register("null_profile_events",
+          wrap(f"WITH {_ev_sql('5 minutes')}, l AS ("
+               + " UNION ALL ".join(f"SELECT '{s}' AS \"column\", count_if(\"{s}\" IS NULL) AS n_null, count(*) AS n FROM ew"
+                                    for s in EV)
+               + ") SELECT \"column\", n_null, sum(n_null) OVER () AS total_null, n - n_null AS n_remaining FROM l",
+               "", "n_null total_null n_remaining", "column"), ids="B5")
+def null_profile_events(spark, sf):
+    """Missing cells per event-type column of the 5-minute wide frame."""
+    return CL.null_profile(_events_wide(spark, sf), list(EV))
+
+
+def _interp_sql(cols, src="ew"):
+    parts = []
+    for c in cols:
+        pv = f"last_value(CASE WHEN \"{c}\" IS NOT NULL THEN \"{c}\" END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        pt = f"last_value(CASE WHEN \"{c}\" IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        nv = f"first_value(CASE WHEN \"{c}\" IS NOT NULL THEN \"{c}\" END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        nt = f"first_value(CASE WHEN \"{c}\" IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+        parts.append(f"CASE WHEN \"{c}\" IS NOT NULL THEN \"{c}\" WHEN ({pv}) IS NOT NULL AND ({nv}) IS NOT NULL "
+                     f"THEN ({pv}) + (({nv}) - ({pv})) * CAST(epoch_us(ts) - ({pt}) AS DOUBLE) / CAST(({nt}) - ({pt}) AS DOUBLE) "
+                     f"WHEN ({pv}) IS NOT NULL THEN ({pv}) END AS \"{c}\"")
+    return f"SELECT ts, {', '.join(parts)} FROM {src}"
+
+
+def _fill_sql(cols, src, forward=True):
+    fn, frame = (("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW") if forward
+                 else ("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING"))
+    sel = ", ".join(f"{fn}(\"{c}\" IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN {frame}) AS \"{c}\"" for c in cols)
+    return f"SELECT ts, {sel} FROM {src}"
+
+
+EVC = " ".join(EV)
+
+
+@register("interpolate_events", wrap(f"WITH {_ev_sql('5 minutes')} {_interp_sql(EV)}", EVC, "", "ts"), ids="B6")
+def interpolate_events(spark, sf):
+    """Time-linear interpolation of gaps in the 5-minute wide frame."""
+    return OR.interpolate_time(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+
+
+@register("ffill_events", wrap(f"WITH {_ev_sql('5 minutes')} {_fill_sql(EV, 'ew')}", EVC, "", "ts"), ids="B7")
+def ffill_events(spark, sf):
+    """Forward fill of the 5-minute wide frame."""
+    return OR.fill_forward(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+
+
+@register("bfill_events", wrap(f"WITH {_ev_sql('5 minutes')} {_fill_sql(EV, 'ew', False)}", EVC, "", "ts"), ids="B8")
+def bfill_events(spark, sf):
+    """Backward fill of the 5-minute wide frame."""
+    return OR.fill_backward(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+
+
+@register("fill_policy_events", wrap(f"WITH {_ev_sql('5 minutes')}, ip AS ({_interp_sql(EV)}) {_fill_sql(EV, 'ip', False)}",
+                                     EVC, "", "ts"), ids="B9")
+def fill_policy_events(spark, sf):
+    """Interpolate doubles, then backward fill what is left (leading gaps)."""
+    return CL.fill_policy(_events_wide(spark, sf), chunk_rows=1000, rows_per_bucket=1000)
+
+
+@register("inf_to_null_lineitem",
+          wrap("SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(pow(l_discount, -1.0)) THEN pow(l_discount, -1.0) END AS inv_discount "
+               "FROM lineitem", "inv_discount", "l_orderkey l_linenumber"), ids="B10")
+def inf_to_null_lineitem(spark, sf):
+    """1/discount is +Inf for zero discounts; Inf becomes NULL."""
+    from flowcast.sources.tables import read_table
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_discount"])
+    return CL.inf_to_null(li.select("l_orderkey", "l_linenumber", F.pow("l_discount", F.lit(-1.0)).alias("inv_discount")))
+
+
+@register("select_features_weather", wrap(f"WITH {SQL_WS} SELECT ts, tmax, prcp, awnd FROM ws", "tmax prcp awnd", "", "ts"),
+          ids="B11")
+def select_features_weather(spark, sf):
+    """Projection pruned to the scan."""
+    return CL.select_features(_weather(spark, sf), ["ts", "tmax", "prcp", "awnd"])
+
+
+@register("target_copy_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT ts, \"P\", \"P\" AS target FROM ow", "P target", "", "ts"),
+          ids="B12")
+def target_copy_orders(spark, sf):
+    """The target column as a copy of the last column."""
+    return CL.with_target(_orders_wide(spark, sf).select("ts", "P"), "P")
+
+
+@register("select_by_correlation_weather",
+          wrap(f"WITH {SQL_WS}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, tmax) AS corr FROM ws"
+                                                             for c in WEATHER_COLUMNS if c != "tmax")
+               + ") SELECT feature, corr FROM c WHERE abs(corr) >= 0.1", "corr", "", "feature"), ids="B13")
+def select_by_correlation_weather(spark, sf):
+    """Weather features with |corr(feature, tmax)| >= 0.1."""
+    return CL.select_by_correlation(_weather(spark, sf), "tmax", [c for c in WEATHER_COLUMNS if c != "tmax"], 0.1)

@@ -133,3 +133,21 @@ def zscore_pop(src: str, cols: list[str], name: str = "zp", keep: str = "ts") ->
     z = ", ".join(f"(\"{c}\" - \"m_{c}\") / CASE WHEN \"s_{c}\" < 2.220446049250313e-15 THEN 1.0 "
                   f"ELSE \"s_{c}\" END AS \"{c}\"" for c in cols)
     return f"{name}_st AS (SELECT {stats} FROM {src}),\n{name} AS (SELECT {keep}, {z} FROM {src}, {name}_st)"
+
+
+def predictions() -> str:
+    """B6 predictions fixture (ts, model, variant, y_true, y_pred)."""
+    def prev_mean(k):
+        frame = f"OVER (ORDER BY ts ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+        return f"CASE WHEN count(y_true) {frame} = {k} THEN avg(y_true) {frame} END"
+    return f"""WITH ro AS ({readings_orders('1 day')}),
+y AS (SELECT ts, avg(value) AS y_true FROM ro GROUP BY ts),
+b AS (SELECT ts, y_true, lag(y_true, 1) OVER (ORDER BY ts) AS linear, {prev_mean(5)} AS forest,
+             {prev_mean(15)} AS boosted FROM y),
+l AS (UNPIVOT b ON linear, forest, boosted INTO NAME model VALUE base_pred),
+ws AS ({weather_ship('1 day')}),
+j AS (SELECT l.*, ws.awnd FROM l LEFT JOIN ws ON l.ts = ws.ts),
+p AS (SELECT ts, model, 'baseline' AS variant, y_true, base_pred AS y_pred FROM j
+      UNION ALL
+      SELECT ts, model, 'enhanced' AS variant, y_true, 0.5 * (base_pred + y_true) + 0.001 * awnd AS y_pred FROM j)
+SELECT * FROM p WHERE y_pred IS NOT NULL"""

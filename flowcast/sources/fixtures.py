@@ -88,3 +88,28 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("model", "variant").orderBy("day")
     return daily.withColumn("epoch", F.row_number().over(w).cast("long")).drop("day")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic metrics fixture (not a forecast) on the daily B1 series.
+
+    y_true = row mean over sensors; baselines: linear = previous value, forest =
+    mean of the previous 5, boosted = mean of the previous 15 (full windows);
+    enhanced = 0.5 * (baseline + y_true) + 0.001 * awnd of the same day. Rows
+    with a NULL prediction are dropped."""
+    from flowcast.operators import ordered
+
+    y = readings_orders(spark, sf_dir, "1 day").groupBy("ts").agg(F.avg("value").alias("y_true"))
+    idx = ordered.with_row_index(y, ["ts"])
+    base = ordered.halo_window(idx, lambda w: {
+        "linear": F.lag("y_true", 1).over(w),
+        "forest": ordered.full_avg("y_true", w, 5, offset=1),
+        "boosted": ordered.full_avg("y_true", w, 15, offset=1),
+    }, back=15).drop(ordered.RN)
+    long = base.unpivot(["ts", "y_true"], ["linear", "forest", "boosted"], "model", "base_pred")
+    awnd = weather_ship(spark, sf_dir, "1 day").select("ts", "awnd")
+    j = long.join(awnd, "ts", "left")
+    b = j.select("ts", "model", F.lit("baseline").alias("variant"), "y_true", F.col("base_pred").alias("y_pred"))
+    e = j.select("ts", "model", F.lit("enhanced").alias("variant"), "y_true",
+                 (F.lit(0.5) * (F.col("base_pred") + F.col("y_true")) + F.lit(0.001) * F.col("awnd")).alias("y_pred"))
+    return b.unionByName(e).where(F.col("y_pred").isNotNull())
