@@ -162,12 +162,11 @@ def histogram(df: DataFrame, col: str, bins: int, density: bool = False) -> Data
     counts = data.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(0, bins).select(F.col("id").cast("int").alias("bin"))
     spine, s = with_scalars(spine, stats, "_fc_h")
-    out = (spine.join(counts, "bin", "left")
-                .select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
-                        F.coalesce("count", F.lit(0).cast("long")).alias("count")))
-    if density:
-        out = out.withColumn("density", F.col("count") / (s["n"] * step))
-    return out
+    cnt = F.coalesce("count", F.lit(0).cast("long"))
+    extra = [(cnt / (s["n"] * step)).alias("density")] if density else []
+    return (spine.join(counts, "bin", "left")
+                 .select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
+                         cnt.alias("count"), *extra))
 
 
 def describe(df: DataFrame, col: str, ddof: int = 1) -> DataFrame:

@@ -283,3 +283,215 @@ def target_copy_orders(spark, sf):
 def select_by_correlation_weather(spark, sf):
     """Weather features with |corr(feature, tmax)| >= 0.1."""
     return CL.select_by_correlation(_weather(spark, sf), "tmax", [c for c in WEATHER_COLUMNS if c != "tmax"], 0.1)
+
+
+# =============================================================================
+# C: joins
+# =============================================================================
+
+@register("concat_time_orders_weather",
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {SQL_WS} SELECT coalesce(ow.ts, ws.ts) AS ts, ow.\"F\", ow.\"O\", ow.\"P\", ws.tmax, ws.prcp "
+               f"FROM ow FULL OUTER JOIN ws ON ow.ts = ws.ts", "F O P tmax prcp", "", "ts"), ids="C2")
+def concat_time_orders_weather(spark, sf):
+    """Full outer join of traffic and weather on the timestamp."""
+    return JN.concat_time(_orders_wide(spark, sf), _weather(spark, sf).select("ts", "tmax", "prcp"))
+
+
+_HOL_ORDERS = S.holidays("(SELECT min(year(ts)) FROM ow)", "(SELECT max(year(ts)) FROM ow)")
+
+
+@register("holiday_calendar_orders",
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {_HOL_ORDERS} SELECT d AS date FROM hol", "", "", "date"), ids="C4")
+def holiday_calendar_orders(spark, sf):
+    """US federal holidays (with observed days) for the years of the traffic data."""
+    return JN.holiday_calendar(_orders_wide(spark, sf))
+
+
+@register("holiday_flag_orders",
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {_HOL_ORDERS} SELECT ts, CASE WHEN CAST(ts AS DATE) IN (SELECT d FROM hol) "
+               f"THEN 1 ELSE 0 END AS is_holiday FROM ow", "", "is_holiday", "ts"), ids="C3")
+def holiday_flag_orders(spark, sf):
+    """Holiday flag per traffic bucket by a broadcast calendar join."""
+    return JN.holiday_flag(_orders_wide(spark, sf).select("ts"))
+
+
+@register("align_merge_orders_weather",
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {SQL_WS} SELECT ow.*, ws.tmax, ws.prcp, ws.awnd FROM ow JOIN ws ON ow.ts = ws.ts "
+               f"WHERE ow.\"F\" IS NOT NULL AND ow.\"O\" IS NOT NULL AND ow.\"P\" IS NOT NULL", "F O P tmax prcp awnd", "", "ts",
+               digits=4), digits=4, ids="C1")
+def align_merge_orders_weather(spark, sf):
+    """Resample both frames to days, inner join on the bucket, drop incomplete rows."""
+    return JN.align_merge(_orders_wide(spark, sf), _weather(spark, sf).select("ts", "tmax", "prcp", "awnd"), "1 day")
+
+
+_PRED = S.predictions()
+
+
+@register("join_predictions",
+          wrap(f"WITH p AS ({_PRED}) SELECT b.ts, b.model, b.y_true, b.y_pred AS y_base, e.y_pred AS y_enh FROM p b JOIN p e "
+               f"ON b.ts = e.ts AND b.model = e.model AND b.variant = 'baseline' AND e.variant = 'enhanced'",
+               "y_true y_base y_enh", "", "ts model", digits=4), digits=4, ids="C5")
+def join_predictions(spark, sf):
+    """Align truth, baseline and enhanced forecasts on (ts, model)."""
+    return JN.join_predictions(predictions(spark, sf))
+
+
+@register("common_times_orders_weather",
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {SQL_WS} SELECT ts FROM ow INTERSECT SELECT ts FROM ws", "", "", "ts"), ids="F6")
+def common_times_orders_weather(spark, sf):
+    """Timestamps present in both traffic and weather."""
+    return JN.common_times(_orders_wide(spark, sf), _weather(spark, sf))
+
+
+@register("union_all_predictions",
+          wrap(f"WITH p AS ({_PRED}) SELECT * FROM p WHERE variant = 'baseline' UNION ALL SELECT * FROM p WHERE variant = 'enhanced'",
+               "y_true y_pred", "", "ts model variant", digits=4), digits=4, ids="F5")
+def union_all_predictions(spark, sf):
+    """Row-wise union of the per-variant prediction sets."""
+    p = predictions(spark, sf)
+    return JN.union_all([p.where(F.col("variant") == "baseline"), p.where(F.col("variant") == "enhanced")])
+
+
+# =============================================================================
+# D: aggregations and statistics
+# =============================================================================
+
+@register("resample_events_hourly",
+          wrap(f"WITH {_ev_sql('5 minutes')}, eh AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, "
+               + ", ".join(f'avg("{s}") AS "{s}"' for s in EV) + " FROM ew GROUP BY 1), "
+               "sp AS (SELECT unnest(generate_series((SELECT min(ts) FROM eh), (SELECT max(ts) FROM eh), "
+               "INTERVAL 1 HOUR)) AS ts) SELECT sp.ts, " + ", ".join(f'eh."{s}"' for s in EV)
+               + " FROM sp LEFT JOIN eh ON sp.ts = eh.ts", EVC, "", "ts"), ids="D1")
+def resample_events_hourly(spark, sf):
+    """Hourly means of the 5-minute frame, empty hours emitted as NULL rows."""
+    return ST.resample_mean(_events_wide(spark, sf), "1 hour")
+
+
+@register("daily_mean_events",
+          wrap(f"WITH re AS ({S.readings_events('5 minutes')}), t AS (SELECT ts, avg(value) AS m FROM re GROUP BY ts) "
+               f"SELECT CAST(ts AS DATE) AS day, avg(m) AS daily_mean FROM t GROUP BY 1", "daily_mean", "", "day"), ids="D2")
+def daily_mean_events(spark, sf):
+    """Mean over sensors per 5-minute bucket, then per day."""
+    return ST.daily_mean(readings_events(spark, sf))
+
+
+@register("hourly_profile_events",
+          wrap(f"WITH re AS ({S.readings_events('5 minutes')}), s AS (SELECT hour(ts) AS hour, sensor_id, avg(value) AS m "
+               f"FROM re GROUP BY 1, 2) SELECT hour, avg(m) AS mean_value FROM s GROUP BY 1", "mean_value", "hour"), ids="D3")
+def hourly_profile_events(spark, sf):
+    """Hour of day -> mean of the per-sensor means."""
+    return ST.hourly_profile(readings_events(spark, sf))
+
+
+@register("weekday_profile_orders",
+          wrap(f"WITH {SQL_RO}, s AS (SELECT isodow(ts) - 1 AS day_of_week, sensor_id, avg(value) AS m FROM ro GROUP BY 1, 2) "
+               f"SELECT day_of_week, avg(m) AS mean_value FROM s GROUP BY 1", "mean_value", "day_of_week", digits=4),
+          digits=4, ids="D4")
+def weekday_profile_orders(spark, sf):
+    """Weekday (Monday=0) -> mean of the per-sensor means."""
+    return ST.weekday_profile(readings_orders(spark, sf, "1 day"))
+
+
+@register("sensor_grid_users",
+          wrap("WITH s AS (SELECT CAST(user_id AS VARCHAR) AS sensor_id, avg(value) AS mean_value FROM events GROUP BY 1), "
+               "o AS (SELECT *, row_number() OVER (ORDER BY sensor_id) - 1 AS i FROM s) "
+               "SELECT sensor_id, mean_value, i // 9 AS grid_row, i % 9 AS grid_col FROM o", "mean_value", "grid_row grid_col",
+               "sensor_id"), ids="D5")
+def sensor_grid_users(spark, sf):
+    """Per-sensor means placed on a 9-column grid (one sensor per user)."""
+    return ST.sensor_grid(readings_users(spark, sf))
+
+
+def _qbin_sql(by, value, q=10):
+    probs = ", ".join(str(k / q) for k in range(q + 1))
+    return f"""WITH {SQL_WS}, e AS (SELECT quantile_cont({by}, [{probs}]) AS e FROM ws),
+b AS (SELECT 1 + len(list_filter(e[2:{q}], lambda x: {by} > x)) AS bin, {value} AS v FROM ws, e WHERE {by} IS NOT NULL),
+g AS (SELECT bin, avg(v) AS mean_value, stddev_samp(v) AS std_value, count(v) AS n FROM b GROUP BY bin),
+sp AS (SELECT range AS bin FROM range(1, {q + 1}))
+SELECT sp.bin, e.e[sp.bin] AS lower, e.e[sp.bin + 1] AS upper, g.mean_value, g.std_value, coalesce(g.n, 0) AS n
+FROM sp CROSS JOIN e LEFT JOIN g ON sp.bin = g.bin"""
+
+
+@register("quantile_bins_rhav_prcp", wrap(_qbin_sql("rhav", "prcp"), "lower upper mean_value std_value", "bin n"), ids="D6")
+def quantile_bins_rhav_prcp(spark, sf):
+    """Precipitation mean/std/count per humidity decile (qcut semantics)."""
+    return ST.quantile_bin_stats(_weather(spark, sf), "rhav", "prcp", 10)
+
+
+@register("trend_line_bins",
+          wrap(f"WITH q AS ({_qbin_sql('rhav', 'prcp')}) SELECT regr_slope(mean_value, bin - 1) AS slope, "
+               f"regr_intercept(mean_value, bin - 1) AS intercept FROM q", "slope intercept"), ids="D7")
+def trend_line_bins(spark, sf):
+    """Least-squares line through the decile means (x = bin index from 0)."""
+    q = ST.quantile_bin_stats(_weather(spark, sf), "rhav", "prcp", 10)
+    return ST.trend_line(q.withColumn("x", (F.col("bin") - 1).cast("double")), "x", "mean_value")
+
+
+@register("corr_traffic_tmax",
+          wrap(f"WITH {SQL_RO}, t AS (SELECT ts, avg(value) AS avg_speed FROM ro GROUP BY ts), {SQL_WS} "
+               f"SELECT corr(t.avg_speed, ws.tmax) AS corr FROM t JOIN ws ON t.ts = ws.ts", "corr"), ids="D8")
+def corr_traffic_tmax(spark, sf):
+    """Pearson correlation of daily traffic with TMAX."""
+    t = CL.row_mean(readings_orders(spark, sf, "1 day"))
+    return ST.corr_pair(t.join(_weather(spark, sf), "ts"), "avg_speed", "tmax")
+
+
+_CM = ("tmax", "tmin", "prcp", "awnd", "rhav", "rhmn", "rhmx")
+
+
+@register("corr_matrix_weather",
+          wrap(f"WITH {SQL_WS} " + " UNION ALL ".join(
+              f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN isfinite(corr({a}, {b})) THEN corr({a}, {b}) END AS corr FROM ws"
+              for a in _CM for b in _CM), "corr", "", "col_a col_b"), ids="D9")
+def corr_matrix_weather(spark, sf):
+    """Pairwise Pearson matrix of the weather columns (one aggregation), long form."""
+    return ST.corr_matrix(_weather(spark, sf), _CM)
+
+
+def _hist_sql(col, bins, density=False):
+    dens = ", coalesce(c.count, 0) * 1.0 / (n * ((hi - lo) / {b})) AS density".format(b=float(bins)) if density else ""
+    return f"""WITH {SQL_WS}, d AS (SELECT {col} AS x FROM ws WHERE {col} IS NOT NULL),
+s AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+             CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi, count(x) AS n FROM d),
+i0 AS (SELECT x, least(greatest(CAST(floor((x - lo) * ({float(bins)} / (hi - lo))) AS INT), 0), {bins - 1}) AS i, lo, hi FROM d, s),
+i1 AS (SELECT x, CASE WHEN x < lo + i * ((hi - lo) / {float(bins)}) THEN i - 1 ELSE i END AS i, lo, hi FROM i0),
+i2 AS (SELECT CASE WHEN i != {bins - 1} AND x >= (CASE WHEN i + 1 >= {bins} THEN hi ELSE lo + (i + 1) * ((hi - lo) / {float(bins)}) END)
+             THEN i + 1 ELSE i END AS bin FROM i1),
+c AS (SELECT bin, count(*) AS count FROM i2 GROUP BY bin),
+sp AS (SELECT range AS bin FROM range(0, {bins}))
+SELECT sp.bin, lo + sp.bin * ((hi - lo) / {float(bins)}) AS lower,
+       CASE WHEN sp.bin + 1 >= {bins} THEN hi ELSE lo + (sp.bin + 1) * ((hi - lo) / {float(bins)}) END AS upper,
+       coalesce(c.count, 0) AS count{dens}
+FROM sp CROSS JOIN s LEFT JOIN c ON sp.bin = c.bin"""
+
+
+@register("histogram_prcp", wrap(_hist_sql("prcp", 30), "lower upper", "bin count"), ids="D10")
+def histogram_prcp(spark, sf):
+    """30-bin equal-width histogram of precipitation, empty bins kept."""
+    return ST.histogram(_weather(spark, sf), "prcp", 30)
+
+
+@register("histogram_density_awnd", wrap(_hist_sql("awnd", 50, True), "lower upper density", "bin count"), ids="D10")
+def histogram_density_awnd(spark, sf):
+    """50-bin density histogram of wind speed."""
+    return ST.histogram(_weather(spark, sf), "awnd", 50, density=True)
+
+
+@register("describe_tmax",
+          wrap(f"WITH {SQL_WS} SELECT count(tmax) AS n, avg(tmax) AS mean, stddev_samp(tmax) AS std, min(tmax) AS min, "
+               f"max(tmax) AS max FROM ws", "mean std min max", "n"), ids="D11")
+def describe_tmax(spark, sf):
+    """Count, mean, sample std, min, max of TMAX."""
+    return ST.describe(_weather(spark, sf), "tmax", ddof=1)
+
+
+@register("kde_tmax",
+          wrap(f"""WITH {SQL_WS}, d AS (SELECT tmax AS x FROM ws WHERE tmax IS NOT NULL),
+s AS (SELECT min(x) AS mn, max(x) AS mx, count(x) AS n, stddev_samp(x) * pow(CAST(count(x) AS DOUBLE), -0.2) AS h FROM d),
+g AS (SELECT range AS k FROM range(0, 200)),
+p AS (SELECT g.k, s.mn - 3.0 * s.h + g.k * ((s.mx - s.mn + 6.0 * s.h) / 199.0) AS gx, s.h, s.n FROM g, s)
+SELECT CAST(p.k AS INT) AS k, p.gx AS x, sum(exp(-0.5 * ((p.gx - d.x) / p.h) * ((p.gx - d.x) / p.h))) / (p.n * p.h * sqrt(2 * pi())) AS density
+FROM p, d GROUP BY p.k, p.gx, p.h, p.n""", "x density", "k"), ids="D12")
+def kde_tmax(spark, sf):
+    """Gaussian KDE of TMAX on 200 grid points (Scott bandwidth)."""
+    return ST.kde(_weather(spark, sf), "tmax", 200)
