@@ -230,14 +230,16 @@ def any_true(df: DataFrame, cond: Column, name: str = "any_true") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(F.coalesce(cond, F.lit(False))), F.lit(False)).alias(name))
 
 
-def residual_moments(df: DataFrame, actual: str = "y_true", pred: str = "y_pred", corrected: bool = True) -> DataFrame:
+def residual_moments(df: DataFrame, actual: str = "y_true", pred: str = "y_pred", corrected: bool = True,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Residual mean, population std, skewness and excess kurtosis.
 
     ``corrected=True``: residual = actual - pred with bias-corrected G1/G2
     (pandas ``skew``/``kurtosis``); ``False``: residual = pred - actual with the
     population g1/g2 (SciPy defaults)."""
     r = (F.col(actual) - F.col(pred)) if corrected else (F.col(pred) - F.col(actual))
-    m = df.select(r.alias("_fc_r")).agg(
+    by = list(by)
+    m = df.select(*by, r.alias("_fc_r")).groupBy(*by).agg(
         F.count("_fc_r").alias("n"), F.avg("_fc_r").alias("mean"), F.stddev_pop("_fc_r").alias("std"),
         F.skewness("_fc_r").alias("g1"), F.kurtosis("_fc_r").alias("g2"))
     n = F.col("n").cast("double")
@@ -246,7 +248,7 @@ def residual_moments(df: DataFrame, actual: str = "y_true", pred: str = "y_pred"
         kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     else:
         skew, kurt = F.col("g1"), F.col("g2")
-    return m.select("n", "mean", "std", clean_double(skew).alias("skewness"), clean_double(kurt).alias("kurtosis"))
+    return m.select(*by, "n", "mean", "std", clean_double(skew).alias("skewness"), clean_double(kurt).alias("kurtosis"))
 
 
 def scatter_pairs(joined: DataFrame, traffic: str = "avg_speed",

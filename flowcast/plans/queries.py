@@ -495,3 +495,233 @@ FROM p, d GROUP BY p.k, p.gx, p.h, p.n""", "x density", "k"), ids="D12")
 def kde_tmax(spark, sf):
     """Gaussian KDE of TMAX on 200 grid points (Scott bandwidth)."""
     return ST.kde(_weather(spark, sf), "tmax", 200)
+
+
+def _traffic_weather(spark, sf):
+    t = CL.row_mean(readings_orders(spark, sf, "1 day"))
+    return t.join(_weather(spark, sf), "ts")
+
+
+SQL_TW = (f"{SQL_RO}, t AS (SELECT ts, avg(value) AS avg_speed FROM ro GROUP BY ts), {SQL_WS}, "
+          f"tw AS (SELECT t.avg_speed, ws.* FROM t JOIN ws ON t.ts = ws.ts)")
+_RAIN_SQL = ("CASE WHEN prcp IS NULL THEN NULL WHEN prcp <= 0.0 THEN 'No Rain' WHEN prcp <= 0.1 THEN 'Light' "
+             "WHEN prcp <= 1.0 THEN 'Moderate' ELSE 'Heavy' END")
+
+
+@register("box_stats_rain",
+          wrap(f"""WITH {SQL_TW}, d AS (SELECT {_RAIN_SQL} AS rain_category, avg_speed AS v FROM tw),
+q AS (SELECT rain_category, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM d WHERE v IS NOT NULL AND rain_category IS NOT NULL GROUP BY 1)
+SELECT d.rain_category, q1, median, q3, count(v) AS n,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_lo,
+  max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_hi,
+  count_if(NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS n_outliers
+FROM d JOIN q ON d.rain_category = q.rain_category WHERE v IS NOT NULL GROUP BY d.rain_category, q1, median, q3""",
+               "q1 median q3 whisker_lo whisker_hi", "n n_outliers", "rain_category", digits=4), digits=4, ids="D13 G9")
+def box_stats_rain(spark, sf):
+    """Box statistics of daily traffic per rain category."""
+    tw = _traffic_weather(spark, sf).withColumn("rain_category", WX.rain_category())
+    return ST.box_stats(tw, "rain_category", "avg_speed")
+
+
+@register("quantile_threshold_prcp",
+          wrap(f"WITH {SQL_WS} SELECT quantile_cont(prcp, 0.95) AS threshold FROM ws", "threshold"), ids="D14")
+def quantile_threshold_prcp(spark, sf):
+    """Exact 95th percentile of precipitation."""
+    return ST.quantile_threshold(_weather(spark, sf), "prcp", 0.95)
+
+
+@register("any_rush_hour_rain",
+          wrap(f"WITH {SQL_WS} SELECT coalesce(bool_or(coalesce(hour(ts) IN (7, 8, 9, 17, 18, 19) AND prcp > 0, false)), false) "
+               f"AS any_true FROM ws", "", "", "any_true"), ids="D15")
+def any_rush_hour_rain(spark, sf):
+    """Whether any rush-hour bucket had rain."""
+    return ST.any_true(_weather(spark, sf), F.hour("ts").isin(list(WX.REPORT_RUSH_HOURS)) & (F.col("prcp") > 0))
+
+
+def _moments_sql(corrected: bool):
+    r = "y_true - y_pred" if corrected else "y_pred - y_true"
+    sk = "skewness(r)" if corrected else "skewness(r) * (n - 2) / sqrt(n * (n - 1))"
+    ku = "kurtosis(r)" if corrected else "(kurtosis(r) * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1)"
+    return f"""WITH p AS ({_PRED}), d AS (SELECT model, variant, {r} AS r FROM p),
+m AS (SELECT model, variant, count(r) AS n, avg(r) AS mean, stddev_pop(r) AS std, skewness(r), kurtosis(r) FROM d GROUP BY 1, 2)
+SELECT model, variant, n, mean, std, {sk.replace('skewness(r)', '"skewness(r)"')} AS skewness,
+  {ku.replace('kurtosis(r)', '"kurtosis(r)"')} AS kurtosis FROM m"""
+
+
+@register("residual_moments_corrected", wrap(_moments_sql(True), "mean std skewness kurtosis", "n", "model variant", digits=4),
+          digits=4, ids="D16 K2")
+def residual_moments_corrected(spark, sf):
+    """Residual (actual - pred) mean, population std, bias-corrected skew/excess kurtosis per run."""
+    return ST.residual_moments(predictions(spark, sf), corrected=True, by=["model", "variant"])
+
+
+@register("residual_moments_population", wrap(_moments_sql(False), "mean std skewness kurtosis", "n", "model variant", digits=4),
+          digits=4, ids="D16")
+def residual_moments_population(spark, sf):
+    """Residual (pred - actual) moments with population skew/excess kurtosis per run."""
+    return ST.residual_moments(predictions(spark, sf), corrected=False, by=["model", "variant"])
+
+
+@register("scatter_pairs_traffic_weather",
+          wrap(f"WITH {SQL_TW} SELECT ts, feature, weather_value, avg_speed AS traffic FROM (UNPIVOT (SELECT ts, avg_speed, tmax, prcp, awnd, rhav FROM tw) "
+               f"ON tmax, prcp, awnd, rhav INTO NAME feature VALUE weather_value) u", "weather_value traffic", "", "ts feature", digits=4),
+          digits=4, ids="D17")
+def scatter_pairs_traffic_weather(spark, sf):
+    """(ts, weather feature, value, traffic) pairs for the four scatter plots."""
+    return ST.scatter_pairs(_traffic_weather(spark, sf))
+
+
+@register("distinct_descriptions",
+          wrap(f"WITH d AS ({S.weather_ship('1 day', True)}) SELECT DISTINCT weather_description FROM d", "", "", "weather_description"),
+          ids="D18")
+def distinct_descriptions(spark, sf):
+    """Distinct weather descriptions (B5 fixture)."""
+    return ST.distinct_values(weather_ship(spark, sf, "1 day", with_description=True), "weather_description")
+
+
+# =============================================================================
+# G: weather flags and levels
+# =============================================================================
+
+@register("weather_flags",
+          wrap(f"""WITH {SQL_WS}, q AS (SELECT quantile_cont(prcp, 0.95) AS p95, quantile_cont(prcp, 0.9) AS p90,
+  quantile_cont(awnd, 0.9) AS a90, quantile_cont(tmax, 0.9) AS t90, quantile_cont(tmin, 0.1) AS n10, avg(awnd) AS am,
+  min(tmax) AS lo, max(tmax) AS hi FROM ws)
+SELECT ts, CASE WHEN prcp > 0 THEN 1 ELSE 0 END AS is_raining, {_RAIN_SQL} AS rain_category,
+  CASE WHEN tmax IS NULL THEN NULL WHEN tmax <= lo + (hi - lo) / 5.0 * 1.0 THEN 1 WHEN tmax <= lo + (hi - lo) / 5.0 * 2.0 THEN 2
+       WHEN tmax <= lo + (hi - lo) / 5.0 * 3.0 THEN 3 WHEN tmax <= lo + (hi - lo) / 5.0 * 4.0 THEN 4 ELSE 5 END AS temp_level,
+  CASE WHEN coalesce(prcp > 0, false) AND coalesce(awnd > am, false) THEN 1 ELSE 0 END AS rainy_and_windy,
+  CASE WHEN coalesce(prcp > p95, false) THEN 1 ELSE 0 END AS heavy_rain,
+  CASE WHEN coalesce(prcp > p90, false) OR coalesce(awnd > a90, false) OR coalesce(tmax > t90, false) OR coalesce(tmin < n10, false)
+       THEN 1 ELSE 0 END AS extreme_weather,
+  CASE WHEN hour(ts) IN (7, 8, 9, 16, 17, 18) THEN 1 ELSE 0 END AS is_rush_hour
+FROM ws, q""", "", "is_raining temp_level rainy_and_windy heavy_rain extreme_weather is_rush_hour", "ts rain_category"),
+          ids="G5 G7 G9 G10 G11 G12 G13")
+def weather_flags(spark, sf):
+    """Rain flag, rain category, 5 equal-width TMAX levels, rainy-and-windy, heavy rain,
+    extreme weather and rush hour, thresholds from one aggregation."""
+    from flowcast.functions.columns import with_scalars
+    w = _weather(spark, sf)
+    w, q = with_scalars(w, w.agg(
+        F.percentile("prcp", F.lit(0.95)).alias("p95"), F.percentile("prcp", F.lit(0.9)).alias("p90"),
+        F.percentile("awnd", F.lit(0.9)).alias("a90"), F.percentile("tmax", F.lit(0.9)).alias("t90"),
+        F.percentile("tmin", F.lit(0.1)).alias("n10"), F.avg("awnd").alias("am"),
+        F.min("tmax").alias("lo"), F.max("tmax").alias("hi")), "_q")
+    return w.select(
+        "ts", WX.is_raining().alias("is_raining"), WX.rain_category().alias("rain_category"),
+        WX.equal_width_level("tmax", q["lo"], q["hi"], 5).alias("temp_level"),
+        WX.rainy_and_windy("prcp", "awnd", q["am"]).alias("rainy_and_windy"),
+        WX.heavy_rain("prcp", q["p95"]).alias("heavy_rain"),
+        WX.extreme_weather("prcp", "awnd", "tmax", "tmin", q["p90"], q["a90"], q["t90"], q["n10"]).alias("extreme_weather"),
+        WX.is_rush_hour("ts").alias("is_rush_hour"))
+
+
+@register("weather_derived",
+          wrap(f"WITH {SQL_WS}, {S.weather_block('ws')} SELECT * EXCLUDE (tmin, prcp, awnd, rhav) FROM wf",
+               "tmax temp_range feels_like wind_chill", "severe_weather rush_hour_rain", "ts"), ids="G2 G3 G4 G6 G8")
+def weather_derived(spark, sf):
+    """Temperature range, feels-like, wind chill, severe weather and rush-hour rain."""
+    from flowcast.functions.columns import with_scalars
+    w = _weather(spark, sf)
+    w, q = with_scalars(w, w.agg(F.percentile("prcp", F.lit(0.95)).alias("p"), F.percentile("awnd", F.lit(0.95)).alias("a")), "_q")
+    return w.select("ts", "tmax", WX.temp_range().alias("temp_range"), WX.feels_like().alias("feels_like"),
+                    WX.wind_chill().alias("wind_chill"), WX.severe_weather("prcp", "awnd", q["p"], q["a"]).alias("severe_weather"),
+                    WX.rush_hour_rain("ts").alias("rush_hour_rain"))
+
+
+@register("calendar_events",
+          wrap("SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, month(ts) AS month FROM events", "",
+               "event_id hour day_of_week month"), ids="G1")
+def calendar_events(spark, sf):
+    """Hour, weekday (Monday=0) and month per event."""
+    from flowcast.functions.calendar import calendar_columns
+    from flowcast.sources.tables import read_table
+    ev = read_table(spark, sf, "events", ["event_id", "ts"])
+    return ev.select("event_id", *[c.alias(k) for k, c in calendar_columns("ts").items()])
+
+
+# =============================================================================
+# E: window and time-series operators
+# =============================================================================
+
+_USR = "SELECT ts, CAST(user_id AS VARCHAR) AS sensor_id, value, event_id FROM events"
+_UW = "OVER (PARTITION BY sensor_id ORDER BY ts, event_id"
+
+
+@register("time_index_events",
+          wrap("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events", "", "event_id rn"), ids="E11")
+def time_index_events(spark, sf):
+    """Global 0-based position of every event in (ts, event_id) order, without a
+    single-partition window."""
+    from flowcast.sources.tables import read_table
+    ev = read_table(spark, sf, "events", ["event_id", "ts"])
+    return OR.with_row_index(ev, ["ts", "event_id"], rows_per_bucket=2000).select("event_id", "rn")
+
+
+@register("lags_users",
+          wrap(f"WITH u AS ({_USR}) SELECT event_id, sensor_id, " + ", ".join(f"lag(value, {k}) {_UW}) AS value_lag{k}" for k in LAGS)
+               + " FROM u", " ".join(f"value_lag{k}" for k in LAGS), "event_id", "sensor_id"), ids="E1")
+def lags_users(spark, sf):
+    """Per-series row lags 1-3 (one series per user)."""
+    out = OR.lag_columns(readings_users(spark, sf), "value", LAGS, ["ts", "event_id"], ["sensor_id"])
+    return out.select("event_id", "sensor_id", *[f"value_lag{k}" for k in LAGS])
+
+
+def _full_ma_sql(x, m, part=_UW):
+    frame = f"{part} ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {frame} = {m} THEN avg({x}) {frame} END"
+
+
+@register("rolling_means_users",
+          wrap(f"WITH u AS ({_USR}) SELECT event_id, sensor_id, " + ", ".join(f"{_full_ma_sql('value', m)} AS value_ma{m}"
+                                                                            for m in MOVING_AVERAGES) + " FROM u",
+               " ".join(f"value_ma{m}" for m in MOVING_AVERAGES), "event_id", "sensor_id"), ids="E2")
+def rolling_means_users(spark, sf):
+    """Per-series full-window trailing means 5/10/15/30."""
+    out = OR.rolling_means(readings_users(spark, sf), "value", MOVING_AVERAGES, ["ts", "event_id"], ["sensor_id"])
+    return out.select("event_id", "sensor_id", *[f"value_ma{m}" for m in MOVING_AVERAGES])
+
+
+@register("diffs_trends_weather",
+          wrap(f"WITH {SQL_WS} SELECT ts, tmax - lag(tmax) OVER (ORDER BY ts) AS temp_change, "
+               f"prcp - lag(prcp) OVER (ORDER BY ts) AS precip_change, awnd - lag(awnd) OVER (ORDER BY ts) AS wind_change, "
+               + ", ".join(f"{_full_ma_sql(c, 12, 'OVER (ORDER BY ts')} AS {n}" for n, c in
+                           (("temp_trend", "tmax"), ("precip_trend", "prcp"), ("wind_trend", "awnd"))) + " FROM ws",
+               "temp_change precip_change wind_change temp_trend precip_trend wind_trend", "", "ts"), ids="E3 E4")
+def diffs_trends_weather(spark, sf):
+    """Day-over-day changes and 12-row trends of TMAX, PRCP and AWND."""
+    w = OR.with_row_index(_weather(spark, sf), ["ts"], rows_per_bucket=500)
+    out = OR.halo_window(w, lambda win: {
+        "temp_change": F.col("tmax") - F.lag("tmax", 1).over(win),
+        "precip_change": F.col("prcp") - F.lag("prcp", 1).over(win),
+        "wind_change": F.col("awnd") - F.lag("awnd", 1).over(win),
+        "temp_trend": OR.full_avg("tmax", win, 12), "precip_trend": OR.full_avg("prcp", win, 12),
+        "wind_trend": OR.full_avg("awnd", win, 12)}, back=11, chunk_rows=500)
+    return out.select("ts", "temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
+
+
+_PW_CH = ("temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
+
+
+def _pw_sql():
+    trend = lambda c: _full_ma_sql(c, 12, "OVER (ORDER BY ts")
+    bf = ", ".join(f"first_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}"
+                   for c in _PW_CH)
+    return f"""WITH {SQL_WS}, {S.weather_block('ws')},
+pw AS (SELECT *, hour(ts) AS hour, CASE WHEN hour(ts) IN (7, 8, 9, 16, 17, 18) THEN 1 ELSE 0 END AS is_rush_hour,
+  tmax - lag(tmax) OVER (ORDER BY ts) AS temp_change, prcp - lag(prcp) OVER (ORDER BY ts) AS precip_change,
+  awnd - lag(awnd) OVER (ORDER BY ts) AS wind_change,
+  {trend('tmax')} AS temp_trend, {trend('prcp')} AS precip_trend, {trend('awnd')} AS wind_trend FROM wf)
+SELECT * EXCLUDE ({', '.join(_PW_CH)}), {bf} FROM pw"""
+
+
+@register("preprocess_weather_daily",
+          wrap(_pw_sql(), "tmax tmin prcp awnd rhav temp_range feels_like wind_chill " + " ".join(_PW_CH),
+               "severe_weather rush_hour_rain hour is_rush_hour", "ts"), ids="H8 B7 B8")
+def preprocess_weather_daily(spark, sf):
+    """Weather preprocessing before selection: derived columns, changes, trends, then
+    forward and backward fill (leading change/trend NULLs take the first value)."""
+    from flowcast.plans.prepare import preprocess_weather
+    w = _weather(spark, sf).select("ts", "tmax", "tmin", "prcp", "awnd", "rhav")
+    return preprocess_weather(w)
