@@ -148,8 +148,11 @@ def scaled_features(features: DataFrame, target_col: str = "speed_ma30", ts: str
     NaN/Inf to NULL and ``create_features`` drops NULL rows), so those steps are
     identities and are not planned."""
     data = features.withColumn("target", F.col(target_col))
-    cols = [c for c in data.columns if c != ts]
-    data = data.select(ts, *[F.col(c).cast("double").alias(c) for c in cols])
+    keep = [c for c in (ts, RN) if c in data.columns]
+    cols = [c for c in data.columns if c not in keep]
+    data = data.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
+    if fit is not None:
+        fit = fit.withColumn("target", F.col(target_col)).select(*[F.col(c).cast("double").alias(c) for c in cols])
     return zscore_population(data, cols, fit=fit)
 
 

@@ -725,3 +725,167 @@ def preprocess_weather_daily(spark, sf):
     from flowcast.plans.prepare import preprocess_weather
     w = _weather(spark, sf).select("ts", "tmax", "tmin", "prcp", "awnd", "rhav")
     return preprocess_weather(w)
+
+
+def _seq_sql(length=24):
+    cols = _feature_cols(False)
+    rowsum = " + ".join(f'"{c}"' for c in cols)
+    base = _pipeline_sql("1 day", False)
+    return f"""WITH sc AS ({base}),
+r AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS rn, {rowsum} AS rs FROM sc),
+s AS (SELECT rn - {length} AS seq_idx, ts, target AS y,
+        sum(rs) OVER (ORDER BY ts ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING) AS x_sum,
+        lag("{cols[0]}", {length}) OVER (ORDER BY ts) AS x_first, lag("{cols[-1]}", 1) OVER (ORDER BY ts) AS x_last FROM r),
+k AS (SELECT * FROM s WHERE seq_idx >= 0), n AS (SELECT count(*) AS n FROM k)
+SELECT seq_idx, ts, y, x_sum, x_first, x_last,
+  CASE WHEN seq_idx < floor(n * 0.7::DOUBLE) THEN 'train'
+       WHEN seq_idx < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM k, n"""
+
+
+@register("sequences_baseline_daily", wrap(_seq_sql(), "y x_sum x_first x_last", "seq_idx", "ts split"),
+          ids="E5 H3 H10")
+def sequences_baseline_daily(spark, sf):
+    """Whole preparation to 24-row sequences with the chronological split; each
+    sequence summarised by the sum, first and last element of its window."""
+    from flowcast.plans.prepare import prepare_dataset
+    p = prepare_dataset(readings_orders(spark, sf, "1 day"), None, length=24, width="1 day", sensors=SENS)
+    flat = F.flatten("x")
+    return p.select("seq_idx", "ts", "y", F.aggregate(flat, F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
+                    F.col("x")[0][0].alias("x_first"), F.element_at(F.element_at("x", -1), -1).alias("x_last"), "split")
+
+
+@register("split_sizes_daily",
+          wrap(f"WITH q AS ({_seq_sql()}) SELECT split, count(*) AS n FROM q GROUP BY split", "", "n", "split"), ids="H3")
+def split_sizes_daily(spark, sf):
+    """Sizes of the chronological train/val/test split (int(n*0.7), int(n*0.15), rest)."""
+    from flowcast.plans.prepare import prepare_dataset
+    p = prepare_dataset(readings_orders(spark, sf, "1 day"), None, length=24, width="1 day", sensors=SENS)
+    return p.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("random_split_orders",
+          wrap(f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) - 1 AS r,
+  count(*) OVER () AS n FROM orders),
+h AS (SELECT *, ceil(n * {1.0 - 0.7!r}::DOUBLE) AS held FROM r)
+SELECT o_orderkey, CASE WHEN r < ceil(held * {0.15 / 0.3!r}::DOUBLE) THEN 'test' WHEN r < held THEN 'val' ELSE 'train' END AS split
+FROM h""", "", "o_orderkey", "split"), ids="H4")
+def random_split_orders(spark, sf):
+    """Exact-size seeded shuffle split of the orders (30% held out, half of it test)."""
+    from flowcast.operators.scale import random_split
+    from flowcast.sources.tables import read_table
+    o = read_table(spark, sf, "orders", ["o_orderkey"])
+    return random_split(o, "o_orderkey", seed=42, rows_per_bucket=3000).select("o_orderkey", "split")
+
+
+def _hourly_series_sql():
+    return f"WITH re AS ({S.readings_events('1 hour')}), s AS (SELECT ts, avg(value) AS x FROM re GROUP BY ts)"
+
+
+def _hourly_series(spark, sf):
+    return CL.row_mean(readings_events(spark, sf, "1 hour"), name="x")
+
+
+@register("seasonal_decompose_hourly",
+          wrap(f"""{_hourly_series_sql()},
+r AS (SELECT ts, x, row_number() OVER (ORDER BY ts) - 1 AS rn,
+  CASE WHEN count(x) OVER (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) = 24
+        AND count(x) OVER (ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING) = 24
+       THEN (avg(x) OVER (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)
+           + avg(x) OVER (ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)) / 2.0 END AS trend FROM s),
+p AS (SELECT rn % 24 AS ph, avg(x - trend) AS pm FROM r GROUP BY 1),
+c AS (SELECT ph, pm - (SELECT avg(pm) FROM p) AS seasonal FROM p)
+SELECT ts, x, trend, seasonal, x - trend - seasonal AS resid FROM r JOIN c ON r.rn % 24 = c.ph""",
+               "x trend seasonal resid", "", "ts"), ids="E7")
+def seasonal_decompose_hourly(spark, sf):
+    """Additive decomposition of the hourly event series, period 24."""
+    out = TS.seasonal_decompose(_hourly_series(spark, sf), "x", 24, chunk_rows=200, rows_per_bucket=200)
+    return out.select("ts", "x", "trend", "seasonal", "resid")
+
+
+def _acf_sql(nlags=48):
+    lags = ", ".join(f"lag(d, {k}) OVER (ORDER BY ts) AS l{k}" for k in range(1, nlags + 1))
+    sums = " UNION ALL ".join(["SELECT 0 AS lag, sum(d * d) AS num FROM l"]
+                              + [f"SELECT {k} AS lag, sum(d * l{k}) AS num FROM l" for k in range(1, nlags + 1)])
+    return f"""{_hourly_series_sql()},
+d AS (SELECT ts, x - (SELECT avg(x) FROM s WHERE x IS NOT NULL) AS d FROM s WHERE x IS NOT NULL),
+l AS (SELECT ts, d, {lags} FROM d),
+a AS ({sums}),
+r AS (SELECT lag, num / (SELECT sum(d * d) FROM l) AS acf FROM a),
+n AS (SELECT count(*) AS n FROM d)
+SELECT lag, acf, 1.96 * sqrt(CASE WHEN lag = 0 THEN 0.0 WHEN lag = 1 THEN 1.0 / n
+  ELSE (1.0 + 2.0 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / n END) AS band
+FROM r, n"""
+
+
+@register("acf_hourly", wrap(_acf_sql(), "acf band", "lag"), ids="E8")
+def acf_hourly(spark, sf):
+    """Autocorrelation of the hourly event series up to lag 48 with the Bartlett band."""
+    return TS.acf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
+
+
+@register("pacf_hourly", None, ids="E9")
+def pacf_hourly(spark, sf):
+    """Partial autocorrelation (Durbin-Levinson on the distributed ACF)."""
+    return TS.pacf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
+
+
+@register("label_encode_descriptions",
+          wrap(f"WITH d AS ({S.weather_ship('1 day', True)}) SELECT ts, weather_description, "
+               f"dense_rank() OVER (ORDER BY weather_description) - 1 AS weather_encoded FROM d", "", "weather_encoded",
+               "ts weather_description"), ids="E10")
+def label_encode_descriptions(spark, sf):
+    """Sorted distinct descriptions -> 0..k-1."""
+    w = weather_ship(spark, sf, "1 day", with_description=True).select("ts", "weather_description")
+    return TS.label_encode(w, "weather_description", "weather_encoded")
+
+
+@register("cumulative_abs_error",
+          wrap(f"WITH p AS ({_PRED}) SELECT ts, model, variant, sum(abs(y_pred - y_true)) OVER (PARTITION BY model, variant "
+               f"ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_abs_error FROM p", "cum_abs_error", "",
+               "ts model variant", digits=2), digits=2, ids="E6")
+def cumulative_abs_error(spark, sf):
+    """Running sum of absolute errors per (model, variant) in time order."""
+    out = TS.cumulative_abs_error(predictions(spark, sf), chunk_rows=500, rows_per_bucket=500)
+    return out.select("ts", "model", "variant", "cum_abs_error")
+
+
+# =============================================================================
+# F: sort, limit, top-k
+# =============================================================================
+
+@register("sort_events", wrap("SELECT event_id, ts, value FROM events ORDER BY ts, event_id", "value", "event_id", "ts"), ids="F1")
+def sort_events(spark, sf):
+    """Range-partitioned global sort by (ts, event_id)."""
+    from flowcast.operators.sort import sort_time
+    from flowcast.sources.tables import read_table
+    return sort_time(read_table(spark, sf, "events", ["event_id", "ts", "value"]), "ts", ["event_id"])
+
+
+@register("top_features_tmax",
+          wrap(f"WITH {SQL_WS}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, tmax)) AS importance FROM ws"
+                                                             for c in _CM if c != "tmax")
+               + ") SELECT * FROM c ORDER BY importance DESC, feature LIMIT 3", "importance", "", "feature"), ids="F2")
+def top_features_tmax(spark, sf):
+    """The 3 weather features most correlated (in absolute value) with TMAX."""
+    from flowcast.operators.sort import top_features
+    cm = ST.corr_matrix(_weather(spark, sf), _CM)
+    imp = cm.where((F.col("col_b") == "tmax") & (F.col("col_a") != "tmax")).select(
+        F.col("col_a").alias("feature"), F.abs("corr").alias("importance"))
+    return top_features(imp, 3)
+
+
+@register("head_rows_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow ORDER BY ts LIMIT 100", SENS_COLS, "", "ts", digits=4),
+          digits=4, ids="F3")
+def head_rows_orders(spark, sf):
+    """First 100 traffic buckets in time order."""
+    from flowcast.operators.sort import head_rows
+    return head_rows(_orders_wide(spark, sf), 100)
+
+
+@register("tail_rows_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow ORDER BY ts DESC LIMIT 100", SENS_COLS, "", "ts", digits=4),
+          digits=4, ids="F4")
+def tail_rows_orders(spark, sf):
+    """Last 100 traffic buckets in time order."""
+    from flowcast.operators.sort import tail_rows
+    return tail_rows(_orders_wide(spark, sf), 100)
