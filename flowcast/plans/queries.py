@@ -889,3 +889,185 @@ def tail_rows_orders(spark, sf):
     """Last 100 traffic buckets in time order."""
     from flowcast.operators.sort import tail_rows
     return tail_rows(_orders_wide(spark, sf), 100)
+
+
+# =============================================================================
+# K: forecast evaluation and reporting (B6 predictions, B7 history)
+# =============================================================================
+
+from flowcast.operators import evaluate as EV_  # noqa: E402
+from flowcast.sources.fixtures import history_events  # noqa: E402
+
+
+def _met_sql(src="p", by="model, variant", extra=""):
+    e = "(y_pred - y_true)"
+    return f"""SELECT {by}, count({e}) AS n, sqrt(avg({e} * {e})) AS rmse, avg(abs({e})) AS mae,
+  CASE WHEN var_pop(y_true) * count({e}) > 0 THEN 1.0 - sum({e} * {e}) / (var_pop(y_true) * count({e}))
+       WHEN sum({e} * {e}) = 0 THEN 1.0 ELSE 0.0 END AS r2,
+  avg(abs(CASE WHEN y_true <> 0 THEN {e} / y_true END)) * 100.0 AS mape,
+  count_if(y_true = 0) AS n_zero_actual FROM {src} {extra} GROUP BY {by}"""
+
+
+_MET_D = "rmse mae r2 mape"
+_MET = f"p AS ({_PRED}), m AS ({_met_sql()})"
+
+
+def _metrics(spark, sf):
+    return EV_.regression_metrics(predictions(spark, sf))
+
+
+def _imp_sql():
+    rel = lambda c: f"CASE WHEN b.{c} <> 0 THEN (b.{c} - e.{c}) / b.{c} * 100.0 END"
+    return (f"imp AS (SELECT b.model, {rel('rmse')} AS rmse_improvement, {rel('mae')} AS mae_improvement, "
+            f"(e.r2 - b.r2) * 100.0 AS r2_improvement, {rel('mape')} AS mape_improvement FROM m b JOIN m e "
+            f"ON b.model = e.model AND b.variant = 'baseline' AND e.variant = 'enhanced')")
+
+
+_IMP_D = "rmse_improvement mae_improvement r2_improvement mape_improvement"
+
+
+@register("regression_metrics", wrap(f"WITH {_MET} SELECT * FROM m", _MET_D, "n n_zero_actual", "model variant"), ids="K1 K2")
+def regression_metrics(spark, sf):
+    """RMSE, MAE, R2 and MAPE (zero actuals skipped and counted) per (model, variant)."""
+    return _metrics(spark, sf)
+
+
+@register("combined_loss",
+          wrap(f"""WITH p AS ({_PRED}), g AS (SELECT model, variant, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
+  avg(abs(y_true - y_pred)) AS mae, avg(abs((y_true - y_pred) / (y_true + 1e-7))) * 100.0 AS mape_eps,
+  1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(y_true) + 1e-7) AS r2_eps FROM p GROUP BY 1, 2)
+SELECT *, 0.3 * rmse + 0.3 * mae + 0.2 * mape_eps * 0.01 + 0.2 * (1.0 - r2_eps) AS combined_loss FROM g""",
+               "rmse mae mape_eps r2_eps combined_loss", "", "model variant"), ids="K3 K4")
+def combined_loss(spark, sf):
+    """The combined training loss and its epsilon-stabilised parts per run."""
+    return EV_.combined_loss(predictions(spark, sf))
+
+
+@register("improvements", wrap(f"WITH {_MET}, {_imp_sql()} SELECT * FROM imp", _IMP_D, "", "model"), ids="K5")
+def improvements(spark, sf):
+    """Relative improvements (RMSE, MAE, MAPE) and R2 gain in points per model."""
+    return EV_.improvements(_metrics(spark, sf))
+
+
+@register("best_model",
+          wrap(f"WITH {_MET}, {_imp_sql()} SELECT model, (rmse_improvement + mae_improvement + r2_improvement) / 3.0 AS score "
+               f"FROM imp ORDER BY score DESC, model LIMIT 1", "score", "", "model"), ids="K6")
+def best_model(spark, sf):
+    """Model with the highest mean of RMSE, MAE and R2 improvement."""
+    return EV_.best_model(EV_.improvements(_metrics(spark, sf)))
+
+
+@register("metrics_by_condition",
+          wrap(f"""WITH p AS ({_PRED}), {SQL_WS},
+q AS (SELECT quantile_cont(prcp, 0.9) AS p90, quantile_cont(awnd, 0.9) AS a90, quantile_cont(tmax, 0.9) AS t90,
+             quantile_cont(tmin, 0.1) AS n10 FROM ws),
+x AS (SELECT ts, CASE WHEN coalesce(prcp > p90, false) OR coalesce(awnd > a90, false) OR coalesce(tmax > t90, false)
+                        OR coalesce(tmin < n10, false) THEN 1 ELSE 0 END AS ext FROM ws, q),
+j AS (SELECT p.*, x.ext FROM p LEFT JOIN x ON p.ts = x.ts),
+t AS (SELECT *, 'overall' AS condition FROM j
+      UNION ALL SELECT *, 'extreme' FROM j WHERE ext = 1
+      UNION ALL SELECT *, 'normal' FROM j WHERE coalesce(ext, 0) = 0
+      UNION ALL SELECT *, 'rush_hour' FROM j WHERE hour(ts) IN (7, 8, 9, 17, 18, 19))
+{_met_sql('t', 'model, variant, condition')}""", _MET_D, "n n_zero_actual", "model variant condition"), ids="K7")
+def metrics_by_condition(spark, sf):
+    """Metrics overall, under extreme weather, in normal weather and at rush hour."""
+    return EV_.metrics_by_condition(predictions(spark, sf), _weather(spark, sf))
+
+
+@register("performance_table",
+          wrap(f"""WITH {_MET}, {_imp_sql()},
+t AS (SELECT model, """ + ", ".join(f"printf('%.4f', max(CASE WHEN variant = '{v}' THEN {m} END)) AS {v}_{m}"
+                                    for m in ("rmse", "mae", "r2") for v in ("baseline", "enhanced")) + """ FROM m GROUP BY model)
+SELECT t.*, """ + ", ".join(f"printf('%.2f%%', imp.{m}_improvement) AS {m}_improvement" for m in ("rmse", "mae", "r2"))
+               + " FROM t JOIN imp ON t.model = imp.model", "", "",
+               "model " + " ".join(f"{v}_{m}" for m in ("rmse", "mae", "r2") for v in ("baseline", "enhanced"))
+               + " rmse_improvement mae_improvement r2_improvement"), ids="K8 G14")
+def performance_table(spark, sf):
+    """Formatted baseline/enhanced metrics and improvements per model."""
+    m = _metrics(spark, sf)
+    return EV_.performance_table(m, EV_.improvements(m))
+
+
+@register("improvement_matrix",
+          wrap(f"WITH {_MET}, {_imp_sql()} SELECT model, rmse_improvement AS RMSE, mae_improvement AS MAE, r2_improvement AS R2, "
+               f"mape_improvement AS MAPE FROM imp", "RMSE MAE R2 MAPE", "", "model"), ids="K9")
+def improvement_matrix(spark, sf):
+    """Model x metric matrix of improvements."""
+    return EV_.improvement_matrix(EV_.improvements(_metrics(spark, sf)))
+
+
+@register("radar_ratios",
+          wrap(f"WITH {_MET} SELECT b.model, e.rmse / b.rmse AS rmse_ratio, e.mae / b.mae AS mae_ratio, b.r2 / e.r2 AS r2_ratio, "
+               f"e.mape / b.mape AS mape_ratio FROM m b JOIN m e ON b.model = e.model AND b.variant = 'baseline' AND e.variant = 'enhanced'",
+               "rmse_ratio mae_ratio r2_ratio mape_ratio", "", "model"), ids="K10")
+def radar_ratios(spark, sf):
+    """Enhanced/baseline ratio per metric (baseline/enhanced for R2)."""
+    return EV_.radar_ratios(_metrics(spark, sf))
+
+
+_PAIRED = (f"p AS ({_PRED}), pr AS (SELECT b.ts, b.model, b.y_true, b.y_pred AS y_base, e.y_pred AS y_enh FROM p b JOIN p e "
+           f"ON b.ts = e.ts AND b.model = e.model AND b.variant = 'baseline' AND e.variant = 'enhanced')")
+
+
+@register("paired_error_test",
+          wrap(f"""WITH {_PAIRED}, d AS (SELECT model, abs(y_base - y_true) - abs(y_enh - y_true) AS d FROM pr),
+g AS (SELECT model, count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff FROM d GROUP BY model)
+SELECT model, n, mean_diff, sd_diff, mean_diff / (sd_diff / sqrt(n)) AS t_stat, n - 1 AS dof FROM g""",
+               "mean_diff sd_diff t_stat", "n dof", "model", digits=4), digits=4, ids="K11")
+def paired_error_test(spark, sf):
+    """Paired t statistic of absolute errors, baseline vs enhanced, per model."""
+    return EV_.paired_error_test(JN.join_predictions(predictions(spark, sf)))
+
+
+@register("prediction_series",
+          wrap(f"WITH {_PAIRED}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts) AS k FROM pr) "
+               f"SELECT ts, model, y_true, y_base, y_enh FROM r WHERE k <= 100", "y_true y_base y_enh", "", "ts model", digits=4),
+          digits=4, ids="K14")
+def prediction_series(spark, sf):
+    """First 100 aligned (truth, baseline, enhanced) rows per model."""
+    return EV_.prediction_series(JN.join_predictions(predictions(spark, sf)), 100, rows_per_bucket=500)
+
+
+def _hist_src_sql():
+    v = "value"
+    return f"""h0 AS (SELECT event_type AS model, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'enhanced' END AS variant,
+  CAST(ts AS DATE) AS day, avg({v}) / 10.0 AS loss, avg(abs({v} - 25.0)) / 10.0 AS val_loss, min({v}) / 10.0 AS mae,
+  max({v}) / 10.0 AS val_mae, CAST(count({v}) AS DOUBLE) AS mape, CAST(count(DISTINCT user_id) AS DOUBLE) AS val_mape,
+  avg({v} * {v}) / 100.0 AS mse, avg(abs({v} - 25.0) * abs({v} - 25.0)) / 100.0 AS val_mse, 1.0 - avg({v}) / 50.0 AS r2,
+  1.0 - avg(abs({v} - 25.0)) / 25.0 AS val_r2, 1e-4 AS lr FROM events GROUP BY 1, 2, 3),
+h AS (SELECT * EXCLUDE (day), row_number() OVER (PARTITION BY model, variant ORDER BY day) AS epoch FROM h0)"""
+
+
+@register("history_long",
+          wrap(f"""WITH {_hist_src_sql()},
+u AS (UNPIVOT (SELECT model, variant, epoch, loss, mae, mape, mse, r2, val_loss, val_mae, val_mape, val_mse, val_r2 FROM h)
+      ON loss, mae, mape, mse, r2, val_loss, val_mae, val_mape, val_mse, val_r2 INTO NAME nm VALUE value)
+SELECT model, variant, epoch, regexp_replace(nm, '^val_', '') AS metric,
+  CASE WHEN starts_with(nm, 'val_') THEN 'val' ELSE 'train' END AS split, value FROM u""",
+               "value", "epoch", "model variant metric split"), ids="K13")
+def history_long(spark, sf):
+    """Training-history-shaped table (B7 on events) as (run, epoch, metric, split, value)."""
+    return EV_.history_long(history_events(spark, sf))
+
+
+@register("best_epoch",
+          wrap(f"""WITH RECURSIVE {_hist_src_sql()},
+r AS (SELECT model, variant, epoch, CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN val_loss ELSE 'inf'::DOUBLE END AS best,
+             CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN epoch END AS best_epoch,
+             CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN 0 ELSE 1 END AS wait, NULL::BIGINT AS stop FROM h WHERE epoch = 1
+      UNION ALL
+      SELECT h.model, h.variant, h.epoch,
+             CASE WHEN h.val_loss < r.best - 1e-5 THEN h.val_loss ELSE r.best END,
+             CASE WHEN h.val_loss < r.best - 1e-5 THEN h.epoch ELSE r.best_epoch END,
+             CASE WHEN h.val_loss < r.best - 1e-5 THEN 0 ELSE r.wait + 1 END,
+             CASE WHEN (CASE WHEN h.val_loss < r.best - 1e-5 THEN 0 ELSE r.wait + 1 END) >= 30 THEN h.epoch END
+      FROM r JOIN h ON h.model = r.model AND h.variant = r.variant AND h.epoch = r.epoch + 1 WHERE r.stop IS NULL),
+f AS (SELECT model, variant, arg_max(best_epoch, epoch) AS best_epoch, arg_max(best, epoch) AS best_value,
+             max(stop) AS stop, max(epoch) AS last_epoch FROM r GROUP BY 1, 2),
+e AS (SELECT model, variant, max(epoch) AS last_epoch FROM h GROUP BY 1, 2)
+SELECT f.model, f.variant, f.best_epoch, f.best_value, coalesce(f.stop, e.last_epoch) AS stop_epoch, f.stop IS NOT NULL AS stopped
+FROM f JOIN e ON f.model = e.model AND f.variant = e.variant""", "best_value", "best_epoch stop_epoch", "model variant stopped"),
+          ids="K12 J5")
+def best_epoch(spark, sf):
+    """Early-stopping replay (patience 30, min_delta 1e-5) per run: best and stop epoch."""
+    return EV_.best_epoch(history_events(spark, sf))
