@@ -1071,3 +1071,48 @@ FROM f JOIN e ON f.model = e.model AND f.variant = e.variant""", "best_value", "
 def best_epoch(spark, sf):
     """Early-stopping replay (patience 30, min_delta 1e-5) per run: best and stop epoch."""
     return EV_.best_epoch(history_events(spark, sf))
+
+
+# =============================================================================
+# A: CSV sources and sinks (written into the shared checkpoint folder)
+# =============================================================================
+
+from flowcast.session import scratch_path  # noqa: E402
+from flowcast.sources import csv as CSV  # noqa: E402
+
+
+@register("read_traffic_csv", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow", SENS_COLS, "", "ts"), ids="A1 A3")
+def read_traffic_csv(spark, sf):
+    """Wide traffic frame written as CSV and read back with the declared-schema reader."""
+    path = scratch_path(spark, "traffic-csv")
+    CSV.write_wide_csv(_orders_wide(spark, sf), path)
+    return CSV.read_traffic(spark, path)
+
+
+@register("read_weather_csv", wrap(f"WITH {SQL_WS} SELECT * FROM ws", WCOLS, "", "ts"), ids="A2")
+def read_weather_csv(spark, sf):
+    """Weather frame written as CSV and read back (schema from the header, values DOUBLE)."""
+    path = scratch_path(spark, "weather-csv")
+    CSV.write_wide_csv(_weather(spark, sf), path)
+    return CSV.read_weather(spark, path)
+
+
+_HIST_COLS = "loss val_loss mae val_mae mape val_mape mse val_mse r2 val_r2 lr"
+
+
+@register("history_csv_roundtrip",
+          wrap(f"WITH {_hist_src_sql()} SELECT * FROM h", _HIST_COLS, "epoch", "model variant"), ids="A4 A7")
+def history_csv_roundtrip(spark, sf):
+    """History written as one CSV folder per run and read back, run names from the path."""
+    path = scratch_path(spark, "history-csv")
+    CSV.write_history(history_events(spark, sf), path)
+    return CSV.read_history(spark, path)
+
+
+@register("summary_sink", wrap(f"WITH {_MET}, {_imp_sql()} SELECT * FROM imp", _IMP_D, "", "model"), ids="A5")
+def summary_sink(spark, sf):
+    """Improvement summary written as JSON and read back."""
+    path = scratch_path(spark, "summary-json")
+    CSV.write_summary(EV_.improvements(_metrics(spark, sf)), path, "json")
+    return spark.read.schema("model string, rmse_improvement double, mae_improvement double, r2_improvement double, "
+                             "mape_improvement double").json(path)

@@ -57,8 +57,7 @@ def write_history(df: DataFrame, path: str) -> None:
     ``partitionBy`` writes each group from all tasks in parallel; no group passes
     through one task or the driver.
     """
-    (df.withColumn("run", F.concat_ws("_", "model", "variant", F.lit("history")))
-       .drop("model", "variant")
+    (df.select(F.concat_ws("_", "model", "variant", F.lit("history")).alias("run"), "epoch", *HISTORY_METRICS)
        .write.mode("overwrite").option("header", True).partitionBy("run").csv(path))
 
 
