@@ -1116,3 +1116,85 @@ def summary_sink(spark, sf):
     CSV.write_summary(EV_.improvements(_metrics(spark, sf)), path, "json")
     return spark.read.schema("model string, rmse_improvement double, mae_improvement double, r2_improvement double, "
                              "mape_improvement double").json(path)
+
+
+# =============================================================================
+# J: forecast experiment on distributed regressors (no SQL twin: model fits)
+# =============================================================================
+
+from flowcast.plans import experiment as XP  # noqa: E402
+
+_EXP_CACHE: dict = {}
+
+
+def _experiment(spark, sf):
+    """One experiment per (session, tables): daily orders traffic + shipping weather,
+    24-row windows, three model families on both variants."""
+    key = (id(spark), sf)
+    if key not in _EXP_CACHE:
+        preds, fitted, data = XP.run_experiment(readings_orders(spark, sf, "1 day"), weather_ship(spark, sf, "1 day"),
+                                                "1 day", SENS, 24, on_constant="zero")
+        _EXP_CACHE[key] = (preds, fitted, data)
+    return _EXP_CACHE[key]
+
+
+@register("experiment_predictions", None, ids="J1 J2 J3 J4")
+def experiment_predictions(spark, sf):
+    """Test-set forecasts of linear / forest / boosted models, baseline and enhanced."""
+    return _experiment(spark, sf)[0]
+
+
+@register("experiment_metrics", None, ids="J4 K1 K5")
+def experiment_metrics(spark, sf):
+    """Metrics of the experiment's forecasts joined with the per-model improvements."""
+    m = EV_.regression_metrics(_experiment(spark, sf)[0])
+    return m.join(EV_.improvements(m), "model")
+
+
+@register("gbt_iteration_metrics", None, ids="J5 J6")
+def gbt_iteration_metrics(spark, sf):
+    """Per-iteration train/validation loss of the early-stopped boosted model (enhanced)."""
+    _, fitted, data = _experiment(spark, sf)
+    return XP.iteration_metrics(fitted[("boosted", "enhanced")], data["enhanced"])
+
+
+@register("permutation_importance", None, ids="J7")
+def permutation_importance(spark, sf):
+    """R2 drop per permuted feature sequence (forest, enhanced, 3 repeats)."""
+    _, fitted, data = _experiment(spark, sf)
+    return XP.permutation_importance(fitted[("forest", "enhanced")], data["enhanced"], _feature_cols(True), repeats=3)
+
+
+@register("perturbation_importance", None, ids="J8")
+def perturbation_importance(spark, sf):
+    """Mean squared prediction change per permuted feature sequence (linear, enhanced)."""
+    _, fitted, data = _experiment(spark, sf)
+    return XP.permutation_importance(fitted[("linear", "enhanced")], data["enhanced"], _feature_cols(True),
+                                     repeats=3, score="perturbation")
+
+
+@register("weight_importance", None, ids="J9 F2")
+def weight_importance(spark, sf):
+    """Mean |coefficient| / tree importance per base feature, top 20 per model (enhanced)."""
+    from flowcast.operators.sort import top_features
+    _, fitted, _ = _experiment(spark, sf)
+    parts = [top_features(XP.weight_importance(fitted[(n, "enhanced")], _feature_cols(True), 24, n), 20)
+             .withColumn("model", F.lit(n)) for n in XP.MODELS]
+    return JN.union_all(parts)
+
+
+@register("weather_impact_summary", None, ids="K15 K7")
+def weather_impact_summary(spark, sf):
+    """Improvement, per-condition RMSE ratios and weather-feature importance per model."""
+    preds, fitted, _ = _experiment(spark, sf)
+    m = EV_.regression_metrics(preds)
+    cond = EV_.metrics_by_condition(preds, _weather(spark, sf))
+    imp = XP.weight_importance(fitted[("forest", "enhanced")], _feature_cols(True), 24, "forest")
+    return XP.weather_impact_summary(m, cond, imp, WEATHER_FEATURES)
+
+
+@register("augment_weather", None, ids="H5 H6 H7")
+def augment_weather(spark, sf):
+    """Original + Gaussian-noise + random-scale copies of the weather rows (3n rows)."""
+    from flowcast.operators.scale import augment
+    return augment(_weather(spark, sf), list(WEATHER_COLUMNS))
