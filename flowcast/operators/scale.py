@@ -85,13 +85,12 @@ def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.15, or
     return out.drop("_fc_n", "_fc_cnt")
 
 
-def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15,
+def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15, test: float = 0.15,
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """H4: exact-size shuffled split: ceil(n*(1-train)) rows are held out and
     ceil(held*test/(val+test)) of them go to test (double arithmetic, so n=10 holds
     out 4 rows). Rows are chosen by the rank of md5(key:seed), so the split is
     reproducible and needs no single-task sort."""
-    test = 1.0 - train - val
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     hashed = df.withColumn("_fc_h", h).withColumn("_fc_hn", F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
     indexed = ordered.with_row_index(hashed, ["_fc_hn", "_fc_h", key], (), "_fc_r", rows_per_bucket,
