@@ -50,10 +50,11 @@ TRAIN_RATIO, VAL_RATIO = 0.7, 0.15
 
 def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[int] = wx.PIPELINE_RUSH_HOURS,
                        fill_cols: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS,
-                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                       rows_per_bucket: int = ROWS_PER_BUCKET, with_changes: bool = True) -> DataFrame:
     """H8: derived weather columns (G2-G4, G6-G8), changes (E3) and 12-row trends
     (E4), then forward and backward fill. Quantile thresholds are taken before
-    the fills, over all rows."""
+    the fills, over all rows. ``with_changes=False`` skips the change/trend
+    columns (the enhanced pipeline discards them)."""
     w, q = with_scalars(weather, weather.agg(F.percentile("prcp", F.lit(0.95)).alias("p"),
                                              F.percentile("awnd", F.lit(0.95)).alias("a")), "_fc_q")
     w = w.withColumns({
@@ -72,10 +73,9 @@ def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[
         cols.update({k: full_avg(v, win, TREND_WINDOW) for k, v in WEATHER_TRENDS.items()})
         return cols
 
-    w = ordered.halo_window(idx, build, (), RN, back=TREND_WINDOW - 1, chunk_rows=chunk_rows)
+    w = ordered.halo_window(idx, build, (), RN, back=TREND_WINDOW - 1, chunk_rows=chunk_rows) if with_changes else idx
     fill = list(fill_cols) if fill_cols is not None else [c for c in w.columns if c not in (ts, RN)]
-    w = ordered.fill_forward(w, fill, [ts], (), RN, chunk_rows)
-    w = ordered.fill_backward(w, fill, [ts], (), RN, chunk_rows)
+    w = ordered.fill_both(w, fill, [ts], (), RN, chunk_rows)
     return w.drop(RN)
 
 
@@ -83,7 +83,8 @@ def weather_block(weather: DataFrame, ts: str = "ts", on_constant: str = "error"
     """Weather side of the enhanced variant: H8, the 10 selected features, then
     sample z-scores (ddof=1) fitted on all weather rows (``on_constant``: see
     :func:`zscore_sample`; with daily buckets ``rush_hour_rain`` is constant)."""
-    w = preprocess_weather(cut_lineage(weather), ts, fill_cols=WEATHER_FEATURES, **kw).select(ts, *WEATHER_FEATURES)
+    w = preprocess_weather(cut_lineage(weather), ts, fill_cols=WEATHER_FEATURES, with_changes=False,
+                           **kw).select(ts, *WEATHER_FEATURES)
     return zscore_sample(cut_lineage(w), WEATHER_FEATURES, on_constant=on_constant)
 
 
