@@ -1198,3 +1198,14 @@ def augment_weather(spark, sf):
     """Original + Gaussian-noise + random-scale copies of the weather rows (3n rows)."""
     from flowcast.operators.scale import augment
     return augment(_weather(spark, sf), list(WEATHER_COLUMNS))
+
+
+# =============================================================================
+# Streaming extension: the 5-minute resample as a Structured Streaming job
+# =============================================================================
+
+@register("stream_resample_events", wrap(S.readings_events("5 minutes"), "value", "", "ts sensor_id"), ids="D1 (stream)")
+def stream_resample_events(spark, sf):
+    """5-minute per-event-type means computed by a watermarked streaming aggregation."""
+    from flowcast.streaming.resample import EVENTS_SCHEMA, stream_resample
+    return stream_resample(spark, sf, EVENTS_SCHEMA, "5 minutes", file_glob="events.parquet")
