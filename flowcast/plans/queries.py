@@ -1209,3 +1209,47 @@ def stream_resample_events(spark, sf):
     """5-minute per-event-type means computed by a watermarked streaming aggregation."""
     from flowcast.streaming.resample import EVENTS_SCHEMA, stream_resample
     return stream_resample(spark, sf, EVENTS_SCHEMA, "5 minutes", file_glob="events.parquet")
+
+
+
+# =============================================================================
+# 5-minute multi-sensor preparation (events as five sensors)
+# =============================================================================
+
+def _events_pipeline_sql(length: int = 24, width: str = "5 minutes") -> str:
+    lo, hi = _year_bounds("mg")
+    cols = [*EV, "avg_speed", "hour", "day_of_week", "month", "is_holiday",
+            *[f"speed_lag{k}" for k in LAGS], *[f"speed_ma{m}" for m in MOVING_AVERAGES]]
+    ctes = [f"re AS ({S.readings_events(width)})", S.traffic_block(EV, "re"), "mg AS (SELECT * FROM trf)",
+            S.holidays(lo, hi), S.features_block("mg"), "fx AS (SELECT *, speed_ma30 AS target FROM ft)",
+            S.zscore_pop("fx", cols + ["target"])]
+    rowsum = " + ".join(f'"{c}"' for c in cols)
+    return ("WITH " + ",\n".join(ctes) + f""",
+r AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS rn, {rowsum} AS rs FROM zp),
+s AS (SELECT rn - {length} AS seq_idx, ts, target AS y,
+        sum(rs) OVER (ORDER BY ts ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING) AS x_sum FROM r),
+k AS (SELECT * FROM s WHERE seq_idx >= 0), n AS (SELECT count(*) AS n FROM k)
+SELECT seq_idx, ts, y, x_sum,
+  CASE WHEN seq_idx < floor(n * 0.7::DOUBLE) THEN 'train'
+       WHEN seq_idx < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM k, n""")
+
+
+@register("sequences_events_5min", wrap(_events_pipeline_sql(), "y x_sum", "seq_idx", "ts split"), ids="H10 E5 H3 B1-B3 E1 E2")
+def sequences_events_5min(spark, sf):
+    """Whole baseline preparation on the 5-minute, five-sensor event series:
+    complete buckets, IQR filter, features, scaling, 24-step sequences, split."""
+    from flowcast.plans.prepare import prepare_dataset
+    p = prepare_dataset(readings_events(spark, sf, "5 minutes"), None, length=24, width="5 minutes", sensors=EV)
+    return p.select("seq_idx", "ts", "y", F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
+                    "split")
+
+
+@register("sequences_events_hourly", wrap(_events_pipeline_sql(24, "1 hour"), "y x_sum", "seq_idx", "ts split"),
+          ids="H10 E5 H3")
+def sequences_events_hourly(spark, sf):
+    """The same preparation on hourly buckets of the five-sensor event series."""
+    from flowcast.plans.prepare import prepare_dataset
+    p = prepare_dataset(readings_events(spark, sf, "1 hour"), None, length=24, width="1 hour", sensors=EV)
+    return p.select("seq_idx", "ts", "y", F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
+                    "split")
