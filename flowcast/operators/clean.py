@@ -46,21 +46,43 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.na.drop("any", subset=list(cols) if cols else None)
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False) -> DataFrame:
-    """One-row frame of exact linearly interpolated quantiles ``<col>_q<p*100>``
-    (``approx=True`` uses ``percentile_approx`` for very high cardinality)."""
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "distributed") -> DataFrame:
+    """One-row frame of linearly interpolated quantiles ``<col>_q<p*100>``.
+
+    ``method``: ``"distributed"`` (default) -- exact, via value counts and a
+    distributed running sum (:func:`ordered.exact_quantiles`), so no task holds
+    all distinct values; ``"percentile"`` -- Spark's exact ``percentile``
+    aggregate (its final merge holds every distinct value in one task: fine for
+    bucket-level series); ``"approx"`` -- ``percentile_approx`` sketches."""
+    labels = lambda c: [f"{c}_q{round(p * 100):02d}" for p in probs]
+    if method == "distributed":
+        cols = list(cols)
+        if len(cols) == 1:
+            return ordered.exact_quantiles(df, cols[0], probs, names=labels(cols[0]))
+        # all columns in one pass: (column, value) long form, quantiles grouped by column
+        long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
+            [], cols, "_fc_col", "_fc_val")
+        q = ordered.exact_quantiles(long, "_fc_val", probs, by=["_fc_col"],
+                                    names=[f"_fc_p{i}" for i in range(len(probs))])
+        return q.agg(*[F.max(F.when(F.col("_fc_col") == c, F.col(f"_fc_p{i}"))).alias(label)
+                       for c in cols for i, label in enumerate(labels(c))])
     aggs = []
     for c in cols:
-        for p in probs:
-            label = f"{c}_q{round(p * 100):02d}"
-            fn = F.percentile_approx(F.col(c), p, 10000) if approx else F.percentile(F.col(c), F.lit(p))
+        for p, label in zip(probs, labels(c)):
+            fn = F.percentile_approx(F.col(c), p, 10000) if method == "approx" else F.percentile(F.col(c), F.lit(p))
             aggs.append(fn.alias(label))
     return df.agg(*aggs)
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Columns of two one-row frames side by side (b attached as a scalar subquery)."""
+    j, s = with_scalars(a, b, "_fc_zip")
+    return j.select(*a.columns, *[s[c].alias(c) for c in b.columns])
+
+
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "distributed") -> DataFrame:
     """One row with ``<c>_lo``/``<c>_hi`` = Q1 - k IQR, Q3 + k IQR for each column."""
-    q = quantiles(df, cols, (0.25, 0.75))
+    q = quantiles(df, cols, (0.25, 0.75), method)
     out = []
     for c in cols:
         q1, q3 = F.col(f"{c}_q25"), F.col(f"{c}_q75")
@@ -68,16 +90,16 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     return q.select(*out)
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "distributed") -> DataFrame:
     """Keep rows with Q1 - k IQR <= x <= Q3 + k IQR (inclusive)."""
-    j, b = with_scalars(df, iqr_bounds(df, [col], k), "_fc_iqr")
+    j, b = with_scalars(df, iqr_bounds(df, [col], k, method), "_fc_iqr")
     return j.where((F.col(col) >= b[f"{col}_lo"]) & (F.col(col) <= b[f"{col}_hi"])).drop("_fc_iqr")
 
 
-def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "distributed") -> DataFrame:
     """Winsorise each column to its IQR fences (NULLs stay NULL)."""
     cols = list(cols)
-    j, b = with_scalars(df, iqr_bounds(df, cols, k), "_fc_iqr")
+    j, b = with_scalars(df, iqr_bounds(df, cols, k, method), "_fc_iqr")
     return j.select(*[
         guarded_clip(c, b[f"{c}_lo"], b[f"{c}_hi"]).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns
     ])

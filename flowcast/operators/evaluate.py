@@ -96,9 +96,9 @@ def metrics_by_condition(preds: DataFrame, weather: DataFrame, ts: str = "ts",
     (PRCP>q90 or AWND>q90 or TMAX>q90 or TMIN<q10 over the weather table), its
     complement ``normal``, and rush hour. Conditions come from the weather row
     of the same timestamp."""
-    w, q = with_scalars(weather, weather.agg(
-        *[F.percentile(F.col(c), F.lit(0.9)).alias(f"{c}_q90") for c in ("prcp", "awnd", "tmax")],
-        F.percentile(F.col("tmin"), F.lit(0.1)).alias("tmin_q10")), "_fc_q")
+    from flowcast.operators.clean import quantiles
+    thr = quantiles(weather, ["prcp", "awnd", "tmax", "tmin"], [0.1, 0.9])  # one distributed pass
+    w, q = with_scalars(weather, thr, "_fc_q")
     w = w.select(ts, extreme_weather("prcp", "awnd", "tmax", "tmin", q["prcp_q90"], q["awnd_q90"],
                                            q["tmax_q90"], q["tmin_q10"]).alias("_fc_ext"))
     j = preds.join(w, ts, "left")

@@ -25,7 +25,7 @@ from flowcast.functions import weather as wx
 from flowcast.functions.calendar import calendar_columns
 from flowcast.functions.columns import with_scalars
 from flowcast.operators import ordered
-from flowcast.operators.clean import drop_incomplete, iqr_filter, row_mean_wide
+from flowcast.operators.clean import drop_incomplete, iqr_filter, quantiles, row_mean_wide
 from flowcast.operators.join import align_merge, holiday_flag
 from flowcast.operators.ordered import CHUNK_ROWS, RN, ROWS_PER_BUCKET, full_avg
 from flowcast.operators.reshape import sensor_values, to_wide
@@ -55,8 +55,8 @@ def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[
     (E4), then forward and backward fill. Quantile thresholds are taken before
     the fills, over all rows. ``with_changes=False`` skips the change/trend
     columns (the enhanced pipeline discards them)."""
-    w, q = with_scalars(weather, weather.agg(F.percentile("prcp", F.lit(0.95)).alias("p"),
-                                             F.percentile("awnd", F.lit(0.95)).alias("a")), "_fc_q")
+    w, q = with_scalars(weather, quantiles(weather, ["prcp", "awnd"], [0.95]).select(
+        F.col("prcp_q95").alias("p"), F.col("awnd_q95").alias("a")), "_fc_q")
     w = w.withColumns({
         "temp_range": wx.temp_range(),
         "feels_like": wx.feels_like(),
