@@ -46,15 +46,31 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.na.drop("any", subset=list(cols) if cols else None)
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "distributed") -> DataFrame:
-    """One-row frame of linearly interpolated quantiles ``<col>_q<p*100>``.
-
-    ``method``: ``"distributed"`` (default) -- exact, via value counts and a
-    distributed running sum (:func:`ordered.exact_quantiles`), so no task holds
-    all distinct values; ``"percentile"`` -- Spark's exact ``percentile``
-    aggregate (its final merge holds every distinct value in one task: fine for
-    bucket-level series); ``"approx"`` -- ``percentile_approx`` sketches."""
+# Above this many distinct values a column's exact quantiles are computed with the
+# distributed method; below it Spark's ``percentile`` (whose final merge holds
+# every distinct value of the column in one task) is both safe and cheaper.
+PERCENTILE_MAX_DISTINCT = 1_000_000
+
+
+def choose_quantile_method(df: DataFrame, cols: Sequence[str]) -> str:
+    """Size check behind the quantile strategy: one ``approx_count_distinct`` job
+    (HyperLogLog, fixed-size state) returning one number per column."""
+    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in cols]).first()
+    worst = max((row[c] or 0) for c in cols) if row else 0
+    return "percentile" if worst <= PERCENTILE_MAX_DISTINCT * 0.9 else "distributed"
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto") -> DataFrame:
+    """One-row frame of exact linearly interpolated quantiles ``<col>_q<p*100>``.
+
+    ``method``: ``"auto"`` (default) picks by a checked size (see
+    :func:`choose_quantile_method`); ``"distributed"`` -- exact, via value counts
+    and a distributed running sum (:func:`ordered.exact_quantiles`), so no task
+    holds all distinct values; ``"percentile"`` -- Spark's exact ``percentile``
+    aggregate; ``"approx"`` -- ``percentile_approx`` sketches (not exact)."""
     labels = lambda c: [f"{c}_q{round(p * 100):02d}" for p in probs]
+    if method == "auto":
+        method = choose_quantile_method(df, cols)
     if method == "distributed":
         cols = list(cols)
         if len(cols) == 1:
@@ -80,7 +96,7 @@ def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select(*a.columns, *[s[c].alias(c) for c in b.columns])
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "distributed") -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
     """One row with ``<c>_lo``/``<c>_hi`` = Q1 - k IQR, Q3 + k IQR for each column."""
     q = quantiles(df, cols, (0.25, 0.75), method)
     out = []
@@ -90,13 +106,13 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
     return q.select(*out)
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "distributed") -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") -> DataFrame:
     """Keep rows with Q1 - k IQR <= x <= Q3 + k IQR (inclusive)."""
     j, b = with_scalars(df, iqr_bounds(df, [col], k, method), "_fc_iqr")
     return j.where((F.col(col) >= b[f"{col}_lo"]) & (F.col(col) <= b[f"{col}_hi"])).drop("_fc_iqr")
 
 
-def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "distributed") -> DataFrame:
+def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
     """Winsorise each column to its IQR fences (NULLs stay NULL)."""
     cols = list(cols)
     j, b = with_scalars(df, iqr_bounds(df, cols, k, method), "_fc_iqr")

@@ -85,12 +85,11 @@ def sensor_grid(long: DataFrame, n_cols: int = 9, sensor: str = "sensor_id", val
 # --- D6-D9 bins, trend, correlation ----------------------------------------
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
-    """One-row frame with ``e``: ARRAY<DOUBLE> of the q+1 linear quantile edges
-    (exact, distributed: :func:`ordered.exact_quantiles`)."""
-    from flowcast.operators.ordered import exact_quantiles
-    names = [f"e{k}" for k in range(q + 1)]
-    return exact_quantiles(df, col, [k / q for k in range(q + 1)], names=names).select(
-        F.array(*[F.col(n) for n in names]).alias("e"))
+    """One-row frame with ``e``: ARRAY<DOUBLE> of the q+1 exact linear quantile edges."""
+    from flowcast.operators.clean import quantiles
+    probs = [k / q for k in range(q + 1)]
+    qs = quantiles(df, [col], probs)
+    return qs.select(F.array(*[F.col(c) for c in qs.columns]).alias("e"))
 
 
 def quantile_bin_stats(df: DataFrame, by: str, value: str, q: int = 10) -> DataFrame:
@@ -203,14 +202,23 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame
 
 # --- D13-D18 -----------------------------------------------------------------
 
-def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5, method: str = "auto") -> DataFrame:
     """Per group Q1, median, Q3, whiskers (extreme points within whis*IQR of
     the quartiles) and the number of outliers beyond them."""
+    from flowcast.operators.clean import choose_quantile_method
     from flowcast.operators.ordered import exact_quantiles
     v = F.col(value)
     data = df.where(v.isNotNull() & F.col(group).isNotNull())
-    # exact per-group quartiles without holding a group's values in one task
-    q = exact_quantiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
+    if method == "auto":
+        # a group never has more distinct values than the whole column
+        method = choose_quantile_method(data, [value])
+    if method == "distributed":
+        # exact per-group quartiles without holding a group's values in one task
+        q = exact_quantiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
+    else:
+        q = data.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_fc_q"))
+        q = q.select(group, F.col("_fc_q")[0].alias("q1"), F.col("_fc_q")[1].alias("median"),
+                     F.col("_fc_q")[2].alias("q3"))
     j = data.join(q, group)
     lo = F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))
@@ -223,9 +231,9 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataF
 
 
 def quantile_threshold(df: DataFrame, col: str, p: float) -> DataFrame:
-    """Exact linear quantile as a one-row frame (distributed)."""
-    from flowcast.operators.ordered import exact_quantiles
-    return exact_quantiles(df, col, [p], names=["threshold"])
+    """Exact linear quantile as a one-row frame (strategy by checked size)."""
+    from flowcast.operators.clean import quantiles
+    return quantiles(df, [col], [p]).select(F.col(f"{col}_q{round(p * 100):02d}").alias("threshold"))
 
 
 def any_true(df: DataFrame, cond: Column, name: str = "any_true") -> DataFrame:

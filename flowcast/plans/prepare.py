@@ -85,7 +85,7 @@ def weather_block(weather: DataFrame, ts: str = "ts", on_constant: str = "error"
     :func:`zscore_sample`; with daily buckets ``rush_hour_rain`` is constant)."""
     w = preprocess_weather(cut_lineage(weather), ts, fill_cols=WEATHER_FEATURES, with_changes=False,
                            **kw).select(ts, *WEATHER_FEATURES)
-    return zscore_sample(cut_lineage(w), WEATHER_FEATURES, on_constant=on_constant)
+    return zscore_sample(w, WEATHER_FEATURES, on_constant=on_constant)
 
 
 def traffic_block(readings: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts") -> DataFrame:

@@ -184,3 +184,11 @@ def test_interpolation_time_weighted(spark):
     assert out == [0.0, 1.0, 3.0, 3.0]
     lead = spark.createDataFrame([(ts(0), None), (ts(1), 2.0)], "ts timestamp_ntz, x double")
     assert [r["x"] for r in O.interpolate_time(lead, ["x"]).orderBy("ts").collect()] == [None, 2.0]
+
+
+def test_quantile_methods_agree(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    a = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95], method="distributed").first()
+    b = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95], method="percentile").first()
+    c = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95]).first()
+    assert all(abs(a[k] - b[k]) < 1e-9 and abs(c[k] - b[k]) < 1e-9 for k in b.asDict())
