@@ -68,6 +68,54 @@ def order_position(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+# Hot first-key values: how many are split at most (the rest stay exact, in one
+# bucket each), and the sample size used to propose them.
+HOT_KEYS_MAX = 10_000
+HOT_SAMPLE_ROWS = 1_000_000
+
+
+def _split_hot_keys(bucketed: DataFrame, series: list[str], order_by: list[str], rows_per_bucket: int,
+                    n_total: int) -> tuple[DataFrame, list[str]]:
+    """Give rows whose FIRST ordering value is shared by more than ``rows_per_bucket``
+    rows their own segment of the bucket, split into pieces by the next ordering
+    column, so no bucket holds such a group whole.
+
+    Candidates come from a seeded sample and are verified with exact counts over
+    all rows; only verified values (at most HOT_KEYS_MAX, broadcast) are split.
+    Within a bucket the segment number is 2 * (hot values below the row's value)
+    + (1 if the row's value is hot), so (bucket, segment, piece) follows the
+    row order."""
+    k1, k2 = order_by[0], order_by[1]
+    frac = min(1.0, HOT_SAMPLE_ROWS / max(n_total, 1))
+    need = max(3.0, rows_per_bucket * frac / 2.0)
+    cand = (bucketed.sample(fraction=frac, seed=17).groupBy(*series, k1).count()
+                    .where(F.col("count") >= need).orderBy(F.col("count").desc()).limit(HOT_KEYS_MAX)
+                    .select(*series, k1))
+    pos2 = order_position(bucketed, k2)
+    hot = (bucketed.join(F.broadcast(cand), [*series, k1], "left_semi")
+                   .groupBy(*series, k1, _B, "_fc_pos")
+                   .agg(F.count(F.lit(1)).alias("_fc_hn"), F.min(pos2).alias("_fc_h2lo"), F.max(pos2).alias("_fc_h2hi"))
+                   .where(F.col("_fc_hn") > rows_per_bucket))
+    rows = hot.collect()  # at most HOT_KEYS_MAX small rows: the verified hot values
+    if not rows:
+        return bucketed, []
+    spark = bucketed.sparkSession
+    hot_df = spark.createDataFrame(rows, hot.schema)
+    per_bucket = hot_df.groupBy(*series, _B).agg(F.array_sort(F.collect_list("_fc_pos")).alias("_fc_hl"))
+    j = (bucketed.join(F.broadcast(hot_df.drop(_B, "_fc_pos")), [*series, k1], "left")
+                 .join(F.broadcast(per_bucket), [*series, _B], "left"))
+    below = F.coalesce(F.size(F.filter(F.col("_fc_hl"), lambda h: h < F.col("_fc_pos"))), F.lit(0))
+    is_hot = F.col("_fc_hn").isNotNull()
+    m = F.ceil(F.col("_fc_hn") / F.lit(float(rows_per_bucket)))
+    span = F.col("_fc_h2hi") - F.col("_fc_h2lo")
+    piece = F.when(is_hot & (span > 0),
+                   F.least(F.floor((pos2 - F.col("_fc_h2lo")) / span * m), m - 1)).otherwise(F.lit(0))
+    out = (j.withColumn("_fc_seg", (below * 2 + is_hot.cast("int")).cast("long"))
+            .withColumn("_fc_piece", piece.cast("long"))
+            .drop("_fc_hn", "_fc_h2lo", "_fc_h2hi", "_fc_hl"))
+    return out, ["_fc_seg", "_fc_piece"]
+
+
 def with_row_index(
     df: DataFrame,
     order_by: Sequence[str] = ("ts",),
@@ -75,10 +123,15 @@ def with_row_index(
     name: str = RN,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     count_col: str | None = None,
+    split_hot: bool = True,
 ) -> DataFrame:
     """0-based row number per series in ``order_by`` order, computed without a
     single-partition window. ``order_by`` must be unique within a series (add a
-    tie-breaker column). Optionally attaches the series length as ``count_col``."""
+    tie-breaker column). Optionally attaches the series length as ``count_col``.
+
+    With ``split_hot`` and a second ordering column, first-column values shared
+    by more rows than ``rows_per_bucket`` are split further by the second column
+    (see :func:`_split_hot_keys`); this costs one sampling job."""
     order_by, series = _names(order_by), _names(series)
     pos = order_position(df, order_by[0])
     base = df.withColumn("_fc_pos", pos)
@@ -98,18 +151,25 @@ def with_row_index(
         # one-row statistics attached as scalar subqueries
         with_stats, s = with_scalars(base, stats, "_fc_st")
         with_stats = with_stats.select("*", *[v.alias(k) for k, v in s.items()]).drop("_fc_st")
-    bucketed = with_stats.withColumn(_B, bucket).drop("_fc_pos", "_fc_min", "_fc_max")
-    summary = bucketed.groupBy(*series, _B).agg(F.count(F.lit(1)).alias("_fc_cnt"))
-    ws = Window.partitionBy(*series).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(*series, _B, F.coalesce(F.sum("_fc_cnt").over(ws), F.lit(0)).alias("_fc_off"))
-    joined = bucketed.join(summary, on=[*series, _B], how="inner")
-    w = Window.partitionBy(*series, _B).orderBy(*order_by)
+    bucketed = with_stats.withColumn(_B, bucket).drop("_fc_min", "_fc_max")
+    extra: list[str] = []
+    if split_hot and len(order_by) > 1 and not isinstance(df.schema[order_by[1]].dataType, T.StringType):
+        n_total = stats.agg(F.sum("_fc_n")).first()[0] or 0
+        if n_total > rows_per_bucket:
+            bucketed, extra = _split_hot_keys(bucketed, series, order_by, rows_per_bucket, n_total)
+    bucketed = bucketed.drop("_fc_pos")
+    keys = [_B, *extra]
+    summary = bucketed.groupBy(*series, *keys).agg(F.count(F.lit(1)).alias("_fc_cnt"))
+    ws = Window.partitionBy(*series).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*series, *keys, F.coalesce(F.sum("_fc_cnt").over(ws), F.lit(0)).alias("_fc_off"))
+    joined = bucketed.join(summary, on=[*series, *keys], how="inner")
+    w = Window.partitionBy(*series, *keys).orderBy(*order_by)
     out = joined.withColumn(name, (F.col("_fc_off") + F.row_number().over(w) - 1).cast("long"))
     if count_col:
         out = out.withColumnRenamed("_fc_n", count_col)
     else:
         out = out.drop("_fc_n")
-    return out.drop(_B, "_fc_off")
+    return out.drop(_B, "_fc_off", *extra)
 
 
 def ensure_index(df: DataFrame, order_by, series, index_col: str = RN, rows_per_bucket: int = ROWS_PER_BUCKET):
