@@ -62,3 +62,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
+
+
+def cluster_conf(advisory_partition_mb: int = 256, max_partition_mb: int = 512) -> dict[str, str]:
+    """Recommended settings for large clusters (apply with ``SparkSession.builder.config``).
+
+    * AQE re-plans at stage boundaries: coalesces small shuffle partitions to the
+      advisory size, splits skewed join partitions, and switches joins to broadcast
+      only when a side is measured small at run time.
+    * ``files.maxPartitionBytes`` sizes scan tasks; shuffle partitions start high and
+      AQE coalesces them, so partitions fit executor memory without manual tuning.
+    * Checkpoint files are removed once their DataFrames are garbage collected.
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": f"{max_partition_mb}m",
+        "spark.sql.shuffle.partitions": "4000",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
