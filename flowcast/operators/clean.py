@@ -90,12 +90,6 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     return df.agg(*aggs)
 
 
-def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Columns of two one-row frames side by side (b attached as a scalar subquery)."""
-    j, s = with_scalars(a, b, "_fc_zip")
-    return j.select(*a.columns, *[s[c].alias(c) for c in b.columns])
-
-
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
     """One row with ``<c>_lo``/``<c>_hi`` = Q1 - k IQR, Q3 + k IQR for each column."""
     q = quantiles(df, cols, (0.25, 0.75), method)

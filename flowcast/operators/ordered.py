@@ -88,9 +88,15 @@ def _split_hot_keys(bucketed: DataFrame, series: list[str], order_by: list[str],
     k1, k2 = order_by[0], order_by[1]
     frac = min(1.0, HOT_SAMPLE_ROWS / max(n_total, 1))
     need = max(3.0, rows_per_bucket * frac / 2.0)
-    cand = (bucketed.sample(fraction=frac, seed=17).groupBy(*series, k1).count()
-                    .where(F.col("count") >= need).orderBy(F.col("count").desc()).limit(HOT_KEYS_MAX)
-                    .select(*series, k1))
+    cand_df = (bucketed.sample(fraction=frac, seed=17).groupBy(*series, k1).count()
+                       .where(F.col("count") >= need).orderBy(F.col("count").desc()).limit(HOT_KEYS_MAX)
+                       .select(*series, k1))
+    cand_rows = cand_df.collect()  # at most HOT_KEYS_MAX candidate values
+    if not cand_rows:
+        return bucketed, []
+    spark = bucketed.sparkSession
+    # a fresh local relation (not a plan derived from ``bucketed``), so no self-join
+    cand = spark.createDataFrame(cand_rows, cand_df.schema)
     pos2 = order_position(bucketed, k2)
     hot = (bucketed.join(F.broadcast(cand), [*series, k1], "left_semi")
                    .groupBy(*series, k1, _B, "_fc_pos")
@@ -99,7 +105,6 @@ def _split_hot_keys(bucketed: DataFrame, series: list[str], order_by: list[str],
     rows = hot.collect()  # at most HOT_KEYS_MAX small rows: the verified hot values
     if not rows:
         return bucketed, []
-    spark = bucketed.sparkSession
     hot_df = spark.createDataFrame(rows, hot.schema)
     per_bucket = hot_df.groupBy(*series, _B).agg(F.array_sort(F.collect_list("_fc_pos")).alias("_fc_hl"))
     j = (bucketed.join(F.broadcast(hot_df.drop(_B, "_fc_pos")), [*series, k1], "left")

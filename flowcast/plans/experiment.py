@@ -73,12 +73,13 @@ def predict(model, data: DataFrame, name: str, variant: str) -> DataFrame:
 
 def prepare_variants(readings: DataFrame, weather: DataFrame, width: str, sensors: Sequence[str], length: int = 24,
                      on_constant: str = "error", **kw) -> dict[str, DataFrame]:
-    """Both prepared datasets, vectorised and checkpointed (each feeds three fits and
-    the importance jobs)."""
+    """Both prepared datasets, vectorised. The feature table under each is already
+    checkpointed; the sequence tensor itself (``length`` times the feature table) is
+    not materialised here -- the estimators persist their own training instances."""
     out = {}
     for variant, w in (("baseline", None), ("enhanced", weather)):
         ds = prepare_dataset(readings, w, length=length, width=width, sensors=sensors, on_constant=on_constant, **kw)
-        out[variant] = cut_lineage(vectorised(ds))
+        out[variant] = vectorised(ds)
     return out
 
 
@@ -135,19 +136,25 @@ def permutation_importance(model, data: DataFrame, feature_names: Sequence[str],
     copied once per (repeat, feature) -- a fixed fan-out of repeats x features --
     with that feature's windows swapped, then grouped by (feature, repeat)."""
     from pyspark.ml.functions import array_to_vector
-    base = data.where(F.col("split") == split)
+    # the scored split is read by every repeat: materialise just its windows once
+    base = cut_lineage(data.where(F.col("split") == split).select("seq_idx", "ts", "y", "x", "features"))
     perms = None
     for r in range(repeats):
         p = _permuted(base, r, seed, rows_per_bucket).withColumn("repeat", F.lit(r))
         perms = p if perms is None else perms.unionByName(p)
     ref = model.transform(base).select("seq_idx", F.col("y").alias("y_true"), F.col("prediction").alias("p0"))
-    j = F.explode(F.sequence(F.lit(0), F.lit(len(feature_names) - 1))).alias("j")
-    copies = base.select("seq_idx", "x").join(perms, "seq_idx").select("*", j)
-    names = F.element_at(F.array(*[F.lit(n) for n in feature_names]), F.col("j") + 1)
-    swapped = copies.select(
-        "seq_idx", "repeat", names.alias("feature"),
-        F.transform("x", lambda row, t: F.transform(
-            row, lambda v, k: F.when(k == F.col("j"), F.col("x_perm")[t][k]).otherwise(v))).alias("x"))
+    nf = len(feature_names)
+
+    def swap(j: int):
+        # time step by time step: features before j from x, feature j from x_perm, the rest from x
+        return F.zip_with("x", "x_perm", lambda u, v: F.concat(
+            F.slice(u, 1, j), F.slice(v, j + 1, 1), F.slice(u, j + 2, nf - j - 1)))
+
+    variants = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), swap(j).alias("xs"))
+                                   for j, n in enumerate(feature_names)])).alias("v")
+    copies = base.select("seq_idx", "x").join(perms, "seq_idx")
+    swapped = copies.select("seq_idx", "repeat", variants).select(
+        "seq_idx", "repeat", F.col("v.feature").alias("feature"), F.col("v.xs").alias("x"))
     swapped = swapped.withColumn("features", array_to_vector(F.flatten("x")))
     scored = model.transform(swapped).select("seq_idx", "repeat", "feature", F.col("prediction").alias("p1"))
     pj = scored.join(ref, "seq_idx")

@@ -135,7 +135,10 @@ def feature_table(readings: DataFrame, weather: DataFrame | None = None, width:
         data = align_merge(traffic, w, width, ts)
     else:
         data = traffic
-    feats = create_features(cut_lineage(data), ts, chunk_rows=chunk_rows, rows_per_bucket=rows_per_bucket)
+    # the merged series is read several times by the row index; the traffic-only
+    # frame is already a cheap filter over a checkpoint
+    src = cut_lineage(data) if weather is not None else data
+    feats = create_features(src, ts, chunk_rows=chunk_rows, rows_per_bucket=rows_per_bucket)
     return cut_lineage(feats) if checkpoint else feats
 
 

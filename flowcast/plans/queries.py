@@ -77,8 +77,6 @@ def features_enhanced_weekly(spark, sf):
                                          width="7 days", sensors=SENS, on_constant="zero"))
 
 
-_ = F
-
 
 # =============================================================================
 # Shared Spark inputs

@@ -39,11 +39,6 @@ def con():
     return c
 
 
-SKIP_SMALL = {
-    # 7-day fixture needs >= 30 weeks after the filter; fine at sf0.001 (118 rows)
-}
-
-
 @pytest.mark.parametrize("name", sorted(SQLS))
 def test_query_matches_sql_twin(spark, con, name):
     got = _digest(QUERIES[name](spark, SF_SMALL).toPandas())
