@@ -50,8 +50,9 @@ def double_columns(df: DataFrame) -> list[str]:
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating columns and widen integral ones to BIGINT so results compare
-    across engines (summation order differs between engines)."""
+    """Round floating columns, widen integral ones to BIGINT and dates to
+    timestamps so results compare across engines (summation order differs
+    between engines)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -60,6 +61,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
             out.append(F.round(c.cast("double") * F.lit(1.0 + 1e-12), digits).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             out.append(c.cast("bigint").alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            # dates as midnight timestamps: one representation across engines
+            out.append(c.cast("timestamp_ntz").alias(f.name))
         else:
             out.append(c)
     return df.select(*out)

@@ -299,7 +299,8 @@ _HOL_ORDERS = S.holidays("(SELECT min(year(ts)) FROM ow)", "(SELECT max(year(ts)
 
 
 @register("holiday_calendar_orders",
-          wrap(f"WITH {SQL_RO}, {SQL_OW}, {_HOL_ORDERS} SELECT d AS date FROM hol", "", "", "date"), ids="C4")
+          wrap(f"WITH {SQL_RO}, {SQL_OW}, {_HOL_ORDERS} SELECT CAST(d AS TIMESTAMP) AS date FROM hol", "", "", "date"),
+          ids="C4")
 def holiday_calendar_orders(spark, sf):
     """US federal holidays (with observed days) for the years of the traffic data."""
     return JN.holiday_calendar(_orders_wide(spark, sf))
@@ -367,7 +368,8 @@ def resample_events_hourly(spark, sf):
 
 @register("daily_mean_events",
           wrap(f"WITH re AS ({S.readings_events('5 minutes')}), t AS (SELECT ts, avg(value) AS m FROM re GROUP BY ts) "
-               f"SELECT CAST(ts AS DATE) AS day, avg(m) AS daily_mean FROM t GROUP BY 1", "daily_mean", "", "day"), ids="D2")
+               f"SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, avg(m) AS daily_mean FROM t GROUP BY 1", "daily_mean", "", "day"),
+          ids="D2")
 def daily_mean_events(spark, sf):
     """Mean over sensors per 5-minute bucket, then per day."""
     return ST.daily_mean(readings_events(spark, sf))
