@@ -59,10 +59,10 @@ def combined_loss(preds: DataFrame, by: Sequence[str] = ("model", "variant"), ep
     g = preds.groupBy(*by).agg(
         F.sqrt(F.avg(d * d)).alias("rmse"),
         F.avg(F.abs(d)).alias("mae"),
-        (F.avg(F.abs(d / (yt + F.lit(eps)))) * 100.0).alias("mape_eps"),
+        (F.avg(F.abs(F.try_divide(d, yt + F.lit(eps)))) * 100.0).alias("mape_eps"),
         F.sum(d * d).alias("_fc_sse"),
         (F.var_pop(yt) * F.count(yt)).alias("_fc_sst"))
-    r2 = F.lit(1.0) - F.col("_fc_sse") / (F.col("_fc_sst") + F.lit(eps))
+    r2 = F.lit(1.0) - F.try_divide(F.col("_fc_sse"), F.col("_fc_sst") + F.lit(eps))
     return g.select(*by, "rmse", "mae", "mape_eps", r2.alias("r2_eps"),
                     (0.3 * F.col("rmse") + 0.3 * F.col("mae") + 0.2 * F.col("mape_eps") * 0.01
                      + 0.2 * (F.lit(1.0) - r2)).alias("combined_loss"))

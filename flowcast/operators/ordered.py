@@ -381,7 +381,7 @@ def interpolate_time(df: DataFrame, cols: Sequence[str], ts: str = "ts", order_b
         prev = F.coalesce(F.last(pair(c), ignorenulls=True).over(before), F.col(f"_fc_pc_{i}"))
         nxt = F.coalesce(F.first(pair(c), ignorenulls=True).over(after), F.col(f"_fc_nc_{i}"))
         t = F.col("_fc_t")
-        interp = prev["v"] + (nxt["v"] - prev["v"]) * (t - prev["t"]) / (nxt["t"] - prev["t"])
+        interp = prev["v"] + F.try_divide((nxt["v"] - prev["v"]) * (t - prev["t"]), nxt["t"] - prev["t"])
         out_cols.append(
             F.when(F.col(c).isNotNull(), F.col(c))
             .when(prev.isNotNull() & nxt.isNotNull(), interp)

@@ -165,7 +165,7 @@ def histogram(df: DataFrame, col: str, bins: int, density: bool = False) -> Data
     spine = df.sparkSession.range(0, bins).select(F.col("id").cast("int").alias("bin"))
     spine, s = with_scalars(spine, stats, "_fc_h")
     cnt = F.coalesce("count", F.lit(0).cast("long"))
-    extra = [(cnt / (s["n"] * step)).alias("density")] if density else []
+    extra = [F.try_divide(cnt, s["n"] * step).alias("density")] if density else []
     return (spine.join(counts, "bin", "left")
                  .select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"),
                          cnt.alias("count"), *extra))
@@ -194,10 +194,11 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame
     step = (s["mx"] - s["mn"] + F.lit(2 * cut) * h) / F.lit(float(grid - 1))
     pts = data.select(x.alias("_fc_x"), "_fc_k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
     g = lo + F.col("k").cast("double") * step
-    z = (g - F.col("_fc_x")) / h
+    z = F.try_divide(g - F.col("_fc_x"), h)  # a constant column has no bandwidth: NULL density
     dens = pts.groupBy("k", "_fc_k").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_fc_s"))
     norm = s["n"].cast("double") * h * F.lit((2 * 3.141592653589793) ** 0.5)
-    return dens.select(F.col("k").cast("int").alias("k"), g.alias("x"), (F.col("_fc_s") / norm).alias("density"))
+    return dens.select(F.col("k").cast("int").alias("k"), g.alias("x"),
+                       F.try_divide(F.col("_fc_s"), norm).alias("density"))
 
 
 # --- D13-D18 -----------------------------------------------------------------

@@ -107,7 +107,7 @@ def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows
     sums = prods.agg(F.count(F.lit(1)).alias("_fc_n"), F.sum(F.col("_fc_d") * F.col("_fc_d")).alias("_fc_p0"),
                      *[F.sum(f"_fc_p{k}").alias(f"_fc_p{k}") for k in range(1, nlags + 1)])
     long = sums.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("lag"), (F.col(f"_fc_p{k}") / F.col("_fc_p0")).alias("acf"),
+        F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_fc_p{k}"), F.col("_fc_p0")).alias("acf"),
                  F.col("_fc_n").alias("_fc_n"))
         for k in range(nlags + 1)])))
     # the band needs a running sum over at most nlags+1 rows

@@ -192,3 +192,15 @@ def test_quantile_methods_agree(spark):
     b = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95], method="percentile").first()
     c = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95]).first()
     assert all(abs(a[k] - b[k]) < 1e-9 and abs(c[k] - b[k]) < 1e-9 for k in b.asDict())
+
+
+def test_degenerate_inputs_do_not_raise(spark):
+    const = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 3.0) for i in range(60)],
+                                  "ts timestamp_ntz, x double")
+    assert all(r["density"] is None for r in ST.kde(const, "x", 5).collect())
+    assert all(r["acf"] is None for r in TS.acf(const, "x", 3).collect())
+    empty = spark.createDataFrame([], "x double")
+    h = ST.histogram(empty, "x", 4, density=True).collect()
+    assert len(h) == 4 and all(r["count"] == 0 for r in h)
+    p = spark.createDataFrame([("m", "v", -1e-7, 1.0)], "model string, variant string, y_true double, y_pred double")
+    assert EV.combined_loss(p).first()["mape_eps"] is None
