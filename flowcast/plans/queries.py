@@ -692,13 +692,10 @@ def rolling_means_users(spark, sf):
 def diffs_trends_weather(spark, sf):
     """Day-over-day changes and 12-row trends of TMAX, PRCP and AWND."""
     w = OR.with_row_index(_weather(spark, sf), ["ts"], rows_per_bucket=500)
-    out = OR.halo_window(w, lambda win: {
-        "temp_change": F.col("tmax") - F.lag("tmax", 1).over(win),
-        "precip_change": F.col("prcp") - F.lag("prcp", 1).over(win),
-        "wind_change": F.col("awnd") - F.lag("awnd", 1).over(win),
-        "temp_trend": OR.full_avg("tmax", win, 12), "precip_trend": OR.full_avg("prcp", win, 12),
-        "wind_trend": OR.full_avg("awnd", win, 12)}, back=11, chunk_rows=500)
-    return out.select("ts", "temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
+    w = OR.diffs(w, {"temp_change": "tmax", "precip_change": "prcp", "wind_change": "awnd"}, chunk_rows=500)
+    for name, src in (("temp_trend", "tmax"), ("precip_trend", "prcp"), ("wind_trend", "awnd")):
+        w = OR.rolling_means(w, src, [12], chunk_rows=500).withColumnRenamed(f"{src}_ma12", name)
+    return w.select("ts", "temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
 
 
 _PW_CH = ("temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
@@ -1253,3 +1250,22 @@ def sequences_events_hourly(spark, sf):
     p = prepare_dataset(readings_events(spark, sf, "1 hour"), None, length=24, width="1 hour", sensors=EV)
     return p.select("seq_idx", "ts", "y", F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
                     "split")
+
+
+@register("prediction_errors",
+          wrap(f"WITH p AS ({_PRED}) SELECT ts, model, variant, y_pred - y_true AS error FROM p", "error", "",
+               "ts model variant", digits=4), digits=4, ids="K2")
+def prediction_errors(spark, sf):
+    """Error = prediction - truth per forecast row."""
+    return EV_.errors(predictions(spark, sf)).select("ts", "model", "variant", "error")
+
+
+@register("chronological_split_orders",
+          wrap(f"""WITH {SQL_RO}, {SQL_OW}, r AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n FROM ow)
+SELECT ts, rn, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train'
+                    WHEN rn < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""",
+               "", "rn", "ts split"), ids="H3 E11")
+def chronological_split_orders(spark, sf):
+    """Chronological train/val/test labels over the daily traffic buckets."""
+    from flowcast.operators.scale import chronological_split
+    return chronological_split(_orders_wide(spark, sf).select("ts"), rows_per_bucket=500)
