@@ -65,6 +65,13 @@ def order_position(df: DataFrame, c: str) -> Column:
         return F.unix_micros(F.col(c)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        # strings order by their UTF-8 bytes: the first 7 bytes (zero padded) read as
+        # a number are monotone in that order; equal prefixes share a bucket and are
+        # ordered exactly by the window inside it
+        raw = F.encode(F.col(c), "UTF-8") if isinstance(dt, T.StringType) else F.col(c)
+        prefix = F.rpad(F.substring(raw, 1, 7), 7, F.lit(bytes(1)))
+        return F.conv(F.hex(prefix), 16, 10).cast("double")
     return F.col(c).cast("double")
 
 
@@ -158,7 +165,7 @@ def with_row_index(
         with_stats = with_stats.select("*", *[v.alias(k) for k, v in s.items()]).drop("_fc_st")
     bucketed = with_stats.withColumn(_B, bucket).drop("_fc_min", "_fc_max")
     extra: list[str] = []
-    if split_hot and len(order_by) > 1 and not isinstance(df.schema[order_by[1]].dataType, T.StringType):
+    if split_hot and len(order_by) > 1:
         n_total = stats.agg(F.sum("_fc_n")).first()[0] or 0
         if n_total > rows_per_bucket:
             bucketed, extra = _split_hot_keys(bucketed, series, order_by, rows_per_bucket, n_total)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcast.functions.buckets import time_bucket, width_seconds
@@ -71,12 +71,11 @@ def weekday_profile(long: DataFrame, ts: str = "ts", sensor: str = "sensor_id",
 
 
 def sensor_grid(long: DataFrame, n_cols: int = 9, sensor: str = "sensor_id", value: str = "value") -> DataFrame:
-    """Per-sensor mean placed at (i div n_cols, i mod n_cols), i = sensor ordinal.
-
-    The ordinal window runs over the per-sensor summary (one row per sensor)."""
+    """Per-sensor mean placed at (i div n_cols, i mod n_cols), i = sensor ordinal
+    (distributed row index over the per-sensor summary)."""
+    from flowcast.operators.ordered import with_row_index
     means = long.groupBy(sensor).agg(F.avg(value).alias("mean_value"))
-    i = F.row_number().over(Window.orderBy(sensor)) - 1
-    return means.select(sensor, "mean_value", i.alias("_fc_i")).select(
+    return with_row_index(means, [sensor], (), "_fc_i").select(
         sensor, "mean_value",
         F.floor(F.col("_fc_i") / n_cols).cast("int").alias("grid_row"),
         (F.col("_fc_i") % n_cols).cast("int").alias("grid_col"))

@@ -137,9 +137,10 @@ def pacf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), **kw) ->
 
 
 def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (NULL stays NULL). The ranking runs over
-    the distinct-values table only."""
+    """Sorted distinct values -> 0..k-1 (NULL stays NULL). The codes are the
+    distributed row index of the distinct values, so even a high-cardinality
+    column is ranked without a single-task window."""
     name = name or f"{col}_encoded"
-    codes = (df.select(col).where(F.col(col).isNotNull()).distinct()
-               .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(name)))
+    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
+    codes = ordered.with_row_index(distinct, [col], (), name)
     return df.join(codes, on=col, how="left")
