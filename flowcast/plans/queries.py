@@ -9,10 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowcast.functions import weather as WX
+from flowcast.operators import clean as CL
+from flowcast.operators import evaluate as EV_
+from flowcast.operators import join as JN
+from flowcast.operators import ordered as OR
+from flowcast.operators import reshape as RS
+from flowcast.operators import stats as ST
+from flowcast.operators import timeseries as TS
+from flowcast.plans import experiment as XP
 from flowcast.plans import sqlparts as S
 from flowcast.plans.catalog import register, wrap
 from flowcast.plans.prepare import LAGS, MOVING_AVERAGES, WEATHER_FEATURES, feature_table, scaled_features
-from flowcast.sources.fixtures import ORDER_SENSORS, readings_orders, weather_ship
+from flowcast.session import scratch_path
+from flowcast.sources import csv as CSV
+from flowcast.sources.fixtures import (EVENT_SENSORS, ORDER_SENSORS, WEATHER_COLUMNS, history_events, predictions,
+                                       readings_events, readings_orders, readings_users, weather_ship)
 
 SENS = ORDER_SENSORS
 SENS_COLS = " ".join(SENS)
@@ -82,16 +94,6 @@ def features_enhanced_weekly(spark, sf):
 # Shared Spark inputs
 # =============================================================================
 
-from flowcast.functions import weather as WX  # noqa: E402
-from flowcast.operators import clean as CL  # noqa: E402
-from flowcast.operators import join as JN  # noqa: E402
-from flowcast.operators import ordered as OR  # noqa: E402
-from flowcast.operators import reshape as RS  # noqa: E402
-from flowcast.operators import stats as ST  # noqa: E402
-from flowcast.operators import timeseries as TS  # noqa: E402
-from flowcast.plans.catalog import rnd  # noqa: E402
-from flowcast.sources.fixtures import (EVENT_SENSORS, WEATHER_COLUMNS, predictions,  # noqa: E402
-                                       readings_events, readings_users)
 
 EV = EVENT_SENSORS
 WCOLS = " ".join(WEATHER_COLUMNS)
@@ -892,8 +894,6 @@ def tail_rows_orders(spark, sf):
 # K: forecast evaluation and reporting (B6 predictions, B7 history)
 # =============================================================================
 
-from flowcast.operators import evaluate as EV_  # noqa: E402
-from flowcast.sources.fixtures import history_events  # noqa: E402
 
 
 def _met_sql(src="p", by="model, variant", extra=""):
@@ -1074,8 +1074,6 @@ def best_epoch(spark, sf):
 # A: CSV sources and sinks (written into the shared checkpoint folder)
 # =============================================================================
 
-from flowcast.session import scratch_path  # noqa: E402
-from flowcast.sources import csv as CSV  # noqa: E402
 
 
 @register("read_traffic_csv", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow", SENS_COLS, "", "ts"), ids="A1 A3")
@@ -1119,7 +1117,6 @@ def summary_sink(spark, sf):
 # J: forecast experiment on distributed regressors (no SQL twin: model fits)
 # =============================================================================
 
-from flowcast.plans import experiment as XP  # noqa: E402
 
 _EXP_CACHE: dict = {}
 

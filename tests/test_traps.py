@@ -204,3 +204,30 @@ def test_degenerate_inputs_do_not_raise(spark):
     assert len(h) == 4 and all(r["count"] == 0 for r in h)
     p = spark.createDataFrame([("m", "v", -1e-7, 1.0)], "model string, variant string, y_true double, y_pred double")
     assert EV.combined_loss(p).first()["mape_eps"] is None
+
+
+def test_csv_reader_maps_nan_inf_and_blank_to_null(spark, tmp_path):
+    p = tmp_path / "traffic"
+    p.mkdir()
+    (p / "part-0.csv").write_text("ts,s1,s2\n2024-01-01 00:00:00,1.5,NaN\n2024-01-01 00:05:00,,inf\n"
+                                  "2024-01-01 00:10:00,-Infinity,2\n")
+    from flowcast.sources.csv import read_traffic
+    rows = read_traffic(spark, str(p)).orderBy("ts").collect()
+    assert [(r["s1"], r["s2"]) for r in rows] == [(1.5, None), (None, None), (None, 2.0)]
+    assert rows[1]["ts"] == dt.datetime(2024, 1, 1, 0, 5)
+
+
+def test_fit_on_train_uses_only_train_rows(spark):
+    from flowcast.plans.prepare import prepare_dataset
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), s, float(100 + i + (5 if s == "b" else 0)))
+            for i in range(120) for s in ("a", "b")]
+    long = spark.createDataFrame(rows, "ts timestamp_ntz, sensor_id string, value double")
+    all_fit = prepare_dataset(long, None, length=5, width="1 day", sensors=["a", "b"], checkpoint=False)
+    train_fit = prepare_dataset(long, None, length=5, width="1 day", sensors=["a", "b"], fit_on="train",
+                                checkpoint=False)
+    ya = {r["seq_idx"]: r["y"] for r in all_fit.collect()}
+    yt = {r["seq_idx"]: r["y"] for r in train_fit.collect()}
+    assert ya.keys() == yt.keys() and len(ya) == 120 - 29 - 5
+    # a trending series scaled on its early part has a larger mean label than when scaled on all rows
+    assert sum(yt.values()) > sum(ya.values())
+    assert abs(sum(ya.values()) / len(ya)) < 0.5
