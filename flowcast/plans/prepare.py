@@ -175,16 +175,20 @@ def prepare_dataset(readings: DataFrame, weather: DataFrame | None = None, lengt
     feats = feature_table(readings, weather, width, sensors, ts, checkpoint, chunk_rows, rows_per_bucket,
                           on_constant)
     idx = ordered.with_row_index(feats, [ts], (), RN, rows_per_bucket, count_col="_fc_rows")
-    fit = None
     if fit_on == "train":
         n_seq = F.col("_fc_rows") - length - horizon + 1
         last_train_label = F.floor(n_seq.cast("double") * F.lit(TRAIN_RATIO)) + length + horizon - 1
-        fit = idx.where(F.col(RN) < last_train_label)
-    scaled = scaled_features(idx.drop("_fc_rows"), target_col, ts,
-                             fit=fit.drop("_fc_rows") if fit is not None else None)
+        fit = idx.where(F.col(RN) < last_train_label).drop("_fc_rows")
+    else:
+        # statistics over all rows straight from the (checkpointed) feature table,
+        # not from the indexed frame, so the row index is not recomputed for them
+        fit = feats
+    scaled = scaled_features(idx.drop("_fc_rows"), target_col, ts, fit=fit.drop(RN) if RN in fit.columns else fit)
     features = [c for c in scaled.columns if c not in (ts, "target", RN)]
     seqs = sequences(scaled, features, "target", length, horizon, [ts], (), RN, chunk_rows, rows_per_bucket)
-    seqs, s = with_scalars(seqs, seqs.agg(F.count(F.lit(1)).alias("n")), "_fc_n")
+    # the number of sequences follows from the row count: n - length - horizon + 1
+    n_seq_df = feats.agg(F.greatest(F.count(F.lit(1)) - (length + horizon - 1), F.lit(0)).alias("n"))
+    seqs, s = with_scalars(seqs, n_seq_df, "_fc_n")
     n = s["n"].cast("double")
     a = F.floor(n * F.lit(TRAIN_RATIO))
     b = F.floor(n * F.lit(VAL_RATIO))
