@@ -69,7 +69,7 @@ def _feature_cols(weather: bool) -> list[str]:
 def features_enhanced_daily(spark, sf):
     """Scaled enhanced feature table: orders traffic + shipping weather, daily buckets."""
     return scaled_features(feature_table(readings_orders(spark, sf, "1 day"), weather_ship(spark, sf, "1 day"),
-                                         width="1 day", sensors=SENS, on_constant="zero"))
+                                         width="1 day", sensors=SENS, on_constant="zero", checkpoint=True))
 
 
 @register("features_baseline_daily",
@@ -77,7 +77,8 @@ def features_enhanced_daily(spark, sf):
           ids="A3 B1 B2 B3 B12 C3 C4 G1 H1 H9 E1 E2")
 def features_baseline_daily(spark, sf):
     """Scaled baseline feature table (traffic only), daily buckets."""
-    return scaled_features(feature_table(readings_orders(spark, sf, "1 day"), None, width="1 day", sensors=SENS))
+    return scaled_features(feature_table(readings_orders(spark, sf, "1 day"), None, width="1 day", sensors=SENS,
+                                         checkpoint=True))
 
 
 @register("features_enhanced_weekly",
@@ -86,7 +87,7 @@ def features_baseline_daily(spark, sf):
 def features_enhanced_weekly(spark, sf):
     """Scaled enhanced feature table on 7-day buckets (the smoke-test query)."""
     return scaled_features(feature_table(readings_orders(spark, sf, "7 days"), weather_ship(spark, sf, "7 days"),
-                                         width="7 days", sensors=SENS, on_constant="zero"))
+                                         width="7 days", sensors=SENS, on_constant="zero", checkpoint=True))
 
 
 
