@@ -16,8 +16,14 @@ def to_long(df: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts",
 
 
 def sensor_values(df: DataFrame, name: str = "sensor_id") -> list[str]:
-    """Distinct sensor ids (metadata: one value per sensor column)."""
-    return sorted(r[0] for r in df.select(name).distinct().collect())
+    """Distinct sensor ids (metadata: one value per sensor column). Bounded like
+    Spark's own pivot: at most ``spark.sql.pivotMaxValues`` ids are fetched."""
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    ids = [r[0] for r in df.select(name).distinct().limit(limit + 1).collect()]
+    if len(ids) > limit:
+        raise ValueError(f"more than {limit} distinct values in {name!r}: a wide frame with that many "
+                         "columns is not supported; keep the long form")
+    return sorted(ids)
 
 
 def to_wide(df: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts",
