@@ -202,5 +202,5 @@ def prediction_series(paired: DataFrame, n: int, model: str = "model", ts: str =
     """The first ``n`` aligned (truth, baseline, enhanced) rows of each model in
     time order; positions come from the distributed row index, not a per-model
     single-task window."""
-    idx = ordered.with_row_index(paired, [ts], [model], "_fc_pos", rows_per_bucket)
+    idx = ordered.with_row_index(paired, [ts], [model], "_fc_pos", rows_per_bucket, materialize=True)
     return idx.where(F.col("_fc_pos") < n).drop("_fc_pos")

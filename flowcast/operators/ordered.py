@@ -136,6 +136,7 @@ def with_row_index(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     count_col: str | None = None,
     split_hot: bool = True,
+    materialize: bool = False,
 ) -> DataFrame:
     """0-based row number per series in ``order_by`` order, computed without a
     single-partition window. ``order_by`` must be unique within a series (add a
@@ -143,8 +144,15 @@ def with_row_index(
 
     With ``split_hot`` and a second ordering column, first-column values shared
     by more rows than ``rows_per_bucket`` are split further by the second column
-    (see :func:`_split_hot_keys`); this costs one sampling job."""
+    (see :func:`_split_hot_keys`); this costs one sampling job.
+
+    The input is read several times (statistics, bucket summary, rows); with
+    ``materialize`` it is first checkpointed into the shared folder, so an
+    expensive upstream plan runs once."""
     order_by, series = _names(order_by), _names(series)
+    if materialize:
+        from flowcast.session import cut_lineage
+        df = cut_lineage(df)
     pos = order_position(df, order_by[0])
     base = df.withColumn("_fc_pos", pos)
     stats = base.groupBy(*series).agg(
@@ -185,10 +193,15 @@ def with_row_index(
 
 
 def ensure_index(df: DataFrame, order_by, series, index_col: str = RN, rows_per_bucket: int = ROWS_PER_BUCKET):
-    """Reuse an existing row index column, or compute one."""
+    """Reuse an existing row index column, or compute one.
+
+    Computing the index reads its input several times (statistics, bucket
+    summary, the rows themselves) and the chunked operators read the indexed
+    frame again for their chunk summaries, so the input is first checkpointed
+    into the shared folder: upstream work (scans, aggregations) runs once."""
     if index_col in df.columns:
         return df, False
-    return with_row_index(df, order_by, series, index_col, rows_per_bucket), True
+    return with_row_index(df, order_by, series, index_col, rows_per_bucket, materialize=True), True
 
 
 def halo_window(
@@ -431,6 +444,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     x = F.col(col)
     d = df.where(x.isNotNull()).groupBy(*by, x.cast("double").alias("_fc_v")).agg(F.count(F.lit(1)).alias("_fc_c"))
+    # the value-count table is read by the index, the running sum and the totals
+    d = with_row_index(d, ["_fc_v"], by, "_fc_qrn", rows_per_bucket, materialize=True)
     cum = running_sum(d, "_fc_c", "_fc_cum", ["_fc_v"], by, "_fc_qrn", chunk_rows, rows_per_bucket)
     if by:
         n = d.groupBy(*by).agg(F.sum("_fc_c").alias("_fc_n"))

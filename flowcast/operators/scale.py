@@ -76,7 +76,8 @@ def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.15, or
         indexed, s = with_scalars(df, df.agg(F.count(F.lit(1)).alias("n")), "_fc_cnt")
         n = s["n"]
     else:
-        indexed = ordered.with_row_index(df, order_by, series, index_col, rows_per_bucket, count_col="_fc_n")
+        indexed = ordered.with_row_index(df, order_by, series, index_col, rows_per_bucket, count_col="_fc_n",
+                                         materialize=True)
         n = F.col("_fc_n")
     a = F.floor(n.cast("double") * F.lit(float(train)))
     b = F.floor(n.cast("double") * F.lit(float(val)))
@@ -94,7 +95,7 @@ def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, va
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     hashed = df.withColumn("_fc_h", h).withColumn("_fc_hn", F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
     indexed = ordered.with_row_index(hashed, ["_fc_hn", "_fc_h", key], (), "_fc_r", rows_per_bucket,
-                                     count_col="_fc_n")
+                                     count_col="_fc_n", materialize=True)
     n = F.col("_fc_n").cast("double")
     held = F.ceil(n * F.lit(1.0 - train))
     n_test = F.ceil(held * F.lit(test / (val + test)))

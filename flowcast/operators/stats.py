@@ -75,7 +75,7 @@ def sensor_grid(long: DataFrame, n_cols: int = 9, sensor: str = "sensor_id", val
     (distributed row index over the per-sensor summary)."""
     from flowcast.operators.ordered import with_row_index
     means = long.groupBy(sensor).agg(F.avg(value).alias("mean_value"))
-    return with_row_index(means, [sensor], (), "_fc_i").select(
+    return with_row_index(means, [sensor], (), "_fc_i", materialize=True).select(
         sensor, "mean_value",
         F.floor(F.col("_fc_i") / n_cols).cast("int").alias("grid_row"),
         (F.col("_fc_i") % n_cols).cast("int").alias("grid_col"))

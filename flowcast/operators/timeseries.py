@@ -97,7 +97,9 @@ def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows
     """Sample autocorrelation r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2 for
     k = 0..nlags (NULL values dropped first), with the Bartlett 95% band
     1.96 * sqrt((1 + 2 sum_{j<k} r_j^2) / n) (1/n at lag 1, 0 at lag 0)."""
-    data = df.where(F.col(value).isNotNull()).select(*order_by, value)
+    from flowcast.session import cut_lineage
+    # read by the mean, the row index and the lag pass: materialise once
+    data = cut_lineage(df.where(F.col(value).isNotNull()).select(*order_by, value))
     d, s = with_scalars(data, data.agg(F.avg(value).alias("m")), "_fc_m")
     d = d.withColumn("_fc_d", F.col(value) - s["m"]).drop("_fc_m")
     indexed = ordered.with_row_index(d, order_by, (), RN, rows_per_bucket)
@@ -142,5 +144,5 @@ def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     column is ranked without a single-task window."""
     name = name or f"{col}_encoded"
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    codes = ordered.with_row_index(distinct, [col], (), name)
+    codes = ordered.with_row_index(distinct, [col], (), name, materialize=True)
     return df.join(codes, on=col, how="left")
