@@ -44,6 +44,8 @@ def resample_mean(df: DataFrame, width: str, cols: Sequence[str] | None = None,
     if bounds["lo"] is None:
         return agg
     spine = time_spine(df.sparkSession, bounds["lo"], bounds["hi"], width, ts)
+    # same timestamp type as the data (the collected bounds are session-local wall times)
+    spine = spine.select(F.col(ts).cast(agg.schema[ts].dataType).alias(ts))
     return spine.join(agg, on=[ts], how="left")
 
 

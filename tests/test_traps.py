@@ -231,3 +231,12 @@ def test_fit_on_train_uses_only_train_rows(spark):
     # a trending series scaled on its early part has a larger mean label than when scaled on all rows
     assert sum(yt.values()) > sum(ya.values())
     assert abs(sum(ya.values()) / len(ya)) < 0.5
+
+
+@pytest.mark.parametrize("tstype", ["timestamp_ntz", "timestamp"])
+def test_resample_gap_fill_keeps_timestamp_type(spark, tstype):
+    rows = [(dt.datetime(2024, 1, 1, 0, 1), 1.0), (dt.datetime(2024, 1, 1, 0, 2), 3.0), (dt.datetime(2024, 1, 1, 0, 16), 5.0)]
+    df = spark.createDataFrame(rows, f"ts {tstype}, x double")
+    out = ST.resample_mean(df, "5 minutes").orderBy("ts").collect()
+    assert [r["x"] for r in out] == [2.0, None, None, 5.0]
+    assert ST.resample_mean(df, "5 minutes").schema["ts"].dataType.typeName() == df.schema["ts"].dataType.typeName()
