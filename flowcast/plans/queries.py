@@ -824,7 +824,23 @@ def acf_hourly(spark, sf):
     return TS.acf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
 
 
-@register("pacf_hourly", None, ids="E9")
+def _pacf_sql(nlags: int = 48) -> str:
+    """Durbin-Levinson over the ACF list as a recursive CTE (phi_kk is the PACF at lag k)."""
+    return f"""WITH RECURSIVE a AS ({_acf_sql(nlags)}),
+rl AS (SELECT list(acf ORDER BY lag) AS r FROM a),
+dl(k, phi) AS (
+  SELECT 1, [r[2]] FROM rl
+  UNION ALL
+  SELECT k + 1, list_transform(phi, lambda x, j: x - pkk * phi[k + 1 - j]) || [pkk]
+  FROM (SELECT dl.k, dl.phi,
+               (rl.r[dl.k + 2] - list_sum(list_transform(dl.phi, lambda x, j: x * rl.r[dl.k + 2 - j])))
+             / (1.0 - list_sum(list_transform(dl.phi, lambda x, j: x * rl.r[j + 1]))) AS pkk
+        FROM dl, rl WHERE dl.k < {nlags}) s),
+n AS ({_hourly_series_sql()} SELECT count(x) AS n FROM s)
+SELECT lag, pacf, 1.96 / sqrt(n) AS band FROM (SELECT 0 AS lag, 1.0 AS pacf UNION ALL SELECT k, phi[k] FROM dl) p, n"""
+
+
+@register("pacf_hourly", wrap(_pacf_sql(), "pacf band", "lag"), ids="E9")
 def pacf_hourly(spark, sf):
     """Partial autocorrelation (Durbin-Levinson on the distributed ACF)."""
     return TS.pacf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
