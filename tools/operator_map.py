@@ -81,7 +81,7 @@ def main() -> None:
     out = ["# Operator map", "",
            "Every SURVEY section 2 id, the function that implements it (module paths below `flowcast.`),",
            "and the registered queries that exercise it. A query marked `(rows)` has no SQL twin (model",
-           "fits, random augmentation, the driver-side PACF recursion); every other query is compared with",
+           "fits and random augmentation); every other query is compared with",
            "its DuckDB twin. Regenerate with `python tools/operator_map.py`.", "",
            "| id | operator | implementation | queries |", "|---|---|---|---|"]
     for i, name in rows:
