@@ -35,8 +35,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "flo
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    do we create one of our own.
+    A cluster names a shared folder there; only a ``local`` master, where one
+    machine holds everything, gets a folder of its own when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="flowcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
