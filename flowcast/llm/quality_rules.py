@@ -29,10 +29,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
+WORD_BYTES = LETTERS + bytes(range(0x80, 0x100))  # letters of other scripts too
 WINDOW = 8
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-          "n_lines", "n_upper", "n_letters", "n_bang", "n_again", "n_stops")
+          "n_lines", "n_upper", "n_letters", "n_bang", "n_again", "n_stops", "n_plain")
 STATS_TYPE = "struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ">"
 
 
@@ -72,6 +73,7 @@ def text_stats(text: bytes) -> tuple[int, ...]:
         text.count(b"!"),
         sum(a == b for a, b in zip(words, words[1:])),
         sum(w[-1:] in b".?!" for w in words),
+        sum(not w.rstrip(b".,;:?").translate(None, WORD_BYTES) for w in words),
     )
 
 
@@ -85,31 +87,36 @@ def stats(text: Column) -> Column:
     return F.arrow_udf(_stats_of, STATS_TYPE)(text)
 
 
-# Rules: name, numerator, denominator, low, high. The rule votes good when
-# numerator / denominator is at most `low`, bad when above `high`, and abstains
-# between the two or when the denominator is 0. A last field turns the order round.
+# Rules: name, numerator, denominator, and the ratio beyond which the rule votes bad
+# ("above" or "below"). Most only accuse: when they see nothing bad they abstain, as that
+# says little about the other kinds of junk. The last two also vote good, from the ratio
+# in the last field on (up or down, away from bad). All abstain when the denominator is 0.
 RULES = (
-    ("symbols", "n_symbols", "n_words", 0.02, 0.10, False),
-    ("repeated_windows", "n_repeat_words", "n_words", 0.10, 0.30, False),
-    ("repeated_words", "n_again", "n_words", 0.10, 0.30, False),
-    ("upper_case", "n_upper", "n_letters", 0.15, 0.40, False),
-    ("exclamations", "n_bang", "n_words", 0.05, 0.25, False),
-    ("repeated_lines", "n_dup_lines", "n_lines", 0.10, 0.30, False),
-    ("long_words", "word_chars", "n_words", 8.0, 12.0, False),
-    ("short_words", "word_chars", "n_words", 3.0, 2.0, True),
-    ("sentence_ends", "n_stops", "n_words", 0.02, 0.004, True),
+    ("symbols", "n_symbols", "n_words", "above", 0.10, None),
+    ("repeated_windows", "n_repeat_words", "n_words", "above", 0.30, None),
+    ("repeated_words", "n_again", "n_words", "above", 0.30, None),
+    ("upper_case", "n_upper", "n_letters", "above", 0.40, None),
+    ("exclamations", "n_bang", "n_words", "above", 0.25, None),
+    ("repeated_lines", "n_dup_lines", "n_lines", "above", 0.30, None),
+    ("long_words", "word_chars", "n_words", "above", 15.0, None),
+    ("short_words", "word_chars", "n_words", "below", 2.0, None),
+    ("plain_words", "n_plain", "n_words", "below", 0.60, 0.90),
+    ("sentence_ends", "n_stops", "n_words", "below", 0.004, 0.02),
 )
-MIN_WORDS, GOOD_WORDS = 20, 50
+MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
 def votes(s: Column) -> Column:
     """One character a rule: g good, b bad, - abstains. The first is the length rule."""
-    parts = [F.when(s["n_words"] < MIN_WORDS, "b").when(s["n_words"] >= GOOD_WORDS, "g").otherwise("-")]
-    for _, num, den, good, bad, least in RULES:
+    parts = [F.when(s["n_words"] < MIN_WORDS, "b").otherwise("-")]
+    for _, num, den, side, bad, good in RULES:
         ratio = s[num] / F.nullif(s[den], F.lit(0))
-        yes, no = (ratio >= good, ratio < bad) if least else (ratio <= good, ratio > bad)
-        parts.append(F.when(yes, "g").when(no, "b").otherwise("-"))
+        accuse = ratio > bad if side == "above" else ratio < bad
+        vote = F.when(accuse, "b")
+        if good is not None:
+            vote = vote.when(ratio <= good if side == "above" else ratio >= good, "g")
+        parts.append(vote.otherwise("-"))
     return F.concat(*parts)
 
 
@@ -117,29 +124,33 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def fit(counts: dict[str, int], rounds: int = 200, strength: float = 20.0) -> dict[str, float]:
+def fit(counts: dict[str, int], rounds: int = 300, strength: float = 50.0) -> dict[str, float]:
     """Posterior probability of good for each vote pattern.
 
-    Two classes; a rule's votes are independent given the class; abstaining says
-    nothing. The first responsibilities come from the share of bad votes, and Beta
-    priors of weight ``strength`` (a rule votes bad on 3 in 10 bad and 2 in 100 good
-    documents) hold rules that seldom vote. ``counts`` has at most 3**rules entries."""
+    Two classes; the three outcomes of a rule (good, bad, abstain) are independent given
+    the class. The model holds how often good and bad documents get each outcome, that
+    is, the rule's accuracy and coverage. Dirichlet priors of weight ``strength`` hold
+    rules that seldom vote and tell the two classes apart. The first responsibilities
+    come from the bad votes. ``counts`` has at most 3**(rules + 1) entries."""
     patterns = sorted(counts)
     if not patterns:
         return {}
     n = np.array([counts[p] for p in patterns], float)
-    bad = np.array([[c == "b" for c in p] for p in patterns], float)
-    good = np.array([[c == "g" for c in p] for p in patterns], float)
-    q = 1 - 0.3 ** bad.sum(1)  # probability of the bad class
-    q = np.clip(q, 0.02, 0.98)
+    outcome = np.array([[["b", "g", "-"].index(c) for c in p] for p in patterns])
+    given = (outcome[:, :, None] == np.arange(3)).astype(float)  # pattern, rule, outcome
+    two_sided = np.array([False, *[r[-1] is not None for r in RULES]])[:outcome.shape[1], None]
+    prior = (np.where(two_sided, [0.3, 0.4, 0.3], [0.3, 0.0, 0.7]),  # in bad documents
+             np.where(two_sided, [0.01, 0.9, 0.09], [0.01, 0.0, 0.99]))  # in good ones
+    accused = (outcome == 0).sum(1)
+    q = np.where(accused > 0, 1 - 0.3 ** accused, 0.02)  # probability of being bad
     for _ in range(rounds):
         share = ((n * q).sum() + 0.1 * strength) / (n.sum() + strength)
-        rate = []
-        for weight, prior in ((n * q, 0.3), (n * (1 - q), 0.02)):
-            b, g = weight @ bad, weight @ good
-            rate.append((b + prior * strength) / (b + g + strength))
-        odds = np.log(share / (1 - share)) + bad @ np.log(rate[0] / rate[1]) \
-            + good @ np.log((1 - rate[0]) / (1 - rate[1]))
+        odds = np.full(len(n), np.log(share / (1 - share)))
+        logs = []
+        for weight, p in zip((n * q, n * (1 - q)), prior):
+            rate = (np.einsum("p,pro->ro", weight, given) + strength * p) / (weight.sum() + strength)
+            logs.append(np.log(np.maximum(rate, 1e-9)))
+        odds = odds + np.einsum("pro,ro->p", given, logs[0] - logs[1])
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         done = np.abs(new - q).max() < 1e-10
         q = new
