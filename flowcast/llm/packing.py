@@ -22,10 +22,10 @@ table; other columns never take part.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +68,9 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return where, start
 
 
-def _numbered(values: pd.Series, alone: bool) -> list[int]:
-    """Dense numbers; with ``alone``, -1 for values that occur once."""
-    codes, _ = pd.factorize(values, use_na_sentinel=False)
+def _numbered(values: pa.ChunkedArray, alone: bool) -> list[int]:
+    """Dense numbers, null being a value; with ``alone``, -1 for values that occur once."""
+    codes = values.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
     if alone:
         seen = np.bincount(codes, minlength=1)
         dense = np.cumsum(seen > 1) - 1
@@ -91,34 +91,32 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col:
     narrow = narrow.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     narrow = materialise(narrow.select(
         "id", "piece", F.least(n - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("size"),
-        "source", "cluster"), "pack-pieces")
+        "source", "cluster", F.monotonically_increasing_id().alias("salt")), "pack-pieces")
     # bounded by shard_rows: one more shard for every so many pieces
     shards = max(1, -(-narrow.count() // shard_rows))
     shard = F.pmod(F.xxhash64("id", "piece", "cluster", F.lit("shard")), F.lit(shards))
-    # a third of all rows may be equal; equal rows are dealt by a number of their own
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(shards))
+    # a third of all rows may be equal; equal rows are dealt by the number written with them
+    salt = F.pmod(F.xxhash64("salt"), F.lit(shards))
     repeated = narrow.groupBy("id", "piece").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     narrow = narrow.join(repeated.withColumnsRenamed({"id": "rid", "piece": "rpiece"}),
                          F.col("id").eqNullSafe(F.col("rid")) & (F.col("piece") == F.col("rpiece")), "left")
     dealt = narrow.withColumn("shard", F.when(F.col("copies").isNull(), shard).otherwise(salt)) \
-        .drop("rid", "rpiece", "copies")
-
-    def shard_bins(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "id", "piece"], ascending=[False, True, True],
-                                kind="stable", ignore_index=True)
-        full = rows["size"].to_numpy()
-        some = int((full > 0).sum())  # sizes of 0 come last
-        where, start = best_fit(full[:some].tolist(), _numbered(rows["source"][:some], False),
-                                _numbered(rows["cluster"][:some], True), capacity, max_per_source)
-        base = int(rows["shard"].iloc[0]) << BIN_BITS if len(rows) else 0
-        none = len(rows) - some
-        rows["bin"] = pd.array([base + b for b in where] + [None] * none, "Int64")
-        rows["start"] = pd.array(start + [None] * none, "Int64")
-        return rows[["id", "piece", "size", "source", "bin", "start"]]
+        .drop("rid", "rpiece", "copies", "salt")
+
+    def shard_bins(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("size", "descending"), ("id", "ascending"), ("piece", "ascending")]))
+        some = rows.filter(pc.greater(rows["size"], 0))  # sizes of 0 come last
+        where, start = best_fit(some["size"].to_pylist(), _numbered(some["source"], False),
+                                _numbered(some["cluster"], True), capacity, max_per_source)
+        base = rows["shard"][0].as_py() << BIN_BITS
+        none = [None] * (len(rows) - len(some))
+        return rows.select(["id", "piece", "size", "source"]) \
+            .append_column("bin", pa.array([base + b for b in where] + none, pa.int64())) \
+            .append_column("start", pa.array(start + none, pa.int64()))
 
     id_type = dict(narrow.dtypes)["id"]
     schema = f"id {id_type}, piece int, size bigint, source string, bin bigint, start bigint"
-    return dealt.groupBy("shard").applyInPandas(shard_bins, schema)
+    return dealt.groupBy("shard").applyInArrow(shard_bins, schema)
 
 
 def exact_copy_cluster(text: Column) -> Column:
