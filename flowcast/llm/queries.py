@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowcast.llm import line_dedup, mixing, packing, quality_rules, secrets, simhash, token_counts, voronoi
+from flowcast.llm import (line_dedup, mixing, packing, quality_gam, quality_rules, repeats, secrets, simhash,
+                          token_counts, voronoi)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op2_secret_scan": secrets.query,
     "op3_simhash": simhash.query,
     "op4_best_fit": packing.query,
+    "op5_suffix_dedup": repeats.query,
+    "op6_quality_gam": quality_gam.query,
     "op7_voronoi_topk": voronoi.query,
     "op8_quality_rules": quality_rules.query,
     "op9_line_dedup": line_dedup.query,
@@ -22,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # Twins that DuckDB can run on the same tables; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
+    "op5_suffix_dedup": repeats.query,
+    "op6_quality_gam": quality_gam.query,
     "op7_voronoi_topk": voronoi.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
