@@ -133,7 +133,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             ":", F.get(kinds, s["rule"]), s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["rule"] < BASE)
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{r.kind}")
-              for i, r in enumerate(RULES[:BASE])]
+
+    def count_of(rule: int):  # a second lambda parameter would be the place in the array
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long")
+
+    counts = [count_of(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES[:BASE])]
     return findings(docs, ledger).select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
