@@ -148,7 +148,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = materialise(linked.join(reps.withColumnRenamed("fp", "node"), "node"), "simhash-groups")
     least = owned.groupBy("root").agg(F.min("rep").alias("least"))
     named = owned.join(least, "root").select(F.col("node").alias("fp"), "least")
-    per_fp = reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that the last join shuffles both sides by itself and can split a
+    # fingerprint that very many rows share
+    per_fp = materialise(reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")),
+                         "simhash-named")
     return fps.join(per_fp, "fp").select("id", "k", "fp", "component_id")
 
 
