@@ -159,43 +159,47 @@ def fit(counts: dict[str, int], rounds: int = 300, strength: float = 50.0) -> di
     return {p: round(float(1 - x), 9) for p, x in zip(patterns, q)}
 
 
-def posterior(spark: SparkSession, pattern_counts: DataFrame) -> DataFrame:
-    """(pattern, p_good) for a frame of (pattern, n): its rows are bounded by the number of
-    vote patterns, not by the documents."""
-    counts = {r["pattern"]: r["n"] for r in pattern_counts.collect()}
-    return spark.createDataFrame(sorted(fit(counts).items()), "pattern string, p_good double")
+def vote_pattern(s: Column) -> Column:
+    """The votes, then F if the base verdict is a failure and P if not."""
+    return F.concat(votes(s), F.when(base_failed(s), "F").otherwise("P"))
+
+
+def verdicts(spark: SparkSession, pattern_counts: DataFrame, threshold: float) -> DataFrame:
+    """(pattern, p_good, base_failed, kept) for a frame of (pattern, n): its rows are
+    bounded by the number of vote patterns, not by the documents."""
+    seen = pattern_counts.collect()
+    counts: dict[str, int] = {}
+    for r in seen:
+        counts[r["pattern"][:-1]] = counts.get(r["pattern"][:-1], 0) + r["n"]
+    good = fit(counts)
+    rows = [(r["pattern"], good[r["pattern"][:-1]], r["pattern"][-1] == "F",
+             r["pattern"][-1] == "P" and good[r["pattern"][:-1]] >= threshold) for r in seen]
+    return spark.createDataFrame(sorted(rows), "pattern string, p_good double, base_failed boolean, kept boolean")
 
 
 def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5,
-          stats_col: str = "stats", failed_col: str = "base_failed",
-          p_col: str = "p_good", kept_col: str = "kept") -> DataFrame:
-    """``docs`` with the counts, the base verdict, the posterior and the final verdict.
-    Documents pass through in place; only vote patterns are counted and broadcast."""
+          failed_col: str = "base_failed", p_col: str = "p_good", kept_col: str = "kept") -> DataFrame:
+    """``docs`` with the base verdict, the posterior and the final verdict. Documents stay
+    in place; only vote patterns are counted and broadcast."""
     pattern, = fresh(docs, "vote_pattern")
-    voted = docs.withColumn(stats_col, stats(F.col(text_col)))
-    voted = voted.withColumn(pattern, votes(F.col(stats_col)))
+    voted = docs.withColumn(pattern, vote_pattern(stats(F.col(text_col))))
     counts = voted.groupBy(F.col(pattern).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    model = posterior(docs.sparkSession, counts).withColumnsRenamed({"pattern": pattern, "p_good": p_col})
-    failed = base_failed(F.col(stats_col))
-    return (voted.join(F.broadcast(model), pattern).drop(pattern)
-            .withColumn(failed_col, failed)
-            .withColumn(kept_col, ~F.col(failed_col) & (F.col(p_col) >= threshold)))
+    table = verdicts(docs.sparkSession, counts, threshold).withColumnsRenamed(
+        {"pattern": pattern, "p_good": p_col, "base_failed": failed_col, "kept": kept_col})
+    return voted.join(F.broadcast(table), pattern).drop(pattern)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with their columns as they came."""
-    extra = fresh(docs, "rule_stats", "rule_failed", "rule_p", "rule_kept")
-    return judge(docs, text_col, threshold, *extra).where(F.col(extra[3])).select(docs.columns)
+    extra = fresh(docs, "rule_failed", "rule_p", "rule_kept")
+    return judge(docs, text_col, threshold, *extra).where(F.col(extra[2])).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     # counts are kept once, narrow, instead of reading every text twice
     counted = materialise(docs.select("doc_id", stats(F.col("text")).alias("s")), "rule-stats")
-    voted = counted.withColumn("pattern", votes(F.col("s")))
-    model = posterior(spark, voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
-    out = (voted.join(F.broadcast(model), "pattern")
-           .withColumn("base_failed", base_failed(F.col("s")))
-           .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)))
-    return out.select("doc_id", *[F.col(f"s.{f}").alias(f) for f in FIELDS[:5]],
-                      "base_failed", "kept", "p_good")
+    voted = counted.withColumn("pattern", vote_pattern(F.col("s")))
+    table = verdicts(spark, voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), 0.5)
+    return voted.join(F.broadcast(table), "pattern").select(
+        "doc_id", *[F.col(f"s.{f}").alias(f) for f in FIELDS[:5]], "base_failed", "kept", "p_good")
