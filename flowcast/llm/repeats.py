@@ -272,8 +272,11 @@ def _with(texts: DataFrame, gathered: DataFrame, how: str = "inner") -> DataFram
 
 
 def _often(rows: DataFrame, keys: list[str], weight) -> DataFrame:
-    """Keys, under the names o_<key>, whose weights add up to two or more."""
-    return rows.groupBy(*[F.col(c).alias(f"o_{c}") for c in keys]).agg(F.sum(weight).alias("o_n")).where("o_n > 1")
+    """Keys, under the names o_<key>, whose weights add up to two or more. They are
+    written: a join with them then shuffles both sides by itself, and AQE can split the
+    rows of a key that very many texts share."""
+    return materialise(rows.groupBy(*[F.col(c).alias(f"o_{c}") for c in keys]).agg(F.sum(weight).alias("o_n"))
+                       .where("o_n > 1"), "repeat-often")
 
 
 def _match(rows: DataFrame, often: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -286,7 +289,7 @@ def _match(rows: DataFrame, often: DataFrame, keys: list[str], how: str = "inner
 
 
 def _renamed(keys: DataFrame) -> DataFrame:
-    return keys.distinct().toDF(*[f"o_{c}" for c in keys.columns])
+    return materialise(keys.distinct().toDF(*[f"o_{c}" for c in keys.columns]), "repeat-open")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
