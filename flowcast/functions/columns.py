@@ -58,7 +58,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             # (1 + 1e-12): see TIE_NUDGE in flowcast.plans.catalog
-            out.append(F.round(c.cast("double") * F.lit(1.0 + 1e-12), digits).alias(f.name))
+            # + 0.0 turns a rounded -0.0 into 0.0
+            out.append((F.round(c.cast("double") * F.lit(1.0 + 1e-12), digits) + F.lit(0.0)).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             out.append(c.cast("bigint").alias(f.name))
         elif isinstance(f.dataType, T.DateType):

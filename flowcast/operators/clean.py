@@ -1,8 +1,8 @@
 """Cleaning: row means, completeness, IQR filter/clip, null profile, fills,
 projections (B1-B5, B9-B13).
 
-Scalars such as quartiles are computed by one aggregation and attached with a
-one-row broadcast cross join, so the plan stays a single lazy DataFrame.
+Scalars such as quartiles come from one-row frames and are attached as scalar
+subqueries, so no join is planned for them.
 """
 
 from __future__ import annotations
@@ -46,51 +46,31 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.na.drop("any", subset=list(cols) if cols else None)
 
 
-# Above this many distinct values a column's exact quantiles are computed with the
-# distributed method; below it Spark's ``percentile`` (whose final merge holds
-# every distinct value of the column in one task) is both safe and cheaper.
-PERCENTILE_MAX_DISTINCT = 1_000_000
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact") -> DataFrame:
+    """One-row frame of linearly interpolated quantiles ``<col>_q<p*100>``.
 
-
-def choose_quantile_method(df: DataFrame, cols: Sequence[str]) -> str:
-    """Size check behind the quantile strategy: one ``approx_count_distinct`` job
-    (HyperLogLog, fixed-size state) returning one number per column."""
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in cols]).first()
-    worst = max((row[c] or 0) for c in cols) if row else 0
-    return "percentile" if worst <= PERCENTILE_MAX_DISTINCT * 0.9 else "distributed"
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto") -> DataFrame:
-    """One-row frame of exact linearly interpolated quantiles ``<col>_q<p*100>``.
-
-    ``method``: ``"auto"`` (default) picks by a checked size (see
-    :func:`choose_quantile_method`); ``"distributed"`` -- exact, via value counts
-    and a distributed running sum (:func:`ordered.exact_quantiles`), so no task
-    holds all distinct values; ``"percentile"`` -- Spark's exact ``percentile``
-    aggregate; ``"approx"`` -- ``percentile_approx`` sketches (not exact)."""
+    ``method``: ``"exact"`` (default) -- value counts and a distributed running total
+    (:func:`ordered.exact_quantiles`), the same plan at every size, so no task holds
+    all distinct values; ``"approx"`` -- ``percentile_approx`` sketches."""
     labels = lambda c: [f"{c}_q{round(p * 100):02d}" for p in probs]
-    if method == "auto":
-        method = choose_quantile_method(df, cols)
-    if method == "distributed":
-        cols = list(cols)
-        if len(cols) == 1:
-            return ordered.exact_quantiles(df, cols[0], probs, names=labels(cols[0]))
+    cols = list(cols)
+    if method == "approx":
+        return df.agg(*[F.percentile_approx(F.col(c), p, 10000).alias(label)
+                        for c in cols for p, label in zip(probs, labels(c))])
+    if len(cols) == 1:
+        q = ordered.exact_quantiles(df, cols[0], probs, names=labels(cols[0]))
+    else:
         # all columns in one pass: (column, value) long form, quantiles grouped by column
         long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
             [], cols, "_fc_col", "_fc_val")
         q = ordered.exact_quantiles(long, "_fc_val", probs, by=["_fc_col"],
                                     names=[f"_fc_p{i}" for i in range(len(probs))])
-        return q.agg(*[F.max(F.when(F.col("_fc_col") == c, F.col(f"_fc_p{i}"))).alias(label)
-                       for c in cols for i, label in enumerate(labels(c))])
-    aggs = []
-    for c in cols:
-        for p, label in zip(probs, labels(c)):
-            fn = F.percentile_approx(F.col(c), p, 10000) if method == "approx" else F.percentile(F.col(c), F.lit(p))
-            aggs.append(fn.alias(label))
-    return df.agg(*aggs)
+        q = q.agg(*[F.max(F.when(F.col("_fc_col") == c, F.col(f"_fc_p{i}"))).alias(label)
+                    for c in cols for i, label in enumerate(labels(c))])
+    return q
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """One row with ``<c>_lo``/``<c>_hi`` = Q1 - k IQR, Q3 + k IQR for each column."""
     q = quantiles(df, cols, (0.25, 0.75), method)
     out = []
@@ -100,13 +80,13 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
     return q.select(*out)
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") -> DataFrame:
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "exact") -> DataFrame:
     """Keep rows with Q1 - k IQR <= x <= Q3 + k IQR (inclusive)."""
     j, b = with_scalars(df, iqr_bounds(df, [col], k, method), "_fc_iqr")
     return j.where((F.col(col) >= b[f"{col}_lo"]) & (F.col(col) <= b[f"{col}_hi"])).drop("_fc_iqr")
 
 
-def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> DataFrame:
+def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """Winsorise each column to its IQR fences (NULLs stay NULL)."""
     cols = list(cols)
     j, b = with_scalars(df, iqr_bounds(df, cols, k, method), "_fc_iqr")

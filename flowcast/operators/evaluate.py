@@ -68,12 +68,19 @@ def combined_loss(preds: DataFrame, by: Sequence[str] = ("model", "variant"), ep
                      + 0.2 * (F.lit(1.0) - r2)).alias("combined_loss"))
 
 
+def _paired_metrics(metrics: DataFrame, model: str) -> DataFrame:
+    """One row a model that has both variants: b_<metric> and e_<metric>."""
+    pick = lambda v, m: F.max(F.when(F.col("variant") == v, F.col(m)))
+    g = metrics.groupBy(model).agg(
+        *[pick("baseline", m).alias(f"b_{m}") for m in METRICS], *[pick("enhanced", m).alias(f"e_{m}") for m in METRICS],
+        F.count_if(F.col("variant") == "baseline").alias("_fc_nb"), F.count_if(F.col("variant") == "enhanced").alias("_fc_ne"))
+    return g.where("_fc_nb > 0 and _fc_ne > 0").drop("_fc_nb", "_fc_ne")
+
+
 def improvements(metrics: DataFrame, model: str = "model") -> DataFrame:
     """K5: per model, relative improvement in percent of RMSE, MAE and MAPE
     ((base - enh) / base * 100) and the R2 gain in points ((enh - base) * 100)."""
-    b = metrics.where(F.col("variant") == "baseline").select(model, *[F.col(m).alias(f"b_{m}") for m in METRICS])
-    e = metrics.where(F.col("variant") == "enhanced").select(model, *[F.col(m).alias(f"e_{m}") for m in METRICS])
-    j = b.join(e, model)
+    j = _paired_metrics(metrics, model)
     rel = lambda m: clean_double(F.try_divide(F.col(f"b_{m}") - F.col(f"e_{m}"), F.col(f"b_{m}")) * 100.0)
     return j.select(model,
                     rel("rmse").alias("rmse_improvement"),
@@ -132,9 +139,7 @@ def improvement_matrix(imp: DataFrame, model: str = "model") -> DataFrame:
 
 def radar_ratios(metrics: DataFrame, model: str = "model") -> DataFrame:
     """Enhanced / baseline per metric; inverted (baseline / enhanced) for R2."""
-    b = metrics.where(F.col("variant") == "baseline").select(model, *[F.col(m).alias(f"b_{m}") for m in METRICS])
-    e = metrics.where(F.col("variant") == "enhanced").select(model, *[F.col(m).alias(f"e_{m}") for m in METRICS])
-    j = b.join(e, model)
+    j = _paired_metrics(metrics, model)
     ratio = {m: F.try_divide(F.col(f"e_{m}"), F.col(f"b_{m}")) for m in ("rmse", "mae", "mape")}
     ratio["r2"] = F.try_divide(F.col("b_r2"), F.col("e_r2"))
     return j.select(model, *[clean_double(ratio[m]).alias(f"{m}_ratio") for m in METRICS])
@@ -197,10 +202,9 @@ def history_long(history: DataFrame, keys: Sequence[str] = ("model", "variant"))
                        "value")
 
 
-def prediction_series(paired: DataFrame, n: int, model: str = "model", ts: str = "ts",
-                      rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> DataFrame:
+def prediction_series(paired: DataFrame, n: int, model: str = "model", ts: str = "ts") -> DataFrame:
     """The first ``n`` aligned (truth, baseline, enhanced) rows of each model in
     time order; positions come from the distributed row index, not a per-model
     single-task window."""
-    idx = ordered.with_row_index(paired, [ts], [model], "_fc_pos", rows_per_bucket, materialize=True)
+    idx = ordered.with_row_index(paired, [ts], [model], "_fc_pos")
     return idx.where(F.col("_fc_pos") < n).drop("_fc_pos")

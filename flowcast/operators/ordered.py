@@ -3,24 +3,28 @@
 ``Window.orderBy(ts)`` with no partition moves every row of a series into one
 task. Here a series is ordered in two distributed steps instead:
 
-1. **Row index (E11).** Rows are cut into coarse buckets of the ordering key
-   (bucket count per series = ceil(n / rows_per_bucket), so a bucket holds about
-   ``rows_per_bucket`` rows on average). A per-bucket count summary is small;
-   a running sum over it gives each bucket's offset, and
-   ``rn = offset + row_number() over (series, bucket)``. Everything is
-   declarative and recomputes identically after an executor loss.
-2. **Halo chunks.** With ``rn`` known, rows are grouped into chunks of
+1. **Running total (E11 and quantiles).** One range shuffle by the full typed keys
+   (series columns, then ordering columns) puts neighbouring rows into the same or
+   neighbouring partitions; the partition number is written with each row into the
+   shared checkpoint folder. The sum of weights per partition (and series) is small;
+   a running sum over it gives each partition's offset, and the window inside a
+   partition gives the rest. Boundaries come from the data, so dense regions,
+   outliers, long shared prefixes and heavy first keys are spread alike, and every
+   type orders as ``ORDER BY`` does (NULL first).
+2. **Halo chunks.** With the row number known, rows are grouped into chunks of
    ``chunk_rows`` consecutive positions; rows within ``back`` positions before a
    chunk (and ``ahead`` after it) are copied into that chunk, so any frame that
    looks at most ``back`` rows back and ``ahead`` rows forward is exact inside
    the chunk. Only each chunk's own rows are kept afterwards.
 
 Unbounded frames (forward/backward fill, running sums) use one small summary
-per chunk (last value, sum), a prefix over the summaries, and a join back.
+per chunk (last value, sum), a prefix over the summaries, and a join back. Frames
+that look forward run as frames that look back over the descending order, so all are
+linear in the chunk.
 
 Per-series ordering (``series`` columns) works the same way, with every step
 partitioned by the series columns as well, so a very long series is still split
-into many tasks.
+into many tasks. A NULL series key is a series.
 """
 
 from __future__ import annotations
@@ -31,15 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowcast.functions.columns import with_scalars
+from flowcast.session import cut_lineage
 
-# Defaults sized for cluster-scale inputs; tests pass small values to exercise
-# bucket and chunk borders.
-ROWS_PER_BUCKET = 200_000
+# Consecutive rows that one window task handles.
 CHUNK_ROWS = 200_000
 
 RN = "rn"
-_B = "_fc_bucket"
+_PART = "_fc_part"
 _CHUNK = "_fc_chunk"
 _HOME = "_fc_home"
 
@@ -56,8 +58,8 @@ def _names(cols) -> list[str]:
     return [c for c in _as_list(cols)]
 
 
-def order_position(df: DataFrame, c: str) -> Column:
-    """Monotone DOUBLE position of an ordering column (timestamps in microseconds)."""
+def time_position(df: DataFrame, c: str) -> Column:
+    """DOUBLE position of a time or numeric column (timestamps in microseconds)."""
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampNTZType):
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)").cast("double")
@@ -65,143 +67,57 @@ def order_position(df: DataFrame, c: str) -> Column:
         return F.unix_micros(F.col(c)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(c)).cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # strings order by their UTF-8 bytes: the first 7 bytes (zero padded) read as
-        # a number are monotone in that order; equal prefixes share a bucket and are
-        # ordered exactly by the window inside it
-        raw = F.encode(F.col(c), "UTF-8") if isinstance(dt, T.StringType) else F.col(c)
-        prefix = F.rpad(F.substring(raw, 1, 7), 7, F.lit(bytes(1)))
-        return F.conv(F.hex(prefix), 16, 10).cast("double")
     return F.col(c).cast("double")
 
 
-# Hot first-key values: how many are split at most (the rest stay exact, in one
-# bucket each), and the sample size used to propose them.
-HOT_KEYS_MAX = 10_000
-HOT_SAMPLE_ROWS = 1_000_000
-
-
-def _split_hot_keys(bucketed: DataFrame, series: list[str], order_by: list[str], rows_per_bucket: int,
-                    n_total: int) -> tuple[DataFrame, list[str]]:
-    """Give rows whose FIRST ordering value is shared by more than ``rows_per_bucket``
-    rows their own segment of the bucket, split into pieces by the next ordering
-    column, so no bucket holds such a group whole.
-
-    Candidates come from a seeded sample and are verified with exact counts over
-    all rows; only verified values (at most HOT_KEYS_MAX, broadcast) are split.
-    Within a bucket the segment number is 2 * (hot values below the row's value)
-    + (1 if the row's value is hot), so (bucket, segment, piece) follows the
-    row order."""
-    k1, k2 = order_by[0], order_by[1]
-    frac = min(1.0, HOT_SAMPLE_ROWS / max(n_total, 1))
-    need = max(3.0, rows_per_bucket * frac / 2.0)
-    cand_df = (bucketed.sample(fraction=frac, seed=17).groupBy(*series, k1).count()
-                       .where(F.col("count") >= need).orderBy(F.col("count").desc()).limit(HOT_KEYS_MAX)
-                       .select(*series, k1))
-    cand_rows = cand_df.collect()  # at most HOT_KEYS_MAX candidate values
-    if not cand_rows:
-        return bucketed, []
-    spark = bucketed.sparkSession
-    # a fresh local relation (not a plan derived from ``bucketed``), so no self-join
-    cand = spark.createDataFrame(cand_rows, cand_df.schema)
-    pos2 = order_position(bucketed, k2)
-    hot = (bucketed.join(F.broadcast(cand), [*series, k1], "left_semi")
-                   .groupBy(*series, k1, _B, "_fc_pos")
-                   .agg(F.count(F.lit(1)).alias("_fc_hn"), F.min(pos2).alias("_fc_h2lo"), F.max(pos2).alias("_fc_h2hi"))
-                   .where(F.col("_fc_hn") > rows_per_bucket))
-    rows = hot.collect()  # at most HOT_KEYS_MAX small rows: the verified hot values
-    if not rows:
-        return bucketed, []
-    hot_df = spark.createDataFrame(rows, hot.schema)
-    per_bucket = hot_df.groupBy(*series, _B).agg(F.array_sort(F.collect_list("_fc_pos")).alias("_fc_hl"))
-    j = (bucketed.join(F.broadcast(hot_df.drop(_B, "_fc_pos")), [*series, k1], "left")
-                 .join(F.broadcast(per_bucket), [*series, _B], "left"))
-    below = F.coalesce(F.size(F.filter(F.col("_fc_hl"), lambda h: h < F.col("_fc_pos"))), F.lit(0))
-    is_hot = F.col("_fc_hn").isNotNull()
-    m = F.ceil(F.col("_fc_hn") / F.lit(float(rows_per_bucket)))
-    span = F.col("_fc_h2hi") - F.col("_fc_h2lo")
-    piece = F.when(is_hot & (span > 0),
-                   F.least(F.floor((pos2 - F.col("_fc_h2lo")) / span * m), m - 1)).otherwise(F.lit(0))
-    out = (j.withColumn("_fc_seg", (below * 2 + is_hot.cast("int")).cast("long"))
-            .withColumn("_fc_piece", piece.cast("long"))
-            .drop("_fc_hn", "_fc_h2lo", "_fc_h2hi", "_fc_hl"))
-    return out, ["_fc_seg", "_fc_piece"]
-
-
-def with_row_index(
-    df: DataFrame,
-    order_by: Sequence[str] = ("ts",),
-    series: Sequence[str] = (),
-    name: str = RN,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    count_col: str | None = None,
-    split_hot: bool = True,
-    materialize: bool = False,
-) -> DataFrame:
-    """0-based row number per series in ``order_by`` order, computed without a
-    single-partition window. ``order_by`` must be unique within a series (add a
-    tie-breaker column). Optionally attaches the series length as ``count_col``.
+def _join_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-key summary back; NULL keys match."""
+    renamed = summary.withColumnsRenamed({k: f"_fc_key_{i}" for i, k in enumerate(keys)})
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(f"`{k}`").eqNullSafe(F.col(f"_fc_key_{i}"))
+        on = same if on is None else on & same
+    return df.join(renamed, on, how).drop(*[f"_fc_key_{i}" for i in range(len(keys))])
 
-    With ``split_hot`` and a second ordering column, first-column values shared
-    by more rows than ``rows_per_bucket`` are split further by the second column
-    (see :func:`_split_hot_keys`); this costs one sampling job.
 
-    The input is read several times (statistics, bucket summary, rows); with
-    ``materialize`` it is first checkpointed into the shared folder, so an
-    expensive upstream plan runs once."""
+def running_total(df: DataFrame, order_by: Sequence[str], series: Sequence[str], name: str,
+                  weight: str | None = None, total: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Sum of ``weight`` (1 if none) over the rows before each row of its series, and
+    optionally the series' whole sum as ``total``. ``order_by`` must be unique within a
+    series (add a tie-breaker column). ``partitions`` fixes the number of ranges."""
     order_by, series = _names(order_by), _names(series)
-    if materialize:
-        from flowcast.session import cut_lineage
-        df = cut_lineage(df)
-    pos = order_position(df, order_by[0])
-    base = df.withColumn("_fc_pos", pos)
-    stats = base.groupBy(*series).agg(
-        F.min("_fc_pos").alias("_fc_min"),
-        F.max("_fc_pos").alias("_fc_max"),
-        F.count(F.lit(1)).alias("_fc_n"),
-    )
-    nb = F.greatest(F.ceil(F.col("_fc_n") / F.lit(float(rows_per_bucket))), F.lit(1))
-    span = F.col("_fc_max") - F.col("_fc_min")
-    bucket = F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_fc_pos") - F.col("_fc_min")) / span * nb), nb - 1)
-    ).cast("long")
-    if series:
-        with_stats = base.join(stats, on=series, how="inner")
-    else:
-        # one-row statistics attached as scalar subqueries
-        with_stats, s = with_scalars(base, stats, "_fc_st")
-        with_stats = with_stats.select("*", *[v.alias(k) for k, v in s.items()]).drop("_fc_st")
-    bucketed = with_stats.withColumn(_B, bucket).drop("_fc_min", "_fc_max")
-    extra: list[str] = []
-    if split_hot and len(order_by) > 1:
-        n_total = stats.agg(F.sum("_fc_n")).first()[0] or 0
-        if n_total > rows_per_bucket:
-            bucketed, extra = _split_hot_keys(bucketed, series, order_by, rows_per_bucket, n_total)
-    bucketed = bucketed.drop("_fc_pos")
-    keys = [_B, *extra]
-    summary = bucketed.groupBy(*series, *keys).agg(F.count(F.lit(1)).alias("_fc_cnt"))
-    ws = Window.partitionBy(*series).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(*series, *keys, F.coalesce(F.sum("_fc_cnt").over(ws), F.lit(0)).alias("_fc_off"))
-    joined = bucketed.join(summary, on=[*series, *keys], how="inner")
-    w = Window.partitionBy(*series, *keys).orderBy(*order_by)
-    out = joined.withColumn(name, (F.col("_fc_off") + F.row_number().over(w) - 1).cast("long"))
-    if count_col:
-        out = out.withColumnRenamed("_fc_n", count_col)
+    keys = [F.col(f"`{k}`") for k in [*series, *order_by]]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    tagged = cut_lineage(ranged.withColumn(_PART, F.spark_partition_id()))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    summary = tagged.groupBy(*series, _PART).agg(amount.alias("_fc_s"))
+    earlier = Window.partitionBy(*series).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*series, _PART, F.coalesce(F.sum("_fc_s").over(earlier), F.lit(0)).alias("_fc_off")]
+    if total:
+        cols.append(F.sum("_fc_s").over(Window.partitionBy(*series)).alias(total))
+    joined = _join_summary(tagged, summary.select(*cols), [*series, _PART])
+    w = Window.partitionBy(*series, _PART).orderBy(*order_by)
+    if weight is None:
+        inside = F.row_number().over(w) - 1
     else:
-        out = out.drop("_fc_n")
-    return out.drop(_B, "_fc_off", *extra)
+        inside = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    return joined.withColumn(name, F.col("_fc_off") + inside).drop(_PART, "_fc_off")
 
 
-def ensure_index(df: DataFrame, order_by, series, index_col: str = RN, rows_per_bucket: int = ROWS_PER_BUCKET):
-    """Reuse an existing row index column, or compute one.
+def with_row_index(df: DataFrame, order_by: Sequence[str] = ("ts",), series: Sequence[str] = (), name: str = RN,
+                   count_col: str | None = None, partitions: int | None = None) -> DataFrame:
+    """0-based row number per series in ``order_by`` order, optionally with the
+    series length as ``count_col``. See :func:`running_total`."""
+    out = running_total(df, order_by, series, name, None, count_col, partitions)
+    return out.withColumn(name, F.col(name).cast("long"))
 
-    Computing the index reads its input several times (statistics, bucket
-    summary, the rows themselves) and the chunked operators read the indexed
-    frame again for their chunk summaries, so the input is first checkpointed
-    into the shared folder: upstream work (scans, aggregations) runs once."""
+
+def ensure_index(df: DataFrame, order_by, series, index_col: str = RN):
+    """Reuse an existing row index column, or compute one and write the indexed frame,
+    which the chunked operators read more than once."""
     if index_col in df.columns:
         return df, False
-    return with_row_index(df, order_by, series, index_col, rows_per_bucket, materialize=True), True
+    return cut_lineage(with_row_index(df, order_by, series, index_col)), True
 
 
 def halo_window(
@@ -243,10 +159,10 @@ def full_avg(x: str, w: Window, size: int, offset: int = 0) -> Column:
 
 
 def lag_columns(df: DataFrame, x: str, lags: Sequence[int], order_by=("ts",), series=(), prefix: str | None = None,
-                index_col: str = RN, chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                index_col: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``x`` shifted by each lag (row-based)."""
     prefix = prefix or f"{x}_lag"
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
+    indexed, added = ensure_index(df, order_by, series, index_col)
     out = halo_window(
         indexed, lambda w: {f"{prefix}{k}": F.lag(F.col(x), k).over(w) for k in lags},
         series, index_col, back=max(lags), chunk_rows=chunk_rows)
@@ -254,10 +170,10 @@ def lag_columns(df: DataFrame, x: str, lags: Sequence[int], order_by=("ts",), se
 
 
 def rolling_means(df: DataFrame, x: str, sizes: Sequence[int], order_by=("ts",), series=(), prefix: str | None = None,
-                  index_col: str = RN, chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  index_col: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Trailing means over full windows only."""
     prefix = prefix or f"{x}_ma"
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
+    indexed, added = ensure_index(df, order_by, series, index_col)
     out = halo_window(
         indexed, lambda w: {f"{prefix}{s}": full_avg(x, w, s) for s in sizes},
         series, index_col, back=max(sizes) - 1, chunk_rows=chunk_rows)
@@ -265,9 +181,9 @@ def rolling_means(df: DataFrame, x: str, sizes: Sequence[int], order_by=("ts",),
 
 
 def diffs(df: DataFrame, cols: dict[str, str], order_by=("ts",), series=(), index_col: str = RN,
-          chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``{new_name: source}`` -> source minus its previous row."""
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
+    indexed, added = ensure_index(df, order_by, series, index_col)
     out = halo_window(
         indexed, lambda w: {k: F.col(v) - F.lag(F.col(v), 1).over(w) for k, v in cols.items()},
         series, index_col, back=1, chunk_rows=chunk_rows)
@@ -280,147 +196,110 @@ def _chunked(df: DataFrame, index_col: str, chunk_rows: int) -> DataFrame:
     return df.withColumn(_CHUNK, F.floor(F.col(index_col) / F.lit(chunk_rows)).cast("long"))
 
 
+def _neighbours(indexed: DataFrame, values: Sequence[Column], series: Sequence[str], index_col: str, chunk_rows: int,
+                before: bool, after: bool) -> DataFrame:
+    """``indexed`` with, for the i-th value, ``_fc_p{i}`` (the last non-null one at or
+    before the row) and/or ``_fc_n{i}`` (the first at or after it)."""
+    ch = _chunked(indexed, index_col, chunk_rows).withColumns({f"_fc_v{i}": v for i, v in enumerate(values)})
+    n = range(len(values))
+    aggs = []
+    for i in n:
+        if before:
+            aggs.append(F.expr(f"max_by(_fc_v{i}, `{index_col}`) FILTER (WHERE _fc_v{i} IS NOT NULL)").alias(f"_fc_l{i}"))
+        if after:
+            aggs.append(F.expr(f"min_by(_fc_v{i}, `{index_col}`) FILTER (WHERE _fc_v{i} IS NOT NULL)").alias(f"_fc_f{i}"))
+    summary = ch.groupBy(*series, _CHUNK).agg(*aggs)
+    past = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*series).orderBy(F.col(_CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = []
+    for i in n:
+        if before:
+            carry.append(F.last(f"_fc_l{i}", ignorenulls=True).over(past).alias(f"_fc_l{i}"))
+        if after:
+            carry.append(F.last(f"_fc_f{i}", ignorenulls=True).over(future).alias(f"_fc_f{i}"))
+    joined = _join_summary(ch, summary.select(*series, _CHUNK, *carry), [*series, _CHUNK], "left")
+    up = Window.partitionBy(*series, _CHUNK).orderBy(index_col).rowsBetween(Window.unboundedPreceding, 0)
+    # looking forward is looking back over the descending order: linear, unlike a frame
+    # that ends at unboundedFollowing
+    down = Window.partitionBy(*series, _CHUNK).orderBy(F.col(index_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for i in n:
+        if before:
+            out[f"_fc_p{i}"] = F.coalesce(F.last(f"_fc_v{i}", ignorenulls=True).over(up), F.col(f"_fc_l{i}"))
+        if after:
+            out[f"_fc_n{i}"] = F.coalesce(F.last(f"_fc_v{i}", ignorenulls=True).over(down), F.col(f"_fc_f{i}"))
+    return joined.select(*[F.col(f"`{c}`") for c in indexed.columns], *[c.alias(k) for k, c in out.items()],
+                         *[f"_fc_v{i}" for i in n])
+
+
+def _filled(df, cols, order_by, series, index_col, chunk_rows, before: bool, after: bool) -> DataFrame:
+    cols, series = list(cols), _names(series)
+    if not cols:
+        return df
+    indexed, added = ensure_index(df, order_by, series, index_col)
+    near = _neighbours(indexed, [F.col(f"`{c}`") for c in cols], series, index_col, chunk_rows, before, after)
+
+    def value(c):
+        i = cols.index(c)
+        return F.coalesce(*([F.col(f"_fc_p{i}")] if before else []), *([F.col(f"_fc_n{i}")] if after else []))
+
+    out = near.select(*[value(c).alias(c) if c in cols else F.col(f"`{c}`") for c in indexed.columns])
+    return out.drop(index_col) if added else out
+
+
 def fill_forward(df: DataFrame, cols: Sequence[str], order_by=("ts",), series=(), index_col: str = RN,
-                 chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Last non-null value carried forward (leading NULLs stay)."""
-    return _fill(df, cols, order_by, series, index_col, chunk_rows, rows_per_bucket, forward=True)
+    return _filled(df, cols, order_by, series, index_col, chunk_rows, True, False)
 
 
 def fill_backward(df: DataFrame, cols: Sequence[str], order_by=("ts",), series=(), index_col: str = RN,
-                  chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Next non-null value carried back (trailing NULLs stay)."""
-    return _fill(df, cols, order_by, series, index_col, chunk_rows, rows_per_bucket, forward=False)
+    return _filled(df, cols, order_by, series, index_col, chunk_rows, False, True)
 
 
 def fill_both(df: DataFrame, cols: Sequence[str], order_by=("ts",), series=(), index_col: str = RN,
-              chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """B7 then B8 in ONE pass: forward fill, then the leading NULLs take the first
-    value (ffill-then-bfill equals coalesce(ffill, bfill)). One chunk summary, one
-    join and one window pass instead of two of each."""
-    cols, series = list(cols), _names(series)
-    if not cols:
-        return df
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
-    ch = _chunked(indexed, index_col, chunk_rows)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.expr(f"max_by(`{c}`, `{index_col}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_fc_l{i}"))
-        aggs.append(F.expr(f"min_by(`{c}`, `{index_col}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_fc_f{i}"))
-    summary = ch.groupBy(*series, _CHUNK).agg(*aggs)
-    wb = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    wa = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carry = []
-    for i in range(len(cols)):
-        carry.append(F.last(f"_fc_l{i}", ignorenulls=True).over(wb).alias(f"_fc_pc{i}"))
-        carry.append(F.first(f"_fc_f{i}", ignorenulls=True).over(wa).alias(f"_fc_nc{i}"))
-    summary = summary.select(*series, _CHUNK, *carry)
-    joined = ch.join(summary, on=[*series, _CHUNK], how="left")
-    w = Window.partitionBy(*series, _CHUNK).orderBy(index_col)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    out = []
-    for c in ch.columns:
-        if c == _CHUNK:
-            continue
-        if c in cols:
-            i = cols.index(c)
-            out.append(F.coalesce(F.last(F.col(c), ignorenulls=True).over(before), F.col(f"_fc_pc{i}"),
-                                  F.first(F.col(c), ignorenulls=True).over(after), F.col(f"_fc_nc{i}")).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    filled = joined.select(*out)
-    return filled.drop(index_col) if added else filled
-
-
-def _fill(df, cols, order_by, series, index_col, chunk_rows, rows_per_bucket, forward: bool) -> DataFrame:
-    cols, series = list(cols), _names(series)
-    if not cols:
-        return df
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
-    ch = _chunked(indexed, index_col, chunk_rows)
-    pick = "max_by" if forward else "min_by"
-    summary = ch.groupBy(*series, _CHUNK).agg(*[
-        F.expr(f"{pick}(`{c}`, `{index_col}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_fc_edge_{i}")
-        for i, c in enumerate(cols)
-    ])
-    if forward:
-        ws = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = [F.last(f"_fc_edge_{i}", ignorenulls=True).over(ws).alias(f"_fc_carry_{i}") for i in range(len(cols))]
-    else:
-        ws = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-        carry = [F.first(f"_fc_edge_{i}", ignorenulls=True).over(ws).alias(f"_fc_carry_{i}") for i in range(len(cols))]
-    summary = summary.select(*series, _CHUNK, *carry)
-    joined = ch.join(summary, on=[*series, _CHUNK], how="left")
-    w = Window.partitionBy(*series, _CHUNK).orderBy(index_col)
-    frame = (w.rowsBetween(Window.unboundedPreceding, 0) if forward
-             else w.rowsBetween(0, Window.unboundedFollowing))
-    agg = (lambda c: F.last(F.col(c), ignorenulls=True)) if forward else (lambda c: F.first(F.col(c), ignorenulls=True))
-    filled = joined.select(*[
-        F.coalesce(agg(c).over(frame), F.col(f"_fc_carry_{cols.index(c)}")).alias(c) if c in cols else F.col(f"`{c}`")
-        for c in ch.columns if c != _CHUNK
-    ])
-    return filled.drop(index_col) if added else filled
+    value (ffill-then-bfill equals coalesce(ffill, bfill))."""
+    return _filled(df, cols, order_by, series, index_col, chunk_rows, True, True)
 
 
 def interpolate_time(df: DataFrame, cols: Sequence[str], ts: str = "ts", order_by=None, series=(),
-                     index_col: str = RN, chunk_rows: int = CHUNK_ROWS,
-                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                     index_col: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Linear interpolation in time between the neighbouring non-null values;
     trailing NULLs take the last value, leading NULLs stay NULL."""
     cols, series = list(cols), _names(series)
     order_by = _names(order_by) or [ts]
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
-    ch = _chunked(indexed, index_col, chunk_rows).withColumn("_fc_t", order_position(indexed, ts))
-    pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("_fc_t").alias("t"), F.col(c).alias("v")))
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.expr(f"max_by(named_struct('t', _fc_t, 'v', `{c}`), `{index_col}`) "
-                           f"FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_fc_last_{i}"))
-        aggs.append(F.expr(f"min_by(named_struct('t', _fc_t, 'v', `{c}`), `{index_col}`) "
-                           f"FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_fc_first_{i}"))
-    summary = ch.groupBy(*series, _CHUNK).agg(*aggs)
-    wb = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    wa = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    carry = []
-    for i in range(len(cols)):
-        carry.append(F.last(f"_fc_last_{i}", ignorenulls=True).over(wb).alias(f"_fc_pc_{i}"))
-        carry.append(F.first(f"_fc_first_{i}", ignorenulls=True).over(wa).alias(f"_fc_nc_{i}"))
-    summary = summary.select(*series, _CHUNK, *carry)
-    joined = ch.join(summary, on=[*series, _CHUNK], how="left")
-    w = Window.partitionBy(*series, _CHUNK).orderBy(index_col)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    out_cols = []
-    for c in ch.columns:
-        if c in (_CHUNK, "_fc_t"):
-            continue
+    indexed, added = ensure_index(df, order_by, series, index_col)
+    t = time_position(indexed, ts)
+    pairs = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(t.alias("t"), F.col(f"`{c}`").alias("v"))) for c in cols]
+    near = _neighbours(indexed, pairs, series, index_col, chunk_rows, True, True)
+    out = []
+    for c in indexed.columns:
         if c not in cols:
-            out_cols.append(F.col(f"`{c}`"))
+            out.append(F.col(f"`{c}`"))
             continue
-        i = cols.index(c)
-        prev = F.coalesce(F.last(pair(c), ignorenulls=True).over(before), F.col(f"_fc_pc_{i}"))
-        nxt = F.coalesce(F.first(pair(c), ignorenulls=True).over(after), F.col(f"_fc_nc_{i}"))
-        t = F.col("_fc_t")
-        interp = prev["v"] + F.try_divide((nxt["v"] - prev["v"]) * (t - prev["t"]), nxt["t"] - prev["t"])
-        out_cols.append(
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .when(prev.isNotNull() & nxt.isNotNull(), interp)
-            .when(prev.isNotNull(), prev["v"])
-            .alias(c))
-    out = joined.select(*out_cols)
-    return out.drop(index_col) if added else out
+        prev, nxt = F.col(f"_fc_p{cols.index(c)}"), F.col(f"_fc_n{cols.index(c)}")
+        between = prev["v"] + F.try_divide((nxt["v"] - prev["v"]) * (t - prev["t"]), nxt["t"] - prev["t"])
+        out.append(F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`"))
+                   .when(prev.isNotNull() & nxt.isNotNull(), between)
+                   .when(prev.isNotNull(), prev["v"]).alias(c))
+    filled = near.select(*out)
+    return filled.drop(index_col) if added else filled
 
 
 def running_sum(df: DataFrame, x: str, name: str, order_by=("ts",), series=(), index_col: str = RN,
-                chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running sum of ``x`` from the start of the series (NULLs add nothing)."""
     series = _names(series)
-    indexed, added = ensure_index(df, order_by, series, index_col, rows_per_bucket)
+    indexed, added = ensure_index(df, order_by, series, index_col)
     ch = _chunked(indexed, index_col, chunk_rows)
     summary = ch.groupBy(*series, _CHUNK).agg(F.sum(F.col(x)).alias("_fc_s"))
     ws = Window.partitionBy(*series).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*series, _CHUNK, F.coalesce(F.sum("_fc_s").over(ws), F.lit(0.0)).alias("_fc_off"))
-    joined = ch.join(summary, on=[*series, _CHUNK], how="left")
+    joined = _join_summary(ch, summary, [*series, _CHUNK], "left")
     w = Window.partitionBy(*series, _CHUNK).orderBy(index_col).rowsBetween(Window.unboundedPreceding, 0)
     out = joined.withColumn(name, F.col("_fc_off") + F.coalesce(F.sum(F.col(x)).over(w), F.lit(0.0)))
     out = out.drop(_CHUNK, "_fc_off")
@@ -428,15 +307,14 @@ def running_sum(df: DataFrame, x: str, name: str, order_by=("ts",), series=(), i
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (same definition as ``percentile``)
     without gathering a column's distinct values into one task.
 
     1. ``groupBy(value).count()`` collapses repeated values (a value holding a
        third of all rows becomes one row) with map-side combining;
-    2. a distributed running sum over the distinct values (ordered by value)
-       gives each value its range of 0-based positions;
+    2. a running total over the distinct values (:func:`running_total`) gives each
+       value its range of 0-based positions;
     3. one grouped aggregation picks the values at positions floor(h) and
        ceil(h), h = (n-1)p, and interpolates.
     Returns one row per group with one column per probability."""
@@ -444,26 +322,16 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     x = F.col(col)
     d = df.where(x.isNotNull()).groupBy(*by, x.cast("double").alias("_fc_v")).agg(F.count(F.lit(1)).alias("_fc_c"))
-    # the value-count table is read by the index, the running sum and the totals
-    d = with_row_index(d, ["_fc_v"], by, "_fc_qrn", rows_per_bucket, materialize=True)
-    cum = running_sum(d, "_fc_c", "_fc_cum", ["_fc_v"], by, "_fc_qrn", chunk_rows, rows_per_bucket)
-    if by:
-        n = d.groupBy(*by).agg(F.sum("_fc_c").alias("_fc_n"))
-        cum = cum.join(n, by)
-        ncol = F.col("_fc_n")
-    else:
-        cum, s = with_scalars(cum, d.agg(F.sum("_fc_c").alias("n")), "_fc_ns")
-        ncol = s["n"]
-    start = F.col("_fc_cum") - F.col("_fc_c")
-    end = F.col("_fc_cum") - 1
+    placed = running_total(d, ["_fc_v"], by, "_fc_start", "_fc_c", "_fc_n", partitions)
+    start, end = F.col("_fc_start"), F.col("_fc_start") + F.col("_fc_c") - 1
     aggs = []
     for i, p in enumerate(probs):
-        pos = (ncol - 1).cast("double") * F.lit(float(p))
+        pos = (F.col("_fc_n") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs += [F.max(F.when((start <= lo) & (lo <= end), F.col("_fc_v"))).alias(f"_fc_lo{i}"),
                  F.max(F.when((start <= hi) & (hi <= end), F.col("_fc_v"))).alias(f"_fc_hi{i}"),
                  F.max(pos).alias(f"_fc_pos{i}")]
-    g = cum.groupBy(*by).agg(*aggs)
+    g = placed.groupBy(*by).agg(*aggs)
     out = []
     for i, nm in enumerate(names):
         lo_v, hi_v, pos = F.col(f"_fc_lo{i}"), F.col(f"_fc_hi{i}"), F.col(f"_fc_pos{i}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowcast.functions.columns import with_scalars
 from flowcast.operators import ordered
-from flowcast.operators.ordered import RN, ROWS_PER_BUCKET
+from flowcast.operators.ordered import RN
 
 _TINY = 10 * 2.220446049250313e-16  # scales below this count as zero (then 1)
 
@@ -69,15 +69,14 @@ def split_sizes(n: int, train: float = 0.7, val: float = 0.15) -> tuple[int, int
 
 
 def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.15, order_by=("ts",), series=(),
-                        index_col: str = RN, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                        index_col: str = RN) -> DataFrame:
     """H3: label rows train/val/test by position: the first floor(n*train) rows,
     the next floor(n*val), then the rest (double products, as in the reference)."""
     if index_col in df.columns:
         indexed, s = with_scalars(df, df.agg(F.count(F.lit(1)).alias("n")), "_fc_cnt")
         n = s["n"]
     else:
-        indexed = ordered.with_row_index(df, order_by, series, index_col, rows_per_bucket, count_col="_fc_n",
-                                         materialize=True)
+        indexed = ordered.with_row_index(df, order_by, series, index_col, count_col="_fc_n")
         n = F.col("_fc_n")
     a = F.floor(n.cast("double") * F.lit(float(train)))
     b = F.floor(n.cast("double") * F.lit(float(val)))
@@ -86,16 +85,15 @@ def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.15, or
     return out.drop("_fc_n", "_fc_cnt")
 
 
-def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15, test: float = 0.15,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """H4: exact-size shuffled split: ceil(n*(1-train)) rows are held out and
     ceil(held*test/(val+test)) of them go to test (double arithmetic, so n=10 holds
     out 4 rows). Rows are chosen by the rank of md5(key:seed), so the split is
     reproducible and needs no single-task sort."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     hashed = df.withColumn("_fc_h", h).withColumn("_fc_hn", F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
-    indexed = ordered.with_row_index(hashed, ["_fc_hn", "_fc_h", key], (), "_fc_r", rows_per_bucket,
-                                     count_col="_fc_n", materialize=True)
+    indexed = ordered.with_row_index(hashed, ["_fc_hn", "_fc_h", key], (), "_fc_r",
+                                     count_col="_fc_n")
     n = F.col("_fc_n").cast("double")
     held = F.ceil(n * F.lit(1.0 - train))
     n_test = F.ceil(held * F.lit(test / (val + test)))
@@ -104,20 +102,32 @@ def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.7, va
                    .drop("_fc_h", "_fc_hn", "_fc_r", "_fc_n"))
 
 
-def augment_noise(df: DataFrame, cols: Sequence[str], sigma: float = 0.01, seed: int = 42) -> DataFrame:
-    """H5: add N(0, sigma) noise to each value."""
-    return df.select(*[(F.col(c) + F.randn(seed + i) * sigma).alias(c) if c in cols else F.col(c)
-                       for i, c in enumerate(df.columns)])
+def hash_uniform(key, tag: str):
+    """A number in (0, 1) from md5(key:tag): the same for a row wherever and however often
+    it is computed."""
+    h = F.md5(F.concat(key.cast("string"), F.lit(f":{tag}")))
+    return (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def augment_scale(df: DataFrame, cols: Sequence[str], low: float = 0.95, high: float = 1.05, seed: int = 43) -> DataFrame:
-    """H6: multiply each value by U(low, high)."""
-    return df.select(*[(F.col(c) * (F.lit(low) + F.rand(seed + i) * (high - low))).alias(c) if c in cols else F.col(c)
-                       for i, c in enumerate(df.columns)])
+def augment_noise(df: DataFrame, cols: Sequence[str], key, sigma: float = 0.01, seed: int = 42) -> DataFrame:
+    """H5: add N(0, sigma) noise to each value (Box-Muller on two hash numbers of the row's
+    ``key`` column, the column name and the seed)."""
+    def noise(c):
+        u, v = hash_uniform(key, f"{c}:{seed}:u"), hash_uniform(key, f"{c}:{seed}:v")
+        return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(2 * 3.141592653589793) * v) * sigma
+    return df.select(*[(F.col(c) + noise(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def augment(df: DataFrame, cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """H7: original + noisy + scaled copies (3n rows, labels kept), tagged by ``copy``."""
+def augment_scale(df: DataFrame, cols: Sequence[str], key, low: float = 0.95, high: float = 1.05,
+                  seed: int = 43) -> DataFrame:
+    """H6: multiply each value by U(low, high), the number being a hash as in H5."""
+    return df.select(*[(F.col(c) * (F.lit(low) + hash_uniform(key, f"{c}:{seed}:s") * (high - low))).alias(c)
+                       if c in cols else F.col(c) for c in df.columns])
+
+
+def augment(df: DataFrame, cols: Sequence[str], key, seed: int = 42) -> DataFrame:
+    """H7: original + noisy + scaled copies (3n rows, labels kept), tagged by ``copy``.
+    ``key`` is a column expression that tells rows apart."""
     return (df.withColumn("copy", F.lit("original"))
-              .unionByName(augment_noise(df, cols, seed=seed).withColumn("copy", F.lit("noise")))
-              .unionByName(augment_scale(df, cols, seed=seed + 1000).withColumn("copy", F.lit("scale"))))
+              .unionByName(augment_noise(df, cols, key, seed=seed).withColumn("copy", F.lit("noise")))
+              .unionByName(augment_scale(df, cols, key, seed=seed + 1).withColumn("copy", F.lit("scale"))))

@@ -39,7 +39,7 @@ def resample_mean(df: DataFrame, width: str, cols: Sequence[str] | None = None,
     if not gap_fill:
         return agg
     if keys:
-        raise ValueError("gap filling works on wide frames; pivot long readings first (to_wide)")
+        return _keyed_gap_fill(agg, width, ts, keys)
     bounds = agg.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
     if bounds["lo"] is None:
         return agg
@@ -49,6 +49,28 @@ def resample_mean(df: DataFrame, width: str, cols: Sequence[str] | None = None,
     return spine.join(agg, on=[ts], how="left")
 
 
+def _keyed_gap_fill(agg: DataFrame, width: str, ts: str, keys: list[str]) -> DataFrame:
+    """Every bucket from each key's first to its last, NULL where it has none. A key's
+    spine is exploded in two steps, so a long one is not one array."""
+    w, step = width_seconds(width), 1000
+    spine = agg.groupBy(*[F.col(f"`{k}`").alias(f"_fc_k{i}") for i, k in enumerate(keys)]).agg(
+        F.min(ts).alias("_fc_lo"), F.max(ts).alias("_fc_hi"))
+    last = F.expr(f"timestampdiff(SECOND, _fc_lo, _fc_hi) div {w}")
+    spine = (spine.withColumn("_fc_n", last)
+             .withColumn("_fc_a", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_fc_n div {step}"))))
+             .withColumn("_fc_b", F.explode(F.sequence(F.col("_fc_a") * step, F.least(F.col("_fc_a") * step + (step - 1), F.col("_fc_n")))))
+             .withColumn("_fc_t", F.expr(f"timestampadd(SECOND, _fc_b * {w}, _fc_lo)")))
+    rest = [c for c in agg.columns if c != ts and c not in keys]
+    # the spine comes from the same frame: join under names of its own
+    have = agg.withColumnsRenamed({ts: "_fc_ts"} | {k: f"_fc_h{i}" for i, k in enumerate(keys)})
+    on = F.col("_fc_ts") == F.col("_fc_t")
+    for i in range(len(keys)):
+        on = on & F.col(f"_fc_h{i}").eqNullSafe(F.col(f"_fc_k{i}"))
+    return spine.join(have, on, "left").select(
+        F.col("_fc_t").alias(ts), *[F.col(f"_fc_k{i}").alias(k) for i, k in enumerate(keys)],
+        *[F.col(f"`{c}`") for c in rest])
+
+
 # --- D2-D5 profiles ----------------------------------------------------------
 
 def daily_mean(long: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -77,7 +99,7 @@ def sensor_grid(long: DataFrame, n_cols: int = 9, sensor: str = "sensor_id", val
     (distributed row index over the per-sensor summary)."""
     from flowcast.operators.ordered import with_row_index
     means = long.groupBy(sensor).agg(F.avg(value).alias("mean_value"))
-    return with_row_index(means, [sensor], (), "_fc_i", materialize=True).select(
+    return with_row_index(means, [sensor], (), "_fc_i").select(
         sensor, "mean_value",
         F.floor(F.col("_fc_i") / n_cols).cast("int").alias("grid_row"),
         (F.col("_fc_i") % n_cols).cast("int").alias("grid_col"))
@@ -204,23 +226,14 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame
 
 # --- D13-D18 -----------------------------------------------------------------
 
-def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5, method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
     """Per group Q1, median, Q3, whiskers (extreme points within whis*IQR of
     the quartiles) and the number of outliers beyond them."""
-    from flowcast.operators.clean import choose_quantile_method
     from flowcast.operators.ordered import exact_quantiles
     v = F.col(value)
     data = df.where(v.isNotNull() & F.col(group).isNotNull())
-    if method == "auto":
-        # a group never has more distinct values than the whole column
-        method = choose_quantile_method(data, [value])
-    if method == "distributed":
-        # exact per-group quartiles without holding a group's values in one task
-        q = exact_quantiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
-    else:
-        q = data.groupBy(group).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_fc_q"))
-        q = q.select(group, F.col("_fc_q")[0].alias("q1"), F.col("_fc_q")[1].alias("median"),
-                     F.col("_fc_q")[2].alias("q3"))
+    # exact per-group quartiles without holding a group's values in one task
+    q = exact_quantiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
     j = data.join(q, group)
     lo = F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))

@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 from flowcast.functions.columns import with_scalars
 from flowcast.operators import ordered
-from flowcast.operators.ordered import RN, CHUNK_ROWS, ROWS_PER_BUCKET
+from flowcast.operators.ordered import RN, CHUNK_ROWS
 
 
 def sequences(df: DataFrame, features: Sequence[str], target: str, length: int, horizon: int = 1,
-              order_by=("ts",), series=(), index_col: str = RN, chunk_rows: int = CHUNK_ROWS,
-              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              order_by=("ts",), series=(), index_col: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """E5: windows of ``length`` consecutive rows -> label ``horizon`` rows after the
     window's last row. Output (seq_idx, ts of the label row, y, x ARRAY<ARRAY<DOUBLE>>);
     n - length - horizon + 1 sequences per series, ``seq_idx`` 0-based."""
     feats = list(features)
-    indexed, _ = ordered.ensure_index(df, order_by, series, index_col, rows_per_bucket)
+    indexed, _ = ordered.ensure_index(df, order_by, series, index_col)
     back = length + horizon - 1
     row = F.array(*[F.col(f"`{c}`").cast("double") for c in feats])
 
@@ -45,16 +44,15 @@ def sequence_vector(seqs: DataFrame, x: str = "x", name: str = "features") -> Da
 
 
 def cumulative_abs_error(preds: DataFrame, series=("model", "variant"), ts: str = "ts",
-                         chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Running sum of |y_pred - y_true| per series in time order."""
     e = preds.withColumn("_fc_ae", F.abs(F.col("y_pred") - F.col("y_true")))
-    out = ordered.running_sum(e, "_fc_ae", "cum_abs_error", [ts], series, chunk_rows=chunk_rows,
-                              rows_per_bucket=rows_per_bucket)
+    out = ordered.running_sum(e, "_fc_ae", "cum_abs_error", [ts], series, chunk_rows=chunk_rows)
     return out.drop("_fc_ae")
 
 
 def seasonal_decompose(df: DataFrame, value: str, period: int, order_by=("ts",), index_col: str = RN,
-                       chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Additive decomposition x = trend + seasonal + resid.
 
     trend: centred moving average (for even ``period`` the 2 x period average, i.e.
@@ -62,7 +60,7 @@ def seasonal_decompose(df: DataFrame, value: str, period: int, order_by=("ts",),
     seasonal: mean of the detrended values per phase (row index mod period) minus
     the mean of those phase means. Needs at least two full cycles and no NULLs."""
     p = period
-    indexed, _ = ordered.ensure_index(df, order_by, (), index_col, rows_per_bucket)
+    indexed, _ = ordered.ensure_index(df, order_by, (), index_col)
     half = p // 2
 
     def build(w):
@@ -92,8 +90,7 @@ def seasonal_decompose(df: DataFrame, value: str, period: int, order_by=("ts",),
     return out.drop("_fc_phase", "_fc_detr", "_fc_guard")
 
 
-def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows: int = CHUNK_ROWS,
-        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sample autocorrelation r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2 for
     k = 0..nlags (NULL values dropped first), with the Bartlett 95% band
     1.96 * sqrt((1 + 2 sum_{j<k} r_j^2) / n) (1/n at lag 1, 0 at lag 0)."""
@@ -102,7 +99,7 @@ def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows
     data = cut_lineage(df.where(F.col(value).isNotNull()).select(*order_by, value))
     d, s = with_scalars(data, data.agg(F.avg(value).alias("m")), "_fc_m")
     d = d.withColumn("_fc_d", F.col(value) - s["m"]).drop("_fc_m")
-    indexed = ordered.with_row_index(d, order_by, (), RN, rows_per_bucket)
+    indexed = ordered.with_row_index(d, order_by, (), RN)
     prods = ordered.halo_window(
         indexed, lambda w: {f"_fc_p{k}": F.col("_fc_d") * F.lag("_fc_d", k).over(w) for k in range(1, nlags + 1)},
         (), RN, back=nlags, chunk_rows=chunk_rows)
@@ -144,5 +141,5 @@ def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     column is ranked without a single-task window."""
     name = name or f"{col}_encoded"
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    codes = ordered.with_row_index(distinct, [col], (), name, materialize=True)
+    codes = ordered.with_row_index(distinct, [col], (), name)
     return df.join(codes, on=col, how="left")

@@ -50,7 +50,7 @@ TIE_NUDGE = 1e-12
 
 def rnd(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`flowcast.functions.columns.round_doubles` for one column."""
-    return f"round(CAST({expr} AS DOUBLE) * (1 + {TIE_NUDGE}), {digits})"
+    return f"round(CAST({expr} AS DOUBLE) * (1 + {TIE_NUDGE}), {digits}) + 0.0::DOUBLE"
 
 
 def wrap(inner: str, doubles: str = "", ints: str = "", keep: str = "", digits: int = 6) -> str:

@@ -34,18 +34,19 @@ VARIANTS = ("baseline", "enhanced")
 SEED = 42
 
 
-def estimator(name: str, seed: int = SEED):
-    """J1/J2 model families (small, fixed hyper-parameters)."""
+def estimator(name: str, seed: int = SEED, trees: int = 20, forest_depth: int = 5, rounds: int = 40,
+              boosted_depth: int = 3):
+    """J1/J2 model families; the defaults are small, the sizes are parameters."""
     if name == "linear":
         return LinearRegression(featuresCol="features", labelCol="y", maxIter=50, regParam=0.01,
                                 elasticNetParam=0.0, standardization=True)
     if name == "forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=20, maxDepth=5, seed=seed,
+        return RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=forest_depth, seed=seed,
                                      subsamplingRate=0.8)
     if name == "boosted":
         # Stop when the validation error stops improving (validationTol), the
         # distributed counterpart of early stopping on val_loss
-        return GBTRegressor(featuresCol="features", labelCol="y", maxIter=40, maxDepth=3, stepSize=0.1, seed=seed,
+        return GBTRegressor(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=boosted_depth, stepSize=0.1, seed=seed,
                             validationIndicatorCol="is_val", validationTol=1e-5)
     raise ValueError(f"unknown model {name!r}")
 
@@ -56,12 +57,12 @@ def vectorised(dataset: DataFrame) -> DataFrame:
     return v.select("seq_idx", "ts", "y", "split", (F.col("split") == "val").alias("is_val"), "features", "x")
 
 
-def fit(name: str, data: DataFrame, seed: int = SEED):
+def fit(name: str, data: DataFrame, seed: int = SEED, **sizes):
     """Fit one model family on train (+ val rows for the boosted model's
     stopping rule)."""
     if name == "boosted":
-        return estimator(name, seed).fit(data.where(F.col("split").isin("train", "val")))
-    return estimator(name, seed).fit(data.where(F.col("split") == "train"))
+        return estimator(name, seed, **sizes).fit(data.where(F.col("split").isin("train", "val")))
+    return estimator(name, seed, **sizes).fit(data.where(F.col("split") == "train"))
 
 
 def predict(model, data: DataFrame, name: str, variant: str) -> DataFrame:
@@ -102,32 +103,36 @@ def run_experiment(readings: DataFrame, weather: DataFrame, width: str, sensors:
 
 
 def iteration_metrics(gbt_model, data: DataFrame) -> DataFrame:
-    """Per boosting iteration, squared-error loss on train and validation rows
-    (``evaluateEachIteration`` runs distributed)."""
-    spark = data.sparkSession
-    rows = []
-    for split in ("train", "val"):
-        part = data.where(F.col("split") == split)
-        for i, loss in enumerate(gbt_model.evaluateEachIteration(part, "squared")):
-            rows.append((i + 1, split, float(loss)))
-    return spark.createDataFrame(rows, "iteration int, split string, loss double")
-
-
-def _permuted(data: DataFrame, repeat: int, seed: int, rows_per_bucket: int) -> DataFrame:
+    """Loss (mean squared error), RMSE, MAE, MAPE and R2 after each boosting iteration,
+    on train and validation rows. Each tree scores every row once; the prediction after
+    iteration i is the running sum of weighted trees, so one pass gives all iterations."""
+    part = data.where(F.col("split").isin("train", "val")).select("split", "y", "features")
+    running = []
+    for j, (tree, weight) in enumerate(zip(gbt_model.trees, gbt_model.treeWeights)):
+        part = tree.setFeaturesCol("features").setPredictionCol(f"_fc_t{j}").transform(part)
+        term = F.col(f"_fc_t{j}") * F.lit(float(weight))
+        running.append(term if j == 0 else F.col(f"_fc_c{j - 1}") + term)
+        part = part.withColumn(f"_fc_c{j}", running[-1]).drop(f"_fc_t{j}")
+    steps = F.posexplode(F.array(*[F.col(f"_fc_c{j}") for j in range(len(running))])).alias("_fc_i", "y_pred")
+    long = part.select("split", F.col("y").alias("y_true"), steps).withColumn("iteration", F.col("_fc_i") + 1)
+    m = K.regression_metrics(long, ["iteration", "split"])
+    return m.select("iteration", "split", (F.col("rmse") * F.col("rmse")).alias("loss"), "rmse", "mae", "mape", "r2")
+
+
+def _permuted(data: DataFrame, repeat: int, seed: int) -> DataFrame:
     """One shared permutation of the rows for ``repeat``: row at position i takes the
     window of the row whose hash rank is i. Ranks come from the distributed row
     index, so no single task sees all rows."""
     key = F.xxhash64(F.col("seq_idx"), F.lit(seed), F.lit(repeat))
     ranked = data.select("seq_idx", "x", key.alias("_fc_h"))
-    ranked = ordered.with_row_index(ranked, ["_fc_h", "seq_idx"], (), "_fc_pos", rows_per_bucket)
-    pos = ordered.with_row_index(data.select("seq_idx", "ts"), ["seq_idx"], (), "_fc_pos", rows_per_bucket)
+    ranked = ordered.with_row_index(ranked, ["_fc_h", "seq_idx"], (), "_fc_pos")
+    pos = ordered.with_row_index(data.select("seq_idx", "ts"), ["seq_idx"], (), "_fc_pos")
     return (pos.join(ranked.select("_fc_pos", F.col("x").alias("x_perm")), "_fc_pos")
                .select("seq_idx", "x_perm"))
 
 
 def permutation_importance(model, data: DataFrame, feature_names: Sequence[str], repeats: int = 10,
-                           seed: int = SEED, split: str = "test", score: str = "r2",
-                           rows_per_bucket: int = ordered.ROWS_PER_BUCKET) -> DataFrame:
+                           seed: int = SEED, split: str = "test", score: str = "r2") -> DataFrame:
     """J7 (``score='r2'``): mean drop in R2 when one feature's whole sequence is
     taken from another row (one permutation per repeat, shared by all features).
     J8 (``score='perturbation'``): mean squared change of the prediction instead.
@@ -140,7 +145,7 @@ def permutation_importance(model, data: DataFrame, feature_names: Sequence[str],
     base = cut_lineage(data.where(F.col("split") == split).select("seq_idx", "ts", "y", "x", "features"))
     perms = None
     for r in range(repeats):
-        p = _permuted(base, r, seed, rows_per_bucket).withColumn("repeat", F.lit(r))
+        p = _permuted(base, r, seed).withColumn("repeat", F.lit(r))
         perms = p if perms is None else perms.unionByName(p)
     ref = model.transform(base).select("seq_idx", F.col("y").alias("y_true"), F.col("prediction").alias("p0"))
     nf = len(feature_names)

@@ -27,7 +27,7 @@ from flowcast.functions.columns import with_scalars
 from flowcast.operators import ordered
 from flowcast.operators.clean import drop_incomplete, iqr_filter, quantiles, row_mean_wide
 from flowcast.operators.join import align_merge, holiday_flag
-from flowcast.operators.ordered import CHUNK_ROWS, RN, ROWS_PER_BUCKET, full_avg
+from flowcast.operators.ordered import CHUNK_ROWS, RN, full_avg
 from flowcast.operators.reshape import sensor_values, to_wide
 from flowcast.operators.scale import zscore_population, zscore_sample
 from flowcast.operators.timeseries import label_encode, sequences
@@ -49,8 +49,7 @@ TRAIN_RATIO, VAL_RATIO = 0.7, 0.15
 
 
 def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[int] = wx.PIPELINE_RUSH_HOURS,
-                       fill_cols: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS,
-                       rows_per_bucket: int = ROWS_PER_BUCKET, with_changes: bool = True) -> DataFrame:
+                       fill_cols: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS, with_changes: bool = True) -> DataFrame:
     """H8: derived weather columns (G2-G4, G6-G8), changes (E3) and 12-row trends
     (E4), then forward and backward fill. Quantile thresholds are taken before
     the fills, over all rows. ``with_changes=False`` skips the change/trend
@@ -66,7 +65,7 @@ def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[
         "is_rush_hour": wx.is_rush_hour(ts, rush_hours),
         "rush_hour_rain": wx.rush_hour_rain(ts, "prcp", rush_hours),
     }).drop("_fc_q")
-    idx = ordered.with_row_index(w, [ts], (), RN, rows_per_bucket)
+    idx = cut_lineage(ordered.with_row_index(w, [ts], (), RN))  # read twice by the fill
 
     def build(win):
         cols = {k: F.col(v) - F.lag(F.col(v), 1).over(win) for k, v in WEATHER_DIFFS.items()}
@@ -99,11 +98,11 @@ def traffic_block(readings: DataFrame, sensors: Sequence[str] | None = None, ts:
 
 
 def create_features(data: DataFrame, ts: str = "ts", target_source: str = "avg_speed",
-                    chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """H9: calendar columns, holiday flag, lags 1-3 and full-window moving averages
     5/10/15/30 of ``avg_speed`` (row-based), label encoding of
     ``weather_description`` when present, then drop rows with any NULL."""
-    idx = ordered.with_row_index(data, [ts], (), RN, rows_per_bucket)
+    idx = ordered.with_row_index(data, [ts], (), RN)
 
     def build(win):
         cols = {f"speed_lag{k}": F.lag(F.col(target_source), k).over(win) for k in LAGS}
@@ -126,19 +125,16 @@ def create_features(data: DataFrame, ts: str = "ts", target_source: str = "avg_s
 
 def feature_table(readings: DataFrame, weather: DataFrame | None = None, width: str = "5 minutes",
                   sensors: Sequence[str] | None = None, ts: str = "ts", checkpoint: bool = False,
-                  chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
+                  chunk_rows: int = CHUNK_ROWS,
                   on_constant: str = "error") -> DataFrame:
     """Unscaled feature table (baseline without ``weather``, enhanced with it)."""
     traffic = traffic_block(readings, sensors, ts)
     if weather is not None:
-        w = weather_block(weather, ts, on_constant, chunk_rows=chunk_rows, rows_per_bucket=rows_per_bucket)
+        w = weather_block(weather, ts, on_constant, chunk_rows=chunk_rows)
         data = align_merge(traffic, w, width, ts)
     else:
         data = traffic
-    # the merged series is read several times by the row index; the traffic-only
-    # frame is already a cheap filter over a checkpoint
-    src = cut_lineage(data) if weather is not None else data
-    feats = create_features(src, ts, chunk_rows=chunk_rows, rows_per_bucket=rows_per_bucket)
+    feats = create_features(data, ts, chunk_rows=chunk_rows)
     return cut_lineage(feats) if checkpoint else feats
 
 
@@ -163,7 +159,7 @@ def scaled_features(features: DataFrame, target_col: str = "speed_ma30", ts: str
 def prepare_dataset(readings: DataFrame, weather: DataFrame | None = None, length: int = 24, horizon: int = 1,
                     width: str = "5 minutes", sensors: Sequence[str] | None = None, target_col: str = "speed_ma30",
                     fit_on: str = "all", ts: str = "ts", checkpoint: bool = True,
-                    chunk_rows: int = CHUNK_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
+                    chunk_rows: int = CHUNK_ROWS,
                     on_constant: str = "error") -> DataFrame:
     """The whole preparation. Returns (seq_idx, ts, y, x, split) where ``x`` is
     the (length x features) window before the label row, ``y`` the scaled target
@@ -172,9 +168,9 @@ def prepare_dataset(readings: DataFrame, weather: DataFrame | None = None, lengt
 
     ``fit_on='all'`` fits the scaler on every row (reference behaviour);
     ``fit_on='train'`` fits it on the rows before the first validation label."""
-    feats = feature_table(readings, weather, width, sensors, ts, checkpoint, chunk_rows, rows_per_bucket,
+    feats = feature_table(readings, weather, width, sensors, ts, checkpoint, chunk_rows,
                           on_constant)
-    idx = ordered.with_row_index(feats, [ts], (), RN, rows_per_bucket, count_col="_fc_rows")
+    idx = ordered.with_row_index(feats, [ts], (), RN, count_col="_fc_rows")
     if fit_on == "train":
         n_seq = F.col("_fc_rows") - length - horizon + 1
         last_train_label = F.floor(n_seq.cast("double") * F.lit(TRAIN_RATIO)) + length + horizon - 1
@@ -185,7 +181,7 @@ def prepare_dataset(readings: DataFrame, weather: DataFrame | None = None, lengt
         fit = feats
     scaled = scaled_features(idx.drop("_fc_rows"), target_col, ts, fit=fit.drop(RN) if RN in fit.columns else fit)
     features = [c for c in scaled.columns if c not in (ts, "target", RN)]
-    seqs = sequences(scaled, features, "target", length, horizon, [ts], (), RN, chunk_rows, rows_per_bucket)
+    seqs = sequences(scaled, features, "target", length, horizon, [ts], (), RN, chunk_rows)
     # the number of sequences follows from the row count: n - length - horizon + 1
     n_seq_df = feats.agg(F.greatest(F.count(F.lit(1)) - (length + horizon - 1), F.lit(0)).alias("n"))
     seqs, s = with_scalars(seqs, n_seq_df, "_fc_n")

@@ -20,11 +20,13 @@ from flowcast.operators import timeseries as TS
 from flowcast.plans import experiment as XP
 from flowcast.plans import sqlparts as S
 from flowcast.plans.catalog import register, wrap
-from flowcast.plans.prepare import LAGS, MOVING_AVERAGES, WEATHER_FEATURES, feature_table, scaled_features
+from flowcast.plans.prepare import (LAGS, MOVING_AVERAGES, TREND_WINDOW, WEATHER_DIFFS, WEATHER_FEATURES, WEATHER_TRENDS,
+                                    feature_table, scaled_features)
 from flowcast.session import scratch_path
 from flowcast.sources import csv as CSV
 from flowcast.sources.fixtures import (EVENT_SENSORS, ORDER_SENSORS, WEATHER_COLUMNS, history_events, predictions,
-                                       readings_events, readings_orders, readings_users, weather_ship)
+                                       predictions_of,                                       readings_events, readings_orders, readings_users, weather_events,
+                                       weather_ship)
 
 SENS = ORDER_SENSORS
 SENS_COLS = " ".join(SENS)
@@ -91,6 +93,30 @@ def features_enhanced_weekly(spark, sf):
 
 
 
+def _hourly_pipeline_sql() -> tuple[str, list[str]]:
+    lo, hi = _year_bounds("mg")
+    cols = [*EVENT_SENSORS, "avg_speed", *WEATHER_FEATURES, "hour", "day_of_week", "month", "is_holiday",
+            *[f"speed_lag{k}" for k in LAGS], *[f"speed_ma{m}" for m in MOVING_AVERAGES], "target"]
+    ctes = [f"re AS ({S.readings_events('6 hours')})", S.traffic_block(EVENT_SENSORS, "re"),
+            f"ws AS ({S.weather_events('6 hours')})", S.weather_block("ws"),
+            "mg AS (SELECT trf.*, wz.* EXCLUDE (ts) FROM trf JOIN wz ON trf.ts = wz.ts)",
+            S.holidays(lo, hi), S.features_block("mg"), "fx AS (SELECT *, speed_ma30 AS target FROM ft)",
+            S.zscore_pop("fx", cols)]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM zp", cols
+
+
+_HOURLY_SQL, _HOURLY_COLS = _hourly_pipeline_sql()
+
+
+@register("features_enhanced_6h", wrap(_HOURLY_SQL, " ".join(_HOURLY_COLS), "", "ts", digits=4), digits=4,
+          ids="H8 H9 H10 G7 G8 (sub-daily, no constant column)")
+def features_enhanced_6h(spark, sf):
+    """Scaled enhanced feature table of the event series and sub-daily weather, six-hour
+    buckets; rush-hour rain varies, so no column needs a rule for constants."""
+    return scaled_features(feature_table(readings_events(spark, sf, "6 hours"), weather_events(spark, sf, "6 hours"),
+                                         width="6 hours", sensors=EVENT_SENSORS, checkpoint=True))
+
+
 # =============================================================================
 # Shared Spark inputs
 # =============================================================================
@@ -231,26 +257,26 @@ EVC = " ".join(EV)
 @register("interpolate_events", wrap(f"WITH {_ev_sql('5 minutes')} {_interp_sql(EV)}", EVC, "", "ts"), ids="B6")
 def interpolate_events(spark, sf):
     """Time-linear interpolation of gaps in the 5-minute wide frame."""
-    return OR.interpolate_time(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+    return OR.interpolate_time(_events_wide(spark, sf), list(EV))
 
 
 @register("ffill_events", wrap(f"WITH {_ev_sql('5 minutes')} {_fill_sql(EV, 'ew')}", EVC, "", "ts"), ids="B7")
 def ffill_events(spark, sf):
     """Forward fill of the 5-minute wide frame."""
-    return OR.fill_forward(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+    return OR.fill_forward(_events_wide(spark, sf), list(EV))
 
 
 @register("bfill_events", wrap(f"WITH {_ev_sql('5 minutes')} {_fill_sql(EV, 'ew', False)}", EVC, "", "ts"), ids="B8")
 def bfill_events(spark, sf):
     """Backward fill of the 5-minute wide frame."""
-    return OR.fill_backward(_events_wide(spark, sf), list(EV), chunk_rows=1000, rows_per_bucket=1000)
+    return OR.fill_backward(_events_wide(spark, sf), list(EV))
 
 
 @register("fill_policy_events", wrap(f"WITH {_ev_sql('5 minutes')}, ip AS ({_interp_sql(EV)}) {_fill_sql(EV, 'ip', False)}",
                                      EVC, "", "ts"), ids="B9")
 def fill_policy_events(spark, sf):
     """Interpolate doubles, then backward fill what is left (leading gaps)."""
-    return CL.fill_policy(_events_wide(spark, sf), chunk_rows=1000, rows_per_bucket=1000)
+    return CL.fill_policy(_events_wide(spark, sf))
 
 
 @register("inf_to_null_lineitem",
@@ -369,6 +395,18 @@ def resample_events_hourly(spark, sf):
     return ST.resample_mean(_events_wide(spark, sf), "1 hour")
 
 
+@register("resample_events_hourly_keyed",
+          wrap(f"""WITH a AS ({S.readings_events('1 hour')}),
+sp AS (SELECT sensor_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM a GROUP BY sensor_id)
+SELECT sp.ts, sp.sensor_id, a.value FROM sp LEFT JOIN a ON a.ts = sp.ts AND a.sensor_id = sp.sensor_id""", "value", "",
+               "ts sensor_id"), ids="D1")
+def resample_events_hourly_keyed(spark, sf):
+    """Hourly means of the long readings per sensor, each sensor's empty hours as NULL rows."""
+    from flowcast.sources.tables import read_table
+    ev = read_table(spark, sf, "events", ["ts", "event_type", "value"]).withColumnRenamed("event_type", "sensor_id")
+    return ST.resample_mean(ev, "1 hour", ["value"], keys=["sensor_id"])
+
+
 @register("daily_mean_events",
           wrap(f"WITH re AS ({S.readings_events('5 minutes')}), t AS (SELECT ts, avg(value) AS m FROM re GROUP BY ts) "
                f"SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, avg(m) AS daily_mean FROM t GROUP BY 1", "daily_mean", "", "day"),
@@ -542,6 +580,14 @@ def any_rush_hour_rain(spark, sf):
     return ST.any_true(_weather(spark, sf), F.hour("ts").isin(list(WX.REPORT_RUSH_HOURS)) & (F.col("prcp") > 0))
 
 
+@register("any_rush_hour_rain_hourly",
+          wrap(f"WITH ws AS ({S.weather_events('1 hour')}) SELECT coalesce(bool_or(coalesce(hour(ts) IN (7, 8, 9, 17, 18, 19) "
+               f"AND prcp > 0, false)), false) AS any_true FROM ws", "", "", "any_true"), ids="D15")
+def any_rush_hour_rain_hourly(spark, sf):
+    """Whether any rush-hour bucket of the hourly weather had rain."""
+    return ST.any_true(weather_events(spark, sf), F.hour("ts").isin(list(WX.REPORT_RUSH_HOURS)) & (F.col("prcp") > 0))
+
+
 def _moments_sql(corrected: bool):
     r = "y_true - y_pred" if corrected else "y_pred - y_true"
     sk = "skewness(r)" if corrected else "skewness(r) * (n - 2) / sqrt(n * (n - 1))"
@@ -587,8 +633,8 @@ def distinct_descriptions(spark, sf):
 # G: weather flags and levels
 # =============================================================================
 
-@register("weather_flags",
-          wrap(f"""WITH {SQL_WS}, q AS (SELECT quantile_cont(prcp, 0.95) AS p95, quantile_cont(prcp, 0.9) AS p90,
+def _flags_sql(ws: str) -> str:
+    return f"""WITH {ws}, q AS (SELECT quantile_cont(prcp, 0.95) AS p95, quantile_cont(prcp, 0.9) AS p90,
   quantile_cont(awnd, 0.9) AS a90, quantile_cont(tmax, 0.9) AS t90, quantile_cont(tmin, 0.1) AS n10, avg(awnd) AS am,
   min(tmax) AS lo, max(tmax) AS hi FROM ws)
 SELECT ts, CASE WHEN prcp > 0 THEN 1 ELSE 0 END AS is_raining, {_RAIN_SQL} AS rain_category,
@@ -599,40 +645,67 @@ SELECT ts, CASE WHEN prcp > 0 THEN 1 ELSE 0 END AS is_raining, {_RAIN_SQL} AS ra
   CASE WHEN coalesce(prcp > p90, false) OR coalesce(awnd > a90, false) OR coalesce(tmax > t90, false) OR coalesce(tmin < n10, false)
        THEN 1 ELSE 0 END AS extreme_weather,
   CASE WHEN hour(ts) IN (7, 8, 9, 16, 17, 18) THEN 1 ELSE 0 END AS is_rush_hour
-FROM ws, q""", "", "is_raining temp_level rainy_and_windy heavy_rain extreme_weather is_rush_hour", "ts rain_category"),
-          ids="G5 G7 G9 G10 G11 G12 G13")
-def weather_flags(spark, sf):
-    """Rain flag, rain category, 5 equal-width TMAX levels, rainy-and-windy, heavy rain,
-    extreme weather and rush hour, thresholds from one aggregation."""
+FROM ws, q"""
+
+
+_FLAG_INTS = "is_raining temp_level rainy_and_windy heavy_rain extreme_weather is_rush_hour"
+
+
+def _flags(w):
     from flowcast.functions.columns import with_scalars
-    w = _weather(spark, sf)
-    w, q = with_scalars(w, w.agg(
-        F.percentile("prcp", F.lit(0.95)).alias("p95"), F.percentile("prcp", F.lit(0.9)).alias("p90"),
-        F.percentile("awnd", F.lit(0.9)).alias("a90"), F.percentile("tmax", F.lit(0.9)).alias("t90"),
-        F.percentile("tmin", F.lit(0.1)).alias("n10"), F.avg("awnd").alias("am"),
-        F.min("tmax").alias("lo"), F.max("tmax").alias("hi")), "_q")
+    w, t = with_scalars(w, CL.quantiles(w, ["prcp", "awnd", "tmax", "tmin"], [0.1, 0.9, 0.95]), "_t")
+    w, q = with_scalars(w, w.agg(F.avg("awnd").alias("am"), F.min("tmax").alias("lo"), F.max("tmax").alias("hi")), "_q")
     return w.select(
         "ts", WX.is_raining().alias("is_raining"), WX.rain_category().alias("rain_category"),
         WX.equal_width_level("tmax", q["lo"], q["hi"], 5).alias("temp_level"),
         WX.rainy_and_windy("prcp", "awnd", q["am"]).alias("rainy_and_windy"),
-        WX.heavy_rain("prcp", q["p95"]).alias("heavy_rain"),
-        WX.extreme_weather("prcp", "awnd", "tmax", "tmin", q["p90"], q["a90"], q["t90"], q["n10"]).alias("extreme_weather"),
+        WX.heavy_rain("prcp", t["prcp_q95"]).alias("heavy_rain"),
+        WX.extreme_weather("prcp", "awnd", "tmax", "tmin", t["prcp_q90"], t["awnd_q90"], t["tmax_q90"],
+                           t["tmin_q10"]).alias("extreme_weather"),
         WX.is_rush_hour("ts").alias("is_rush_hour"))
 
 
-@register("weather_derived",
-          wrap(f"WITH {SQL_WS}, {S.weather_block('ws')} SELECT * EXCLUDE (tmin, prcp, awnd, rhav) FROM wf",
-               "tmax temp_range feels_like wind_chill", "severe_weather rush_hour_rain", "ts"), ids="G2 G3 G4 G6 G8")
-def weather_derived(spark, sf):
-    """Temperature range, feels-like, wind chill, severe weather and rush-hour rain."""
+@register("weather_flags", wrap(_flags_sql(SQL_WS), "", _FLAG_INTS, "ts rain_category"), ids="G5 G9 G10 G11 G12 G13")
+def weather_flags(spark, sf):
+    """Rain flag, rain category, 5 equal-width TMAX levels, rainy-and-windy, heavy rain
+    and extreme weather; exact thresholds from one distributed pass."""
+    return _flags(_weather(spark, sf))
+
+
+SQL_WE = f"ws AS ({S.weather_events('1 hour')})"
+
+
+@register("weather_flags_hourly", wrap(_flags_sql(SQL_WE), "", _FLAG_INTS, "ts rain_category"), ids="G5 G7 G9-G13")
+def weather_flags_hourly(spark, sf):
+    """The flags on hourly weather, where the rush-hour flag varies."""
+    return _flags(weather_events(spark, sf))
+
+
+def _derived(w):
     from flowcast.functions.columns import with_scalars
-    w = _weather(spark, sf)
-    w, q = with_scalars(w, w.agg(F.percentile("prcp", F.lit(0.95)).alias("p"), F.percentile("awnd", F.lit(0.95)).alias("a")), "_q")
+    w, q = with_scalars(w, CL.quantiles(w, ["prcp", "awnd"], [0.95]), "_q")
     return w.select("ts", "tmax", WX.temp_range().alias("temp_range"), WX.feels_like().alias("feels_like"),
-                    WX.wind_chill().alias("wind_chill"), WX.severe_weather("prcp", "awnd", q["p"], q["a"]).alias("severe_weather"),
+                    WX.wind_chill().alias("wind_chill"),
+                    WX.severe_weather("prcp", "awnd", q["prcp_q95"], q["awnd_q95"]).alias("severe_weather"),
                     WX.rush_hour_rain("ts").alias("rush_hour_rain"))
 
 
+@register("weather_derived",
+          wrap(f"WITH {SQL_WS}, {S.weather_block('ws')} SELECT * EXCLUDE (tmin, prcp, awnd, rhav) FROM wf",
+               "tmax temp_range feels_like wind_chill", "severe_weather rush_hour_rain", "ts"), ids="G2 G3 G4 G6")
+def weather_derived(spark, sf):
+    """Temperature range, feels-like, wind chill and severe weather."""
+    return _derived(_weather(spark, sf))
+
+
+@register("weather_derived_hourly",
+          wrap(f"WITH {SQL_WE}, {S.weather_block('ws')} SELECT * EXCLUDE (tmin, prcp, awnd, rhav) FROM wf",
+               "tmax temp_range feels_like wind_chill", "severe_weather rush_hour_rain", "ts"), ids="G2 G3 G4 G6 G8")
+def weather_derived_hourly(spark, sf):
+    """The derived columns on hourly weather, where rush-hour rain varies."""
+    return _derived(weather_events(spark, sf))
+
+
 @register("calendar_events",
           wrap("SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, month(ts) AS month FROM events", "",
                "event_id hour day_of_week month"), ids="G1")
@@ -659,7 +732,17 @@ def time_index_events(spark, sf):
     single-partition window."""
     from flowcast.sources.tables import read_table
     ev = read_table(spark, sf, "events", ["event_id", "ts"])
-    return OR.with_row_index(ev, ["ts", "event_id"], rows_per_bucket=2000).select("event_id", "rn")
+    return OR.with_row_index(ev, ["ts", "event_id"]).select("event_id", "rn")
+
+
+@register("row_index_customers",
+          wrap("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS rn FROM customer", "", "c_custkey rn"),
+          ids="E11")
+def row_index_customers(spark, sf):
+    """Position of every customer by name (strings with one long shared prefix)."""
+    from flowcast.sources.tables import read_table
+    c = read_table(spark, sf, "customer", ["c_custkey", "c_name"])
+    return OR.with_row_index(c, ["c_name", "c_custkey"]).select("c_custkey", "rn")
 
 
 @register("lags_users",
@@ -694,10 +777,10 @@ def rolling_means_users(spark, sf):
                "temp_change precip_change wind_change temp_trend precip_trend wind_trend", "", "ts"), ids="E3 E4")
 def diffs_trends_weather(spark, sf):
     """Day-over-day changes and 12-row trends of TMAX, PRCP and AWND."""
-    w = OR.with_row_index(_weather(spark, sf), ["ts"], rows_per_bucket=500)
-    w = OR.diffs(w, {"temp_change": "tmax", "precip_change": "prcp", "wind_change": "awnd"}, chunk_rows=500)
-    for name, src in (("temp_trend", "tmax"), ("precip_trend", "prcp"), ("wind_trend", "awnd")):
-        w = OR.rolling_means(w, src, [12], chunk_rows=500).withColumnRenamed(f"{src}_ma12", name)
+    def build(win):  # one window pass for both
+        cols = {k: F.col(v) - F.lag(v, 1).over(win) for k, v in WEATHER_DIFFS.items()}
+        return cols | {k: OR.full_avg(v, win, TREND_WINDOW) for k, v in WEATHER_TRENDS.items()}
+    w = OR.halo_window(OR.with_row_index(_weather(spark, sf), ["ts"]), build, back=TREND_WINDOW - 1)
     return w.select("ts", "temp_change", "precip_change", "wind_change", "temp_trend", "precip_trend", "wind_trend")
 
 
@@ -775,7 +858,7 @@ def random_split_orders(spark, sf):
     from flowcast.operators.scale import random_split
     from flowcast.sources.tables import read_table
     o = read_table(spark, sf, "orders", ["o_orderkey"])
-    return random_split(o, "o_orderkey", seed=42, rows_per_bucket=3000).select("o_orderkey", "split")
+    return random_split(o, "o_orderkey", seed=42).select("o_orderkey", "split")
 
 
 def _hourly_series_sql():
@@ -799,7 +882,7 @@ SELECT ts, x, trend, seasonal, x - trend - seasonal AS resid FROM r JOIN c ON r.
                "x trend seasonal resid", "", "ts"), ids="E7")
 def seasonal_decompose_hourly(spark, sf):
     """Additive decomposition of the hourly event series, period 24."""
-    out = TS.seasonal_decompose(_hourly_series(spark, sf), "x", 24, chunk_rows=200, rows_per_bucket=200)
+    out = TS.seasonal_decompose(_hourly_series(spark, sf), "x", 24)
     return out.select("ts", "x", "trend", "seasonal", "resid")
 
 
@@ -821,7 +904,7 @@ FROM r, n"""
 @register("acf_hourly", wrap(_acf_sql(), "acf band", "lag"), ids="E8")
 def acf_hourly(spark, sf):
     """Autocorrelation of the hourly event series up to lag 48 with the Bartlett band."""
-    return TS.acf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
+    return TS.acf(_hourly_series(spark, sf), "x", 48)
 
 
 def _pacf_sql(nlags: int = 48) -> str:
@@ -843,7 +926,7 @@ SELECT lag, pacf, 1.96 / sqrt(n) AS band FROM (SELECT 0 AS lag, 1.0 AS pacf UNIO
 @register("pacf_hourly", wrap(_pacf_sql(), "pacf band", "lag"), ids="E9")
 def pacf_hourly(spark, sf):
     """Partial autocorrelation (Durbin-Levinson on the distributed ACF)."""
-    return TS.pacf(_hourly_series(spark, sf), "x", 48, chunk_rows=200, rows_per_bucket=200)
+    return TS.pacf(_hourly_series(spark, sf), "x", 48)
 
 
 @register("label_encode_descriptions",
@@ -862,7 +945,7 @@ def label_encode_descriptions(spark, sf):
                "ts model variant", digits=2), digits=2, ids="E6")
 def cumulative_abs_error(spark, sf):
     """Running sum of absolute errors per (model, variant) in time order."""
-    out = TS.cumulative_abs_error(predictions(spark, sf), chunk_rows=500, rows_per_bucket=500)
+    out = TS.cumulative_abs_error(predictions(spark, sf))
     return out.select("ts", "model", "variant", "cum_abs_error")
 
 
@@ -971,8 +1054,8 @@ def best_model(spark, sf):
     return EV_.best_model(EV_.improvements(_metrics(spark, sf)))
 
 
-@register("metrics_by_condition",
-          wrap(f"""WITH p AS ({_PRED}), {SQL_WS},
+def _condition_sql(pred: str, ws: str) -> str:
+    return f"""WITH p AS ({pred}), {ws},
 q AS (SELECT quantile_cont(prcp, 0.9) AS p90, quantile_cont(awnd, 0.9) AS a90, quantile_cont(tmax, 0.9) AS t90,
              quantile_cont(tmin, 0.1) AS n10 FROM ws),
 x AS (SELECT ts, CASE WHEN coalesce(prcp > p90, false) OR coalesce(awnd > a90, false) OR coalesce(tmax > t90, false)
@@ -982,12 +1065,25 @@ t AS (SELECT *, 'overall' AS condition FROM j
       UNION ALL SELECT *, 'extreme' FROM j WHERE ext = 1
       UNION ALL SELECT *, 'normal' FROM j WHERE coalesce(ext, 0) = 0
       UNION ALL SELECT *, 'rush_hour' FROM j WHERE hour(ts) IN (7, 8, 9, 17, 18, 19))
-{_met_sql('t', 'model, variant, condition')}""", _MET_D, "n n_zero_actual", "model variant condition"), ids="K7")
+{_met_sql('t', 'model, variant, condition')}"""
+
+
+@register("metrics_by_condition", wrap(_condition_sql(_PRED, SQL_WS), _MET_D, "n n_zero_actual", "model variant condition"),
+          ids="K7")
 def metrics_by_condition(spark, sf):
-    """Metrics overall, under extreme weather, in normal weather and at rush hour."""
+    """Metrics overall, under extreme weather and in normal weather (daily: no rush hour)."""
     return EV_.metrics_by_condition(predictions(spark, sf), _weather(spark, sf))
 
 
+@register("metrics_by_condition_hourly",
+          wrap(_condition_sql(S.predictions(S.readings_events("1 hour"), S.weather_events("1 hour")), SQL_WE),
+               _MET_D, "n n_zero_actual", "model variant condition", digits=4), digits=4, ids="K7")
+def metrics_by_condition_hourly(spark, sf):
+    """The same on hourly series, with the rush-hour rows."""
+    w = weather_events(spark, sf)
+    return EV_.metrics_by_condition(predictions_of(readings_events(spark, sf, "1 hour"), w), w)
+
+
 @register("performance_table",
           wrap(f"""WITH {_MET}, {_imp_sql()},
 t AS (SELECT model, """ + ", ".join(f"printf('%.4f', max(CASE WHEN variant = '{v}' THEN {m} END)) AS {v}_{m}"
@@ -1039,13 +1135,13 @@ def paired_error_test(spark, sf):
           digits=4, ids="K14")
 def prediction_series(spark, sf):
     """First 100 aligned (truth, baseline, enhanced) rows per model."""
-    return EV_.prediction_series(JN.join_predictions(predictions(spark, sf)), 100, rows_per_bucket=500)
+    return EV_.prediction_series(JN.join_predictions(predictions(spark, sf)), 100)
 
 
-def _hist_src_sql():
+def _hist_src_sql(width: str = "1 day"):
     v = "value"
     return f"""h0 AS (SELECT event_type AS model, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'enhanced' END AS variant,
-  CAST(ts AS DATE) AS day, avg({v}) / 10.0 AS loss, avg(abs({v} - 25.0)) / 10.0 AS val_loss, min({v}) / 10.0 AS mae,
+  time_bucket({S.interval(width)}, ts) AS day, avg({v}) / 10.0 AS loss, avg(abs({v} - 25.0)) / 10.0 AS val_loss, min({v}) / 10.0 AS mae,
   max({v}) / 10.0 AS val_mae, CAST(count({v}) AS DOUBLE) AS mape, CAST(count(DISTINCT user_id) AS DOUBLE) AS val_mape,
   avg({v} * {v}) / 100.0 AS mse, avg(abs({v} - 25.0) * abs({v} - 25.0)) / 100.0 AS val_mse, 1.0 - avg({v}) / 50.0 AS r2,
   1.0 - avg(abs({v} - 25.0)) / 25.0 AS val_r2, 1e-4 AS lr FROM events GROUP BY 1, 2, 3),
@@ -1064,8 +1160,8 @@ def history_long(spark, sf):
     return EV_.history_long(history_events(spark, sf))
 
 
-@register("best_epoch",
-          wrap(f"""WITH RECURSIVE {_hist_src_sql()},
+def _best_epoch_sql(width: str) -> str:
+    return f"""WITH RECURSIVE {_hist_src_sql(width)},
 r AS (SELECT model, variant, epoch, CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN val_loss ELSE 'inf'::DOUBLE END AS best,
              CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN epoch END AS best_epoch,
              CASE WHEN val_loss < 'inf'::DOUBLE - 1e-5 THEN 0 ELSE 1 END AS wait, NULL::BIGINT AS stop FROM h WHERE epoch = 1
@@ -1080,13 +1176,22 @@ f AS (SELECT model, variant, arg_max(best_epoch, epoch) AS best_epoch, arg_max(b
              max(stop) AS stop, max(epoch) AS last_epoch FROM r GROUP BY 1, 2),
 e AS (SELECT model, variant, max(epoch) AS last_epoch FROM h GROUP BY 1, 2)
 SELECT f.model, f.variant, f.best_epoch, f.best_value, coalesce(f.stop, e.last_epoch) AS stop_epoch, f.stop IS NOT NULL AS stopped
-FROM f JOIN e ON f.model = e.model AND f.variant = e.variant""", "best_value", "best_epoch stop_epoch", "model variant stopped"),
-          ids="K12 J5")
+FROM f JOIN e ON f.model = e.model AND f.variant = e.variant"""
+
+
+@register("best_epoch", wrap(_best_epoch_sql("1 day"), "best_value", "best_epoch stop_epoch", "model variant stopped"), ids="K12")
 def best_epoch(spark, sf):
     """Early-stopping replay (patience 30, min_delta 1e-5) per run: best and stop epoch."""
     return EV_.best_epoch(history_events(spark, sf))
 
 
+@register("best_epoch_long_runs", wrap(_best_epoch_sql("6 hours"), "best_value", "best_epoch stop_epoch", "model variant stopped"),
+          ids="K12")
+def best_epoch_long_runs(spark, sf):
+    """The same over runs of some 120 epochs (six-hour buckets), where the rule stops runs."""
+    return EV_.best_epoch(history_events(spark, sf, "6 hours"))
+
+
 # =============================================================================
 # A: CSV sources and sinks (written into the shared checkpoint folder)
 # =============================================================================
@@ -1141,7 +1246,7 @@ _EXP_CACHE: dict = {}
 def _experiment(spark, sf):
     """One experiment per (session, tables): daily orders traffic + shipping weather,
     24-row windows, three model families on both variants."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _EXP_CACHE:
         preds, fitted, data = XP.run_experiment(readings_orders(spark, sf, "1 day"), weather_ship(spark, sf, "1 day"),
                                                 "1 day", SENS, 24, on_constant="zero")
@@ -1155,6 +1260,48 @@ def experiment_predictions(spark, sf):
     return _experiment(spark, sf)[0]
 
 
+def _experiment_rows_sql() -> str:
+    """Test rows of both variants: their labels are the scaled targets, row by row."""
+    parts = []
+    for variant, weather in (("baseline", False), ("enhanced", True)):
+        parts.append(f"""SELECT ts, '{variant}' AS variant, target AS y_true FROM (
+  SELECT ts, target, row_number() OVER (ORDER BY ts) - 1 - 24 AS i, count(*) OVER () - 24 AS n
+  FROM ({_pipeline_sql('1 day', weather)}) f) r
+WHERE i >= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE)""")
+    models = "(SELECT unnest(['linear', 'forest', 'boosted']) AS model)"
+    return f"SELECT t.*, m.model, true AS finite FROM ({' UNION ALL '.join(parts)}) t, {models} m"
+
+
+@register("experiment_rows", wrap(_experiment_rows_sql(), "y_true", "", "ts variant model finite", digits=4), digits=4,
+          ids="J1 J2 J3 J4")
+def experiment_rows(spark, sf):
+    """Which rows are forecast, with which truth, and that every forecast is a number."""
+    p = _experiment(spark, sf)[0]
+    pred = F.col("y_pred")
+    finite = F.coalesce((pred > float("-inf")) & (pred < float("inf")), F.lit(False))
+    return p.select("ts", "variant", "model", "y_true", finite.alias("finite"))
+
+
+@register("experiment_invariants",
+          "SELECT unnest(['gbt_train_loss_never_rises', 'importances_sum_to_one', 'metrics_match_losses']) AS name, true AS holds",
+          ids="J5 J6 J9")
+def experiment_invariants(spark, sf):
+    """What must hold for any data: boosting never raises the training loss, a forest's
+    importances sum to 1, and loss is the square of RMSE at every iteration."""
+    from pyspark.sql import Window
+    _, fitted, data = _experiment(spark, sf)
+    it = XP.iteration_metrics(fitted[("boosted", "enhanced")], data["enhanced"])
+    # a few dozen rows: the iterations of one model
+    w = Window.orderBy("iteration")
+    falls = it.where("split = 'train'").select((F.col("loss") <= F.lag("loss").over(w) + 1e-9).alias("ok"))
+    imp = XP.weight_importance(fitted[("forest", "enhanced")], _feature_cols(True), 24, "forest")
+    rows = [falls.agg(F.coalesce(F.every("ok"), F.lit(True)).alias("holds")).select(F.lit("gbt_train_loss_never_rises").alias("name"), "holds"),
+            imp.agg((F.abs(F.sum("importance") * 24 - 1) < 1e-6).alias("holds")).select(F.lit("importances_sum_to_one").alias("name"), "holds"),
+            it.agg(F.every(F.abs(F.col("loss") - F.col("rmse") * F.col("rmse")) < 1e-9).alias("holds"))
+              .select(F.lit("metrics_match_losses").alias("name"), "holds")]
+    return JN.union_all(rows)
+
+
 @register("experiment_metrics", None, ids="J4 K1 K5")
 def experiment_metrics(spark, sf):
     """Metrics of the experiment's forecasts joined with the per-model improvements."""
@@ -1164,16 +1311,16 @@ def experiment_metrics(spark, sf):
 
 @register("gbt_iteration_metrics", None, ids="J5 J6")
 def gbt_iteration_metrics(spark, sf):
-    """Per-iteration train/validation loss of the early-stopped boosted model (enhanced)."""
+    """Per-iteration loss, RMSE, MAE, MAPE and R2 on train and validation rows (boosted, enhanced)."""
     _, fitted, data = _experiment(spark, sf)
     return XP.iteration_metrics(fitted[("boosted", "enhanced")], data["enhanced"])
 
 
 @register("permutation_importance", None, ids="J7")
 def permutation_importance(spark, sf):
-    """R2 drop per permuted feature sequence (forest, enhanced, 3 repeats)."""
+    """R2 drop per permuted feature sequence (forest, enhanced, 10 repeats)."""
     _, fitted, data = _experiment(spark, sf)
-    return XP.permutation_importance(fitted[("forest", "enhanced")], data["enhanced"], _feature_cols(True), repeats=3)
+    return XP.permutation_importance(fitted[("forest", "enhanced")], data["enhanced"], _feature_cols(True), repeats=10)
 
 
 @register("perturbation_importance", None, ids="J8")
@@ -1181,7 +1328,7 @@ def perturbation_importance(spark, sf):
     """Mean squared prediction change per permuted feature sequence (linear, enhanced)."""
     _, fitted, data = _experiment(spark, sf)
     return XP.permutation_importance(fitted[("linear", "enhanced")], data["enhanced"], _feature_cols(True),
-                                     repeats=3, score="perturbation")
+                                     repeats=10, score="perturbation")
 
 
 @register("weight_importance", None, ids="J9 F2")
@@ -1204,11 +1351,24 @@ def weather_impact_summary(spark, sf):
     return XP.weather_impact_summary(m, cond, imp, WEATHER_FEATURES)
 
 
-@register("augment_weather", None, ids="H5 H6 H7")
+def _augment_sql() -> str:
+    def u(c, tag):
+        h = f"substr(md5(CAST(epoch_us(ts) AS VARCHAR) || ':{c}:{tag}'), 1, 12)"
+        return f"((CAST('0x' || {h} AS BIGINT) + 0.5::DOUBLE) / {float(1 << 48)!r}::DOUBLE)"
+    noise = ", ".join(f"{c} + sqrt(-2.0::DOUBLE * ln({u(c, '42:u')})) * cos(6.283185307179586::DOUBLE * {u(c, '42:v')}) * 0.01::DOUBLE AS {c}"
+                      for c in WEATHER_COLUMNS)
+    scale = ", ".join(f"{c} * (0.95::DOUBLE + {u(c, '43:s')} * {1.05 - 0.95!r}::DOUBLE) AS {c}" for c in WEATHER_COLUMNS)
+    cols = ", ".join(WEATHER_COLUMNS)
+    return (f"WITH {SQL_WS} SELECT ts, 'original' AS copy, {cols} FROM ws UNION ALL SELECT ts, 'noise', {noise} FROM ws "
+            f"UNION ALL SELECT ts, 'scale', {scale} FROM ws")
+
+
+@register("augment_weather", wrap(_augment_sql(), WCOLS, "", "ts copy"), ids="H5 H6 H7")
 def augment_weather(spark, sf):
     """Original + Gaussian-noise + random-scale copies of the weather rows (3n rows)."""
     from flowcast.operators.scale import augment
-    return augment(_weather(spark, sf), list(WEATHER_COLUMNS))
+    key = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return augment(_weather(spark, sf), list(WEATHER_COLUMNS), key)
 
 
 # =============================================================================
@@ -1217,7 +1377,7 @@ def augment_weather(spark, sf):
 
 @register("stream_resample_events", wrap(S.readings_events("5 minutes"), "value", "", "ts sensor_id"), ids="D1 (stream)")
 def stream_resample_events(spark, sf):
-    """5-minute per-event-type means computed by a watermarked streaming aggregation."""
+    """5-minute per-event-type means, partial sums per micro-batch merged afterwards."""
     from flowcast.streaming.resample import EVENTS_SCHEMA, stream_resample
     return stream_resample(spark, sf, EVENTS_SCHEMA, "5 minutes", file_glob="events.parquet")
 
@@ -1282,4 +1442,4 @@ SELECT ts, rn, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train'
 def chronological_split_orders(spark, sf):
     """Chronological train/val/test labels over the daily traffic buckets."""
     from flowcast.operators.scale import chronological_split
-    return chronological_split(_orders_wide(spark, sf).select("ts"), rows_per_bucket=500)
+    return chronological_split(_orders_wide(spark, sf).select("ts"))

@@ -40,6 +40,12 @@ def readings_events(width: str = "5 minutes") -> str:
             f"FROM events GROUP BY 1, 2")
 
 
+def weather_events(width: str = "1 hour") -> str:
+    return f"""SELECT time_bucket({interval(width)}, ts) AS ts, max(value) / 4.0 AS tmax, min(value) / 4.0 AS tmin,
+  sum(CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN value ELSE 0.0::DOUBLE END) / 100.0 AS prcp,
+  avg(value) / 5.0 AS awnd, avg(CAST(user_id % 100 AS DOUBLE)) AS rhav FROM events GROUP BY 1"""
+
+
 def holidays(year_lo: str, year_hi: str) -> str:
     """US federal holidays and observed days for years year_lo..year_hi."""
     def nth(m: int, isodow: int, n: int) -> str:
@@ -135,17 +141,18 @@ def zscore_pop(src: str, cols: list[str], name: str = "zp", keep: str = "ts") ->
     return f"{name}_st AS (SELECT {stats} FROM {src}),\n{name} AS (SELECT {keep}, {z} FROM {src}, {name}_st)"
 
 
-def predictions() -> str:
+def predictions(readings: str | None = None, weather: str | None = None) -> str:
     """B6 predictions fixture (ts, model, variant, y_true, y_pred)."""
+    readings, weather = readings or readings_orders("1 day"), weather or weather_ship("1 day")
     def prev_mean(k):
         frame = f"OVER (ORDER BY ts ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
         return f"CASE WHEN count(y_true) {frame} = {k} THEN avg(y_true) {frame} END"
-    return f"""WITH ro AS ({readings_orders('1 day')}),
+    return f"""WITH ro AS ({readings}),
 y AS (SELECT ts, avg(value) AS y_true FROM ro GROUP BY ts),
 b AS (SELECT ts, y_true, lag(y_true, 1) OVER (ORDER BY ts) AS linear, {prev_mean(5)} AS forest,
              {prev_mean(15)} AS boosted FROM y),
 l AS (UNPIVOT b ON linear, forest, boosted INTO NAME model VALUE base_pred),
-ws AS ({weather_ship('1 day')}),
+ws AS ({weather}),
 j AS (SELECT l.*, ws.awnd FROM l LEFT JOIN ws ON l.ts = ws.ts),
 p AS (SELECT ts, model, 'baseline' AS variant, y_true, base_pred AS y_pred FROM j
       UNION ALL

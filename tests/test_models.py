@@ -25,12 +25,11 @@ def test_permutation_importance_finds_planted_feature(spark):
     data = _windows(spark)
     model = XP.fit("linear", data)
     imp = {r["feature"]: r["importance"] for r in
-           XP.permutation_importance(model, data, ["signal", "noise"], repeats=3, rows_per_bucket=20).collect()}
+           XP.permutation_importance(model, data, ["signal", "noise"], repeats=3).collect()}
     assert imp["signal"] > 0.5
     assert abs(imp["noise"]) < 0.05
     pert = {r["feature"]: r["importance"] for r in
-            XP.permutation_importance(model, data, ["signal", "noise"], repeats=2, score="perturbation",
-                                      rows_per_bucket=20).collect()}
+            XP.permutation_importance(model, data, ["signal", "noise"], repeats=2, score="perturbation").collect()}
     assert pert["signal"] > 10 * max(pert["noise"], 1e-12)
 
 

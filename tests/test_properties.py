@@ -25,7 +25,7 @@ def test_halo_equals_global_window(spark, n, chunk, bucket, back, seed):
     ref = df.select("k", F.lag("x", back).over(w).alias("l_ref"),
                     F.when(F.count("x").over(w.rowsBetween(-back, 0)) == back + 1,
                            F.avg("x").over(w.rowsBetween(-back, 0))).alias("m_ref"))
-    idx = O.with_row_index(df, ["ts", "k"], rows_per_bucket=bucket)
+    idx = O.with_row_index(df, ["ts", "k"])
     out = O.halo_window(idx, lambda win: {"l": F.lag("x", back).over(win), "m": O.full_avg("x", win, back + 1)},
                         back=back, chunk_rows=chunk)
     j = out.join(ref, "k")

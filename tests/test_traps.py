@@ -35,7 +35,7 @@ def test_clip_keeps_nulls(spark):
 
 def test_rolling_mean_needs_full_window(spark):
     df = spark.createDataFrame([(ts(i), float(i)) for i in range(6)], "ts timestamp_ntz, x double")
-    out = O.rolling_means(df, "x", [3], rows_per_bucket=2, chunk_rows=2).orderBy("ts").collect()
+    out = O.rolling_means(df, "x", [3], chunk_rows=2).orderBy("ts").collect()
     assert [r["x_ma3"] for r in out] == [None, None, 1.0, 2.0, 3.0, 4.0]
 
 
@@ -58,7 +58,7 @@ def test_split_sizes_golden():
 
 def test_chronological_split_on_spark(spark):
     df = spark.createDataFrame([(ts(i), float(i)) for i in range(90)], "ts timestamp_ntz, x double")
-    out = SC.chronological_split(df, rows_per_bucket=7)
+    out = SC.chronological_split(df)
     sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert sizes == {"train": 62, "val": 13, "test": 15}
     last_train = out.where("split = 'train'").agg(F.max("ts")).first()[0]
@@ -142,10 +142,10 @@ def test_histogram_counts_sum_and_constant_column(spark):
 def test_decomposition_parts_sum_and_acf_lag0(spark):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 10 + math.sin(i * 2 * math.pi / 24) + 0.01 * i) for i in range(96)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, x double")
-    d = TS.seasonal_decompose(df, "x", 24, chunk_rows=30, rows_per_bucket=17).where("trend IS NOT NULL").collect()
+    d = TS.seasonal_decompose(df, "x", 24, chunk_rows=30).where("trend IS NOT NULL").collect()
     assert len(d) == 96 - 24
     assert all(abs(r["trend"] + r["seasonal"] + r["resid"] - r["x"]) < 1e-9 for r in d)
-    a = {r["lag"]: r["acf"] for r in TS.acf(df, "x", 5, chunk_rows=20, rows_per_bucket=13).collect()}
+    a = {r["lag"]: r["acf"] for r in TS.acf(df, "x", 5, chunk_rows=20).collect()}
     assert abs(a[0] - 1.0) < 1e-12 and a[1] > a[5]
 
 
@@ -180,7 +180,7 @@ def test_holidays_observed_across_year_end(spark):
 def test_interpolation_time_weighted(spark):
     rows = [(ts(0), 0.0), (ts(1), None), (ts(3), 3.0), (ts(4), None)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, x double")
-    out = [r["x"] for r in O.interpolate_time(df, ["x"], chunk_rows=1, rows_per_bucket=1).orderBy("ts").collect()]
+    out = [r["x"] for r in O.interpolate_time(df, ["x"], chunk_rows=1).orderBy("ts").collect()]
     assert out == [0.0, 1.0, 3.0, 3.0]
     lead = spark.createDataFrame([(ts(0), None), (ts(1), 2.0)], "ts timestamp_ntz, x double")
     assert [r["x"] for r in O.interpolate_time(lead, ["x"]).orderBy("ts").collect()] == [None, 2.0]
@@ -188,8 +188,9 @@ def test_interpolation_time_weighted(spark):
 
 def test_quantile_methods_agree(spark):
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    a = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95], method="distributed").first()
-    b = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95], method="percentile").first()
+    a = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95]).first()
+    b = li.agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_q{round(p * 100):02d}")
+                 for c in ("l_extendedprice", "l_tax") for p in (0.1, 0.5, 0.95)]).first()
     c = CL.quantiles(li, ["l_extendedprice", "l_tax"], [0.1, 0.5, 0.95]).first()
     assert all(abs(a[k] - b[k]) < 1e-9 and abs(c[k] - b[k]) < 1e-9 for k in b.asDict())
 
