@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowcast.functions.columns import clean_double
+from flowcast.operators import ordered
 
 HISTORY_METRICS = ("loss", "val_loss", "mae", "val_mae", "mape", "val_mape",
                    "mse", "val_mse", "r2", "val_r2", "lr")
@@ -25,14 +26,19 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def _read_wide(spark: SparkSession, path: str, columns: Sequence[str] | None, ts_name: str) -> DataFrame:
-    names = list(columns) if columns is not None else _header(spark, path)[1:]
-    schema = T.StructType(
-        [T.StructField(ts_name, T.StringType(), True)] + [T.StructField(c, T.StringType(), True) for c in names]
-    )
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """Every file must have the same header (the first column may be unnamed). A cell
+    that is no number, or a time that does not parse, is NULL."""
+    header = _header(spark, path)
+    names = header[1:] if columns is None else list(columns)
+    missing = [c for c in names if c not in header]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header of {path}")
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+    named = header[0] != "_c0"  # an index column without a name cannot be checked
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", not named).csv(path)
     return raw.select(
-        F.to_timestamp_ntz(F.col(ts_name)).alias("ts"),
-        *[clean_double(F.col(f"`{c}`").cast("double")).alias(c) for c in names],
+        F.try_to_timestamp(F.col(f"`{header[0]}`")).cast("timestamp_ntz").alias("ts"),
+        *[clean_double(F.col(f"`{c}`").try_cast("double")).alias(c) for c in names],
     )
 
 
@@ -52,30 +58,31 @@ def write_wide_csv(df: DataFrame, path: str) -> None:
 
 
 def write_history(df: DataFrame, path: str) -> None:
-    """A4: one CSV folder per (model, variant): ``<path>/<model>_<variant>_history``.
-
-    ``partitionBy`` writes each group from all tasks in parallel; no group passes
-    through one task or the driver.
-    """
+    """A4: one CSV per (model, variant) in ``<path>/run=<model>_<variant>_history``: the
+    eleven metric columns, one line an epoch in order. A run's length is its number of
+    epochs, so a run is written by one task and runs by many."""
     (df.select(F.concat_ws("_", "model", "variant", F.lit("history")).alias("run"), "epoch", *HISTORY_METRICS)
+       .repartition("run").sortWithinPartitions("run", "epoch").drop("epoch")
        .write.mode("overwrite").option("header", True).partitionBy("run").csv(path))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All history CSVs below ``path`` united, model/variant taken from the folder
-    (``run=<model>_<variant>_history``) or file name."""
-    schema = T.StructType([T.StructField("epoch", T.LongType(), True)]
-                          + [T.StructField(m, T.DoubleType(), True) for m in HISTORY_METRICS])
-    df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", False).csv(path)
-    src = F.col("_metadata.file_path")
+    """All history CSVs below ``path`` united; model and variant come from the folder
+    (``run=<model>_<variant>_history``) or file name, the epoch is the line's number in
+    its file. Files whose header is not the eleven metric columns fail."""
+    schema = T.StructType([T.StructField(m, T.DoubleType(), True) for m in HISTORY_METRICS])
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     pattern = r"([^/=]+)_(baseline|enhanced)_history"
-    return df.select(
-        F.regexp_extract(src, pattern, 1).alias("model"),
-        F.regexp_extract(src, pattern, 2).alias("variant"),
-        "epoch", *HISTORY_METRICS,
-    )
+    lines = df.select(*HISTORY_METRICS, F.col("_metadata.file_path").alias("_fc_file"),
+                      F.col("_metadata.file_block_start").alias("_fc_block"),
+                      F.monotonically_increasing_id().alias("_fc_line"))
+    numbered = ordered.with_row_index(lines, ["_fc_block", "_fc_line"], ["_fc_file"], "epoch")
+    return numbered.select(
+        F.regexp_extract("_fc_file", pattern, 1).alias("model"),
+        F.regexp_extract("_fc_file", pattern, 2).alias("variant"),
+        (F.col("epoch") + 1).alias("epoch"), *HISTORY_METRICS)
 
 
 def write_summary(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """A5: improvement summary sink (json or parquet)."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+    """A5: improvement summary sink (json or parquet), one row a model."""
+    df.write.mode("overwrite").format(fmt).save(path)

@@ -56,6 +56,18 @@ def readings_events(spark: SparkSession, sf_dir: str, width: str = "5 minutes")
               .agg(F.avg(clean_double("value")).alias("value")))
 
 
+def weather_events(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
+    """B2 below the day: one weather row per bucket of the events, so that hours of the day
+    (rush hour) take part."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
+    v = clean_double("value")
+    wet = (F.col("event_type") == "error") & (F.col("user_id") % 3 == 0)
+    return ev.groupBy(time_bucket("ts", width).alias("ts")).agg(
+        (F.max(v) / 4.0).alias("tmax"), (F.min(v) / 4.0).alias("tmin"),
+        (F.sum(F.when(wet, v).otherwise(F.lit(0.0))) / 100.0).alias("prcp"),
+        (F.avg(v) / 5.0).alias("awnd"), F.avg((F.col("user_id") % 100).cast("double")).alias("rhav"))
+
+
 def readings_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many raw series, one per user, tie-broken by event_id."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
@@ -63,17 +75,17 @@ def readings_users(spark: SparkSession, sf_dir: str) -> DataFrame:
                      clean_double("value").alias("value"), "event_id")
 
 
-def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_events(spark: SparkSession, sf_dir: str, width: str = "1 day") -> DataFrame:
     """B7 on the driver tables: training-history-shaped rows derived from events.
 
     model = event_type, variant = baseline (even user_id) or enhanced (odd),
-    epoch = 1.. over the days present in the group, metrics from the day's values.
+    epoch = 1.. over the buckets present in the group, metrics from the bucket's values.
     """
     ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
     v = clean_double("value")
     daily = (ev.groupBy(F.col("event_type").alias("model"),
                         F.when(F.col("user_id") % 2 == 0, "baseline").otherwise("enhanced").alias("variant"),
-                        F.to_date("ts").alias("day"))
+                        time_bucket("ts", width).alias("day"))
                .agg((F.avg(v) / 10.0).alias("loss"),
                     (F.avg(F.abs(v - 25.0)) / 10.0).alias("val_loss"),
                     (F.min(v) / 10.0).alias("mae"),
@@ -85,21 +97,24 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(1.0) - F.avg(v) / 50.0).alias("r2"),
                     (F.lit(1.0) - F.avg(F.abs(v - 25.0)) / 25.0).alias("val_r2"),
                     F.lit(1e-4).alias("lr")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("model", "variant").orderBy("day")
-    return daily.withColumn("epoch", F.row_number().over(w).cast("long")).drop("day")
+    from flowcast.operators import ordered
+    numbered = ordered.with_row_index(daily, ["day"], ["model", "variant"], "epoch")
+    return numbered.withColumn("epoch", F.col("epoch") + 1).drop("day")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic metrics fixture (not a forecast) on the daily B1 series.
+    """Deterministic metrics fixture (not a forecast) on the daily B1 series."""
+    return predictions_of(readings_orders(spark, sf_dir, "1 day"), weather_ship(spark, sf_dir, "1 day"))
+
 
-    y_true = row mean over sensors; baselines: linear = previous value, forest =
+def predictions_of(readings: DataFrame, weather: DataFrame) -> DataFrame:
+    """y_true = row mean over sensors; baselines: linear = previous value, forest =
     mean of the previous 5, boosted = mean of the previous 15 (full windows);
-    enhanced = 0.5 * (baseline + y_true) + 0.001 * awnd of the same day. Rows
+    enhanced = 0.5 * (baseline + y_true) + 0.001 * awnd of the same bucket. Rows
     with a NULL prediction are dropped."""
     from flowcast.operators import ordered
 
-    y = readings_orders(spark, sf_dir, "1 day").groupBy("ts").agg(F.avg("value").alias("y_true"))
+    y = readings.groupBy("ts").agg(F.avg("value").alias("y_true"))
     idx = ordered.with_row_index(y, ["ts"])
     base = ordered.halo_window(idx, lambda w: {
         "linear": F.lag("y_true", 1).over(w),
@@ -107,9 +122,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "boosted": ordered.full_avg("y_true", w, 15, offset=1),
     }, back=15).drop(ordered.RN)
     long = base.unpivot(["ts", "y_true"], ["linear", "forest", "boosted"], "model", "base_pred")
-    awnd = weather_ship(spark, sf_dir, "1 day").select("ts", "awnd")
-    j = long.join(awnd, "ts", "left")
-    b = j.select("ts", "model", F.lit("baseline").alias("variant"), "y_true", F.col("base_pred").alias("y_pred"))
-    e = j.select("ts", "model", F.lit("enhanced").alias("variant"), "y_true",
-                 (F.lit(0.5) * (F.col("base_pred") + F.col("y_true")) + F.lit(0.001) * F.col("awnd")).alias("y_pred"))
-    return b.unionByName(e).where(F.col("y_pred").isNotNull())
+    j = long.join(weather.select("ts", "awnd"), "ts", "left")
+    better = F.lit(0.5) * (F.col("base_pred") + F.col("y_true")) + F.lit(0.001) * F.col("awnd")
+    # both variants from one pass over the rows
+    both = F.inline(F.array(F.struct(F.lit("baseline").alias("variant"), F.col("base_pred").alias("y_pred")),
+                            F.struct(F.lit("enhanced").alias("variant"), better.alias("y_pred"))))
+    return j.select("ts", "model", "y_true", both).select("ts", "model", "variant", "y_true", "y_pred") \
+        .where(F.col("y_pred").isNotNull())

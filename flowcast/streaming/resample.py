@@ -1,16 +1,19 @@
-"""Streaming bucket resampling: readStream -> watermark -> windowed average ->
-update-mode micro-batches appended (with their batch id) into the shared
-checkpoint folder. The latest row per (bucket, key) is the final value, which
-equals the batch resample (D1 without gap fill) once every file is processed.
+"""Streaming bucket resampling: readStream -> partial sums and counts of each
+micro-batch, written below the shared checkpoint folder -> merged means.
+
+Nothing is kept between batches and there is no watermark, so files may arrive in any
+order and late rows count like all others. A batch writes its own folder and overwrites
+it when it runs again, so a failed batch is not counted twice. The merged result equals
+the batch resample (D1 without gap fill) of the same files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowcast.functions.buckets import width_seconds
+from flowcast.functions.buckets import time_bucket
 from flowcast.session import scratch_path
 
 EVENTS_SCHEMA = T.StructType([
@@ -22,33 +25,26 @@ EVENTS_SCHEMA = T.StructType([
 
 def stream_resample(spark: SparkSession, folder: str, schema: T.StructType, width: str = "5 minutes",
                     key: str = "event_type", value: str = "value", ts: str = "ts",
-                    watermark: str = "1 hour", max_files_per_trigger: int = 16,
-                    file_glob: str | None = None) -> DataFrame:
+                    max_files_per_trigger: int = 16, file_glob: str | None = None) -> DataFrame:
     """Run the stream over the files of ``folder`` (optionally only those matching
     ``file_glob``) to completion (``availableNow``) and return the resampled frame
-    (ts, sensor_id, value) read back from the sink folder."""
+    (ts, sensor_id, value)."""
     out = scratch_path(spark, "stream-resample-out")
     ckpt = scratch_path(spark, "stream-resample-ckpt")
-    w = width_seconds(width)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    src = (reader.parquet(folder)
-           # watermarks need TIMESTAMP (local time zone); session time zone is UTC
-           .withColumn("_fc_ts", F.col(ts).cast("timestamp")))
-    agg = (src.withWatermark("_fc_ts", watermark)
-              .groupBy(F.window("_fc_ts", f"{w} seconds").alias("win"), F.col(key).alias("sensor_id"))
-              .agg(F.avg(F.col(value)).alias("value")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("win.start").cast("timestamp_ntz").alias("ts"), "sensor_id", "value",
-                      F.lit(batch_id).cast("long").alias("batch_id"))
-              .write.mode("append").parquet(out))
+        part = batch.groupBy(time_bucket(ts, width).alias("ts"), F.col(key).alias("sensor_id")).agg(
+            F.sum(value).alias("total"), F.count(value).alias("n"))
+        part.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (reader.parquet(folder).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    latest = Window.partitionBy("ts", "sensor_id").orderBy(F.col("batch_id").desc())
-    return (res.withColumn("_fc_r", F.row_number().over(latest)).where("_fc_r = 1")
-               .select("ts", "sensor_id", "value"))
+    parts = spark.read.schema(T.StructType([
+        T.StructField("ts", schema[ts].dataType), T.StructField("sensor_id", schema[key].dataType),
+        T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType()),
+        T.StructField("batch", T.LongType())])).parquet(out)
+    return parts.groupBy("ts", "sensor_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("value"))
