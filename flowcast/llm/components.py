@@ -41,10 +41,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark[0] == 0:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # minima are written, so that each join shuffles both sides by itself
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "components-low")
         # larger neighbours only: rows (v, m) for v > u
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "components-large")
+        low2 = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = large.join(low2, "u").select("u", "v", "m")
         e = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                           F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
