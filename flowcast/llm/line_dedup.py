@@ -54,6 +54,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = (windows.groupBy("h1", "h2")
              .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "at")).alias("first"))
              .where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
+    # written, so that the join shuffles both sides by itself and AQE can split the rows of
+    # a window that very many documents share
+    first = materialise(first, "line-first")
     later = (windows.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
              .where(~F.struct("id", "k", "at").eqNullSafe(F.col("first"))))
     return (later.select("id", "k", F.explode("lines").alias("line"))
