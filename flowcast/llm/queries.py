@@ -25,8 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # Twins that DuckDB can run on the same tables; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
-    "op5_suffix_dedup": repeats.query,
-    "op6_quality_gam": quality_gam.query,
     "op7_voronoi_topk": voronoi.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
