@@ -4,8 +4,10 @@ Texts are lower-cased (A-Z) and cut into word shingles; each bit of a fingerprin
 majority of that bit over the XXH64 hashes of the shingles. Distinct fingerprints are
 dealt into tiles of one population count and at most about ``tile_rows`` members. Two
 fingerprints that differ in at most ``radius`` bits differ in population count by at most
-``radius``, so only pairs of tiles that near are compared, each by numpy exclusive-or and
-bit counts, completely. A pair of tiles returns a spanning forest of its links, which
+``radius``, so only pairs of tiles that near are compared, by numpy exclusive-or and bit
+counts. Within a pair of tiles the same bound holds for the ones in three parts of the
+bits, taken together, and cells of members beyond it are skipped too; nothing else is.
+A pair of tiles returns a spanning forest of its links, which
 keeps every connection without listing all pairs of a group. Connected components over
 the forests give the groups.
 
@@ -35,6 +37,9 @@ HASH_SEED = 42
 TILE_ROWS = 16_384
 BLOCK = 1 << 15  # shingle hashes counted at a time
 LINKS_HELD = 1 << 20
+PAIRS_HELD = 1 << 17  # pairs compared at a time
+PARTS = (0xFFFF, 0xFFFF << 16, 0xFFFFFFFF << 32)  # bits counted apart within a tile
+TILE_PAIRS = 8  # tile pairs a task
 
 
 def text_fingerprint(text: bytes, words_per: int = SHINGLE_WORDS) -> int:
@@ -63,12 +68,21 @@ def fingerprint(text: Column, words_per: int = SHINGLE_WORDS) -> Column:
     return F.arrow_udf(of, "bigint")(text)
 
 
+def _cells(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a tile's members by their counts of ones in PARTS, the counts of each cell
+    and the cells' bounds in that order."""
+    counts = np.stack([np.bitwise_count(tile & np.uint64(p)) for p in PARTS], axis=1).astype(np.int64)
+    order = np.lexsort(counts.T[::-1])
+    ranked = counts[order]
+    first = np.flatnonzero(np.r_[True, (ranked[1:] != ranked[:-1]).any(1)][:len(ranked)])
+    return order, ranked[first], np.r_[first, len(ranked)]
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest (member, root) over all fingerprints of two tiles that link; pass one tile
     twice to compare it with itself."""
     both = np.concatenate((a, b))
     forest_u, forest_v = np.empty(0, np.int64), np.empty(0, np.int64)
-    step = max(1, (1 << 19) // max(1, len(b)))
     held_u, held_v, held = [], [], 0
 
     def reduced():
@@ -78,18 +92,28 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
         member = np.flatnonzero(top != np.arange(len(both)))
         return member, top[member]
 
-    for i in range(0, len(a), step):
-        far = np.bitwise_count(a[i:i + step, None] ^ b[None, :])
-        u, v = np.nonzero(far <= radius)
-        differ = a[i + u] != b[v]
-        u, v = u[differ] + i, v[differ] + len(a)
-        if len(u):
-            held_u.append(u)
-            held_v.append(v)
-            held += len(u)
-        if held > LINKS_HELD:
-            forest_u, forest_v = reduced()
-            held_u, held_v, held = [], [], 0
+    # links are sought between cells of the tiles: members with equal counts of ones in each
+    # part, skipped where the parts differ by more than the radius together
+    order_a, cells_a, begin_a = _cells(a)
+    order_b, cells_b, begin_b = _cells(b)
+    for i, counts in enumerate(cells_a):
+        near = np.flatnonzero(np.abs(cells_b - counts).sum(1) <= radius)
+        if not len(near):
+            continue
+        some_b = np.concatenate([order_b[begin_b[j]:begin_b[j + 1]] for j in near])
+        step = max(1, PAIRS_HELD // len(some_b))
+        for start in range(begin_a[i], begin_a[i + 1], step):
+            some_a = order_a[start:min(start + step, begin_a[i + 1])]
+            u, v = np.nonzero(np.bitwise_count(a[some_a, None] ^ b[None, some_b]) <= radius)
+            u, v = some_a[u], some_b[v]
+            differ = a[u] != b[v]
+            if differ.any():
+                held_u.append(u[differ])
+                held_v.append(v[differ] + len(a))
+                held += len(held_u[-1])
+            if held > LINKS_HELD:
+                forest_u, forest_v = reduced()
+                held_u, held_v, held = [], [], 0
     member, root = reduced()
     return both[member], both[root]
 
@@ -111,11 +135,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
         .groupBy("pc", "part").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
     # partners of a tile: the tiles of its own population count from itself on, and all
     # tiles of the next `radius` population counts
-    near = []
+    near, n_pairs = [], 0
     for c in sorted(parts):
         for d in range(c, c + radius + 1):
             if d in parts:
                 near.append((c, d, parts[d]))
+                n_pairs += parts[c] * (parts[c] + 1) // 2 if c == d else parts[c] * parts[d]
     partners = spark.createDataFrame(near, "pc int, pc_b int, parts_b bigint")
     first = tiles.withColumnsRenamed({"part": "part_a", "fps": "fps_a"}).join(F.broadcast(partners), "pc")
     first = first.withColumn("part_b", F.explode(F.sequence(
@@ -133,7 +158,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(member.view(np.int64)), pa.array(root.view(np.int64))], names=["a", "b"])
 
-    return pairs.repartition(max(len(near) * 2, 1)).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return pairs.repartition(max(len(near) * 2, -(-n_pairs // TILE_PAIRS))).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -101,6 +101,27 @@ def test_tile_links_keep_every_connection():
     assert (mine == roots(u, v, len(all_))).all()
 
 
+def test_tiles_of_neighbouring_population_counts_keep_every_link():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2 ** 64, 20_000, np.uint64)
+    a = x[np.bitwise_count(x) == 31][:1500]
+    b = [x[np.bitwise_count(x) == 33][:1500]]
+    for v in a[:300]:  # two bits on, or three on and one off
+        zeros = rng.permutation([i for i in range(64) if not int(v) >> i & 1])
+        ones = rng.permutation([i for i in range(64) if int(v) >> i & 1])
+        for flips in ((*zeros[:2],), (*zeros[:3], ones[0])):
+            b.append(np.array([int(v) ^ sum(1 << int(i) for i in flips)], np.uint64))
+    b = np.unique(np.concatenate(b))
+    u, v = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= 4)
+    both = np.concatenate((a, b))
+    want = roots(u, v + len(a), len(both))
+    member, root = simhash.tile_links(a, b, 4)
+    at = {int(y): i for i, y in enumerate(both)}
+    got = roots(np.array([at[int(y)] for y in member]), np.array([at[int(y)] for y in root]), len(both))
+    assert len(member) >= 600
+    assert (got == want).all()
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(4)
     names = list(range(400))
