@@ -35,7 +35,9 @@ from flowcast.llm.common import materialise, read
 K = 5
 N_PIVOTS = 64
 BLOCK_ROWS = 4096
-CHUNK_QUERIES = 256
+CHUNK_QUERIES = 4096  # queries that meet a block together; a block is copied once for each chunk
+PRODUCT_QUERIES = 256  # of them, rows of one product
+BLOCK_PAIRS = 16  # pairs of block and chunk a task, about 4 MB each
 EVERY = 50
 
 
@@ -147,7 +149,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
             for rows, asked in zip(batch.column(0), batch.column(1)):
                 yield _block_hits(rows.values, asked.values, width, k)
 
-    hits = pairs.repartition(max(2 * len(cells), 1)).mapInArrow(solve, "query_id bigint, q bigint, vec_id bigint, score bigint")
+    hits = pairs.repartition(max(2 * len(cells), -(-total * chunks // BLOCK_PAIRS))).mapInArrow(solve, "query_id bigint, q bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
@@ -160,7 +162,7 @@ def _block_hits(rows: pa.StructArray, asked: pa.StructArray, width: int, k: int)
     by_id = np.argsort(ids, kind="stable")  # a stable sort by score then keeps smaller ids first
     ids, x = ids[by_id], matrix(rows.field("v"), width)[by_id]
     q = matrix(asked.field("v"), width)
-    scores = products(q, x)
+    scores = (row for at in range(0, len(q), PRODUCT_QUERIES) for row in products(q[at:at + PRODUCT_QUERIES], x))
     out: list[tuple[np.ndarray, ...]] = []
     for i, row in enumerate(scores):
         fit = np.flatnonzero((row >= floor[i]) & (ids != qids[i]))

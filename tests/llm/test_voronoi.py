@@ -70,3 +70,22 @@ def test_far_cells_are_skipped(spark):
     rows = [(i, [f32(100 * (1 if i % 2 else -1) + (i % 10) / 100), 1.0]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert run(spark, rows, 10, n_pivots=2) == slow(rows, 10)
+
+
+def test_many_query_chunks(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "CHUNK_QUERIES", 4)
+    rows = vectors(6, 120)
+    assert run(spark, rows, 3, n_pivots=4, block_rows=16) == slow(rows, 3)
+
+
+def test_rows_of_one_product_do_not_change_the_hits(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    x, q = (rng.integers(-50, 50, (n, 3)).tolist() for n in (90, 25))
+    rows = pa.array([{"id": i, "v": v} for i, v in enumerate(x)])
+    asked = pa.array([{"id": 1000 + i, "v": v, "floor": float("-inf")} for i, v in enumerate(q)])
+    whole = voronoi._block_hits(rows, asked, 3, 5)
+    monkeypatch.setattr(voronoi, "PRODUCT_QUERIES", 4)
+    assert voronoi._block_hits(rows, asked, 3, 5).equals(whole)
+    assert whole.num_rows == 125
