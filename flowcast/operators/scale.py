@@ -14,25 +14,38 @@ from flowcast.operators.ordered import RN
 _TINY = 10 * 2.220446049250313e-16  # scales below this count as zero (then 1)
 
 
-def zscore_population(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
-    """H1: (x - mean) / population std, statistics from ``fit`` (default: all rows);
-    a zero std divides by 1, so a constant column becomes 0."""
+def _population(df: DataFrame, cols: Sequence[str], fit: DataFrame, of: str | None, change) -> DataFrame:
+    """``change(value, mean, scale)`` for each of ``cols``, with the mean and population std
+    of the like-named column of ``fit``, or of its column ``of`` for all."""
     cols = list(cols)
-    src = fit if fit is not None else df
-    j, s = with_scalars(df, src.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(cols)],
-                                    *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(cols)]),
+    names = cols if of is None else [of]
+    j, s = with_scalars(df, fit.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(names)],
+                                    *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(names)]),
                         "_fc_z")
     out = []
     for c in df.columns:
         if c in cols:
-            i = cols.index(c)
+            i = cols.index(c) if of is None else 0
             sd = F.when(s[f"s{i}"] < _TINY, F.lit(1.0)).otherwise(s[f"s{i}"])
-            out.append(((F.col(f"`{c}`") - s[f"m{i}"]) / sd).alias(c))
+            out.append(change(F.col(f"`{c}`"), s[f"m{i}"], sd).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return j.select(*out)
 
 
+def zscore_population(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
+                      of: str | None = None) -> DataFrame:
+    """H1: (x - mean) / population std, statistics from ``fit`` (default: all rows);
+    a zero std divides by 1, so a constant column becomes 0."""
+    return _population(df, cols, fit if fit is not None else df, of, lambda x, mean, sd: (x - mean) / sd)
+
+
+def unscale_population(df: DataFrame, cols: Sequence[str], fit: DataFrame, of: str | None = None) -> DataFrame:
+    """The inverse of :func:`zscore_population` fitted on ``fit``: x * std + mean, so
+    labels and forecasts come back in original units."""
+    return _population(df, cols, fit, of, lambda x, mean, sd: x * sd + mean)
+
+
 def zscore_sample(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
                   on_constant: str = "error") -> DataFrame:
     """H2: (x - mean) / sample std (ddof=1).

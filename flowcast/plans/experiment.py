@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from flowcast.functions.columns import with_scalars
 from flowcast.operators import evaluate as K
 from flowcast.operators import ordered
+from flowcast.operators.scale import unscale_population
 from flowcast.operators.timeseries import sequence_vector
 from flowcast.plans.prepare import prepare_dataset
 from flowcast.session import cut_lineage
@@ -102,6 +103,18 @@ def run_experiment(readings: DataFrame, weather: DataFrame, width: str, sensors:
     return out, fitted, data
 
 
+def original_units(preds: DataFrame, features: dict[str, DataFrame], target_col: str = "speed_ma30") -> DataFrame:
+    """Labels and forecasts of each variant in the units of ``target_col``: ``features``
+    maps a variant to the unscaled feature table its scaler was fitted on. Predictions of
+    other variants are left out."""
+    parts = [unscale_population(preds.where(F.col("variant") == v), ["y_true", "y_pred"], fit, of=target_col)
+             for v, fit in features.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def iteration_metrics(gbt_model, data: DataFrame) -> DataFrame:
     """Loss (mean squared error), RMSE, MAE, MAPE and R2 after each boosting iteration,
     on train and validation rows. Each tree scores every row once; the prediction after

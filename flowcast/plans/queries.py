@@ -17,6 +17,7 @@ from flowcast.operators import ordered as OR
 from flowcast.operators import reshape as RS
 from flowcast.operators import stats as ST
 from flowcast.operators import timeseries as TS
+from flowcast.operators.scale import zscore_population
 from flowcast.plans import experiment as XP
 from flowcast.plans import sqlparts as S
 from flowcast.plans.catalog import register, wrap
@@ -1029,6 +1030,17 @@ def regression_metrics(spark, sf):
     return _metrics(spark, sf)
 
 
+@register("metrics_original_units", wrap(f"WITH {_MET} SELECT * FROM m", _MET_D, "n n_zero_actual", "model variant"),
+          ids="H1 K1")
+def metrics_original_units(spark, sf):
+    """Forecasts scaled per variant by the truth's z-score, as a model emits them, brought
+    back to original units and scored: the metrics of the unscaled forecasts."""
+    p = predictions(spark, sf)
+    fits = {v: p.where(F.col("variant") == v) for v in XP.VARIANTS}
+    parts = [zscore_population(f, ["y_true", "y_pred"], f, of="y_true") for f in fits.values()]
+    return EV_.regression_metrics(XP.original_units(parts[0].unionByName(parts[1]), fits, "y_true"))
+
+
 @register("combined_loss",
           wrap(f"""WITH p AS ({_PRED}), g AS (SELECT model, variant, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
   avg(abs(y_true - y_pred)) AS mae, avg(abs((y_true - y_pred) / (y_true + 1e-7))) * 100.0 AS mape_eps,

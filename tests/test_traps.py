@@ -241,3 +241,19 @@ def test_resample_gap_fill_keeps_timestamp_type(spark, tstype):
     out = ST.resample_mean(df, "5 minutes").orderBy("ts").collect()
     assert [r["x"] for r in out] == [2.0, None, None, 5.0]
     assert ST.resample_mean(df, "5 minutes").schema["ts"].dataType.typeName() == df.schema["ts"].dataType.typeName()
+
+
+def test_unscaling_inverts_the_population_zscore(spark):
+    rows = [(1, 2.0, 7.0), (2, -3.5, 7.0), (3, None, 7.0), (4, 10.0, 7.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    back = SC.unscale_population(SC.zscore_population(df, ["a", "b"]), ["a", "b"], df)
+    got = sorted(tuple(r) for r in back.collect())
+    assert [r[1] is None for r in got] == [False, False, True, False]
+    assert all(abs((x or 0) - (y or 0)) < 1e-12 for g, r in zip(got, rows) for x, y in zip(g, r))
+
+
+def test_one_column_can_scale_another(spark):
+    df = spark.createDataFrame([(1.0, 4.0), (3.0, 0.0)], "y double, p double")
+    z = SC.zscore_population(df, ["y", "p"], of="y")
+    assert sorted(tuple(r) for r in z.collect()) == [(-1.0, 2.0), (1.0, -2.0)]
+    assert sorted(tuple(r) for r in SC.unscale_population(z, ["p"], df, of="y").collect()) == [(-1.0, 4.0), (1.0, 0.0)]
