@@ -120,7 +120,8 @@ def quantile_bin_stats(df: DataFrame, by: str, value: str, q: int = 10) -> DataF
 
     Bins are right-closed with the lowest edge included; duplicate edges raise an
     error (as ``qcut`` does). Every bin 1..q is emitted, empty ones with count 0."""
-    data, s = with_scalars(df, quantile_edges(df, by, q), "_fc_e")
+    found = quantile_edges(df, by, q)
+    data, s = with_scalars(df, found, "_fc_e")
     edges = s["e"]
     inner = F.slice(edges, 2, q - 1)
     x = F.col(by)
@@ -132,7 +133,7 @@ def quantile_bin_stats(df: DataFrame, by: str, value: str, q: int = 10) -> DataF
                                       F.stddev_samp("_fc_v").alias("std_value"),
                                       F.count("_fc_v").alias("n"))
     spine = df.sparkSession.range(1, q + 1).select(F.col("id").cast("int").alias("bin"))
-    spine, s2 = with_scalars(spine, quantile_edges(df, by, q), "_fc_e")
+    spine, s2 = with_scalars(spine, found, "_fc_e")
     spine = spine.select("bin", F.element_at(s2["e"], F.col("bin")).alias("lower"),
                          F.element_at(s2["e"], F.col("bin") + 1).alias("upper"))
     return (spine.join(stats, "bin", "left")
