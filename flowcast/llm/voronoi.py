@@ -2,10 +2,10 @@
 
 Pivots (a bounded sample, ``n_pivots`` rows by a hash of id) split vectors into cells,
 each vector going to its nearest pivot. A summary of each cell holds its size, radius and
-the distances of its k + 1 members nearest the pivot. For a query q and a cell with pivot
-p, any member x at distance d from p scores within <q, p> +- |q| d. The lower ends of the
-summarised members give the query a threshold that its k-th score reaches, and the query
-is sent only to cells whose upper end <q, p> + |q| radius reaches it. Cells are cut into
+the distances and ids of its k + 1 members nearest the pivot. For a query q and a cell with
+pivot p, any member x at distance d from p scores within <q, p> +- |q| d. The lower ends of
+the summarised members of other ids give the query a threshold that its k-th score reaches,
+and the query is sent only to cells whose upper end <q, p> + |q| radius reaches it. Cells are cut into
 blocks of bounded size, so a vector that fills a third of the table fills many blocks;
 block and query chunk are multiplied by numpy, and each block returns at most k hits a
 query, of which the k best remain.
@@ -85,16 +85,18 @@ SLACK = 1e-6  # relative room for rounding in bounds; only ever sends a query fu
 
 
 def _targets(pivots: np.ndarray, width: int, cells: np.ndarray, radius: np.ndarray,
-             near_cell: np.ndarray, near_gap: np.ndarray, need: int):
+             near_cell: np.ndarray, near_gap: np.ndarray, near_id: np.ndarray, k: int):
     """Cells that a query must visit, and the threshold of its score."""
-    def of(vectors: pa.Array) -> pa.Array:
+    def of(ids: pa.Array, vectors: pa.Array) -> pa.Array:
         q = matrix(vectors, width).astype(np.float64)
         size = np.sqrt((q ** 2).sum(1))
         dots = q @ pivots.astype(np.float64).T
         room = SLACK * (1 + np.abs(dots).max(initial=0) + size.max(initial=0) * radius.max(initial=0))
         lower = dots[:, near_cell] - size[:, None] * near_gap[None, :]
-        if lower.shape[1] >= need:
-            floor = np.partition(lower, lower.shape[1] - need, axis=1)[:, lower.shape[1] - need] - room
+        # rows of the query's own id, however many, are no candidates and give no bound
+        lower[ids.to_numpy(zero_copy_only=False)[:, None] == near_id[None, :]] = -np.inf
+        if lower.shape[1] >= k:
+            floor = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k] - room
         else:
             floor = np.full(len(q), -np.inf)
         upper = dots[:, cells] + size[:, None] * radius[None, :] + room
@@ -118,14 +120,17 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     pivots = matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())), width)
     pivots = np.unique(pivots, axis=0)
     celled = materialise(sound.withColumn("c", _assign(pivots, width)("v")).select("id", "v", "is_query", "c.*"), "voronoi-cells")
-    # summaries: one row a cell, and its k + 1 members nearest the pivot
+    # summaries: one row a cell, and its k + 1 members nearest the pivot; one without an id
+    # gives no bound
     cells = {r["cell"]: (r["n"], r["radius"]) for r in celled.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()}
     nearest = Window.partitionBy("cell").orderBy("gap")
-    near = celled.select("cell", "gap", F.row_number().over(nearest).alias("r")).where(F.col("r") <= k + 1).collect()
+    near = (celled.where("id is not null").select("cell", "gap", "id", F.row_number().over(nearest).alias("r"))
+            .where(F.col("r") <= k + 1).collect())
     order = np.array(sorted(cells), np.int64)
     targets = _targets(pivots, width, order, np.array([cells[c][1] for c in order.tolist()], float),
-                       np.array([r["cell"] for r in near], np.int64), np.array([r["gap"] for r in near], float), k + 1)
+                       np.array([r["cell"] for r in near], np.int64), np.array([r["gap"] for r in near], float),
+                       np.array([r["id"] for r in near], np.int64), k)
     blocks = {c: -(-n // block_rows) for c, (n, _) in cells.items()}
     counts = spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "cell int, blocks bigint")
     data = (celled.join(F.broadcast(counts), "cell")
@@ -134,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     # equal vectors of one id are few; a vector with many ids spreads by id
     packed = data.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     queries = (celled.where("is_query").select("id", "v").distinct()
-               .withColumn("t", targets("v")).select("id", "v", "t.floor", F.explode("t.cells").alias("cell"))
+               .withColumn("t", targets("id", "v")).select("id", "v", "t.floor", F.explode("t.cells").alias("cell"))
                .join(F.broadcast(counts), "cell"))
     total = sum(blocks.values())
     chunks = max(1, -(-queries.select("id").distinct().count() // CHUNK_QUERIES)) if total else 1

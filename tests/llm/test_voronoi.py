@@ -50,6 +50,17 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert run(spark, rows, 10, n_pivots=4, block_rows=16) == slow(rows, 10)
 
 
+def test_rows_of_the_querys_own_id_give_no_bound(spark):
+    for r in (2, 3, 9):
+        rows = [(0, [10.0])] * r + [(i, [6.0 - i]) for i in range(1, 6)]
+        got = run(spark, rows, 10)
+        assert got == slow(rows, 10)
+        assert len(got) == 5
+    rows = vectors(8, 120) + [(0, [f32(1 + j / 8)] * 6) for j in range(6)]  # one id with several vectors
+    rows += [(10, dict(rows)[10])] * 7
+    assert run(spark, rows, 10, n_pivots=40, block_rows=16) == slow(rows, 10)
+
+
 def test_fewer_candidates_than_k(spark):
     rows = vectors(3, 4)
     assert run(spark, rows, 2) == slow(rows, 2)
