@@ -163,8 +163,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            words_per: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(id, k, fp, component_id) for each row of ``docs``: k is xxhash64 of the text, fp
-    the fingerprint as a long, component_id the smallest id that links reach."""
+    """(id, k, fp, component_id, root) for each row of ``docs``: k is xxhash64 of the text,
+    fp the fingerprint as a long, component_id the smallest id that links reach, root the
+    smallest fingerprint that they reach, which no two groups share."""
     fps = materialise(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"),
                                   fingerprint(F.col(text_col), words_per).alias("fp")), "simhash-fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
@@ -172,22 +173,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = connected_components(edges)  # (node, root), linked fingerprints only
     owned = materialise(linked.join(reps.withColumnRenamed("fp", "node"), "node"), "simhash-groups")
     least = owned.groupBy("root").agg(F.min("rep").alias("least"))
-    named = owned.join(least, "root").select(F.col("node").alias("fp"), "least")
+    named = owned.join(least, "root").select(F.col("node").alias("fp"), "least", "root")
     # written, so that the last join shuffles both sides by itself and can split a
     # fingerprint that very many rows share
-    per_fp = materialise(reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")),
-                         "simhash-named")
-    return fps.join(per_fp, "fp").select("id", "k", "fp", "component_id")
+    per_fp = materialise(reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"),
+                                                               F.coalesce("root", "fp").alias("root")), "simhash-named")
+    return fps.join(per_fp, "fp").select("id", "k", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              words_per: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group, that with the smallest id (one row of it, if rows share
-    the id), with its columns as they came."""
+    the id), with its columns as they came. Groups that share their smallest id, or have
+    none, keep one each."""
     found = groups(docs, id_col, text_col, words_per, radius)
     gid, gk, n = fresh(docs, "group_id", "group_text", "group_row")
     chosen = (found.where(F.col("id").eqNullSafe(F.col("component_id")))
-              .groupBy("id", "component_id").agg(F.min("k").alias("k"))
+              .groupBy("id", "root").agg(F.min("k").alias("k"))
               .select(F.col("id").alias(gid), F.col("k").alias(gk)).distinct())
     kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col(gid)) & (F.xxhash64(text_col) == F.col(gk)))
     # the window meets rows of one id and text only: a row stored more than once

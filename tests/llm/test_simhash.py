@@ -89,6 +89,18 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 9, None]
 
 
+def test_keep_one_takes_one_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(7)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2])]  # three groups without an id
+    data += [(4, texts[3]), (4, texts[4]), (8, texts[4])]  # one id with two unrelated texts
+    data += [(None, texts[5]), (6, texts[5]), (7, texts[6])]
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in data], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    want = [(None, t) for t in texts[:3]] + [(4, texts[3]), (4, texts[4]), (6, texts[5]), (7, texts[6])]
+    assert got == sorted(want, key=str)
+
+
 def test_tile_links_keep_every_connection():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 63, 40, np.uint64)
