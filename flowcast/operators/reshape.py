@@ -29,9 +29,16 @@ def sensor_values(df: DataFrame, name: str = "sensor_id") -> list[str]:
 def to_wide(df: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts",
             name: str = "sensor_id", value: str = "value") -> DataFrame:
     """Long -> wide with one column per sensor. Pass the sensor list to avoid the
-    distinct-values job that ``pivot`` would otherwise run."""
-    sensors = list(sensors) if sensors is not None else sensor_values(df, name)
-    return df.groupBy(ts).pivot(name, sensors).agg(F.first(F.col(value)))
+    distinct-values job that ``pivot`` would otherwise run; a reading of a sensor that is
+    not in it raises an error, since the wide frame would lose it."""
+    if sensors is None:
+        return df.groupBy(ts).pivot(name, sensor_values(df, name)).agg(F.first(F.col(value)))
+    sensors = list(sensors)
+    # checked in the value, so that the grouping keys stay columns and need no new shuffle
+    lost = F.raise_error(F.concat(F.lit(f"{name} not in the given list {sensors}: "), F.col(name).cast("string")))
+    listed = F.when(F.col(name).isNull() | F.col(name).isin(sensors), F.col(value)).otherwise(
+        lost.cast(df.schema[value].dataType))
+    return df.groupBy(ts).pivot(name, sensors).agg(F.first(listed))
 
 
 def profile(df: DataFrame, ts: str = "ts") -> DataFrame:

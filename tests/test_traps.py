@@ -156,6 +156,14 @@ def test_best_epoch_golden(spark):
     assert (r["best_epoch"], r["stop_epoch"], r["stopped"]) == (20, 50, True)
 
 
+def test_to_wide_fails_on_a_sensor_that_is_not_listed(spark):
+    long = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 5.0), (2, "c", 9.0)],
+                                 "ts long, sensor_id string, value double")
+    with pytest.raises(Exception, match="not in the given list"):
+        RS.to_wide(long, ["a", "b"]).collect()
+    assert sorted(map(tuple, RS.to_wide(long, ["a", "b", "c"]).collect())) == sorted(map(tuple, RS.to_wide(long).collect()))
+
+
 def test_wide_long_round_trip(spark):
     rows = [(ts(0), "a", 1.0), (ts(0), "b", 2.0), (ts(1), "a", 3.0)]
     long = spark.createDataFrame(rows, "ts timestamp_ntz, sensor_id string, value double")
