@@ -105,6 +105,13 @@ def _targets(pivots: np.ndarray, width: int, cells: np.ndarray, radius: np.ndarr
     return F.arrow_udf(of, "struct<cells:array<int>,floor:double>")
 
 
+def _dealt(celled: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cell, block, id, v): rows dealt to their cell's blocks by their number, so that
+    copies of a row spread too."""
+    return (celled.join(F.broadcast(counts), "cell")
+            .withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks"))).select("cell", "block", "id", "v"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
           k: int = K, n_pivots: int = N_PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows for each query row."""
@@ -119,7 +126,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     sample = sound.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())), width)
     pivots = np.unique(pivots, axis=0)
-    celled = materialise(sound.withColumn("c", _assign(pivots, width)("v")).select("id", "v", "is_query", "c.*"), "voronoi-cells")
+    celled = materialise(sound.withColumn("c", _assign(pivots, width)("v"))
+                         .select("id", "v", "is_query", "c.*", F.monotonically_increasing_id().alias("n")), "voronoi-cells")
     # summaries: one row a cell, and its k + 1 members nearest the pivot; one without an id
     # gives no bound
     cells = {r["cell"]: (r["n"], r["radius"]) for r in celled.groupBy("cell").agg(
@@ -133,11 +141,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                        np.array([r["id"] for r in near], np.int64), k)
     blocks = {c: -(-n // block_rows) for c, (n, _) in cells.items()}
     counts = spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "cell int, blocks bigint")
-    data = (celled.join(F.broadcast(counts), "cell")
-            .withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")))
-            .select("cell", "block", "id", "v"))
-    # equal vectors of one id are few; a vector with many ids spreads by id
-    packed = data.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed = _dealt(celled, counts).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     queries = (celled.where("is_query").select("id", "v").distinct()
                .withColumn("t", targets("id", "v")).select("id", "v", "t.floor", F.explode("t.cells").alias("cell"))
                .join(F.broadcast(counts), "cell"))

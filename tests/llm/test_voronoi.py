@@ -61,6 +61,16 @@ def test_rows_of_the_querys_own_id_give_no_bound(spark):
     assert run(spark, rows, 10, n_pivots=40, block_rows=16) == slow(rows, 10)
 
 
+def test_copies_of_a_row_spread_over_blocks(spark):
+    rows = [(1, 0, [1], n) for n in range(3000)]
+    celled = spark.createDataFrame(rows, "id long, cell int, v array<long>, n long")
+    counts = spark.createDataFrame([(0, 30)], "cell int, blocks long")
+    sizes = [r["count"] for r in voronoi._dealt(celled, counts).groupBy("cell", "block").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200
+    rows = vectors(9, 60) + [(0, [1.0] * 6)] * 90
+    assert run(spark, rows, 10, n_pivots=3, block_rows=16) == slow(rows, 10)
+
+
 def test_fewer_candidates_than_k(spark):
     rows = vectors(3, 4)
     assert run(spark, rows, 2) == slow(rows, 2)
