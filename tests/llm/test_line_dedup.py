@@ -56,6 +56,13 @@ def test_null_ids_and_repeated_rows(spark):
     assert [r[1] for r in got(spark, rows) if r[0] == 5] == ["", ""]
 
 
+def test_copies_without_an_id_are_documents_of_their_own(spark):
+    rows = [(None, "p\nq\nr")] * 4 + [(None, "a\n\nb\nc\nx")] * 2 + [(7, "a\nb\nc"), (8, "u\nv\nw"), (8, "u\nv\nw")]
+    texts = sorted((r[:2] for r in got(spark, rows)), key=str)
+    assert texts == sorted([(None, "p\nq\nr"), (None, ""), (None, ""), (None, ""), (None, "a\n\nb\nc\nx"), (None, ""),
+                            (7, ""), (8, "u\nv\nw"), (8, "u\nv\nw")], key=str)
+
+
 def test_sql_twin(spark):
     rows = corpus(3)
     con = duckdb.connect()
