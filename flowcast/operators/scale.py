@@ -40,6 +40,19 @@ def zscore_population(df: DataFrame, cols: Sequence[str], fit: DataFrame | None
     return _population(df, cols, fit if fit is not None else df, of, lambda x, mean, sd: (x - mean) / sd)
 
 
+def zscore_population_array(df: DataFrame, col: str, fit: DataFrame | None = None) -> DataFrame:
+    """H1 for an ARRAY<DOUBLE> column with one value a sensor (the array layout of A3): each
+    position is scaled by its own mean and population std over ``fit``. The statistics are
+    one row a position and travel as one array, no longer than a row's own."""
+    src = fit if fit is not None else df
+    per = src.select(F.posexplode(col).alias("pos", "_fc_v")).groupBy("pos").agg(
+        F.avg("_fc_v").alias("m"), F.stddev_pop("_fc_v").alias("s"))
+    stats = per.agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("z"))
+    j, s = with_scalars(df, stats, "_fc_za")
+    scaled = F.zip_with(F.col(col), s["z"], lambda x, z: (x - z["m"]) / F.when(z["s"] < _TINY, F.lit(1.0)).otherwise(z["s"]))
+    return j.select(*[scaled.alias(c) if c == col else F.col(f"`{c}`") for c in df.columns])
+
+
 def unscale_population(df: DataFrame, cols: Sequence[str], fit: DataFrame, of: str | None = None) -> DataFrame:
     """The inverse of :func:`zscore_population` fitted on ``fit``: x * std + mean, so
     labels and forecasts come back in original units."""

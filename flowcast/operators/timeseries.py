@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowcast.functions.columns import with_scalars
 from flowcast.operators import ordered
@@ -19,12 +20,15 @@ from flowcast.operators.ordered import RN, CHUNK_ROWS
 def sequences(df: DataFrame, features: Sequence[str], target: str, length: int, horizon: int = 1,
               order_by=("ts",), series=(), index_col: str = RN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """E5: windows of ``length`` consecutive rows -> label ``horizon`` rows after the
-    window's last row. Output (seq_idx, ts of the label row, y, x ARRAY<ARRAY<DOUBLE>>);
+    window's last row. A feature may be an ARRAY<DOUBLE> column, whose values take its
+    place. Output (seq_idx, ts of the label row, y, x ARRAY<ARRAY<DOUBLE>>);
     n - length - horizon + 1 sequences per series, ``seq_idx`` 0-based."""
     feats = list(features)
     indexed, _ = ordered.ensure_index(df, order_by, series, index_col)
     back = length + horizon - 1
-    row = F.array(*[F.col(f"`{c}`").cast("double") for c in feats])
+    listed = {f.name for f in indexed.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    parts = [F.col(f"`{c}`").cast("array<double>") if c in listed else F.array(F.col(f"`{c}`").cast("double")) for c in feats]
+    row = F.concat(*parts) if listed & set(feats) else F.array(*[F.col(f"`{c}`").cast("double") for c in feats])
 
     def build(w):
         frame = w.rowsBetween(-back, -horizon)

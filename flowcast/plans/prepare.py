@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowcast.functions import weather as wx
 from flowcast.functions.calendar import calendar_columns
@@ -28,8 +29,8 @@ from flowcast.operators import ordered
 from flowcast.operators.clean import drop_incomplete, iqr_filter, quantiles, row_mean_wide
 from flowcast.operators.join import align_merge, holiday_flag
 from flowcast.operators.ordered import CHUNK_ROWS, RN, full_avg
-from flowcast.operators.reshape import sensor_values, to_wide
-from flowcast.operators.scale import zscore_population, zscore_sample
+from flowcast.operators.reshape import sensor_values, to_array, to_wide
+from flowcast.operators.scale import zscore_population, zscore_population_array, zscore_sample
 from flowcast.operators.timeseries import label_encode, sequences
 from flowcast.session import cut_lineage
 
@@ -87,9 +88,18 @@ def weather_block(weather: DataFrame, ts: str = "ts", on_constant: str = "error"
     return zscore_sample(w, WEATHER_FEATURES, on_constant=on_constant)
 
 
-def traffic_block(readings: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts") -> DataFrame:
+def traffic_block(readings: DataFrame, sensors: Sequence[str] | None = None, ts: str = "ts",
+                  layout: str = "wide") -> DataFrame:
     """Traffic side: wide frame, row mean ``avg_speed`` (NULLs skipped), rows with any
-    missing sensor dropped, then the inclusive 1.5 IQR filter on ``avg_speed``."""
+    missing sensor dropped, then the inclusive 1.5 IQR filter on ``avg_speed``.
+
+    ``layout="array"`` keeps the sensors in one column ``values`` (all sensors that occur, in
+    order), for numbers of sensors that no frame has columns for; it gives the same rows."""
+    if layout == "array":
+        rows = to_array(readings, ts=ts).where(F.col("n_present") == F.col("n_sensors"))
+        total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b)
+        wide = rows.select(ts, "values", (total / F.col("n_sensors")).alias("avg_speed"))
+        return iqr_filter(cut_lineage(wide), "avg_speed")
     sensors = list(sensors) if sensors is not None else sensor_values(readings)
     wide = to_wide(readings, sensors, ts)
     wide = row_mean_wide(wide, sensors, "avg_speed")
@@ -126,9 +136,9 @@ def create_features(data: DataFrame, ts: str = "ts", target_source: str = "avg_s
 def feature_table(readings: DataFrame, weather: DataFrame | None = None, width: str = "5 minutes",
                   sensors: Sequence[str] | None = None, ts: str = "ts", checkpoint: bool = False,
                   chunk_rows: int = CHUNK_ROWS,
-                  on_constant: str = "error") -> DataFrame:
+                  on_constant: str = "error", layout: str = "wide") -> DataFrame:
     """Unscaled feature table (baseline without ``weather``, enhanced with it)."""
-    traffic = traffic_block(readings, sensors, ts)
+    traffic = traffic_block(readings, sensors, ts, layout)
     if weather is not None:
         w = weather_block(weather, ts, on_constant, chunk_rows=chunk_rows)
         data = align_merge(traffic, w, width, ts)
@@ -150,26 +160,32 @@ def scaled_features(features: DataFrame, target_col: str = "speed_ma30", ts: str
     data = features.withColumn("target", F.col(target_col))
     keep = [c for c in (ts, RN) if c in data.columns]
     cols = [c for c in data.columns if c not in keep]
-    data = data.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
+    arrays = [f.name for f in data.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    plain = [F.col(c) if c in arrays else F.col(c).cast("double").alias(c) for c in cols]
+    data = data.select(*keep, *plain)
     if fit is not None:
-        fit = fit.withColumn("target", F.col(target_col)).select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return zscore_population(data, cols, fit=fit)
+        fit = fit.withColumn("target", F.col(target_col)).select(*plain)
+    for c in arrays:
+        data = zscore_population_array(data, c, fit=data if fit is None else fit)
+    return zscore_population(data, [c for c in cols if c not in arrays], fit=fit)
 
 
 def prepare_dataset(readings: DataFrame, weather: DataFrame | None = None, length: int = 24, horizon: int = 1,
                     width: str = "5 minutes", sensors: Sequence[str] | None = None, target_col: str = "speed_ma30",
                     fit_on: str = "all", ts: str = "ts", checkpoint: bool = True,
                     chunk_rows: int = CHUNK_ROWS,
-                    on_constant: str = "error") -> DataFrame:
+                    on_constant: str = "error", layout: str = "wide") -> DataFrame:
     """The whole preparation. Returns (seq_idx, ts, y, x, split) where ``x`` is
     the (length x features) window before the label row, ``y`` the scaled target
     ``horizon`` rows after the window, and ``split`` the chronological
     train/val/test label (int(n*0.7), int(n*0.15), rest).
 
     ``fit_on='all'`` fits the scaler on every row (reference behaviour);
-    ``fit_on='train'`` fits it on the rows before the first validation label."""
+    ``fit_on='train'`` fits it on the rows before the first validation label.
+    ``layout='array'`` (see :func:`traffic_block`) gives the same windows for any number of
+    sensors."""
     feats = feature_table(readings, weather, width, sensors, ts, checkpoint, chunk_rows,
-                          on_constant)
+                          on_constant, layout)
     idx = ordered.with_row_index(feats, [ts], (), RN, count_col="_fc_rows")
     if fit_on == "train":
         n_seq = F.col("_fc_rows") - length - horizon + 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowcast.functions import weather as WX
+from flowcast.functions.buckets import time_bucket
 from flowcast.operators import clean as CL
 from flowcast.operators import evaluate as EV_
 from flowcast.operators import join as JN
@@ -26,8 +27,9 @@ from flowcast.plans.prepare import (LAGS, MOVING_AVERAGES, TREND_WINDOW, WEATHER
 from flowcast.session import scratch_path
 from flowcast.sources import csv as CSV
 from flowcast.sources.fixtures import (EVENT_SENSORS, ORDER_SENSORS, WEATHER_COLUMNS, history_events, predictions,
-                                       predictions_of,                                       readings_events, readings_orders, readings_users, weather_events,
+                                       predictions_of, readings_events, readings_orders, readings_users, weather_events,
                                        weather_ship)
+from flowcast.sources.tables import read_table
 
 SENS = ORDER_SENSORS
 SENS_COLS = " ".join(SENS)
@@ -172,6 +174,31 @@ def to_long_orders(spark, sf):
     return RS.to_long(_orders_wide(spark, sf), SENS).where(F.col("value").isNotNull())
 
 
+_DAILY = "time_bucket(INTERVAL '1 day', o_orderdate)"
+
+
+@register("to_wide_duplicates", wrap(
+    "SELECT ts, " + ", ".join(f"max(CASE WHEN s = '{s}' THEN v END) AS \"{s}\"" for s in SENS)
+    + f" FROM (SELECT {_DAILY} AS ts, o_orderstatus AS s, o_totalprice AS v FROM orders) r GROUP BY ts", SENS_COLS, "", "ts"), ids="A3")
+def to_wide_duplicates(spark, sf):
+    """Raw readings, many a day and sensor, to wide: the largest of each cell."""
+    o = read_table(spark, sf, "orders", ["o_orderdate", "o_orderstatus", "o_totalprice"])
+    long = o.select(time_bucket("o_orderdate", "1 day").alias("ts"), F.col("o_orderstatus").alias("sensor_id"),
+                    F.col("o_totalprice").cast("double").alias("value"))
+    return RS.to_wide(long, SENS, duplicates="max")
+
+
+@register("to_array_events", wrap(f"""WITH re AS ({S.readings_events('1 hour')}),
+i AS (SELECT sensor_id, row_number() OVER (ORDER BY sensor_id) - 1 AS pos FROM (SELECT DISTINCT sensor_id FROM re) d),
+t AS (SELECT ts, count(value) AS n_present FROM re GROUP BY ts)
+SELECT t.ts, i.pos, re.value, t.n_present, (SELECT count(*) FROM i) AS n_sensors
+FROM t CROSS JOIN i LEFT JOIN re ON re.ts = t.ts AND re.sensor_id = i.sensor_id""", "value", "pos n_present n_sensors", "ts"), ids="A3")
+def to_array_events(spark, sf):
+    """Long -> one array a timestamp by dense sensor index, listed cell by cell."""
+    wide = RS.to_array(readings_events(spark, sf, "1 hour"))
+    return wide.select("ts", F.posexplode("values").alias("pos", "value"), "n_present", "n_sensors")
+
+
 @register("profile_orders", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT count(*) AS n_rows, 4 AS n_columns, "
                                  f"min(ts) AS ts_min, max(ts) AS ts_max FROM ow", "", "n_rows n_columns", "ts_min ts_max"),
           ids="A6")
@@ -1226,6 +1253,47 @@ def read_weather_csv(spark, sf):
     return CSV.read_weather(spark, path)
 
 
+def _mixed(spark, wide, name, swapped, named):
+    """Two folders: odd days with the columns as they are, even days in another order and,
+    unless ``named``, without a name for the time column."""
+    even = F.dayofmonth("ts") % 2 == 0
+    paths = [scratch_path(spark, f"{name}-{k}") for k in ("odd", "even")]
+    CSV.write_wide_csv(wide.where(~even), paths[0])
+    other = wide.where(even).select("ts", *swapped)
+    CSV.write_wide_csv(other if named else other.withColumnRenamed("ts", ""), paths[1])
+    return paths
+
+
+@register("read_traffic_mixed_headers", wrap(f"WITH {SQL_RO}, {SQL_OW} SELECT * FROM ow", SENS_COLS, "", "ts"), ids="A1")
+def read_traffic_mixed_headers(spark, sf):
+    """Files whose columns differ in order, one kind with an unnamed time column."""
+    return CSV.read_traffic(spark, _mixed(spark, _orders_wide(spark, sf), "traffic-mixed", SENS[::-1], False))
+
+
+_LACKING = [c for c in WEATHER_COLUMNS[::-1] if c != "awnd"]
+
+
+@register("read_weather_mixed_headers", wrap(
+    f"WITH {SQL_WS} SELECT * REPLACE (CASE WHEN day(ts) % 2 = 1 THEN awnd END AS awnd) FROM ws", WCOLS, "", "ts"), ids="A2")
+def read_weather_mixed_headers(spark, sf):
+    """Weather files in two column orders, one kind without the wind column."""
+    return CSV.read_weather(spark, _mixed(spark, _weather(spark, sf), "weather-mixed", _LACKING, True))
+
+
+@register("csv_bad_cells", wrap(f"""WITH {SQL_RO}, {SQL_OW}
+SELECT 'ts' AS "column", count(*) AS n_rows, 0 AS n_missing, 0 AS n_bad FROM ow
+""" + "".join(f"""UNION ALL SELECT '{c}', count(*), count_if("{c}" IS NULL OR (day(ts) % 2 = 0 AND {c == 'F'})),
+  count_if("{c}" IS NOT NULL AND "{c}" > 150000 AND NOT (day(ts) % 2 = 0 AND {c == 'F'})) FROM ow
+""" for c in SENS), "", "n_rows n_missing n_bad", "column"), ids="A1")
+def csv_bad_cells(spark, sf):
+    """Missing and wrong cells by column, in files of two layouts: prices above 150,000 are
+    written as words, and one layout lacks a sensor."""
+    odd = _orders_wide(spark, sf).select("ts", *[
+        F.when(F.col(c) > 150_000, F.concat(F.lit("about "), F.col(c).cast("string"))).otherwise(F.col(c).cast("string")).alias(c)
+        for c in SENS])
+    return CSV.bad_cells(spark, _mixed(spark, odd, "traffic-bad", [c for c in SENS[::-1] if c != "F"], False))
+
+
 _HIST_COLS = "loss val_loss mae val_mae mape val_mape mse val_mse r2 val_r2 lr"
 
 
@@ -1438,6 +1506,16 @@ def sequences_events_hourly(spark, sf):
                     "split")
 
 
+@register("sequences_events_hourly_array", wrap(_events_pipeline_sql(24, "1 hour"), "y x_sum", "seq_idx", "ts split"),
+          ids="H10 E5 A3")
+def sequences_events_hourly_array(spark, sf):
+    """The hourly preparation in the array layout, which takes any number of sensors."""
+    from flowcast.plans.prepare import prepare_dataset
+    p = prepare_dataset(readings_events(spark, sf, "1 hour"), None, length=24, width="1 hour", layout="array")
+    return p.select("seq_idx", "ts", "y", F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
+                    "split")
+
+
 @register("prediction_errors",
           wrap(f"WITH p AS ({_PRED}) SELECT ts, model, variant, y_pred - y_true AS error FROM p", "error", "",
                "ts model variant", digits=4), digits=4, ids="K2")

@@ -4,6 +4,7 @@ keyed gap fill and repeatable augmentation."""
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowcast.operators import scale as SC
@@ -76,3 +77,48 @@ def test_augmentation_does_not_depend_on_partitioning(spark):
     ratio = SC.augment_scale(df.where("id > 0"), ["x"], F.col("id")).select((F.col("x") / F.col("id")).alias("e"))
     r = ratio.agg(F.min("e"), F.max("e"), F.avg("e")).first()
     assert r[0] >= 0.95 and r[1] <= 1.05 and abs(r[2] - 1.0) < 0.003
+
+
+def _mixed_files(path):
+    (path / "a.csv").write_text("﻿,s1,s2\n2024-01-01 00:00:00,1,2\n2024-01-01 00:05:00,x,4\n")
+    (path / "b.csv").write_text(',s2,s1,"s,3"\n2024-01-02 00:00:00,20,10,5\nnever,,NaN,7\n')
+    (path / "c.csv").write_text("")
+
+
+def test_values_follow_each_files_own_header(spark, tmp_path):
+    _mixed_files(tmp_path)
+    audit = Observation("audit")
+    rows = CSV.read_traffic(spark, str(tmp_path), audit=audit).collect()
+    assert rows[0].asDict().keys() == {"ts", "s1", "s2", "s,3"}
+    got = sorted(((r["s1"], r["s2"], r["s,3"]) for r in rows), key=str)
+    assert got == sorted([(1.0, 2.0, None), (None, 4.0, None), (10.0, 20.0, 5.0), (None, None, 7.0)], key=str)
+    assert audit.get == {"n_rows": 4, "n_bad_times": 1, "n_bad_cells": 1}
+    bad = {r["column"]: tuple(r)[1:] for r in CSV.bad_cells(spark, str(tmp_path)).collect()}
+    assert bad == {"ts": (4, 0, 1), "s1": (4, 1, 1), "s2": (4, 1, 0), "s,3": (4, 2, 0)}
+
+
+def test_chosen_columns_and_header_errors(spark, tmp_path):
+    _mixed_files(tmp_path)
+    rows = CSV.read_weather(spark, str(tmp_path), ["s2"]).collect()
+    assert sorted((r["s2"] for r in rows), key=str) == [2.0, 20.0, 4.0, None]
+    with pytest.raises(ValueError, match="in no header"):
+        CSV.read_weather(spark, str(tmp_path), ["s9"])
+    (tmp_path / "d.csv").write_text("t,s1,s1\n2024-01-01 00:00:00,1,2\n")
+    with pytest.raises(ValueError, match="is twice"):
+        CSV.read_weather(spark, str(tmp_path))
+
+
+def test_a_large_file_keeps_its_header_over_its_splits(spark, tmp_path):
+    lines = [f"2024-01-01 00:00:{i % 60:02d},{i},{-i}" for i in range(30_000)]
+    (tmp_path / "big.csv").write_text("\n".join(["ts,b,a", *lines]) + "\n")
+    (tmp_path / "small.csv").write_text("ts,a,b\n2024-01-01 00:00:00,7,8\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = CSV.read_traffic(spark, str(tmp_path), ["a", "b"])
+        assert df.rdd.getNumPartitions() > 3
+        r = df.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    total = sum(range(30_000))
+    assert tuple(r) == (30_001, 7.0 - total, 8.0 + total)
