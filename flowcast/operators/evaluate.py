@@ -145,15 +145,89 @@ def radar_ratios(metrics: DataFrame, model: str = "model") -> DataFrame:
     return j.select(model, *[clean_double(ratio[m]).alias(f"{m}_ratio") for m in METRICS])
 
 
+# The Lanczos coefficients of the gamma function for g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+           12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(z: Column) -> Column:
+    """Natural logarithm of the gamma function, for z of 0.5 or more."""
+    x = z - 1.0
+    series = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + float(i))
+    t = x + 7.5
+    return F.lit(0.9189385332046727) + (x + 0.5) * F.log(t) - t + F.log(series)
+
+
+def half_step(a: Column) -> Column:
+    """log_gamma(a + 1/2) - log_gamma(a), by its series in 1/a where the difference would
+    lose digits."""
+    series = (F.log(a) / 2 - 1.0 / (8.0 * a) + 1.0 / (192.0 * F.pow(a, F.lit(3.0))) - 1.0 / (640.0 * F.pow(a, F.lit(5.0)))
+              + 17.0 / (14336.0 * F.pow(a, F.lit(7.0))))
+    return F.when(a >= 50.0, series).otherwise(log_gamma(a + 0.5) - log_gamma(a))
+
+
+def beta_tail(x: Column, y: Column, log_x: Column, log_y: Column, a: Column, b: Column, log_beta: Column,
+              terms: int = 300) -> Column:
+    """Regularised incomplete beta function I_x(a, b) for a, b >= 0.5 by its continued
+    fraction, evaluated from the front (modified Lentz) as a fold over a sequence; on the
+    side of the mean where it converges slowly it is one minus the mirrored value. The
+    complement y = 1 - x, the logarithms of both and of the beta function come from the
+    caller, who can give them without loss of digits."""
+    tiny = F.lit(1e-300)
+
+    def safe(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        d0 = F.lit(1.0) / safe(F.lit(1.0) - (a + b) * x / (a + 1.0))
+        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+        def step(acc: Column, m: Column) -> Column:
+            def advance(state, numerator):
+                d = F.lit(1.0) / safe(F.lit(1.0) + numerator * state["d"])
+                c = safe(F.lit(1.0) + numerator / state["c"])
+                return F.struct(c.alias("c"), d.alias("d"), (state["h"] * d * c).alias("h"))
+
+            k = m.cast("double")
+            even = k * (b - k) * x / ((a + 2.0 * k - 1.0) * (a + 2.0 * k))
+            odd = -(a + k) * (a + b + k) * x / ((a + 2.0 * k) * (a + 2.0 * k + 1.0))
+            # a one-element array holds the first half step, so that it is computed once
+            half = F.transform(F.array(acc), lambda s: advance(s, even))
+            return F.get(F.transform(half, lambda s: advance(s, odd)), F.lit(0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["h"]
+
+    front = F.exp(a * log_x + b * log_y - log_beta)
+    low = x < (a + 1.0) / (a + b + 2.0)
+    # one fold: the arguments are chosen before it
+    u, p, q = (F.when(low, i).otherwise(j) for i, j in ((x, y), (a, b), (b, a)))
+    value = front * fraction(u, p, q) / p
+    inside = F.when(low, value).otherwise(F.lit(1.0) - value)
+    return F.when(x <= 0.0, F.lit(0.0)).when(y <= 0.0, F.lit(1.0)).otherwise(inside)
+
+
+def t_test_p(t: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t: the tails beyond +-t, I_x(dof/2, 1/2) at
+    x = dof / (dof + t*t). NULL without a t or a degree of freedom."""
+    n, square = dof.cast("double"), t * t
+    x, y = n / (n + square), square / (n + square)
+    log_beta = F.lit(0.5723649429247001) - half_step(n / 2.0)  # half the logarithm of pi
+    tail = beta_tail(x, y, -F.log1p(square / n), F.log(y), n / 2.0, F.lit(0.5), log_beta)
+    return F.when(t.isNotNull() & (n >= 1), tail)
+
+
 def paired_error_test(paired: DataFrame, model: str = "model") -> DataFrame:
     """Paired t statistic on d = |base error| - |enhanced error| per model
-    (positive: the enhanced forecast is closer); degrees of freedom n - 1."""
+    (positive: the enhanced forecast is closer); degrees of freedom n - 1 and the two-sided
+    p-value of the statistic, NULL where all differences are equal."""
     d = F.abs(F.col("y_base") - F.col("y_true")) - F.abs(F.col("y_enh") - F.col("y_true"))
     g = paired.groupBy(model).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"),
                                   F.stddev_samp(d).alias("sd_diff"))
     t = F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt(F.col("n").cast("double")))
-    return g.select(model, "n", "mean_diff", "sd_diff", clean_double(t).alias("t_stat"),
-                    (F.col("n") - 1).alias("dof"))
+    tested = g.select(model, "n", "mean_diff", "sd_diff", clean_double(t).alias("t_stat"), (F.col("n") - 1).alias("dof"))
+    return tested.withColumn("p_value", t_test_p(F.col("t_stat"), F.col("dof")))
 
 
 def best_epoch(history: DataFrame, patience: int = 30, min_delta: float = 1e-5, monitor: str = "val_loss",

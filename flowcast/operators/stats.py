@@ -7,8 +7,10 @@ points) are generated with ``sequence`` and joined, so empty bins are kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,16 +154,64 @@ def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(clean_double(F.corr(F.col(a), F.col(b))).alias("corr"))
 
 
+GRAM_ROWS = 4096  # rows multiplied at a time
+_SAME = 1e-12  # a variance below this share of the mean square counts as none
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson for every ordered pair, all in ONE aggregation,
-    returned long as (col_a, col_b, corr)."""
+    """Pairwise-complete Pearson for every ordered pair, as (col_a, col_b, corr); NULL
+    where a column does not vary over the rows that both have.
+
+    For hundreds of columns the sums of all pairs are matrix products: with X the values
+    about their column means (0 where missing) and M the 0/1 mask of values, ``M'M`` counts
+    the rows of each pair, ``X'M`` and ``(X*X)'M`` sum each column over the other's rows and
+    ``X'X`` sums the products. Every task multiplies blocks of rows and gives one partial sum
+    a pair; those are added with map-side combining, so what is shuffled is a task's number
+    of pairs, whatever its number of rows."""
     cols = list(cols)
-    pairs = [(a, b) for a in cols for b in cols]
-    names = [f"_fc_{i}" for i in range(len(pairs))]
-    agg = df.agg(*[clean_double(F.corr(F.col(a), F.col(b))).alias(n) for n, (a, b) in zip(names, pairs)])
-    stacked = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(n).alias("corr"))
-                        for n, (a, b) in zip(names, pairs)])
-    return agg.select(F.inline(stacked))
+    p = len(cols)
+    if not p:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    clean = df.select(*[clean_double(F.col(f"`{c}`").cast("double")).alias(f"_fc_{i}") for i, c in enumerate(cols)])
+    means = clean.agg(F.array(*[F.coalesce(F.avg(f"_fc_{i}"), F.lit(0.0)) for i in range(p)]).alias("m"))
+    rows, s = with_scalars(clean, means, "_fc_m")
+    centred = rows.select(F.zip_with(F.array(*[f"_fc_{i}" for i in range(p)]), s["m"], lambda x, m: x - m).alias("x"))
+    upper_a, upper_b = np.triu_indices(p)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(upper_a)))
+        seen = False
+        for batch in batches:
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                flat = batch.column(0).slice(at, GRAM_ROWS).flatten()
+                x = flat.to_numpy(zero_copy_only=False).reshape(-1, p)  # NULL comes as NaN
+                mask = ~np.isnan(x)
+                x, m = np.where(mask, x, 0.0), mask.astype(np.float64)
+                first, square = x.T @ m, (x * x).T @ m
+                total += np.stack([g[upper_a, upper_b] for g in (m.T @ m, first, first.T, square, square.T, x.T @ x)])
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(upper_a.astype(np.int32)), pa.array(upper_b.astype(np.int32)),
+                                              *[pa.array(t) for t in total]], names=["a", "b", *_SUMS])
+
+    partial = centred.mapInArrow(sums, "a int, b int, " + ", ".join(f"{c} double" for c in _SUMS))
+    g = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n")
+    var_a, var_b = n * F.col("qa") - F.col("sa") * F.col("sa"), n * F.col("qb") - F.col("sb") * F.col("sb")
+    varies = (var_a > _SAME * n * F.col("qa")) & (var_b > _SAME * n * F.col("qb"))
+    r = (n * F.col("ab") - F.col("sa") * F.col("sb")) / (F.sqrt(var_a) * F.sqrt(var_b))
+    corr = F.when(varies, F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
+    names = F.array(*[F.lit(c) for c in cols])
+    upper = g.select("a", "b", corr.alias("corr"))
+    # pairs come out in both orders; a column with no rows at all still has its pairs
+    both = upper.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "corr"))).otherwise(
+        F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr")))))
+    spine = df.sparkSession.range(p * p).select((F.col("id") / p).cast("int").alias("i"), (F.col("id") % p).cast("int").alias("j"))
+    return spine.join(both, (F.col("i") == F.col("a")) & (F.col("j") == F.col("b")), "left").select(
+        F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "corr")
+
+
+_SUMS = ("n", "sa", "sb", "qa", "qb", "ab")  # rows, sums, squares and products of a pair
 
 
 # --- D10-D12 distributions --------------------------------------------------
@@ -203,25 +253,57 @@ def describe(df: DataFrame, col: str, ddof: int = 1) -> DataFrame:
                   F.min(x).alias("min"), F.max(x).alias("max"))
 
 
-def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+KDE_BINS = 64  # bins a bandwidth
+
+
+def _kde_frame(df: DataFrame, col: str, grid: int, cut: float):
+    """The values as ``_fc_x`` with, by scalar subquery, count, bandwidth, first point, step."""
+    data = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_fc_x"))
+    found = data.agg(F.min("_fc_x").alias("mn"), F.max("_fc_x").alias("mx"), F.count("_fc_x").alias("n"),
+                     F.stddev_samp("_fc_x").alias("sd"))
+    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    lo = F.col("mn") - F.lit(cut) * h
+    step = (F.col("mx") - F.col("mn") + F.lit(2 * cut) * h) / F.lit(float(grid - 1))
+    # a constant column has no bandwidth: NULL density
+    return with_scalars(data, found.select("n", F.nullif(h, F.lit(0.0)).alias("h"), lo.alias("lo"), step.alias("step")), "_fc_k")
+
+
+def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, method: str = "binned") -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth h = std * n^(-1/5) on
     ``grid`` points from min - cut*h to max + cut*h.
 
-    Each row contributes to a fixed number of grid points (``grid``, a parameter,
-    not data size); partial sums are combined map-side before the shuffle."""
-    x = F.col(col)
-    data = df.where(x.isNotNull())
-    data, s = with_scalars(data, data.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"),
-                                          F.stddev_samp(x).alias("sd")), "_fc_k")
-    h = s["sd"] * F.pow(s["n"].cast("double"), F.lit(-0.2))
-    lo = s["mn"] - F.lit(cut) * h
-    step = (s["mx"] - s["mn"] + F.lit(2 * cut) * h) / F.lit(float(grid - 1))
-    pts = data.select(x.alias("_fc_x"), "_fc_k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
-    g = lo + F.col("k").cast("double") * step
-    z = F.try_divide(g - F.col("_fc_x"), h)  # a constant column has no bandwidth: NULL density
-    dens = pts.groupBy("k", "_fc_k").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_fc_s"))
-    norm = s["n"].cast("double") * h * F.lit((2 * 3.141592653589793) ** 0.5)
-    return dens.select(F.col("k").cast("int").alias("k"), g.alias("x"),
+    ``binned`` (default) is linear in the rows: each falls into one bin of h/64, which keeps
+    the count and the first three moments about its middle; the kernel of a bin at a grid
+    point is its Taylor series (Hermite polynomials) to third order. A density errs by at
+    most 4e-10 / h: the fourth derivative of the kernel is at most 3 times its peak,
+    and a row is at most h/128 off the middle. Only occupied bins exist; their number is the
+    range over h/64 at most, so it grows with the fifth root of the rows. ``exact`` sums the
+    kernel of every row at every point."""
+    x = F.col("_fc_x")
+    data, s = _kde_frame(df, col, grid, cut)
+    point = s["lo"] + F.col("k").cast("double") * s["step"]
+    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k")
+    if method == "exact":
+        z = F.try_divide(point - x, s["h"])
+        kernel = F.sum(F.exp(F.lit(-0.5) * z * z))
+        found = data.select("_fc_x", "_fc_k", points)
+    elif method == "binned":
+        # places in bandwidths from the first point
+        place = F.try_divide(x - s["lo"], s["h"])
+        cell = F.floor(place * KDE_BINS)
+        v = place - (cell + 0.5) / KDE_BINS
+        bins = data.select("_fc_k", cell.alias("cell"), v.alias("v")).groupBy("cell", "_fc_k").agg(
+            F.count(F.lit(1)).alias("m0"), F.sum("v").alias("m1"), F.sum(F.col("v") * F.col("v")).alias("m2"),
+            F.sum(F.col("v") * F.col("v") * F.col("v")).alias("m3"))
+        found = bins.select("*", points)
+        t = F.try_divide(point - s["lo"], s["h"]) - (F.col("cell") + 0.5) / KDE_BINS
+        series = (F.col("m0") + t * F.col("m1") + (t * t - 1) * F.col("m2") / 2 + (t * t * t - 3 * t) * F.col("m3") / 6)
+        kernel = F.sum(F.exp(F.lit(-0.5) * t * t) * series)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    dens = found.groupBy("k", "_fc_k").agg(kernel.alias("_fc_s"))
+    norm = s["n"].cast("double") * s["h"] * F.lit((2 * 3.141592653589793) ** 0.5)
+    return dens.select(F.col("k").cast("int").alias("k"), point.alias("x"),
                        F.try_divide(F.col("_fc_s"), norm).alias("density"))
 
 

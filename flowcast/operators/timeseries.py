@@ -94,10 +94,9 @@ def seasonal_decompose(df: DataFrame, value: str, period: int, order_by=("ts",),
     return out.drop("_fc_phase", "_fc_detr", "_fc_guard")
 
 
-def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sample autocorrelation r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2 for
-    k = 0..nlags (NULL values dropped first), with the Bartlett 95% band
-    1.96 * sqrt((1 + 2 sum_{j<k} r_j^2) / n) (1/n at lag 1, 0 at lag 0)."""
+def _lag_sums(df: DataFrame, value: str, nlags: int, order_by, chunk_rows: int) -> DataFrame:
+    """One row: ``n`` values and ``p`` ARRAY<DOUBLE>, the sums of products of deviations from
+    the mean at lags 0..nlags (NULL values dropped first)."""
     from flowcast.session import cut_lineage
     # read by the mean, the row index and the lag pass: materialise once
     data = cut_lineage(df.where(F.col(value).isNotNull()).select(*order_by, value))
@@ -107,12 +106,17 @@ def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows
     prods = ordered.halo_window(
         indexed, lambda w: {f"_fc_p{k}": F.col("_fc_d") * F.lag("_fc_d", k).over(w) for k in range(1, nlags + 1)},
         (), RN, back=nlags, chunk_rows=chunk_rows)
-    sums = prods.agg(F.count(F.lit(1)).alias("_fc_n"), F.sum(F.col("_fc_d") * F.col("_fc_d")).alias("_fc_p0"),
-                     *[F.sum(f"_fc_p{k}").alias(f"_fc_p{k}") for k in range(1, nlags + 1)])
-    long = sums.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_fc_p{k}"), F.col("_fc_p0")).alias("acf"),
-                 F.col("_fc_n").alias("_fc_n"))
-        for k in range(nlags + 1)])))
+    return prods.agg(F.count(F.lit(1)).alias("n"), F.array(
+        F.sum(F.col("_fc_d") * F.col("_fc_d")), *[F.sum(f"_fc_p{k}") for k in range(1, nlags + 1)]).alias("p"))
+
+
+def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Sample autocorrelation r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2 for
+    k = 0..nlags (NULL values dropped first), with the Bartlett 95% band
+    1.96 * sqrt((1 + 2 sum_{j<k} r_j^2) / n) (1/n at lag 1, 0 at lag 0)."""
+    sums = _lag_sums(df, value, nlags, order_by, chunk_rows)
+    long = sums.select(F.posexplode("p").alias("lag", "_fc_p"), F.get("p", F.lit(0)).alias("_fc_p0"), F.col("n").alias("_fc_n")) \
+        .withColumn("acf", F.try_divide("_fc_p", "_fc_p0"))
     # the band needs a running sum over at most nlags+1 rows
     w = Window.orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     csum = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(w), F.lit(0.0))
@@ -121,22 +125,32 @@ def acf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows
     return long.select("lag", "acf", (F.lit(1.96) * F.sqrt(var)).alias("band"))
 
 
-def pacf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), **kw) -> DataFrame:
+def pacf(df: DataFrame, value: str, nlags: int = 48, order_by=("ts",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Partial autocorrelation by the Yule-Walker (Durbin-Levinson) recursion on
-    the ACF of E8; band 1.96/sqrt(n). The recursion runs on nlags+1 numbers."""
-    r = [row["acf"] for row in acf(df, value, nlags, order_by, **kw).orderBy("lag").collect()]
-    n = df.where(F.col(value).isNotNull()).count()
-    out = [(0, 1.0)]
-    phi_prev: list[float] = []
-    for k in range(1, nlags + 1):
-        num = r[k] - sum(phi_prev[j] * r[k - 1 - j] for j in range(k - 1))
-        den = 1.0 - sum(phi_prev[j] * r[j + 1] for j in range(k - 1))
-        phi_kk = num / den if den != 0 else float("nan")
-        phi = [phi_prev[j] - phi_kk * phi_prev[k - 2 - j] for j in range(k - 1)] + [phi_kk]
-        out.append((k, phi_kk))
-        phi_prev = phi
-    band = 1.96 / (n ** 0.5) if n else None
-    return df.sparkSession.createDataFrame([(k, v, band) for k, v in out], "lag int, pacf double, band double")
+    the ACF of E8; band 1.96/sqrt(n). The recursion is a fold over the one array of
+    nlags + 1 sums: step k keeps the coefficients of order k and appends the last of them
+    to the result. NULL from the first lag at which the recursion has no value."""
+    sums = _lag_sums(df, value, nlags, order_by, chunk_rows)
+    one = sums.select("n", F.transform("p", lambda x: F.try_divide(x, F.get("p", F.lit(0)))).alias("r"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    def step(acc, k):
+        phi, r = acc["phi"], F.col("r")
+        # r[k-1] .. r[1] against phi, and r[1] .. r[k-1]
+        ahead = F.slice(r, F.lit(2), k - 1)
+        top = F.get(r, k) - dot(phi, F.reverse(ahead))
+        last = F.try_divide(top, F.lit(1.0) - dot(phi, ahead))
+        updated = F.zip_with(phi, F.reverse(phi), lambda x, y: x - last * y)
+        return F.struct(F.concat(updated, F.array(last)).alias("phi"), F.concat(acc["out"], F.array(last)).alias("out"))
+
+    empty = F.array().cast("array<double>")
+    start = F.struct(empty.alias("phi"), F.array(F.lit(1.0)).alias("out"))
+    lags = F.sequence(F.lit(1), F.lit(nlags)) if nlags else F.array().cast("array<int>")
+    folded = one.select("n", F.aggregate(lags, start, step)["out"].alias("out"))
+    return folded.select(F.posexplode("out").alias("lag", "pacf"),
+                         F.try_divide(F.lit(1.96), F.sqrt(F.col("n").cast("double"))).alias("band"))
 
 
 def label_encode(df: DataFrame, col: str, name: str | None = None) -> DataFrame:

@@ -517,6 +517,29 @@ def corr_matrix_weather(spark, sf):
     return ST.corr_matrix(_weather(spark, sf), _CM)
 
 
+_HOURS = [f"{e}_{h:02d}" for e in EV for h in range(24)]
+
+
+def _hour_cells_sql() -> str:
+    cells = ", ".join(f"avg(CASE WHEN event_type = '{n[:-3]}' AND hour(ts) = {int(n[-2:])} THEN value END) AS \"{n}\"" for n in _HOURS)
+    return f"hw AS (SELECT time_bucket(INTERVAL '1 day', ts) AS day, {cells} FROM events GROUP BY 1)"
+
+
+@register("corr_matrix_hours", f"""WITH {_hour_cells_sql()}, l AS (UNPIVOT hw ON {', '.join(chr(34) + n + chr(34) for n in _HOURS)} INTO NAME c VALUE v),
+q AS (SELECT a.c AS col_a, b.c AS col_b, count(*) AS n, corr(a.v, b.v) AS r, stddev_pop(a.v) AS sa, stddev_pop(b.v) AS sb
+      FROM l a JOIN l b ON a.day = b.day GROUP BY 1, 2),
+n AS (SELECT unnest([{', '.join(repr(x) for x in _HOURS)}]) AS c)
+SELECT x.c AS col_a, y.c AS col_b, round(CASE WHEN sa > 1e-9 AND sb > 1e-9 AND isfinite(r) THEN r END * (1 + 1e-12), 4) + 0.0::DOUBLE AS corr
+FROM n x CROSS JOIN n y LEFT JOIN q ON q.col_a = x.c AND q.col_b = y.c""", digits=4, ids="D9")
+def corr_matrix_hours(spark, sf):
+    """120 columns (event type and hour of the day, one row a day, many cells missing):
+    14,400 pairs by blocks of rows."""
+    ev = read_table(spark, sf, "events", ["ts", "event_type", "value"])
+    cell = F.concat_ws("_", "event_type", F.lpad(F.hour("ts").cast("string"), 2, "0"))
+    long = ev.groupBy(time_bucket("ts", "1 day").alias("ts"), cell.alias("sensor_id")).agg(F.avg("value").alias("value"))
+    return ST.corr_matrix(RS.to_wide(long, _HOURS), _HOURS)
+
+
 def _hist_sql(col, bins, density=False):
     dens = ", coalesce(c.count, 0) * 1.0 / (n * ((hi - lo) / {b})) AS density".format(b=float(bins)) if density else ""
     return f"""WITH {SQL_WS}, d AS (SELECT {col} AS x FROM ws WHERE {col} IS NOT NULL),
@@ -554,18 +577,32 @@ def describe_tmax(spark, sf):
     return ST.describe(_weather(spark, sf), "tmax", ddof=1)
 
 
-@register("kde_tmax",
-          wrap(f"""WITH {SQL_WS}, d AS (SELECT tmax AS x FROM ws WHERE tmax IS NOT NULL),
+_KDE_SQL = wrap(f"""WITH {SQL_WS}, d AS (SELECT tmax AS x FROM ws WHERE tmax IS NOT NULL),
 s AS (SELECT min(x) AS mn, max(x) AS mx, count(x) AS n, stddev_samp(x) * pow(CAST(count(x) AS DOUBLE), -0.2) AS h FROM d),
 g AS (SELECT range AS k FROM range(0, 200)),
 p AS (SELECT g.k, s.mn - 3.0 * s.h + g.k * ((s.mx - s.mn + 6.0 * s.h) / 199.0) AS gx, s.h, s.n FROM g, s)
 SELECT CAST(p.k AS INT) AS k, p.gx AS x, sum(exp(-0.5 * ((p.gx - d.x) / p.h) * ((p.gx - d.x) / p.h))) / (p.n * p.h * sqrt(2 * pi())) AS density
-FROM p, d GROUP BY p.k, p.gx, p.h, p.n""", "x density", "k"), ids="D12")
+FROM p, d GROUP BY p.k, p.gx, p.h, p.n""", "x density", "k")
+
+
+@register("kde_tmax", _KDE_SQL, ids="D12")
 def kde_tmax(spark, sf):
-    """Gaussian KDE of TMAX on 200 grid points (Scott bandwidth)."""
+    """Gaussian KDE of TMAX on 200 grid points (Scott bandwidth), by binned moments."""
     return ST.kde(_weather(spark, sf), "tmax", 200)
 
 
+@register("kde_prcp_exact", _KDE_SQL.replace("SELECT tmax AS x FROM ws WHERE tmax", "SELECT prcp AS x FROM ws WHERE prcp"), ids="D12")
+def kde_prcp_exact(spark, sf):
+    """KDE of the precipitation, every row at every point."""
+    return ST.kde(_weather(spark, sf), "prcp", 200, method="exact")
+
+
+@register("kde_prcp", _KDE_SQL.replace("SELECT tmax AS x FROM ws WHERE tmax", "SELECT prcp AS x FROM ws WHERE prcp"), ids="D12")
+def kde_prcp(spark, sf):
+    """KDE of the precipitation, a skewed column with many equal values, by binned moments."""
+    return ST.kde(_weather(spark, sf), "prcp", 200)
+
+
 def _traffic_weather(spark, sf):
     t = CL.row_mean(readings_orders(spark, sf, "1 day"))
     return t.join(_weather(spark, sf), "ts")
@@ -1158,16 +1195,47 @@ _PAIRED = (f"p AS ({_PRED}), pr AS (SELECT b.ts, b.model, b.y_true, b.y_pred AS
            f"ON b.ts = e.ts AND b.model = e.model AND b.variant = 'baseline' AND e.variant = 'enhanced')")
 
 
-@register("paired_error_test",
-          wrap(f"""WITH {_PAIRED}, d AS (SELECT model, abs(y_base - y_true) - abs(y_enh - y_true) AS d FROM pr),
-g AS (SELECT model, count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff FROM d GROUP BY model)
-SELECT model, n, mean_diff, sd_diff, mean_diff / (sd_diff / sqrt(n)) AS t_stat, n - 1 AS dof FROM g""",
-               "mean_diff sd_diff t_stat", "n dof", "model", digits=4), digits=4, ids="K11")
+def _t_test_sql(pairs: str) -> str:
+    """K11 over CTE ``pairs`` (model, y_true, y_base, y_enh). The p-value is the finite
+    trigonometric series of Student's t for whole degrees of freedom: with cos and sin of
+    atan(t / sqrt(dof)), a product of ratios of odd and even numbers a term."""
+    return f"""WITH {pairs}, d AS (SELECT model, abs(y_base - y_true) - abs(y_enh - y_true) AS d FROM pr),
+g AS (SELECT model, count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff FROM d GROUP BY model),
+t AS (SELECT model, n, mean_diff, sd_diff, mean_diff / nullif(sd_diff / sqrt(n), 0) AS t_stat, n - 1 AS dof FROM g),
+a AS (SELECT *, atan(abs(t_stat) / sqrt(dof)) AS th FROM t WHERE t_stat IS NOT NULL AND dof >= 1),
+k AS (SELECT model, th, dof, dof % 2 AS odd, unnest(range(CAST(greatest((dof - 2 - dof % 2) // 2 + 1, 0) AS BIGINT))) AS j FROM a),
+c AS (SELECT model, exp(sum(CASE WHEN j = 0 THEN 0 ELSE ln((2.0::DOUBLE * j - 1 + odd) / (2.0::DOUBLE * j + odd)) END
+        + CASE WHEN j = 0 THEN odd * ln(cos(th)) ELSE 2 * ln(cos(th)) END) OVER (PARTITION BY model ORDER BY j)) AS term FROM k),
+s AS (SELECT model, sum(term) AS total FROM c GROUP BY model)
+SELECT t.model, t.n, t.mean_diff, t.sd_diff, t.t_stat, t.dof AS dof,
+  CASE WHEN th IS NOT NULL THEN greatest(0.0::DOUBLE, 1 - CASE WHEN t.dof % 2 = 0 THEN sin(th) * coalesce(total, 0)
+       ELSE 2 / pi() * (th + sin(th) * coalesce(total, 0)) END) END AS p_value
+FROM t LEFT JOIN a USING (model) LEFT JOIN s USING (model)"""
+
+
+@register("paired_error_test", wrap(_t_test_sql(_PAIRED),
+                                    "mean_diff sd_diff t_stat p_value", "n dof", "model", digits=4), digits=4, ids="K11")
 def paired_error_test(spark, sf):
-    """Paired t statistic of absolute errors, baseline vs enhanced, per model."""
+    """Paired t statistic of absolute errors and its p-value, baseline vs enhanced, per model."""
     return EV_.paired_error_test(JN.join_predictions(predictions(spark, sf)))
 
 
+_TWO_MODELS = (f"p AS ({_PRED}), pr AS (SELECT strftime(b.ts, '%Y-%m') AS model, b.y_true, b.y_pred AS y_base, e.y_pred AS y_enh "
+               f"FROM p b JOIN p e ON b.ts = e.ts AND b.model = 'linear' AND e.model = 'forest' "
+               f"AND b.variant = 'baseline' AND e.variant = 'baseline')")
+
+
+@register("paired_error_test_monthly", wrap(_t_test_sql(_TWO_MODELS),
+                                            "mean_diff sd_diff t_stat p_value", "n dof", "model", digits=4), digits=4, ids="K11")
+def paired_error_test_monthly(spark, sf):
+    """The same test of two models' baseline forecasts, month by month: few degrees of
+    freedom and p-values of all sizes."""
+    p = predictions(spark, sf).where("variant = 'baseline'")
+    base = p.where("model = 'linear'").select("ts", "y_true", F.col("y_pred").alias("y_base"))
+    other = p.where("model = 'forest'").select("ts", F.col("y_pred").alias("y_enh"))
+    return EV_.paired_error_test(base.join(other, "ts").withColumn("model", F.date_format("ts", "yyyy-MM")))
+
+
 @register("prediction_series",
           wrap(f"WITH {_PAIRED}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts) AS k FROM pr) "
                f"SELECT ts, model, y_true, y_base, y_enh FROM r WHERE k <= 100", "y_true y_base y_enh", "", "ts model", digits=4),
