@@ -40,11 +40,12 @@ def stream_resample(spark: SparkSession, folder: str, schema: T.StructType, widt
             F.sum(value).alias("total"), F.count(value).alias("n"))
         part.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    # a batch without rows, so that a folder without files gives an empty frame
+    none = T.StructType([T.StructField("ts", schema[ts].dataType), T.StructField("sensor_id", schema[key].dataType),
+                         T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    spark.createDataFrame([], none).write.parquet(f"{out}/batch=-1")
     q = (reader.parquet(folder).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    parts = spark.read.schema(T.StructType([
-        T.StructField("ts", schema[ts].dataType), T.StructField("sensor_id", schema[key].dataType),
-        T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType()),
-        T.StructField("batch", T.LongType())])).parquet(out)
+    parts = spark.read.schema(T.StructType([*none, T.StructField("batch", T.LongType())])).parquet(out)
     return parts.groupBy("ts", "sensor_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("value"))

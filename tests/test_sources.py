@@ -57,6 +57,10 @@ def test_stream_over_files_in_reverse_order_equals_the_batch(spark, tmp_path):
     assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b))
 
 
+def test_stream_over_a_folder_without_files_is_empty(spark, tmp_path):
+    assert stream_resample(spark, str(tmp_path), EVENTS_SCHEMA).collect() == []
+
+
 def test_gap_fill_per_key(spark):
     t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     df = spark.createDataFrame([(t(0), "a", 1.0), (t(3), "a", 4.0), (t(5), "b", 2.0), (t(1), None, 3.0), (t(2), None, 5.0)],
