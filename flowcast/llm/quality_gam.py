@@ -12,8 +12,9 @@ covers every row. Labels, language, source and id are never inputs of a score.
 
 Defined cases: a null text is the empty text, whose features are all 0 and which is
 scored like any other; rows without a label, or without an id, never train; with no
-training rows, or one class only, every score is the smoothed share of label 1; repeated
-rows are scored alike; an empty table gives an empty table; other columns never take
+training rows, or one class only, every score is the smoothed share of label 1; a value on
+a cut goes into the upper bin, so ties are scored alike, as are repeated rows; of labelled
+rows with equal ids any may train; long texts are read whole; an empty table gives an empty table; other columns never take
 part.
 """
 
@@ -189,12 +190,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(measured: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows of ``measured`` (id, held_out, f) that are not held out."""
+    """Fit on labelled rows of ``measured`` (id, held_out, f) that are not held out: the
+    ``max_rows`` of smallest hash of id. Their number is known first, so that only about as
+    many, cut at a threshold of the hash, are ever sorted and sent to the driver, however
+    many tasks there are."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("y")).where("y in (0, 1)")
-    rows = (measured.where("not held_out").join(known, F.col("id") == F.col("label_id"))
-            .select("f", "y", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max_rows).collect())
-    x = np.array([r["f"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([r["y"] for r in rows], float))
+    rows = materialise(measured.where("not held_out").join(known, F.col("id") == F.col("label_id"))
+                       .select("f", "y", F.xxhash64("id").alias("h"), "id"), "gam-labelled")
+    # six standard deviations of room: a smaller cut would be one in a billion
+    share = (max_rows + 6 * max_rows ** 0.5 + 64) / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.where(F.col("h") < int(share * 2 ** 64) - 2 ** 63)
+    taken = rows.orderBy("h", "id").limit(max_rows).collect()
+    x = np.array([r["f"] for r in taken], float).reshape(len(taken), len(FEATURES))
+    return fit(x, np.array([r["y"] for r in taken], float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

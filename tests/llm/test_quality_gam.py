@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from conftest import SF_MID
 from pyspark.sql import functions as F
 
@@ -61,3 +62,53 @@ def test_no_labels_one_class_and_empty(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert all(r["score"] > 0.5 for r in gam.classify(df, one).collect())
     assert gam.classify(df.limit(0), one).collect() == []
+
+
+def test_the_training_sample_is_the_smallest_hashes(spark, monkeypatch):
+    """Only as many rows as the bound are taken, whatever the number of tasks."""
+    from pyspark.sql import functions as F
+    measured = spark.range(3000).select("id", F.lit(False).alias("held_out"), F.array(
+        *[F.col("id").cast("double")] * len(gam.FEATURES)).alias("f")).repartition(20)
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(gam, "fit", lambda x, y: seen.append((x, y)))
+    gam.train(measured, labels, max_rows=200)
+    hashes = {r["id"]: r["h"] for r in spark.range(3000).select("id", F.xxhash64("id").alias("h")).collect()}
+    want = sorted(hashes, key=lambda i: hashes[i])[:200]
+    assert [int(r[0]) for r in seen[0][0]] == want and [int(v) for v in seen[0][1]] == [i % 2 for i in want]
+
+
+def slow_features(text):
+    """The features by plain counting over characters and lists."""
+    import math
+    import re
+    blank = " \t\n\x0b\x0c\r"
+    words = [w for w in re.split(f"[{blank}]+", text) if w]
+    n = max(len(words), 1)
+    lines = [x for x in text.split("\n") if x.strip(blank)]
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
+    letters = sum(c.isascii() and c.isalpha() for c in text)
+    runs, longest = 0, 0
+    for i, w in enumerate(words):
+        runs = runs + 1 if i and words[i - 1] == w else 1
+        longest = max(longest, runs)
+    chars = sum(map(len, words))
+    plain = sum(not re.search(r"[\x00-\x7f]", re.sub("[A-Za-z]", "", w.rstrip(".,;:?"))) for w in words)
+    return [math.log1p(len(words)), chars / n, sum(c in "#*$%&|<>" for c in text) / n,
+            sum(x in lines[:i] for i, x in enumerate(lines)) / max(len(lines), 1), len(covered) / n,
+            sum(c.isascii() and c.isupper() for c in text) / max(letters, 1), text.count("!") / n,
+            sum(a == b for a, b in zip(words, words[1:])) / n, sum(w[-1] in ".?!" for w in words) / n, plain / n,
+            len(set(words)) / n, len(words) / max(len(lines), 1), text.count("|") / n,
+            sum(c in "0123456789" for c in text) / max(chars, 1), text.count(",") / n,
+            sum(x.rstrip(blank)[-1] in ".?!" for x in lines) / max(len(lines), 1), math.log1p(longest)]
+
+
+def test_features_match_plain_counting():
+    import random
+    rng = random.Random(5)
+    pool = ["the", "THE", "café", "a,", "end.", "wow!", "x|y", "12", "#", "no", "no", "日本", "\n", "\t", "\r", "  "]
+    texts = ["", " \n ", "one", "same " * 30] + [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 120))) for _ in range(40)]
+    for t in texts:
+        assert gam.text_features(t.encode()) == pytest.approx(slow_features(t), abs=1e-12), t
+    assert len(gam.text_features(("word " * 150_000).encode())) == len(gam.FEATURES)
