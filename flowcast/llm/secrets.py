@@ -11,7 +11,7 @@ Spans are in code points, end exclusive, leftmost and non-overlapping within a r
 
 Defined cases: a null text is the empty text; repeated rows and equal texts share one
 scan and each row gets its findings; an empty table or ledger works; the whole text is
-scanned, however long; other columns pass through, or are left out by the caller.
+scanned, however long; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcast.llm.common import materialise, read
+from flowcast.llm.common import fresh, materialise, read
 
 
 @dataclass(frozen=True)
@@ -106,21 +106,27 @@ def scan(versions: DataFrame, text_col: str = "text", ledger: DataFrame | None =
 
 def findings(versions: DataFrame, ledger: DataFrame, text_col: str = "text",
              rules: tuple[Rule, ...] = RULES, spans_col: str = "spans") -> DataFrame:
-    """``versions`` without the text, with the spans of each row's blob in the order of
-    start, then rule: every path and version gets the findings of its content."""
+    """``versions`` without the text, with its blob (``version_blob``) and the spans of the
+    blob in the order of start, then rule: every path and version gets the findings of its
+    content. Both new columns get an underscore in front where ``versions`` has the name."""
     known = ledger.where(F.col("rule_key").isin([r.key for r in rules]) & (F.size("spans") > 0))
     order = {r.key: i for i, r in enumerate(rules)}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    per_blob = known.select(F.col("blob").alias("found_blob"),
+    keep = [c for c in versions.columns if c != text_col]
+    blob, listed, found_blob, found = fresh(versions.drop(text_col), "version_blob", spans_col, "found_blob", "found_spans")
+    per_blob = known.select(F.col("blob").alias(found_blob),
                             F.transform("spans", lambda s: F.struct(
                                 s["start"].alias("start"), rank[F.col("rule_key")].alias("rule"),
                                 s["end"].alias("end"))).alias("part")) \
-        .groupBy("found_blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias(spans_col))
-    keep = [c for c in versions.columns if c != text_col]
-    addressed = versions.select(*keep, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("version_blob"))
-    return addressed.join(per_blob, F.col("version_blob") == F.col("found_blob"), "left") \
-        .select(*keep, "version_blob", F.coalesce(F.col(spans_col), F.array().cast(
-            "array<struct<start:int,rule:int,end:int>>")).alias(spans_col))
+        .groupBy(found_blob).agg(F.array_sort(F.flatten(F.collect_list("part"))).alias(found))
+    # written, so that the join shuffles both sides by itself and AQE can split the rows of a
+    # text that very many versions share
+    per_blob = materialise(per_blob, "secret-findings")
+    addressed = versions.select(*[F.col(f"`{c}`") for c in keep],
+                                F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(blob))
+    return addressed.join(per_blob, F.col(blob) == F.col(found_blob), "left") \
+        .select(*[F.col(f"`{c}`") for c in keep], blob, F.coalesce(F.col(found), F.array().cast(
+            "array<struct<start:int,rule:int,end:int>>")).alias(listed))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

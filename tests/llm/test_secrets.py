@@ -76,3 +76,13 @@ def test_empty_table_and_long_text(spark):
     df, ledger = run(spark, [(1, long)])
     (r,) = secrets.findings(df, ledger).collect()
     assert [(s["start"], s["end"]) for s in r["spans"]] == [(600_000, 600_014)]
+
+
+def test_columns_with_the_names_of_the_results_pass_through(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "v", "s", "f", 7)],
+                               "doc_id long, text string, version_blob string, spans string, found_blob string, `a b` int")
+    out = secrets.findings(df, secrets.scan(df))
+    assert out.columns == ["doc_id", "version_blob", "spans", "found_blob", "a b", "_version_blob", "_spans"]
+    (r,) = out.collect()
+    assert (r["version_blob"], r["spans"], r["found_blob"], r["a b"]) == ("v", "s", "f", 7)
+    assert [(x["start"], x["end"]) for x in r["_spans"]] == [(0, 12)]
