@@ -9,14 +9,17 @@ use, extended at two, and so on. Then documents are selected: a pattern's flow i
 number of whole uses and a rest, and the rest takes documents in the order of a seeded
 hash until the nearest whole document.
 
-Only per-pattern sums (at most ``max_patterns`` rows, checked) reach the driver. The
+A source that no document shares with another needs no flow: its quota is filled from its
+one pattern by Spark, however many such sources there are. Only patterns that touch a
+shared source (at most ``max_patterns``, checked) go to the flow on the driver. The
 running sum over a pattern's documents goes through 65,536 hash buckets, summed in two
 levels of 256, so no window holds more than 256 rows or one bucket's documents.
 
 Defined cases: a null text has size 0; a document of size 0 takes 0; null is a source
 of its own, ordered last; an empty set of sources gets nothing; repeated rows each count
 and take alike; when nothing has any size all targets are 0; an empty table gives an
-empty table. A larger number of patterns than ``max_patterns`` raises ValueError.
+empty table; other columns never take part, whatever their names. More than ``max_patterns``
+patterns that share sources raise ValueError. Texts are counted whole.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowcast.functions.columns import with_scalars
 from flowcast.llm.common import WORD_SQL, fresh, materialise, read, word_count
+from flowcast.operators.ordered import running_total, with_row_index
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -122,19 +127,59 @@ def route(patterns: dict[tuple, int], quotas: dict, max_repeats: int) -> dict[tu
     return {k: max_repeats * patterns[k] - into[i][1] for i, k in enumerate(keys)}
 
 
-def _pattern_table(spark: SparkSession, sums: list, weights: tuple, max_repeats: int, max_patterns: int):
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns; raise max_patterns or coarsen the sources")
-    patterns = {tuple(r["members"]): int(r["size"]) for r in sums}
-    order = source_order({s for p in patterns for s in p})
-    by_source = {s: sum(n for p, n in patterns.items() if s in p) for s in order}
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
+def _goals(patterns: DataFrame, weights: tuple, cap: float) -> DataFrame:
+    """(source, n, goal, shared) for each source of ``patterns`` (members, size): its size, its
+    target (as :func:`targets` shares them out), and whether a document has it together with
+    another. Ranks and sums come from range shuffles, so there may be any number of sources."""
+    per = patterns.select(F.explode("members").alias("source"), "size", (F.size("members") > 1).alias("shared")) \
+        .groupBy("source").agg(F.sum("size").alias("n"), F.max("shared").alias("shared")).withColumn("last", F.col("source").isNull())
+    ranked = with_row_index(per, ["last", "source"], (), "at")  # by code point, null last
+    kind = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    sized = materialise(ranked.select("source", "n", "shared", "at", kind.alias("w")), "mix-sources")
+    # from the smallest size a weight on, sources are capped until a share stays below its cap
+    line = sized.where("n > 0").select("source", "n", "at", "w", (F.col("n") / F.col("w")).alias("ratio"), (F.lit(cap) * F.col("n")).alias("most"))
+    line = running_total(line, ["ratio", "at"], (), "capped", "most", "all_most")
+    line = running_total(line, ["ratio", "at"], (), "closed_w", "w", "all_w")
+    unit = (F.col("all_most") / cap - F.col("capped")) / (F.col("all_w") - F.col("closed_w"))
+    found = line.withColumn("unit", unit).where(F.col("unit") * F.col("w") <= F.col("most")).agg(
+        F.min_by("unit", F.struct("ratio", "at")).alias("unit"))
+    out, s = with_scalars(sized, found, "mix_unit")
+    goal = F.when(F.col("n") > 0, F.least(s["unit"] * F.col("w"), F.lit(float(cap)) * F.col("n"))).otherwise(0.0)
+    return out.select("source", "n", goal.alias("goal"), "shared")
+
+
+def _plan(spark: SparkSession, patterns: DataFrame, weights: tuple, max_repeats: int, max_patterns: int) -> DataFrame:
+    """(members, source_size, target, whole, rest) for every pattern: sources that no document
+    shares fill their quota from their own pattern; the flow on the driver is for the others."""
+    goals = materialise(_goals(patterns, weights, max_repeats), "mix-goals")
+    total = goals.agg(F.sum("goal").alias("total"))
     # the whole corpus is shared out: overlapping sizes count once
-    scale = sum(n for p, n in patterns.items() if p)
-    goal = targets(by_source, weight, max_repeats)
-    total = sum(goal.values())
-    quotas = {s: round(goal[s] * scale / total) if total else 0 for s in order}
-    return patterns, by_source, goal, route({p: n for p, n in patterns.items() if p}, quotas, max_repeats)
+    scale = patterns.where(F.size("members") > 0).agg(F.sum("size").alias("scale"))
+    quota, t = with_scalars(goals, total, "mix_total")
+    quota, c = with_scalars(quota, scale, "mix_scale")
+    goals = materialise(quota.select("source", "n", "goal", "shared", F.coalesce(F.bround(F.try_divide(
+        F.col("goal") * c["scale"], t["total"])), F.lit(0.0)).cast("long").alias("quota")), "mix-quotas")
+    each = patterns.select("members", "size", F.posexplode_outer("members").alias("place", "member"))
+    joined = each.join(goals, F.col("place").isNotNull() & F.col("member").eqNullSafe(F.col("source")), "left")
+    listed = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct(
+        "place", "n", "goal", "quota", "shared", "member"))))
+    whole = materialise(joined.groupBy("members", "size").agg(listed.alias("of")), "mix-patterns")
+    alone = ~F.exists("of", lambda m: m["shared"])
+    tangled = whole.where(~alone).limit(max_patterns + 1).collect()
+    if len(tangled) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns share sources; raise max_patterns or coarsen the sources")
+    names = source_order({m["member"] for r in tangled for m in r["of"]})
+    quotas = {m["member"]: m["quota"] for r in tangled for m in r["of"]}
+    flow = route({tuple(r["members"]): int(r["size"]) for r in tangled}, {s: quotas[s] for s in names}, max_repeats)
+    routed = spark.createDataFrame([(list(p), n) for p, n in flow.items()], "routed array<string>, flow bigint")
+    most = F.least(F.coalesce(F.get("of", F.lit(0))["quota"], F.lit(0).cast("long")), F.lit(max_repeats) * F.col("size"))
+    taken = F.when(alone, most).otherwise(F.coalesce("flow", F.lit(0).cast("long")))
+    uses = F.when(F.col("size") > 0, F.least(F.floor(taken / F.col("size")), F.lit(max_repeats))).otherwise(0).cast("long")
+    planned = whole.join(routed, F.col("members").eqNullSafe(F.col("routed")), "left").select(
+        "members", "size", F.transform("of", lambda m: m["n"]).alias("source_size"), F.transform("of", lambda m: m["goal"]).alias("target"),
+        uses.alias("whole"), taken.alias("taken"))
+    return materialise(planned.select(F.col("members").alias("plan_members"), "source_size", "target", "whole",
+                                      (F.col("taken") - F.col("whole") * F.col("size")).alias("rest")), "mix-plan")
 
 
 def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
@@ -152,17 +197,9 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
         F.array_sort(F.array_distinct(members)).alias("members"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("u")),
         "mix-sizes")
-    sums = narrow.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    patterns, by_source, goal, flow = _pattern_table(spark, sums, weights, max_repeats, max_patterns)
-    plan = []
-    for p, n in patterns.items():
-        taken = flow.get(p, 0)
-        whole = min(taken // n, max_repeats) if n else 0
-        plan.append((list(p), [by_source[s] for s in p], [goal[s] for s in p], whole, taken - whole * n))
-    plan_type = "members array<string>, source_size array<bigint>, target array<double>, whole bigint, rest bigint"
-    table = spark.createDataFrame(plan, plan_type)
-    planned = narrow.join(F.broadcast(table), narrow["members"].eqNullSafe(table["members"])) \
-        .drop(table["members"])
+    patterns = materialise(narrow.groupBy("members").agg(F.sum("size").alias("size")), "mix-sums")
+    table = _plan(spark, patterns, weights, max_repeats, max_patterns)
+    planned = narrow.join(table, narrow["members"].eqNullSafe(table["plan_members"])).drop("plan_members")
 
     # where each pattern's running sum in hash order passes its rest
     fine = planned.groupBy("members", F.substring("u", 1, 4).alias("b4")).agg(
@@ -175,11 +212,10 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
               .join(coarse.select("members", "b2", "before2"), ["members", "b2"])
               .withColumn("before", F.col("before2") + F.coalesce(F.sum("s").over(within), F.lit(0)))
               .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("s")))
-              .select("members", "b4", "before").collect())
-    edges = spark.createDataFrame([(r["members"], r["b4"], r["before"]) for r in border],
-                                  "members array<string>, border string, before bigint")
-    marked = planned.join(F.broadcast(edges), planned["members"].eqNullSafe(edges["members"]), "left") \
-        .drop(edges["members"]).withColumn("b4", F.substring("u", 1, 4))
+              .select(F.col("members").alias("edge_members"), F.col("b4").alias("border"), "before"))
+    edges = materialise(border, "mix-borders")  # at most one row a pattern
+    marked = planned.join(edges, planned["members"].eqNullSafe(edges["edge_members"]), "left") \
+        .drop("edge_members").withColumn("b4", F.substring("u", 1, 4))
     # no border: the rest is the whole pattern (it has no size)
     plain = marked.where("border is null or b4 <> border").withColumn(
         "more", F.when(F.col("b4") < F.col("border"), 1).otherwise(0))

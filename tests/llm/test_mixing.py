@@ -103,5 +103,53 @@ def test_mixed_documents_repeat_rows(spark):
 def test_empty_and_no_words(spark):
     assert run(spark, []).collect() == []
     assert [r["taken"] for r in run(spark, [(1, None, "a"), (2, "", None), (None, None, None)]).collect()] == [0, 0, 0]
-    with pytest.raises(ValueError):
-        run(spark, [(1, "x", "a"), (2, "x", "b")], max_patterns=1)
+
+
+def overlapping(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
+
+
+def test_the_bound_counts_patterns_that_share_sources_only(spark):
+    rows = [(1, ["a"], 5), (2, ["b"], 7), (3, ["c"], 9), (4, ["d"], 4)]
+    assert mixing.mix(overlapping(spark, rows), F.col("s"), F.col("n"), max_patterns=1).count() == 4
+    shared = overlapping(spark, [*rows, (5, ["a", "b"], 3)])
+    assert mixing.mix(shared, F.col("s"), F.col("n"), max_patterns=3).count() == 5
+    with pytest.raises(ValueError, match="share sources"):
+        mixing.mix(shared, F.col("s"), F.col("n"), max_patterns=2)
+
+
+def test_goals_of_very_many_sources(spark):
+    """More sources than the flow takes; targets as the plain rule on the driver gives them."""
+    n = 50_000
+    size = (F.pmod(F.xxhash64("id"), F.lit(97)) * F.pmod(F.xxhash64("id", F.lit(1)), F.lit(13))).cast("long")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array(F.concat(F.lit("host"), F.col("id"))).alias("s"), size.alias("n"))
+    got = mixing.mix(docs, F.col("s"), F.col("n")).select(
+        F.get("members", F.lit(0)).alias("s"), "size", F.get("target", F.lit(0)).alias("target"), "taken").collect()
+    assert len(got) == n > mixing.MAX_PATTERNS
+    sizes = {r["s"]: r["size"] for r in got}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(mixing.source_order(sizes))}
+    goal = mixing.targets(sizes, weight, mixing.MAX_REPEATS)
+    assert max(abs(r["target"] - goal[r["s"]]) for r in got) < 1e-6
+    # a source is one document here, taken whole times: the nearest to its target
+    assert all(abs(r["taken"] - goal[r["s"]]) <= r["size"] / 2 + 0.5 for r in got)
+
+
+def test_shared_and_other_sources_together(spark):
+    rows = [(i, [["a", "b"], ["a"], ["x"], ["y"], [], None][i % 6], 10) for i in range(600)]
+    got = mixing.mix(overlapping(spark, rows), F.col("s"), F.col("n"), weights=(1.0,)).collect()
+    assert len(got) == 600 and all(r["taken"] == 0 for r in got if not r["members"])
+    by = {}
+    for r in got:
+        if r["members"]:
+            by[tuple(r["members"])] = by.get(tuple(r["members"]), 0) + r["taken"]
+    # 4,000 words of members, four equal targets within three times each source's size
+    assert abs(by[("x",)] - 1000) <= 10 and abs(by[("y",)] - 1000) <= 10
+    assert abs(by[("a", "b")] + by[("a",)] - 2000) <= 20
+
+
+def test_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "w " * 120_000, "a", 1, 2, 3), (2, "w " * 60_000, "b", 1, 2, 3)],
+                               "doc_id long, text string, source string, plan_members int, edge_members int, border int")
+    got = {r["id"]: r for r in mixing.mix(df, F.array("source"), mixing.word_count(F.col("text"))).collect()}
+    assert {i: r["size"] for i, r in got.items()} == {1: 120_000, 2: 60_000}
+    assert mixing.mixed_documents(df).columns == df.columns
