@@ -179,10 +179,11 @@ def verdicts(spark: SparkSession, pattern_counts: DataFrame, threshold: float) -
 
 def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5,
           failed_col: str = "base_failed", p_col: str = "p_good", kept_col: str = "kept") -> DataFrame:
-    """``docs`` with the base verdict, the posterior and the final verdict. Documents stay
-    in place; only vote patterns are counted and broadcast."""
+    """``docs`` with the base verdict, the posterior and the final verdict. Every text is
+    counted once: the documents are written with their vote pattern, and the model and the
+    verdicts read that table. Only vote patterns are collected and broadcast."""
     pattern, = fresh(docs, "vote_pattern")
-    voted = docs.withColumn(pattern, vote_pattern(stats(F.col(text_col))))
+    voted = materialise(docs.withColumn(pattern, vote_pattern(stats(F.col(text_col)))), "rule-votes")
     counts = voted.groupBy(F.col(pattern).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
     table = verdicts(docs.sparkSession, counts, threshold).withColumnsRenamed(
         {"pattern": pattern, "p_good": p_col, "base_failed": failed_col, "kept": kept_col})
