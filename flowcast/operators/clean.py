@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from flowcast.functions.columns import clean_double, guarded_clip, with_scalars
 from flowcast.operators import ordered
+from flowcast.operators.sketch import quantile_sketches, sketch_quantiles
 
 
 def row_mean(long: DataFrame, ts: str = "ts", value: str = "value", name: str = "avg_speed") -> DataFrame:
@@ -51,9 +52,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
 
     ``method``: ``"exact"`` (default) -- value counts and a distributed running total
     (:func:`ordered.exact_quantiles`), the same plan at every size, so no task holds
-    all distinct values; ``"approx"`` -- ``percentile_approx`` sketches."""
+    all distinct values; ``"approx"`` -- ``percentile_approx`` sketches; ``"sketch"`` --
+    mergeable sketches with a stated rank error (:mod:`flowcast.operators.sketch`)."""
     labels = lambda c: [f"{c}_q{round(p * 100):02d}" for p in probs]
     cols = list(cols)
+    if method == "sketch":
+        q = sketch_quantiles(quantile_sketches(df, cols), probs, [f"_fc_p{i}" for i in range(len(probs))])
+        return q.agg(*[F.max(F.when(F.col("column") == c, F.col(f"_fc_p{i}"))).alias(label)
+                       for c in cols for i, label in enumerate(labels(c))])
     if method == "approx":
         return df.agg(*[F.percentile_approx(F.col(c), p, 10000).alias(label)
                         for c in cols for p, label in zip(probs, labels(c))])

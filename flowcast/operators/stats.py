@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from flowcast.functions.buckets import time_bucket, width_seconds
 from flowcast.functions.calendar import day_of_week
 from flowcast.functions.columns import clean_double, with_scalars
+from flowcast.operators.sketch import approx_quantiles
+from flowcast.session import cut_lineage
 
 
 # --- D1 resampling ---------------------------------------------------------
@@ -109,20 +111,26 @@ def sensor_grid(long: DataFrame, n_cols: int = 9, sensor: str = "sensor_id", val
 
 # --- D6-D9 bins, trend, correlation ----------------------------------------
 
-def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
-    """One-row frame with ``e``: ARRAY<DOUBLE> of the q+1 exact linear quantile edges."""
+def quantile_edges(df: DataFrame, col: str, q: int, method: str = "exact") -> DataFrame:
+    """One-row frame with ``e``: ARRAY<DOUBLE> of the q+1 quantile edges, exact and linear or
+    by a sketch (``method="sketch"``: the first and last edge are exact, the others values of
+    the data whose rank is off by no more than the sketch's error)."""
     from flowcast.operators.clean import quantiles
     probs = [k / q for k in range(q + 1)]
-    qs = quantiles(df, [col], probs)
+    qs = quantiles(df, [col], probs, method)
     return qs.select(F.array(*[F.col(c) for c in qs.columns]).alias("e"))
 
 
-def quantile_bin_stats(df: DataFrame, by: str, value: str, q: int = 10) -> DataFrame:
+def quantile_bin_stats(df: DataFrame, by: str, value: str, q: int = 10, method: str = "exact") -> DataFrame:
     """``qcut(by, q)`` then mean, sample std and count of ``value`` per bin.
 
     Bins are right-closed with the lowest edge included; duplicate edges raise an
-    error (as ``qcut`` does). Every bin 1..q is emitted, empty ones with count 0."""
-    found = quantile_edges(df, by, q)
+    error (as ``qcut`` does). Every bin 1..q is emitted, empty ones with count 0.
+    ``method="sketch"`` takes approximate edges (:func:`quantile_edges`) from one aggregation."""
+    # the edges are read by two scalar subqueries: a sketch, whose choices are random, is made once
+    found = quantile_edges(df, by, q, method)
+    if method == "sketch":
+        found = cut_lineage(found)
     data, s = with_scalars(df, found, "_fc_e")
     edges = s["e"]
     inner = F.slice(edges, 2, q - 1)
@@ -309,14 +317,20 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, method: str
 
 # --- D13-D18 -----------------------------------------------------------------
 
-def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5, method: str = "exact") -> DataFrame:
     """Per group Q1, median, Q3, whiskers (extreme points within whis*IQR of
-    the quartiles) and the number of outliers beyond them."""
+    the quartiles) and the number of outliers beyond them. ``method="sketch"`` takes the
+    quartiles from one mergeable sketch a group."""
     from flowcast.operators.ordered import exact_quantiles
+    if method not in ("exact", "sketch"):
+        raise ValueError(f"unknown method {method!r}")
     v = F.col(value)
     data = df.where(v.isNotNull() & F.col(group).isNotNull())
     # exact per-group quartiles without holding a group's values in one task
-    q = exact_quantiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
+    quartiles = approx_quantiles if method == "sketch" else exact_quantiles
+    q = quartiles(data, value, [0.25, 0.5, 0.75], by=[group], names=["q1", "median", "q3"])
+    if method == "sketch":
+        q = cut_lineage(q)  # a sketch made again after a lost executor may choose other values
     j = data.join(q, group)
     lo = F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))
@@ -328,10 +342,10 @@ def box_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataF
         F.count_if(~inside).alias("n_outliers"))
 
 
-def quantile_threshold(df: DataFrame, col: str, p: float) -> DataFrame:
-    """Exact linear quantile as a one-row frame (strategy by checked size)."""
+def quantile_threshold(df: DataFrame, col: str, p: float, method: str = "exact") -> DataFrame:
+    """Linear quantile as a one-row frame, exact or by a sketch (``method="sketch"``)."""
     from flowcast.operators.clean import quantiles
-    return quantiles(df, [col], [p]).select(F.col(f"{col}_q{round(p * 100):02d}").alias("threshold"))
+    return quantiles(df, [col], [p], method).select(F.col(f"{col}_q{round(p * 100):02d}").alias("threshold"))
 
 
 def any_true(df: DataFrame, cond: Column, name: str = "any_true") -> DataFrame:

@@ -16,15 +16,17 @@ from flowcast.operators import evaluate as EV_
 from flowcast.operators import join as JN
 from flowcast.operators import ordered as OR
 from flowcast.operators import reshape as RS
+from flowcast.operators import sketch as SK
 from flowcast.operators import stats as ST
 from flowcast.operators import timeseries as TS
 from flowcast.operators.scale import zscore_population
 from flowcast.plans import experiment as XP
+from flowcast.plans import forecaster as FC
 from flowcast.plans import sqlparts as S
 from flowcast.plans.catalog import register, wrap
 from flowcast.plans.prepare import (LAGS, MOVING_AVERAGES, TREND_WINDOW, WEATHER_DIFFS, WEATHER_FEATURES, WEATHER_TRENDS,
                                     feature_table, scaled_features)
-from flowcast.session import scratch_path
+from flowcast.session import cut_lineage, scratch_path
 from flowcast.sources import csv as CSV
 from flowcast.sources.fixtures import (EVENT_SENSORS, ORDER_SENSORS, WEATHER_COLUMNS, history_events, predictions,
                                        predictions_of, readings_events, readings_orders, readings_users, weather_events,
@@ -637,6 +639,52 @@ def quantile_threshold_prcp(spark, sf):
     return ST.quantile_threshold(_weather(spark, sf), "prcp", 0.95)
 
 
+_SKETCH_P = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+
+
+@register("sketch_ranks_prices", wrap(f"""WITH p AS (SELECT unnest({list(_SKETCH_P)}) AS p)
+SELECT l_returnflag, p, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS greatest, true AS within
+FROM lineitem, p GROUP BY 1, 2""", "p least greatest", "n", "l_returnflag within"), ids="D13 D14")
+def sketch_ranks_prices(spark, sf):
+    """Price quantiles by return flag from sketches of (flag, line status), rolled up: count,
+    least and greatest price, and whether the true rank of each quantile is off by no more
+    than twice the sketch's 99 % error."""
+    rows = read_table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    fine = SK.quantile_sketches(rows, ["l_extendedprice"], ["l_returnflag", "l_linestatus"])
+    # read twice, and random: made once
+    sketches = cut_lineage(SK.merge_sketches(fine, ["l_returnflag"]))
+    names = [f"q{i}" for i in range(len(_SKETCH_P))]
+    found = SK.sketch_quantiles(sketches.withColumn("n", SK.sketch_count()), _SKETCH_P, names)
+    placed = rows.join(found.withColumnRenamed("l_returnflag", "flag"), F.col("l_returnflag").eqNullSafe(F.col("flag")))
+    x = F.col("l_extendedprice")
+    ranks = placed.groupBy("l_returnflag", "n", *names).agg(*[
+        F.array(F.count_if(x < F.col(q)), F.count_if(x <= F.col(q))).alias(f"r{q}") for q in names])
+    bound = 2 * SK.rank_error()
+
+    def row(p, q):
+        lo, hi = F.get(f"r{q}", F.lit(0)) / F.col("n"), F.get(f"r{q}", F.lit(1)) / F.col("n")
+        return F.struct(F.lit(p).alias("p"), ((lo <= p + bound) & (hi >= p - bound)).alias("within"))
+
+    return ranks.select("l_returnflag", "n", F.col("q0").alias("least"), F.col(names[-1]).alias("greatest"),
+                        F.inline(F.array(*[row(p, q) for p, q in zip(_SKETCH_P, names)])))
+
+
+@register("box_stats_rain_sketch",
+          wrap(f"""WITH {SQL_TW}, d AS (SELECT {_RAIN_SQL} AS rain_category, avg_speed AS v FROM tw),
+q AS (SELECT rain_category, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.5) AS median, quantile_disc(v, 0.75) AS q3
+      FROM d WHERE v IS NOT NULL AND rain_category IS NOT NULL GROUP BY 1),
+w AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT d.rain_category, q1, median, q3, count(v) AS n, min(CASE WHEN v >= lo AND v <= hi THEN v END) AS whisker_lo,
+  max(CASE WHEN v >= lo AND v <= hi THEN v END) AS whisker_hi, count_if(NOT (v >= lo AND v <= hi)) AS n_outliers
+FROM d JOIN w ON d.rain_category = w.rain_category WHERE v IS NOT NULL GROUP BY d.rain_category, q1, median, q3""",
+               "q1 median q3 whisker_lo whisker_hi", "n n_outliers", "rain_category", digits=4), digits=4, ids="D13 G9")
+def box_stats_rain_sketch(spark, sf):
+    """Box statistics with quartiles from sketches; these groups of days are small enough for
+    a sketch to hold every value, so the quartiles are the exact discrete ones."""
+    tw = _traffic_weather(spark, sf).withColumn("rain_category", WX.rain_category())
+    return ST.box_stats(tw, "rain_category", "avg_speed", method="sketch")
+
+
 @register("any_rush_hour_rain",
           wrap(f"WITH {SQL_WS} SELECT coalesce(bool_or(coalesce(hour(ts) IN (7, 8, 9, 17, 18, 19) AND prcp > 0, false)), false) "
                f"AS any_true FROM ws", "", "", "any_true"), ids="D15")
@@ -1483,6 +1531,47 @@ def linear_fit_predictions(spark, sf):
     return XP.predict(model, data, "linear", "case")
 
 
+def _saved(spark, model, kind):
+    """``model`` written below the checkpoint folder and read again."""
+    path = scratch_path(spark, kind.__name__)
+    model.write().save(path)
+    return kind.load(path)
+
+
+@register("scaler_saved_events", wrap(f"""WITH {_CASE_SQL}
+SELECT ts, split, (a - ma) / sqrt(aa) AS click, (b - mb) / sqrt(bb) AS purchase FROM l, f""", "click purchase", "", "ts split"),
+          ids="H1 H3")
+def scaler_saved_events(spark, sf):
+    """All rows scaled by a scaler that was fitted on the training rows, saved and loaded."""
+    from flowcast.operators.scale import chronological_split
+    rows = chronological_split(CL.drop_incomplete(RS.to_wide(readings_events(spark, sf, "6 hours"), EV)))
+    scaler = FC.PopulationScaler(cols=list(_CASE_X)).fit(rows.where("split = 'train'"))
+    return _saved(spark, scaler, FC.PopulationScalerModel).transform(rows).select("ts", "split", *_CASE_X)
+
+
+_AHEAD_SQL = f"""{_CASE_SQL},
+g AS (SELECT rn, ts, split, y, lag(a) OVER (ORDER BY rn) AS a, lag(b) OVER (ORDER BY rn) AS b FROM l),
+h AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy,
+             avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM g WHERE split = 'train' AND a IS NOT NULL),
+u AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM h)"""
+
+
+@register("saved_pipeline_forecast", wrap(f"""WITH {_AHEAD_SQL}
+SELECT ts, y AS y_true, my + wa * (a - ma) + wb * (b - mb) AS y_pred FROM g, u WHERE split = 'test'""", "y_true y_pred", "", "ts"),
+          ids="H1 E5 J1 J3")
+def saved_pipeline_forecast(spark, sf):
+    """One step ahead by a scaler, window and least-squares pipeline that was fitted on the
+    training rows, saved and loaded; labels and forecasts in original units."""
+    from flowcast.operators.scale import chronological_split
+    rows = cut_lineage(chronological_split(CL.drop_incomplete(RS.to_wide(readings_events(spark, sf, "6 hours"), EV))))
+    pipeline = FC.forecaster(_CASE_X, "view", length=1, name="linear", reg=0.0)
+    model = _saved(spark, pipeline.fit(rows.where("split = 'train'")), FC.PipelineModel)
+    scored = FC.unscaled(model, model.transform(rows), ["y", "prediction"])
+    test = rows.where("split = 'test'").select(F.col("ts").alias("_fc_ts"))
+    return scored.join(test, F.col("ts") == F.col("_fc_ts"), "left_semi").select(
+        "ts", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
 @register("linear_weight_importance", wrap(f"""WITH {_CASE_SQL}
 SELECT 'click' AS feature, abs(wa) AS importance FROM w UNION ALL SELECT 'purchase', abs(wb) FROM w""",
                                            "importance", "", "feature"), ids="J9")
