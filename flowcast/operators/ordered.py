@@ -91,19 +91,35 @@ def running_total(df: DataFrame, order_by: Sequence[str], series: Sequence[str],
     tagged = cut_lineage(ranged.withColumn(_PART, F.spark_partition_id()))
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     summary = tagged.groupBy(*series, _PART).agg(amount.alias("_fc_s"))
-    earlier = Window.partitionBy(*series).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*series, _PART, F.coalesce(F.sum("_fc_s").over(earlier), F.lit(0)).alias("_fc_off")]
-    if total:
-        cols.append(F.sum("_fc_s").over(Window.partitionBy(*series)).alias(total))
-    joined = _join_summary(tagged, summary.select(*cols), [*series, _PART])
     w = Window.partitionBy(*series, _PART).orderBy(*order_by)
     if weight is None:
         inside = F.row_number().over(w) - 1
     else:
         inside = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    if not series and isinstance(summary.schema["_fc_s"].dataType, T.LongType):
+        # one number a range, so at most as many as there are shuffle partitions: they become a
+        # constant, and no plan that reads the result computes and joins them again
+        offset, whole = _range_offsets(summary)
+        out = tagged.withColumn(total, F.lit(whole).cast("long")) if total else tagged
+        return out.withColumn(name, offset + inside).drop(_PART)
+    earlier = Window.partitionBy(*series).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*series, _PART, F.coalesce(F.sum("_fc_s").over(earlier), F.lit(0)).alias("_fc_off")]
+    if total:
+        cols.append(F.sum("_fc_s").over(Window.partitionBy(*series)).alias(total))
+    joined = _join_summary(tagged, summary.select(*cols), [*series, _PART])
     return joined.withColumn(name, F.col("_fc_off") + inside).drop(_PART, "_fc_off")
 
 
+def _range_offsets(summary: DataFrame) -> tuple[Column, int]:
+    """The sum before each range, looked up by its number, and the whole sum."""
+    sums = {r[_PART]: r["_fc_s"] or 0 for r in summary.collect()}
+    before, run = [], 0
+    for part in range(max(sums, default=0) + 1):
+        before.append(run)
+        run += sums.get(part, 0)
+    return F.get(F.expr(f"array({','.join(f'{n}L' for n in before)})"), F.col(_PART)), run
+
+
 def with_row_index(df: DataFrame, order_by: Sequence[str] = ("ts",), series: Sequence[str] = (), name: str = RN,
                    count_col: str | None = None, partitions: int | None = None) -> DataFrame:
     """0-based row number per series in ``order_by`` order, optionally with the

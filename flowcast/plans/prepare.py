@@ -55,7 +55,9 @@ def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[
     (E4), then forward and backward fill. Quantile thresholds are taken before
     the fills, over all rows. ``with_changes=False`` skips the change/trend
     columns (the enhanced pipeline discards them)."""
-    w, q = with_scalars(weather, quantiles(weather, ["prcp", "awnd"], [0.95]).select(
+    # one row index for all that follows; the frame under it is read by the thresholds and the fill
+    idx = cut_lineage(ordered.with_row_index(weather, [ts], (), RN))
+    w, q = with_scalars(idx, quantiles(idx, ["prcp", "awnd"], [0.95]).select(
         F.col("prcp_q95").alias("p"), F.col("awnd_q95").alias("a")), "_fc_q")
     w = w.withColumns({
         "temp_range": wx.temp_range(),
@@ -66,14 +68,14 @@ def preprocess_weather(weather: DataFrame, ts: str = "ts", rush_hours: Sequence[
         "is_rush_hour": wx.is_rush_hour(ts, rush_hours),
         "rush_hour_rain": wx.rush_hour_rain(ts, "prcp", rush_hours),
     }).drop("_fc_q")
-    idx = cut_lineage(ordered.with_row_index(w, [ts], (), RN))  # read twice by the fill
 
     def build(win):
         cols = {k: F.col(v) - F.lag(F.col(v), 1).over(win) for k, v in WEATHER_DIFFS.items()}
         cols.update({k: full_avg(v, win, TREND_WINDOW) for k, v in WEATHER_TRENDS.items()})
         return cols
 
-    w = ordered.halo_window(idx, build, (), RN, back=TREND_WINDOW - 1, chunk_rows=chunk_rows) if with_changes else idx
+    if with_changes:
+        w = ordered.halo_window(w, build, (), RN, back=TREND_WINDOW - 1, chunk_rows=chunk_rows)
     fill = list(fill_cols) if fill_cols is not None else [c for c in w.columns if c not in (ts, RN)]
     w = ordered.fill_both(w, fill, [ts], (), RN, chunk_rows)
     return w.drop(RN)
@@ -83,8 +85,9 @@ def weather_block(weather: DataFrame, ts: str = "ts", on_constant: str = "error"
     """Weather side of the enhanced variant: H8, the 10 selected features, then
     sample z-scores (ddof=1) fitted on all weather rows (``on_constant``: see
     :func:`zscore_sample`; with daily buckets ``rush_hour_rain`` is constant)."""
-    w = preprocess_weather(cut_lineage(weather), ts, fill_cols=WEATHER_FEATURES, with_changes=False,
-                           **kw).select(ts, *WEATHER_FEATURES)
+    # the statistics and the scaled rows both read the filled frame
+    w = cut_lineage(preprocess_weather(weather, ts, fill_cols=WEATHER_FEATURES, with_changes=False,
+                                       **kw).select(ts, *WEATHER_FEATURES))
     return zscore_sample(w, WEATHER_FEATURES, on_constant=on_constant)
 
 
