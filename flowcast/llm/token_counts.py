@@ -15,7 +15,8 @@ never match text. Each Python worker remembers counts of parts it has met, up to
 after which it starts anew; that changes speed only.
 
 Defined cases: null and empty texts have no token; repeated rows count each; an empty
-table gives an empty table; whole texts are read; other columns never take part.
+table gives an empty table; whole texts are read; other columns never take part. A part
+of any length keeps only the states that a piece can still reach back to.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 REMEMBERED = 400_000
+STATES_HELD = 1 << 14  # positions kept while a part is counted
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,10 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
 class PartCounter(dict):
     """Pieces of a part (without its leading mark), remembered."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, held: int = STATES_HELD):
         super().__init__()
+        self.longest = max((len(p) for p, _ in vocabulary.pieces), default=0)
+        self.held = max(held, 2 * self.longest + 2)
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
             if piece:
@@ -75,37 +79,47 @@ class PartCounter(dict):
         return n
 
     def count(self, text: str) -> int:
-        size = len(text)
-        best, start, count = [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-        unknown_end = [False] * (size + 1)
-        at = 0
+        """Lists hold the states from position ``low`` on; no piece starts further back."""
+        size, singles, unknown = len(text), self.singles, self.unknown
+        best, start, count, unknown_end = [0.0], [0], [0], [False]
+        low = at = 0
 
-        def reach(to: int, at: int) -> int:
+        def reach(to: int) -> None:
+            nonlocal low, at
             while at < to:
                 c = text[at]
                 at += 1
-                if c in self.singles:
-                    best[at], start[at] = float("-inf"), at
-                    continue
-                best[at], start[at], unknown_end[at] = best[at - 1] + self.unknown, at - 1, True
-                if self.byte_fallback:
-                    count[at] = count[at - 1] + len(c.encode())
+                if c in singles:
+                    best.append(float("-inf"))
+                    start.append(at)
+                    count.append(0)
+                    unknown_end.append(False)
                 else:
-                    count[at] = count[at - 1] + (not unknown_end[at - 1])
-            return at
+                    best.append(best[-1] + unknown)
+                    start.append(at - 1)
+                    if self.byte_fallback:
+                        count.append(count[-1] + len(c.encode()))
+                    else:
+                        count.append(count[-1] + (not unknown_end[-1]))
+                    unknown_end.append(True)
+                if len(best) > self.held:
+                    drop = len(best) - self.longest - 1
+                    for states in (best, start, count, unknown_end):
+                        del states[:drop]
+                    low += drop
 
         if len(self.automaton):
             for last, (length, score) in self.automaton.iter(text):
                 end = last + 1
                 if at < end:
-                    at = reach(end, at)
-                begin = end - length
-                total = best[begin] + score
-                if total > best[end] or (total == best[end] and begin < start[end]):
-                    best[end], start[end], count[end] = total, begin, count[begin] + 1
-                    unknown_end[end] = False
-        reach(size, at)
-        return count[size]
+                    reach(end)
+                begin, here = end - length, end - low
+                total = best[begin - low] + score
+                if total > best[here] or (total == best[here] and begin < start[here]):
+                    best[here], start[here], count[here] = total, begin, count[begin - low] + 1
+                    unknown_end[here] = False
+        reach(size)
+        return count[-1]
 
 
 _COUNTERS: dict[int, PartCounter] = {}

@@ -64,6 +64,15 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [tc.count_tokens(t, parts) for t in some] == whole
 
 
+def test_long_parts_keep_few_states():
+    v = tc.load_vocabulary()
+    ref, parts = reference(v, True), tc.PartCounter(v, held=0)
+    long = [t.replace(" ", "") * 8 for t in texts(4, 40)] + ["ab€" * 60_000]
+    for t in long:
+        assert tc.count_tokens(t, parts) == len(ref.encode(t).ids)
+    assert tc.count_tokens(long[-1], tc.PartCounter(v)) == parts.count(tc.MARK + long[-1])
+
+
 def test_nulls_empty_table_and_clashing_names(spark):
     v = tc.load_vocabulary()
     schema = "doc_id long, text string, n_tokens string, parts string"
