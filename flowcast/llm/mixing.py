@@ -13,7 +13,8 @@ A source that no document shares with another needs no flow: its quota is filled
 one pattern by Spark, however many such sources there are. Only patterns that touch a
 shared source (at most ``max_patterns``, checked) go to the flow on the driver. The
 running sum over a pattern's documents goes through 65,536 hash buckets, summed in two
-levels of 256, so no window holds more than 256 rows or one bucket's documents.
+levels of 256, so no window holds more than 256 rows or one bucket's distinct (id, size)
+pairs; equal rows are counted first, so one id may have any number of them.
 
 Defined cases: a null text has size 0; a document of size 0 takes 0; null is a source
 of its own, ordered last; an empty set of sources gets nothing; repeated rows each count
@@ -38,6 +39,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SEED = 42
 MAX_PATTERNS = 20_000
+RUN_ROWS = 1 << 16  # equal rows told apart at a time
 
 
 def targets(sizes: dict, weights: dict, cap: float) -> dict:
@@ -219,10 +221,20 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
     # no border: the rest is the whole pattern (it has no size)
     plain = marked.where("border is null or b4 <> border").withColumn(
         "more", F.when(F.col("b4") < F.col("border"), 1).otherwise(0))
+    # equal rows follow one another: one row with their number stands for them, and so many
+    # of them are taken as fit
     inside = Window.partitionBy("members").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    close = marked.where("b4 = border").withColumn(
-        "more", F.when(2 * (F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))) + F.col("size")
-                       <= 2 * F.col("rest"), 1).otherwise(0))
+    alike = (marked.where("b4 = border").groupBy("members", "u", "id", "size")
+             .agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in
+                                                  ("source_size", "target", "whole", "rest", "b4", "border", "before")]))
+    room = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0))
+    fit = F.when(F.col("size") > 0, F.floor((2 * room + F.col("size")) / (2 * F.col("size")))).otherwise(
+        F.when(room >= 0, F.col("n")).otherwise(0))
+    runs = alike.withColumn("fit", F.greatest(F.least(fit, F.col("n")), F.lit(0)))
+    blocks = runs.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(RUN_ROWS).cast("long"))))
+    close = (blocks.repartition("u", "first").withColumn("nth", F.explode(F.sequence(
+        F.col("first"), F.least(F.col("n"), F.col("first") + RUN_ROWS - 1))))
+        .withColumn("more", F.when(F.col("nth") <= F.col("fit"), 1).otherwise(0)).drop("n", "fit", "first", "nth"))
     return plain.unionByName(close).select(
         "id", "size", "members", "source_size", "target",
         (F.col("size") * (F.col("whole") + F.col("more"))).cast("long").alias("taken"),

@@ -153,3 +153,28 @@ def test_long_text_and_clashing_columns(spark):
     got = {r["id"]: r for r in mixing.mix(df, F.array("source"), mixing.word_count(F.col("text"))).collect()}
     assert {i: r["size"] for i, r in got.items()} == {1: 120_000, 2: 60_000}
     assert mixing.mixed_documents(df).columns == df.columns
+
+
+def test_rows_of_one_id_at_the_border(spark, monkeypatch):
+    """A third of all rows share an id and a size, another third have no id: they are taken one by one."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    rows = corpus(5, 100) + [(7, "w w w", "b")] * 100 + [(None, "w " * n, "b") for n in range(1, 11) for _ in range(10)]
+    out = run(spark, rows).collect()
+    assert sorted((str(r["id"]), r["size"]) for r in out) == sorted((str(i), len(t.split())) for i, t, _ in rows)
+    for name in {r["members"][0] for r in out}:
+        mine = [r for r in out if r["members"][0] == name]
+        most = max(r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"][0]) <= most / 2 + 1
+    assert all(r["taken"] == r["repeats"] * r["size"] <= 3 * r["size"] for r in out)
+    views = duckdb_rows(rows)
+    assert sorted((str(r["id"]), r["size"], r["taken"]) for r in out) == views
+
+
+def duckdb_rows(rows):
+    """Rows of the query's SQL, told apart only by what it returns."""
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    got = duckdb.connect().execute(mixing.SQL).fetchall()
+    return sorted((str(i), size, taken) for i, size, _, _, taken in got)
