@@ -34,12 +34,12 @@ from flowcast.llm.components import connected_components, roots
 SHINGLE_WORDS = 4
 RADIUS = 4
 HASH_SEED = 42
-TILE_ROWS = 16_384
+TILE_ROWS = 65_536
 BLOCK = 1 << 15  # shingle hashes counted at a time
 LINKS_HELD = 1 << 20
 PAIRS_HELD = 1 << 17  # pairs compared at a time
 PARTS = (0xFFFF, 0xFFFF << 16, 0xFFFFFFFF << 32)  # bits counted apart within a tile
-TILE_PAIRS = 8  # tile pairs a task
+TILE_PAIRS = 1  # tile pairs a task; each is up to 4 billion comparisons
 
 
 def text_fingerprint(text: bytes, words_per: int = SHINGLE_WORDS) -> int:
