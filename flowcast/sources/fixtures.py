@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowcast.functions.buckets import time_bucket
 from flowcast.functions.columns import clean_double
@@ -97,9 +98,9 @@ def history_events(spark: SparkSession, sf_dir: str, width: str = "1 day") -> Da
                     (F.lit(1.0) - F.avg(v) / 50.0).alias("r2"),
                     (F.lit(1.0) - F.avg(F.abs(v - 25.0)) / 25.0).alias("val_r2"),
                     F.lit(1e-4).alias("lr")))
-    from flowcast.operators import ordered
-    numbered = ordered.with_row_index(daily, ["day"], ["model", "variant"], "epoch")
-    return numbered.withColumn("epoch", F.col("epoch") + 1).drop("day")
+    # one row a bucket: a run is as long as the time span, whatever the number of events
+    in_run = Window.partitionBy("model", "variant").orderBy("day")
+    return daily.withColumn("epoch", F.row_number().over(in_run).cast("long")).drop("day")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
