@@ -111,6 +111,8 @@ def triggers(data: np.ndarray, bounds: np.ndarray, length: int):
     none = np.empty(0, np.int64)
     if len(data) < length:
         return none, none, none, np.empty(0, np.uint64), None
+    if len(data) > int(PLACE):
+        raise ValueError(f"a text of {len(data)} bytes; places are told apart up to {int(PLACE)}")
     gram = min(GRAM, length)
     hashes = Hashes(data, 0)
     grams = hashes.grams(gram)

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -12,6 +13,9 @@ from test_packing import slow_best_fit  # noqa: F401
 from test_simhash import slow_components
 
 
+VOCABULARY = ["the", "and", "of", "to", *(a + b for a in ("riv", "mount", "gard", "wint") for b in ("er", "ain", "en", "ing", "als"))]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = read(spark, SF_SMALL, "documents", *cp.COLUMNS)
@@ -74,10 +78,24 @@ def test_empty_and_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, size string, bin string"
     odd = [(None, None, None, None, None, "s", "b"), (1, "", "en", "a", 0, "s", "b"), (2, "x " * 30, "en", None, 60, None, None),
            (2, "x " * 30, "en", None, 60, None, None), (3, "Some plain words make one line. " * 9, "en", "a", 1, "s", "b")]
-    for data in ([], odd):
+    rng = random.Random(3)
+    good = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(60)) + ".", "en", source, None, "s", None)
+            for i, source in ((None, "a"), (4, None), (5, "a"), (5, "b"))]
+    for data in ([], odd, odd + good):
         docs = spark.createDataFrame(data, schema)
         for name, f in cp.STAGES:
-            docs = f(spark, docs, "unused")
+            before, docs = docs, f(spark, docs, "unused")
             if name != "best_fit":
                 assert docs.columns == [x.split()[0] for x in schema.split(", ")]
-        assert docs.count() >= 0
+            if name == "quality_rules":
+                kept = docs.select("doc_id", "text").collect()
+                base = quality_rules.judge(before).where("not base_failed").select("doc_id", "text").collect()
+                assert not Counter(map(tuple, kept)) - Counter(map(tuple, base))
+                assert all(len((t or "").split()) >= 20 and not t.startswith(("x ", "Some plain")) for _, t in kept)
+        words = Counter()
+        for r in before.collect():
+            words[r["doc_id"]] += len((r["text"] or "").split())
+        packed = Counter()
+        for r in docs.collect():
+            packed[r["doc_id"]] += r["size"]
+        assert +packed == +words
