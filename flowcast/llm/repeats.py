@@ -28,7 +28,7 @@ arrays.
 Defined cases: a null text is the empty text; texts shorter than ``length`` bytes keep
 everything; rows with equal id and text are two documents, whose strings repeat each
 other; null ids are ids; an empty table gives an empty table; other columns never take
-part.
+part. A text of 1 GiB or more raises ValueError.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from flowcast.llm import repeats
@@ -85,3 +86,12 @@ def test_strings_never_cross_documents(spark):
     docs = [(1, a[:90]), (2, a[90:]), (3, a)]
     assert all(r[1] == 0 for r in found(spark, docs, 120)[:1])
     assert found(spark, docs, 100) == brute([(i, t.encode()) for i, t in docs], 100)
+
+
+def test_texts_beyond_the_places_raise(monkeypatch):
+    data = np.frombuffer(b"ab" * 40, np.uint8)
+    bounds = np.array([0, len(data)])
+    assert len(repeats.triggers(data, bounds, 10)[0])
+    monkeypatch.setattr(repeats, "PLACE", np.uint64(63))
+    with pytest.raises(ValueError, match="80 bytes"):
+        repeats.triggers(data, bounds, 10)
