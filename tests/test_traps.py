@@ -265,3 +265,15 @@ def test_one_column_can_scale_another(spark):
     z = SC.zscore_population(df, ["y", "p"], of="y")
     assert sorted(tuple(r) for r in z.collect()) == [(-1.0, 2.0), (1.0, -2.0)]
     assert sorted(tuple(r) for r in SC.unscale_population(z, ["p"], df, of="y").collect()) == [(-1.0, 4.0), (1.0, 0.0)]
+
+
+def test_correlation_with_a_column_that_does_not_vary(spark):
+    rows = [(1.0, 7.0, 3.0, None), (2.0, 7.0, 1.0, 4.0), (4.0, 7.0, 2.0, None), (None, 8.0, 9.0, 5.0)]
+    df = spark.createDataFrame(rows, "t double, same double, x double, `one pair` double")
+    got = {r[0]: r[1] for r in CL.select_by_correlation(df, "t", ["same", "x", "one pair"], 0.1).collect()}
+    # constant where the target has values: NaN, as in the SQL twin, and no error
+    assert math.isnan(got["same"]) and math.isnan(got["one pair"])
+    assert got["x"] == pytest.approx(-0.32732683535398865)
+    assert CL.select_by_correlation(df.where("t is null"), "t", ["x"], 0.1).collect() == []
+    assert ST.corr_pair(df, "t", "same").first()["corr"] is None
+    assert ST.corr_pair(df, "t", "x").first()["corr"] == pytest.approx(-0.32732683535398865)
