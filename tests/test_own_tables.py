@@ -24,3 +24,19 @@ def test_least_value_of_many_events_is_the_same_in_every_bucket(spark, tmp_path)
     got = QUERIES[name](spark, str(tmp_path)).toPandas()
     assert len(got) > 20 and (got["tmin"] == 0.0).all()
     assert _digest(got) == _twin(tmp_path, "events", name)
+
+def test_rows_are_placed_without_gathering_a_flag_in_one_task(spark, tmp_path):
+    rows = [(["R", "A", "N", None][i % 4], "FO"[i % 2], float(i * i % 1013)) for i in range(4000)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_extendedprice double") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    name, threshold = "sketch_ranks_prices", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # as for a table that is large
+    try:
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = _digest(df.toPandas())
+    finally:
+        spark.conf.set(threshold, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert got == _twin(tmp_path, "lineitem", name)
