@@ -110,3 +110,22 @@ def test_without_training_rows_there_is_no_model(spark):
         assert XP.weight_importance(model, ["a", "b"], 2, name).collect() == []
     assert XP.iteration_metrics(None, data).collect() == []
     assert XP.permutation_importance(None, data, ["a", "b"]).collect() == []
+
+
+def test_many_windows_are_spread_over_tasks_in_one_order(spark):
+    from flowcast.plans.prepare import prepare_dataset
+    day = dt.datetime(2020, 1, 1)
+    rows = [(day + dt.timedelta(days=i), s, 50.0 + (i * k) % 13) for i in range(400) for s, k in (("a", 5), ("b", 7))]
+    readings = spark.createDataFrame(rows, "ts timestamp_ntz, sensor_id string, value double")
+
+    def windows(**kw):
+        return prepare_dataset(readings, None, length=6, width="1 day", sensors=["a", "b"], **kw)
+
+    one, many = windows(), windows(task_rows=64)
+    sizes = many.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert many.rdd.getNumPartitions() == 6 and len(sizes) > 2 and max(r["count"] for r in sizes) < 200
+    want = [tuple(r) for r in one.orderBy("seq_idx").collect()]
+    assert [tuple(r) for r in many.orderBy("seq_idx").collect()] == want and len(want) == 365
+    # samples of a forest follow the order of rows in a task
+    assert many.select("seq_idx").collect() == windows(task_rows=64).select("seq_idx").collect()
+    assert windows(task_rows=400).rdd.getNumPartitions() == one.rdd.getNumPartitions()
