@@ -95,3 +95,21 @@ def test_texts_beyond_the_places_raise(monkeypatch):
     monkeypatch.setattr(repeats, "PLACE", np.uint64(63))
     with pytest.raises(ValueError, match="80 bytes"):
         repeats.triggers(data, bounds, 10)
+
+
+def test_query_counts_input_bytes_and_removes_by_bytes(spark, tmp_path):
+    """Passages of over 50 words: one of 400 bytes or more goes from both documents, a shorter one
+    stays; n_bytes is the size of the input either way."""
+    rng = random.Random(7)
+    words = lambda n, size: " ".join("".join(rng.choices("abcdefgé", k=size)) for _ in range(n))
+    long, short = words(60, 8), words(60, 4)
+    assert len(short.encode()) < 400 <= len(long.encode())
+    docs = [(1, words(20, 5) + "\n" + long), (2, long + "\t" + words(30, 5)), (3, short + "\n" + words(30, 5)),
+            (4, words(20, 5) + "\t" + short), (5, words(90, 8)), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = repeats.query(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    body = [(i, (t or "").encode()) for i, t in docs]
+    want = [(i, len(dict(body)[i]), n, runs, hashlib.sha256(kept).hexdigest()) for i, n, runs, kept in brute(body, 400)]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert [n > 0 for _, _, n, _, _ in want] == [True, True, False, False, False, False]
